@@ -1,6 +1,6 @@
 """Iterative graph operators: cycles, reachability and shortest chains.
 
-Each round is a few joins whose result is checkpointed, so plans stay short and
+Each round is a few joins whose result is written once, so plans stay short and
 the work survives lost executors.  ``edges`` carry ``project_id, source, target``.
 """
 
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcweave.session import cut_lineage
+from srcweave.session import write_counted, write_once
 
 _NODE = ["project_id", "id"]
 
@@ -27,49 +27,50 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # Strongly connected components ----------------------------------------------
 
 
-def _spread_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One round: each node takes the least label of the nodes before and after it.
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Who speaks to whom: forward edges carry ``up`` labels, backward ones ``down``."""
+    ways = F.array(
+        F.struct(F.col("source").alias("id"), F.col("target").alias("to"), F.lit(True).alias("up_way")),
+        F.struct(F.col("target").alias("id"), F.col("source").alias("to"), F.lit(False).alias("up_way")),
+    )
+    return edges.select("project_id", F.inline(ways))
+
 
-    ``up`` is the least id known to reach the node, ``down`` the least id known
-    to be reached from it.  Looking up the label of the label as well lets long
-    chains settle in few rounds.
+def _spread_labels(ways: DataFrame, labels: DataFrame) -> DataFrame:
+    """One round: each node takes the least label it hears of.
+
+    ``up`` is the least id known to reach the node, ``down`` the least id known to
+    be reached from it.  A node hears its neighbours and, so that long chains
+    settle in few rounds, the nodes its own labels name.
     """
-    before = edges.join(labels.withColumnRenamed("id", "source"), ["project_id", "source"]).select(
-        "project_id", F.col("target").alias("id"), "up", F.lit(None).cast("string").alias("down")
-    )
-    after = edges.join(labels.withColumnRenamed("id", "target"), ["project_id", "target"]).select(
-        "project_id", F.col("source").alias("id"), F.lit(None).cast("string").alias("up"), "down"
+    asked = F.array(
+        F.struct(F.col("up").alias("id"), F.col("id").alias("to"), F.lit(True).alias("up_way")),
+        F.struct(F.col("down").alias("id"), F.col("id").alias("to"), F.lit(False).alias("up_way")),
     )
-    ups = labels.select("project_id", F.col("id").alias("up"), F.col("up").alias("up_up"))
-    downs = labels.select("project_id", F.col("id").alias("down"), F.col("down").alias("down_down"))
-    own = (
-        labels.join(ups, ["project_id", "up"])
-        .join(downs, ["project_id", "down"])
-        .select(
-            "project_id", "id", F.col("up_up").alias("up"), F.col("down_down").alias("down"),
-            F.col("up").alias("old_up"), F.col("down").alias("old_down"),
-        )
+    calls = ways.unionByName(labels.select("project_id", F.inline(asked)))
+    heard = calls.join(labels, _NODE).select(
+        "project_id", F.col("to").alias("id"), F.when(F.col("up_way"), F.col("up")).alias("up"),
+        F.when(~F.col("up_way"), F.col("down")).alias("down"),
+        F.lit(None).cast("string").alias("old_up"), F.lit(None).cast("string").alias("old_down"),
     )
-    nothing = F.lit(None).cast("string")
-    heard = before.unionByName(after).withColumns({"old_up": nothing, "old_down": nothing})
+    own = labels.select(*_NODE, "up", "down", F.col("up").alias("old_up"), F.col("down").alias("old_down"))
     return (
         own.unionByName(heard)
         .groupBy(*_NODE)
-        .agg(
-            F.min("up").alias("up"), F.min("down").alias("down"),
-            F.min("old_up").alias("old_up"), F.min("old_down").alias("old_down"),
-        )
+        .agg(*[F.min(c).alias(c) for c in ("up", "down", "old_up", "old_down")])
     )
 
 
 def _settled_labels(edges: DataFrame) -> DataFrame:
+    ways = _both_ways(edges)
     labels = edges.select(
         "project_id", F.explode(F.array("source", "target")).alias("id")
     ).distinct().select("*", F.col("id").alias("up"), F.col("id").alias("down"))
+    moved = F.count_if((F.col("up") != F.col("old_up")) | (F.col("down") != F.col("old_down")))
     while True:
-        step = cut_lineage(_spread_labels(edges, labels))
+        step, n_moved = write_counted(_spread_labels(ways, labels), moved)
         labels = step.select(*_NODE, "up", "down")
-        if step.where("up <> old_up or down <> old_down").isEmpty():
+        if n_moved == 0:
             return labels
 
 
@@ -81,16 +82,16 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     """
     plain = _plain_edges(edges)
     loops = plain.where("source = target").select("project_id", F.col("source").alias("id"))
-    rest = cut_lineage(plain.where("source <> target"))
+    rest, n_edges = write_counted(plain.where("source <> target"))
     found: list[DataFrame] = []
-    while not rest.isEmpty():
+    while n_edges:
         labels = _settled_labels(rest)
         found.append(labels.where("up = down").select(*_NODE, F.col("up").alias("scc")))
         # Only edges between nodes with equal labels can lie in one component.
         open_nodes = labels.where("up <> down")
         left = open_nodes.toDF("project_id", "source", "s_up", "s_down")
         right = open_nodes.toDF("project_id", "target", "t_up", "t_down")
-        rest = cut_lineage(
+        rest, n_edges = write_counted(
             rest.join(left, ["project_id", "source"])
             .join(right, ["project_id", "target"])
             .where("s_up = t_up and s_down = t_down")
@@ -130,7 +131,7 @@ def short_cycles(
     """
     plain = _plain_edges(edges)
     on_cycle = cyclic_components(edges).select(*_NODE, "scc")
-    inner = cut_lineage(
+    inner = write_once(
         plain.join(on_cycle.toDF("project_id", "source", "s"), ["project_id", "source"])
         .join(on_cycle.toDF("project_id", "target", "t"), ["project_id", "target"])
         .where("s = t")
@@ -144,7 +145,7 @@ def short_cycles(
     hop = inner.select("project_id", F.col("source").alias("last"), F.col("target").alias("next"))
     for length in range(2, max_length + 1):
         longer = paths.join(hop, ["project_id", "last"]).where("next >= start")
-        longer = cut_lineage(
+        longer = write_once(
             longer.where((F.col("next") == F.col("start")) | ~F.array_contains("path", F.col("next")))
         )
         closed.append(longer.where("next = start").select("project_id", "path"))
@@ -186,12 +187,12 @@ def cycle_text(path: Column) -> Column:
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every node each seed reaches, with its distance; the seed itself has 0."""
-    hop = cut_lineage(
+    hop = write_once(
         _plain_edges(edges).select(
             "project_id", F.col("source").alias("id"), F.col("target").alias("next")
         )
     )
-    wave = cut_lineage(
+    wave = write_once(
         seeds.select("project_id", F.col("id").alias("seed"), "id").distinct().withColumn(
             "depth", F.lit(0)
         )
@@ -204,12 +205,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
             "project_id", "seed", F.col("next").alias("id")
         ).distinct()
         seen = _union(waves).select("project_id", "seed", "id")
-        wave = cut_lineage(
+        wave, n_new = write_counted(
             ahead.join(seen, ["project_id", "seed", "id"], "left_anti").withColumn(
                 "depth", F.lit(depth)
             )
         )
-        if wave.isEmpty():
+        if n_new == 0:
             break
         waves.append(wave)
     return _union(waves)
@@ -230,13 +231,13 @@ def dependency_chain(
 
     Among paths of one length the least in id order is taken.
     """
-    hop = cut_lineage(
+    hop = write_once(
         _plain_edges(edges).select(
             "project_id", F.col("source").alias("id"), F.col("target").alias("next")
         )
     )
     pair = ["project_id", "source", "target"]
-    wave = cut_lineage(
+    wave = write_once(
         pairs.select(*pair).distinct().select(
             *pair, F.col("source").alias("id"), F.array("source").alias("path")
         )
@@ -251,8 +252,8 @@ def dependency_chain(
             .agg(F.min(F.concat("path", F.array("next"))).alias("path"))
         )
         seen = _union(waves).select(*pair, "id")
-        wave = cut_lineage(ahead.join(seen, [*pair, "id"], "left_anti"))
-        if wave.isEmpty():
+        wave, n_new = write_counted(ahead.join(seen, [*pair, "id"], "left_anti"))
+        if n_new == 0:
             break
         waves.append(wave)
         done.append(wave.where("id = target"))

@@ -16,7 +16,7 @@ from srcweave.operators import resolve as RS
 from srcweave.operators import script_resolve as SS
 from srcweave.operators import traversal as TV
 from srcweave.operators.rules import RuleOptions
-from srcweave.session import cut_lineage
+from srcweave.session import write_once
 from srcweave.sources.python_facts import python_facts
 from srcweave.sources.script_facts import script_facts
 
@@ -55,7 +55,7 @@ def analyze(
     python = language == "python"
     parsed = python_facts(files) if python else script_facts(files)
     if reuse:
-        parsed = cut_lineage(parsed)
+        parsed = write_once(parsed)
     comps = CO.components(parsed, language)
     rels = (
         RS.python_relationships(parsed, comps) if python

@@ -13,6 +13,7 @@ from srcweave.operators import resolve as RS
 from srcweave.operators.rules import RuleOptions
 from srcweave.plans import corpus_text as CT
 from srcweave.sources import corpus as SR
+from srcweave.session import write_once
 from srcweave.sources.python_facts import python_facts
 
 
@@ -40,17 +41,22 @@ class Inputs:
     def parsed(self) -> DataFrame:
         return python_facts(self.files)
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The parsed files written once, for queries that read them several times."""
+        return write_once(self.parsed)
+
     @cached_property
     def components(self) -> DataFrame:
         return CO.components(self.parsed)
 
     @cached_property
     def relationships(self) -> DataFrame:
-        return RS.python_relationships(self.parsed, self.components)
+        return RS.python_relationships(self.facts, CO.components(self.facts))
 
     @cached_property
     def imports(self) -> DataFrame:
-        return RS.relationships(RS.import_edges(self.parsed))
+        return RS.relationships(RS.import_edges(self.facts))
 
     @cached_property
     def projects(self) -> DataFrame:
@@ -147,7 +153,7 @@ class Inputs:
     @cached_property
     def module_edges(self) -> DataFrame:
         """Dependencies between modules: imports, bases and calls lifted to files."""
-        files = self.components.select(
+        files = CO.components(self.facts).select(
             "project_id", "id", F.col("file_path").alias("path")
         ).groupBy("project_id", "id").agg(F.max("path").alias("path"))
         return (
@@ -159,10 +165,11 @@ class Inputs:
     @cached_property
     def import_graph(self) -> DataFrame:
         """Import edges between file paths."""
-        return RS.resolved_imports(self.parsed).select(
+        edges = RS.resolved_imports(self.facts).select(
             "project_id", F.col("file_path").alias("source"),
             F.col("target_path").alias("target"), F.lit("imports").alias("type"),
         ).distinct()
+        return write_once(edges)
 
     @cached_property
     def dated_types(self) -> DataFrame:

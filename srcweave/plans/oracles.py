@@ -59,8 +59,6 @@ def ln(tag: str) -> str:
     return line_sql(PY_LINES, tag)
 
 
-_LAST = "FROM c"
-_DIR = CT.PY_DIR
 _N_LINES = f"CAST({count_sql(PY_LINES)} AS INTEGER)"
 
 #: Module rows with path and project.
@@ -125,7 +123,6 @@ rels AS (SELECT *, {rid('source', 'target', 'type')} AS id FROM (
   UNION ALL SELECT * FROM inh UNION ALL SELECT * FROM cal) q)"""
 
 _TAINTED = "k % 13 <> 0"
-_SINK_END = ""
 
 
 def _rule(rule: str, slug: str, severity: str, when: str, first: str, last: str, title: str,
@@ -242,23 +239,14 @@ crossing AS (SELECT * FROM placed WHERE source_cluster <> target_cluster),
 pairs AS (SELECT project_id, source_cluster, target_cluster, count(*) AS n FROM crossing
   GROUP BY 1, 2, 3)"""
 
-#: Every module's chain of imports until it repeats.
-CHAINS = C + """, RECURSIVE_BODY"""
-
 
 def _recursive(body: str, rest: str) -> str:
     return f"{C.replace('WITH ', 'WITH RECURSIVE ', 1)}, {body} {rest}"
 
 
-_REACH = (
-    "walk AS (SELECT k AS seed, k AS at, 0 AS depth FROM {seeds} UNION "
-    "SELECT w.seed, {step} FROM walk w JOIN c ON {join} WHERE w.depth < 60)"
-)
-
 GRAPH_REACH = C.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 closure AS (SELECT k AS a, i AS z FROM c UNION SELECT closure.a, c.i FROM closure
-  JOIN c ON c.k = closure.z),
-scc AS (SELECT x.a AS k, min(x.z) AS dummy FROM closure x WHERE x.a = x.z GROUP BY 1)"""
+  JOIN c ON c.k = closure.z)"""
 
 _METHODS = f"""methods AS (
   SELECT k, s, project_id, 'C' || {st('k')} AS class_name, * FROM c,
@@ -484,16 +472,16 @@ ORACLES: dict[str, str] = {
         || CASE WHEN length > 1 THEN ' -> ' || {path_of('a2')} ELSE '' END
         || CASE WHEN length > 2 THEN ' -> ' || {path_of('a3')} ELSE '' END AS path FROM p""",
     "reachable": _recursive(
-        "walk AS (SELECT k AS seed, k AS at, 0 AS depth FROM c WHERE s % 7 = 0 UNION ALL "
-        "SELECT w.seed, c.i, w.depth + 1 FROM walk w JOIN c ON c.k = w.at WHERE w.depth < 40)",
+        "walk AS (SELECT k AS seed, k AS node, 0 AS depth FROM c WHERE s % 7 = 0 UNION ALL "
+        "SELECT w.seed, c.i, w.depth + 1 FROM walk w JOIN c ON c.k = w.node WHERE w.depth < 40)",
         f"""SELECT 'proj' || {st('seed % 4')} AS project_id, {path_of('seed')} AS seed,
-        {path_of('at')} AS id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY walk.seed, walk.at"""),
+        {path_of('node')} AS id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY walk.seed, walk.node"""),
     "impact_set": _recursive(
-        "walk AS (SELECT k AS top, k AS at, 0 AS depth FROM c UNION ALL "
-        "SELECT w.top, c.i, w.depth + 1 FROM walk w JOIN c ON c.k = w.at WHERE w.depth < 40)",
-        f"""SELECT 'proj' || {st('at % 4')} AS project_id, {path_of('at')} AS seed,
+        "walk AS (SELECT k AS top, k AS node, 0 AS depth FROM c UNION ALL "
+        "SELECT w.top, c.i, w.depth + 1 FROM walk w JOIN c ON c.k = w.node WHERE w.depth < 40)",
+        f"""SELECT 'proj' || {st('node % 4')} AS project_id, {path_of('node')} AS seed,
         {path_of('top')} AS id, CAST(min(depth) AS INTEGER) AS depth FROM walk
-        WHERE at IN (SELECT k FROM c WHERE s % 7 = 0) GROUP BY walk.at, walk.top"""),
+        WHERE node IN (SELECT k FROM c WHERE s % 7 = 0) GROUP BY walk.node, walk.top"""),
     # Taint
     "taint_closure": C + f""", vars AS (SELECT *, unnest(range(0, k % 3 + 1)) AS j FROM c
         WHERE {_TAINTED}) SELECT project_id, file_path, 'f' || {st('k')} AS func_name,
@@ -626,12 +614,7 @@ ORACLES: dict[str, str] = {
 }
 
 
-def _after(found: str) -> str:
-    """The expected findings once every size has grown by one."""
-    return found
-
-
-def _two_scans(projects: bool) -> str:
+def _two_scans() -> str:
     """CTEs ``found`` (before) and ``later`` (after the sizes grew by one)."""
     first = findings_sql(FILES)
     second = findings_sql("", "later").removeprefix(", ")
@@ -648,10 +631,10 @@ _COUNTS = """, counts AS (SELECT project_id, id, CAST(sum(b) AS BIGINT) AS n_bef
   CAST(sum(a) AS BIGINT) AS n_after FROM (SELECT project_id, id, 1 AS b, 0 AS a FROM found
   UNION ALL SELECT project_id, id, 0, 1 FROM later) q GROUP BY 1, 2)"""
 
-ORACLES["findings_diff"] = _two_scans(False) + _COUNTS + """ SELECT *, CASE
+ORACLES["findings_diff"] = _two_scans() + _COUNTS + """ SELECT *, CASE
   WHEN n_before < n_after THEN 'new' WHEN n_before > n_after THEN 'fixed' ELSE 'unchanged' END
   AS status FROM counts"""
-ORACLES["new_findings"] = _two_scans(False) + """ SELECT project_id, id FROM later
+ORACLES["new_findings"] = _two_scans() + """ SELECT project_id, id FROM later
   EXCEPT ALL SELECT project_id, id FROM found"""
 
 _EXTRA_AFTER = " UNION ALL ".join(
@@ -669,7 +652,7 @@ def _scores(found: str, files: str) -> str:
 
 
 ORACLES["posture_diff"] = (
-    _two_scans(True)
+    _two_scans()
     + ", b AS ("
     + _scores("found", "SELECT file_path AS project_id FROM files WHERE kind <> 'ui'")
     + "), a AS ("

@@ -169,7 +169,7 @@ def large_documents(t: Inputs) -> DataFrame:
 
 @query
 def leaf_files(t: Inputs) -> DataFrame:
-    return CO.leaf_files(t.components).select("project_id", "id", "name")
+    return CO.leaf_files(CO.components(t.facts)).select("project_id", "id", "name")
 
 
 @query
@@ -244,12 +244,12 @@ def import_specifiers(t: Inputs) -> DataFrame:
 
 @query
 def inherit_edges(t: Inputs) -> DataFrame:
-    return _edge_rows(RS.relationships(RS.inherit_edges(t.parsed, t.components)))
+    return _edge_rows(RS.relationships(RS.inherit_edges(t.facts, CO.components(t.facts))))
 
 
 @query
 def call_edges(t: Inputs) -> DataFrame:
-    return _edge_rows(RS.relationships(RS.call_edges(t.parsed, t.components)))
+    return _edge_rows(RS.relationships(RS.call_edges(t.facts, CO.components(t.facts))))
 
 
 @query
@@ -260,11 +260,12 @@ def all_relationships(t: Inputs) -> DataFrame:
 @query
 def resolve_ids(t: Inputs) -> DataFrame:
     """Each class by its path and name, written in another case."""
-    refs = CO.of_type(t.components, "class").select(
+    comps = CO.components(t.facts)
+    refs = CO.of_type(comps, "class").select(
         "project_id", "file_path", F.lit("class").alias("ref_type"),
         F.lower("name").alias("ref_name"),
     )
-    return RS.resolve_ids(refs, t.components).select("project_id", "ref_name", "id", "found_name")
+    return RS.resolve_ids(refs, comps).select("project_id", "ref_name", "id", "found_name")
 
 
 @query
@@ -296,7 +297,7 @@ def dup_check(t: Inputs) -> DataFrame:
 
 @query
 def graph_nodes(t: Inputs) -> DataFrame:
-    return GR.graph_nodes(t.components, t.relationships).select(
+    return GR.graph_nodes(CO.components(t.facts), t.relationships).select(
         "project_id", "id", "label", "type", "group", F.round("size", 6).alias("size"),
         F.col("metadata.loc").alias("loc"),
     )
@@ -316,7 +317,7 @@ def clusters(t: Inputs) -> DataFrame:
 
 @query
 def cluster_node_lists(t: Inputs) -> DataFrame:
-    lists = GR.cluster_node_lists(t.components, per_row=50)
+    lists = GR.cluster_node_lists(CO.components(t.facts), per_row=50)
     return lists.select(
         "project_id", "dir", "bucket", F.array_join("node_ids", ",").alias("node_ids")
     )
@@ -341,7 +342,7 @@ def in_out_degree(t: Inputs) -> DataFrame:
 
 @query
 def node_size(t: Inputs) -> DataFrame:
-    return GR.node_size(t.components, t.relationships).select(
+    return GR.node_size(CO.components(t.facts), t.relationships).select(
         "project_id", "id", "degree", F.round("size", 6).alias("size")
     )
 
@@ -373,7 +374,7 @@ def facade_nodes(t: Inputs) -> DataFrame:
 
 @query
 def subgraph(t: Inputs) -> DataFrame:
-    nodes = GR.clustered(t.components)
+    nodes = GR.clustered(CO.components(t.facts))
     _, edges = GR.subgraph(nodes, t.relationships, types=["class", "function"])
     return edges.select("project_id", "id", "source", "target", "type")
 
@@ -395,12 +396,12 @@ def isolated_clusters(t: Inputs) -> DataFrame:
 
 @query
 def one_way_pairs(t: Inputs) -> DataFrame:
-    return GR.one_way_pairs(GR.clustered(t.components), t.imports)
+    return GR.one_way_pairs(GR.clustered(CO.components(t.facts)), t.imports)
 
 
 @query
 def star_clusters(t: Inputs) -> DataFrame:
-    return GR.star_clusters(GR.clustered(t.components), t.imports, 2)
+    return GR.star_clusters(GR.clustered(CO.components(t.facts)), t.imports, 2)
 
 
 @query
@@ -453,14 +454,14 @@ def dependency_chain(t: Inputs) -> DataFrame:
 @query
 def reachable(t: Inputs) -> DataFrame:
     """What every module with a hard-coded secret imports, directly or not."""
-    seeds = t.findings(only=("py-004",)).select("project_id", F.col("file_path").alias("id"))
+    seeds = FN.findings(t.facts, only=("py-004",)).select("project_id", F.col("file_path").alias("id"))
     return TV.reachable(t.import_graph, seeds)
 
 
 @query
 def impact_set(t: Inputs) -> DataFrame:
     """Modules that depend on a module with a hard-coded secret."""
-    seeds = t.findings(only=("py-004",)).select("project_id", F.col("file_path").alias("id"))
+    seeds = FN.findings(t.facts, only=("py-004",)).select("project_id", F.col("file_path").alias("id"))
     return TV.impact_set(t.import_graph, seeds)
 
 
@@ -609,15 +610,15 @@ def findings_ranked(t: Inputs) -> DataFrame:
 
 @query
 def action_list(t: Inputs) -> DataFrame:
-    return FN.action_list(t.findings(), 0.3).select(
+    return FN.action_list(FN.findings(t.facts), 0.3).select(
         "priority", "project_id", "file_path", "start_line", "rule_id", "severity"
     )
 
 
 @query
 def clean_clusters(t: Inputs) -> DataFrame:
-    found = t.findings(only=("py-003",))
-    return FN.clean_clusters(GR.clusters(t.components), found).select(
+    found = FN.findings(t.facts, only=("py-003",))
+    return FN.clean_clusters(GR.clusters(CO.components(t.facts)), found).select(
         "project_id", "dir", "cluster_id", "n_nodes"
     )
 
@@ -709,7 +710,7 @@ def growth_delta(t: Inputs) -> DataFrame:
 
 @query
 def report_summary(t: Inputs) -> DataFrame:
-    return RP.report_summary(t.components, t.relationships)
+    return RP.report_summary(CO.components(t.facts), t.relationships)
 
 
 @query
@@ -719,8 +720,9 @@ def report_findings(t: Inputs) -> DataFrame:
 
 @query
 def report_json(t: Inputs) -> DataFrame:
-    summary = RP.report_summary(t.components, t.relationships)
-    return RP.report_json(summary, PO.posture(t.findings(), t.projects))
+    summary = RP.report_summary(CO.components(t.facts), t.relationships)
+    found = FN.findings(t.facts)
+    return RP.report_json(summary, PO.posture(found, t.projects))
 
 
 @query

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Settings a cluster job should start with.  AQE splits skewed join
@@ -17,7 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.files.maxPartitionBytes": "134217728",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 #: Largest dimension (in rows) that may be broadcast after it was counted.
@@ -55,10 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def write_once(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint, survives lost executors, and the
+    table prunes columns and has a known size, so small ones are broadcast by the
+    optimizer and large ones are not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_counted(df: DataFrame, metric: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`write_once`, and an aggregate of the rows (their number by default).
+
+    The aggregate is observed while the table is written: no second job.
+    """
+    seen = Observation()
+    metric = F.count(F.lit(1)) if metric is None else metric
+    table = write_once(df.observe(seen, metric.alias("n")))
+    return table, int(seen.get["n"] or 0)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
