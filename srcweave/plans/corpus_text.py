@@ -193,6 +193,16 @@ def _raw_files(
     )
 
 
+def arriving_modules(parts: DataFrame, n_parts: int) -> DataFrame:
+    """Python modules of a stream of parts; the number of parts is known beforehand."""
+    keyed = parts.selectExpr("p_partkey AS k", "p_size AS s", f"CAST({n_parts} AS BIGINT) AS n")
+    keyed = keyed.selectExpr("k", "s", "n", *[f"{expr} AS {name}" for name, expr in KEYS.items()])
+    return keyed.selectExpr(
+        f"{PY_PROJECT} AS project_id", f"{PY_MAIN} AS file_path",
+        f"{content_sql(PY_LINES)} AS content",
+    )
+
+
 def python_files(spark: SparkSession, part: DataFrame) -> DataFrame:
     """``(project_id, file_path, content)`` of the Python corpus."""
     return _raw_files(spark, part, PY_PROJECT, PY_DIR, PY_MAIN, PY_LINES, PY_EXTRAS)

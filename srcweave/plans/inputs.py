@@ -15,6 +15,7 @@ from srcweave.plans import corpus_text as CT
 from srcweave.sources import corpus as SR
 from srcweave.session import write_once
 from srcweave.sources.python_facts import python_facts
+from srcweave.sources.script_facts import script_facts
 
 
 class Inputs:
@@ -84,10 +85,12 @@ class Inputs:
 
     @cached_property
     def script_parsed(self) -> DataFrame:
-        from srcweave.sources.script_facts import script_facts
-
         return script_facts(self.script_files)
 
+    @cached_property
+    def script_facts(self) -> DataFrame:
+        return write_once(self.script_parsed)
+
     @cached_property
     def script_components(self) -> DataFrame:
         return CO.components(self.script_parsed, "typescript")

@@ -661,3 +661,139 @@ ORACLES["posture_diff"] = (
   a.score - b.score AS change, coalesce(a.score < b.score, false) AS regressed
   FROM b FULL JOIN a USING (project_id)"""
 )
+
+# TypeScript ---------------------------------------------------------------------
+
+_TS = CT.TS_LINES
+T = (
+    f"WITH keys AS ({CT.keys_sql('part')}), c AS (SELECT *, {CT.TS_PROJECT} AS project_id, "
+    f"{CT.TS_MAIN} AS file_path, {CT.TS_DIR} AS dir FROM keys)"
+)
+
+
+def tl(tag: str) -> str:
+    return line_sql(_TS, tag)
+
+
+def _here(kind: str, name: str) -> str:
+    return cid(kind, "file_path", name)
+
+
+def _in(key: str, kind: str, name: str) -> str:
+    return cid(kind, path_of(key, "ts"), name)
+
+
+_C, _I, _G, _H = (f"('{x}' || {st('k')})" for x in "CIgh")
+_TS_ENTRIES = [
+    ("file", f"('m' || {st('k')} || '.ts')", "1", f"CAST({count_sql(_TS)} AS INTEGER)", "false", "true"),
+    ("interface", _I, tl("iface"), f"{tl('iface')} + 3", "true", "true"),
+    ("type-alias", f"('T' || {st('k')})", tl("alias"), tl("alias"), "false", "k % 2 = 0"),
+    ("enum", f"('E' || {st('k')})", tl("enum"), tl("enum"), "true", "k % 3 = 0"),
+    ("class", _C, f"CASE WHEN k % 4 = 1 THEN {tl('class')} ELSE {tl('class_sub')} END",
+     f"{tl('cls_close')} + 1", "true", "true"),
+    ("function", _G, tl("fn"), f"{tl('fn_close')} + 1", "true", "true"),
+    ("function", _H, tl("helper"), tl("helper"), "false", "true"),
+]
+ORACLES["ts_decl_facts"] = T + ", e AS (" + " UNION ALL ".join(
+    f"SELECT project_id, {_here(kind, name)} AS id, {name} AS name, '{kind}' AS type, file_path, "
+    f"{first} AS start_line, {last} AS end_line, {exported} AS is_exported FROM c WHERE {when}"
+    for kind, name, first, last, exported, when in _TS_ENTRIES
+) + ") SELECT *, end_line - start_line + 1 AS loc FROM e"
+ORACLES["ts_members"] = T + f""" SELECT project_id, {_C} AS class_name, 'run' || {st('k')} AS name,
+  'public' AS visibility, false AS is_static, true AS is_async, 'Promise<void>' AS return_type,
+  'a,b' AS params, 'false,true' AS optional FROM c"""
+ORACLES["ts_properties"] = T + f""" SELECT project_id, {_C} AS owner, 'id' AS name, 'string' AS type,
+  'private' AS visibility, false AS is_static, true AS is_readonly FROM c
+  UNION ALL SELECT project_id, {_I}, 'id', 'string', 'public', false, true FROM c
+  UNION ALL SELECT project_id, {_I}, 'name', 'string', 'public', false, false FROM c"""
+
+
+def _edges(rows: str) -> str:
+    return (
+        f"{T}, e AS ({rows}) SELECT project_id, {rid('source', 'target', 'type')} AS id, source, "
+        "target, type, specifiers FROM e"
+    )
+
+
+_NONE = "CAST(NULL AS STRING) AS specifiers"
+ORACLES["ts_import_edges"] = _edges(
+    f"SELECT project_id, {file_id('k', 'ts')} AS source, {file_id('i', 'ts')} AS target, "
+    f"'imports' AS type, 'C' || {st('i')} || ',I' || {st('i')} || ',g' || {st('i')} AS specifiers FROM c"
+)
+ORACLES["ts_inherit_edges"] = _edges(
+    f"SELECT project_id, {_here('class', _C)} AS source, "
+    + _in("i", "class", f"('C' || {st('i')})") + f" AS target, 'extends' AS type, {_NONE} "
+    "FROM c WHERE k % 4 <> 1"
+    f" UNION SELECT project_id, {_here('class', _C)}, {_here('interface', _I)}, 'implements', NULL FROM c"
+    f" UNION SELECT project_id, {_here('class', _C)}, " + _in("i", "interface", f"('I' || {st('i')})")
+    + ", 'implements', NULL FROM c WHERE k % 4 <> 1"
+)
+ORACLES["ts_call_edges"] = _edges(
+    f"SELECT project_id, {_here('class', _C)} AS source, "
+    + _in("i", "function", f"('g' || {st('i')})") + f" AS target, 'calls' AS type, {_NONE} FROM c"
+    f" UNION ALL SELECT project_id, {_here('function', _G)}, {_here('function', _H)}, 'calls', NULL FROM c"
+)
+ORACLES["unsanitized_lines"] = T + f""", lines AS (
+  SELECT project_id, file_path, {tl('sink6')} AS line_no,
+    'db.execute(req.query.id); setTimeout("tick()", 5);' AS snippet FROM c WHERE k % 7 = 6
+  UNION ALL SELECT project_id, dir || '/node_modules/lib/x' || {st('k')} || '.js', 1,
+    'db.query(req.body.q)' FROM c WHERE s % 10 = 4)
+  SELECT *, 'finding-unsanitized-' || CAST(line_no - 1 AS STRING) || '-' || substr(sha256(lower(
+    'finding:' || file_path || ':unsanitized-' || CAST(line_no - 1 AS STRING))), 1, 8) AS id FROM lines"""
+
+_ROUTE = f"CASE WHEN s % 3 = 0 THEN {tl('route_auth')} ELSE {tl('route')} END"
+_TS_RULES = [
+    ("sec-001", "unsanitized", "'high'", f"k % 7 = 0 AND {_TAINTED}", tl("sink0"), tl("sink0")),
+    ("sec-001", "unsanitized", "'high'", "k % 7 = 6", tl("sink6"), tl("sink6")),
+    ("sec-001", "unsanitized-html", "'high'", f"k % 7 = 2 AND {_TAINTED}", tl("sink2"), tl("sink2")),
+    ("sec-002", "sql-injection", "'critical'", f"k % 7 = 0 AND {_TAINTED}", tl("sink0"), tl("sink0")),
+    ("sec-002", "sql-concat", "'critical'", f"k % 7 = 1 AND {_TAINTED}", tl("sink1"), tl("sink1")),
+    ("sec-003", "missing-auth", "'high'", "s % 3 <> 0", tl("route"), f"{tl('route_close')} + 1"),
+    ("sec-004", "hardcoded-secret", "'critical'", "s % 7 = 0", tl("secret"), tl("secret")),
+    ("sec-005", "unsafe-eval", f"CASE WHEN {_TAINTED} THEN 'critical' ELSE 'high' END", "k % 7 = 3",
+     tl("sink3"), tl("sink3")),
+    ("sec-005", "unsafe-eval", "'info'", "k % 7 = 6", tl("sink6"), tl("sink6")),
+    ("sec-005", "unsafe-html", f"CASE WHEN {_TAINTED} THEN 'high' ELSE 'medium' END", "k % 7 = 2",
+     tl("sink2"), tl("sink2")),
+    ("sec-006", "cmd-injection", "'critical'", f"k % 7 = 4 AND {_TAINTED}", tl("sink4"), tl("sink4")),
+    ("sec-007", "path-traversal", "'high'", f"k % 7 = 5 AND s % 2 <> 0 AND {_TAINTED}",
+     tl("sink5"), tl("sink5")),
+]
+TS_FOUND = T + ", found_rows AS (" + " UNION ALL ".join(
+    f"SELECT project_id, file_path, '{rule}' AS rule_id, {severity} AS severity, "
+    f"{first} AS start_line, {last} AS end_line, '{slug}' AS slug FROM c WHERE {when}"
+    for rule, slug, severity, when, first, last in _TS_RULES
+) + """), found AS (SELECT *, 'finding-' || slug || '-' || CAST(start_line AS STRING) || '-' ||
+  substr(sha256(lower('finding:' || file_path || ':' || slug || '-' ||
+  CAST(start_line AS STRING))), 1, 8) AS id FROM found_rows)"""
+for _name, _id in {
+    "unsanitized_input": "sec-001", "sql_injection_scan": "sec-002", "missing_auth": "sec-003",
+    "hardcoded_secrets": "sec-004", "unsafe_eval_scan": "sec-005",
+    "command_injection_scan": "sec-006", "path_traversal_scan": "sec-007",
+}.items():
+    ORACLES[_name] = TS_FOUND + f" SELECT {_HIT} FROM found WHERE rule_id = '{_id}'"
+ORACLES["ts_findings"] = TS_FOUND + f" SELECT {_HIT} FROM found"
+ORACLES["ts_taint_paths"] = T + f""", vars AS (SELECT *, unnest(range(0, k % 3 + 1)) AS j FROM c
+    WHERE {_TAINTED}), rows AS (SELECT project_id, file_path, 'v' || {st('j')} AS var,
+  'req.body -> v0' || CASE WHEN j >= 1 THEN ' -> v1' ELSE '' END ||
+  CASE WHEN j = 2 THEN ' -> v2' ELSE '' END AS path FROM vars
+  UNION ALL SELECT project_id, file_path, 'safe', 'req.body -> v0' ||
+    CASE WHEN k % 3 >= 1 THEN ' -> v1' ELSE '' END || CASE WHEN k % 3 = 2 THEN ' -> v2' ELSE '' END
+    || ' -> safe' FROM c WHERE k % 7 = 5 AND s % 2 = 0 AND {_TAINTED}
+  UNION ALL SELECT project_id, file_path, 'sql', 'req.body -> v0' ||
+    CASE WHEN k % 3 >= 1 THEN ' -> v1' ELSE '' END || CASE WHEN k % 3 = 2 THEN ' -> v2' ELSE '' END
+    || ' -> sql' FROM c WHERE k % 7 = 1 AND {_TAINTED}
+  UNION ALL SELECT project_id, file_path, 'el.innerHTML', 'req.body -> v0' ||
+    CASE WHEN k % 3 >= 1 THEN ' -> v1' ELSE '' END || CASE WHEN k % 3 = 2 THEN ' -> v2' ELSE '' END
+    || ' -> el.innerHTML' FROM c WHERE k % 7 = 2 AND {_TAINTED}) SELECT * FROM rows"""
+ORACLES["ts_posture"] = posture_sql(
+    TS_FOUND, "(SELECT file_path AS project_id FROM c)", "file_path"
+).replace("all Python rules", "all rules") + " SELECT project_id, score, grade, summary FROM posture"
+
+# Streams ------------------------------------------------------------------------
+
+ORACLES["stream_scan"] = ORACLES["secret_lines"]
+ORACLES["stream_gate"] = C + """ SELECT project_id, count(*) AS n_blocking, 2 AS exit_code FROM c
+  WHERE s % 7 = 0 GROUP BY 1"""
+ORACLES["growth_windows"] = """SELECT CAST(CAST(ts AS DATE) AS STRING) AS window_start,
+  event_type AS type, count(*) AS n FROM events GROUP BY ALL"""

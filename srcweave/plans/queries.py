@@ -18,10 +18,12 @@ from srcweave.operators import posture as PO
 from srcweave.operators import reports as RP
 from srcweave.operators import resolve as RS
 from srcweave.operators import rules as R
+from srcweave.operators import script_resolve as SS
 from srcweave.operators import taint as TN
 from srcweave.operators import traversal as TV
 from srcweave.plans.inputs import Inputs
 from srcweave.sources import corpus as SR
+from srcweave.streaming import incremental as ST
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -748,3 +750,132 @@ def contract_check(t: Inputs) -> DataFrame:
 @query
 def contract_check_findings(t: Inputs) -> DataFrame:
     return CK.contract_check(t.findings(), "findings")
+
+
+# TypeScript ---------------------------------------------------------------------------
+
+
+@query
+def ts_decl_facts(t: Inputs) -> DataFrame:
+    return _flat(t.script_components)
+
+
+@query
+def ts_members(t: Inputs) -> DataFrame:
+    """Methods of classes, with their modifiers and parameters."""
+    methods = CO.of_type(t.script_components, "class").select(
+        "project_id", F.col("name").alias("class_name"), F.inline("metadata.methods")
+    )
+    return methods.select(
+        "project_id", "class_name", "name", "visibility", "is_static", "is_async", "return_type",
+        F.array_join(F.transform("parameters", lambda p: p["name"]), ",").alias("params"),
+        F.array_join(
+            F.transform("parameters", lambda p: p["is_optional"].cast("string")), ","
+        ).alias("optional"),
+    )
+
+
+@query
+def ts_properties(t: Inputs) -> DataFrame:
+    return t.script_components.where("metadata.properties is not null").select(
+        "project_id", F.col("name").alias("owner"), F.inline("metadata.properties")
+    )
+
+
+@query
+def ts_import_edges(t: Inputs) -> DataFrame:
+    return _edge_rows(RS.relationships(SS.import_edges(SS.resolved_imports(t.script_facts))))
+
+
+@query
+def ts_inherit_edges(t: Inputs) -> DataFrame:
+    hits = SS.resolved_imports(t.script_facts)
+    comps = CO.components(t.script_facts, "typescript")
+    return _edge_rows(RS.relationships(SS.inherit_edges(t.script_facts, hits, comps)))
+
+
+@query
+def ts_call_edges(t: Inputs) -> DataFrame:
+    hits = SS.resolved_imports(t.script_facts)
+    comps = CO.components(t.script_facts, "typescript")
+    return _edge_rows(RS.relationships(SS.call_edges(t.script_facts, hits, comps)))
+
+
+@query
+def unsanitized_lines(t: Inputs) -> DataFrame:
+    """The line form of the rule over every TypeScript and JavaScript file, vendored or not."""
+    return FN.unsanitized_lines(SR.explode_lines(t.all_script_files))
+
+
+@query
+def unsanitized_input(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-001",)))
+
+
+@query
+def sql_injection_scan(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-002",)))
+
+
+@query
+def missing_auth(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-003",)))
+
+
+@query
+def hardcoded_secrets(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-004",)))
+
+
+@query
+def unsafe_eval_scan(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-005",)))
+
+
+@query
+def command_injection_scan(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-006",)))
+
+
+@query
+def path_traversal_scan(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings(only=("sec-007",)))
+
+
+@query
+def ts_findings(t: Inputs) -> DataFrame:
+    return _hits(t.script_findings())
+
+
+@query
+def ts_taint_paths(t: Inputs) -> DataFrame:
+    return TN.taint_closure(t.script_parsed, "typescript").select(
+        "project_id", "file_path", "var", F.array_join("path", " -> ").alias("path")
+    )
+
+
+@query
+def ts_posture(t: Inputs) -> DataFrame:
+    found = t.script_findings().withColumn("project_id", F.col("file_path"))
+    files = t.script_files.select(F.col("file_path").alias("project_id"))
+    return PO.posture(found, files, "typescript").select("project_id", "score", "grade", "summary")
+
+
+# Streams ------------------------------------------------------------------------------
+
+
+@query
+def stream_scan(t: Inputs) -> DataFrame:
+    """Files arriving as a stream, scanned for secrets batch by batch."""
+    return ST.scan_arriving(t.spark, t.sf_dir)
+
+
+@query
+def stream_gate(t: Inputs) -> DataFrame:
+    """Whether a project was stopped in any batch of arriving files."""
+    return ST.gate(ST.scan_arriving(t.spark, t.sf_dir))
+
+
+@query
+def growth_windows(t: Inputs) -> DataFrame:
+    return ST.growth_windows(t.spark, t.sf_dir)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcweave.functions import paths as P
+from srcweave.sources.tree import list_tree, read_contents
 
 # Fixed values ---------------------------------------------------------------
 PYTHON_EXTENSIONS = (".py",)
@@ -62,6 +63,22 @@ def keep_scanned(
     )
 
 
+def from_table(
+    rows: DataFrame, project: str = "project_id", path: str = "file_path", content: str = "content"
+) -> DataFrame:
+    """The table of files from any table that holds paths and texts.
+
+    Undecodable bytes of a binary column become U+FFFD, so no file is lost to its
+    encoding.
+    """
+    return as_source_files(
+        rows.select(
+            F.col(project).alias("project_id"), F.col(path).alias("file_path"),
+            F.make_valid_utf8(F.col(content).cast("string")).alias("content"),
+        )
+    )
+
+
 def read_files(
     spark: SparkSession,
     root: str,
@@ -69,30 +86,12 @@ def read_files(
     skip_dirs: Sequence[str] = PYTHON_SKIP_DIRS,
     max_depth: int = PYTHON_MAX_DEPTH,
 ) -> DataFrame:
-    """Scan a folder of projects: each first-level folder is one project.
-
-    Undecodable bytes become U+FFFD, so no file is lost to its encoding.
-    """
+    """Scan a folder of projects: each first-level folder is one project."""
     root = root.rstrip("/")
-    glob = "*{" + ",".join(sorted({v for e in extensions for v in (e, e.upper())})) + "}"
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .load(root)
-    )
-    full = F.regexp_replace("path", "^file:/+", "/")
-    inside = F.regexp_extract(full, F.lit("\\Q" + root + "\\E/([^/]+)/"), F.lit(1))
-    files = raw.select(
-        inside.alias("project_id"),
-        full.alias("file_path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-    )
-    below = F.expr(f"substring(file_path, {len(root) + 1})")
-    kept = files.where(
-        ~P.in_skipped_dir(below, skip_dirs) & (P.depth_below(below, 2) <= max_depth)
-    )
-    return as_source_files(kept)
+    listed, n_bytes = list_tree(spark, root, extensions, skip_dirs, max_depth + 1)
+    inside = F.substring("path", F.lit(len(root) + 2), F.length("path"))
+    named = listed.select(F.substring_index(inside, "/", 1).alias("project_id"), "path")
+    return from_table(read_contents(named, n_bytes), path="path")
 
 
 def without_vendored(files: DataFrame) -> DataFrame:
