@@ -16,6 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcweave.functions.paths import extension
 from srcweave.session import write_counted
 
 _ENTRIES = "path string, is_dir boolean, size bigint"
@@ -59,7 +60,7 @@ def list_tree(
     between the root and a file.
     """
     name = F.substring_index("path", "/", -1)
-    ext = F.lower(F.regexp_extract(name, r"^.+(\\.[^.]*)$", 1))
+    ext = extension(F.col("path"))
     width = spark.sparkContext.defaultParallelism
     folders = spark.createDataFrame([(root,)], "path string")
     levels, total = [], 0
