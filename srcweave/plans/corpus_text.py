@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from srcweave.session import spread
+
 
 @dataclass(frozen=True)
 class Line:
@@ -187,7 +189,7 @@ def _raw_files(
         f"CASE WHEN {when} THEN struct({folder} || {path} AS file_path, {text} AS content) END"
         for _, when, path, text in extras
     ]
-    keyed = spark.sql(keys_sql("{part}"), part=part)
+    keyed = spread(spark.sql(keys_sql("{part}"), part=part))
     return keyed.selectExpr(
         f"{project} AS project_id", f"inline(array_compact(array({', '.join(entries)})))"
     )

@@ -73,6 +73,10 @@ class Inputs:
         files = SR.keep_scanned(SR.as_source_files(CT.python_files(self.spark, part)))
         return python_facts(files)
 
+    @cached_property
+    def changed_facts(self) -> DataFrame:
+        return write_once(self.changed_parsed)
+
     # TypeScript corpus --------------------------------------------------
 
     @cached_property

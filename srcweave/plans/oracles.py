@@ -548,9 +548,14 @@ ORACLES: dict[str, str] = {
       SELECT CASE WHEN severity = 'critical' THEN 1 WHEN share >= 0.3 THEN 2 ELSE 3 END AS priority,
       project_id, file_path, start_line, rule_id, severity FROM found
       JOIN share USING (project_id, rule_id)""",
-    "clean_clusters": findings_sql(COMPS) + """ SELECT project_id, dir, 'cluster-' ||
-      regexp_extract(dir, '[^/]*$') AS cluster_id, count(*) AS n_nodes FROM components
-      WHERE dir NOT IN (SELECT dir FROM found WHERE rule_id = 'py-003') GROUP BY 1, 2, 3""",
+    "clean_clusters": f"""WITH hits AS (SELECT source,
+        unnest(regexp_extract_all(text, '{_secret_regex()}')) AS hit FROM documents),
+      named AS (SELECT source, regexp_extract(hit, '[:=]\\s*(.*)$', 1) AS value FROM hits)
+      SELECT 'documents' AS project_id, source AS dir, count(*) AS n_nodes FROM documents
+      WHERE source NOT IN (SELECT source FROM named WHERE length(value) > 4
+        AND NOT contains(value, 'os.environ') AND NOT contains(value, 'os.getenv')
+        AND NOT regexp_matches(value, '^[''"](<.*?>|\\*+|x+|\\.\\.\\.|\\$\\{{.*?\\}})[''"]$'))
+      GROUP BY 2""",
     "clean_files": findings_sql(FILES) + """ SELECT project_id, file_path FROM files
       WHERE kind <> 'ui' AND file_path NOT IN (SELECT file_path FROM found)""",
     # Posture

@@ -619,10 +619,17 @@ def action_list(t: Inputs) -> DataFrame:
 
 @query
 def clean_clusters(t: Inputs) -> DataFrame:
-    found = FN.findings(t.facts, only=("py-003",))
-    return FN.clean_clusters(GR.clusters(CO.components(t.facts)), found).select(
-        "project_id", "dir", "cluster_id", "n_nodes"
+    """Sources of the documents as folders: those without a secret in any text."""
+    docs = t.table("documents").select(
+        F.lit("documents").alias("project_id"), "source", "doc_id", "text"
     )
+    found = FN.secret_scan(docs, "text").select(
+        "project_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file_path")
+    )
+    sources = docs.groupBy("project_id", F.col("source").alias("dir")).agg(
+        F.count("*").alias("n_nodes")
+    )
+    return FN.clean_clusters(sources, found)
 
 
 @query
@@ -672,7 +679,7 @@ def posture_diff(t: Inputs) -> DataFrame:
         found = FN.findings(parsed).withColumn("project_id", F.col("file_path"))
         return PO.posture(found, parsed.select(F.col("file_path").alias("project_id")))
 
-    return PO.posture_diff(scored(t.parsed), scored(t.changed_parsed))
+    return PO.posture_diff(scored(t.facts), scored(t.changed_facts))
 
 
 @query

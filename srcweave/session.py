@@ -79,6 +79,15 @@ def write_counted(df: DataFrame, metric: Column | None = None) -> tuple[DataFram
     return table, int(seen.get["n"] or 0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of rows that will be expensive to work on.
+
+    Only for inputs with fewer splits than cores; others stay where they are.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
 
