@@ -12,7 +12,7 @@ from srcweave.functions.text import is_secret_value, secret_name
 from srcweave.operators import rules as R
 from srcweave.operators.rules import Rule, RuleOptions
 from srcweave.operators.taint import scope_taint
-from srcweave.schemas import ASSIGN, CALL, DECL, EXPR
+from srcweave.schemas import ASSIGN, CALL, DECL, EXPR, FINDINGS
 from srcweave.session import broadcast_if_small
 
 _KINDS = {"call": CALL, "assign": ASSIGN, "decl": DECL, "expr": EXPR}
@@ -22,13 +22,17 @@ _SECRET_CHARS = 20
 
 
 def fact_rows(
-    parsed: DataFrame, language: str, options: RuleOptions, kinds: tuple[str, ...]
+    parsed: DataFrame, language: str, options: RuleOptions, gates: dict
 ) -> DataFrame:
-    """One row per fact with the taint of its function beside it; no shuffle."""
+    """One row per fact with the taint of its function beside it; no shuffle.
+
+    ``gates`` holds, for each kind of fact, a predicate on the fact alone.  Facts
+    that fail it are dropped while nested, so taint is copied to few rows.
+    """
 
     def tagged(kind: str) -> Column:
         return F.transform(
-            F.col(_ARRAYS[kind]),
+            F.filter(_ARRAYS[kind], gates[kind]),
             lambda f: F.struct(
                 F.lit(kind).alias("kind"),
                 *[
@@ -38,7 +42,7 @@ def fact_rows(
             ),
         )
 
-    facts = F.concat(*[tagged(k) for k in kinds])
+    facts = F.concat(*[tagged(k) for k in gates])
     rows = scope_taint(parsed, language, options.custom_sources, options.substring).select(
         "project_id", "file_path", "taint", "marks", F.explode(facts).alias("f")
     )
@@ -57,6 +61,18 @@ def fact_rows(
     )
 
 
+def _any_gate(rules: list[Rule], options: RuleOptions):
+    """The fact passes the gate of one of the rules."""
+
+    def test(fact: Column) -> Column:
+        passed = F.lit(False)
+        for rule in rules:
+            passed = passed | rule.gate(fact, options)
+        return passed
+
+    return test
+
+
 def _location(rule: Rule, fact: Column) -> tuple[Column, Column, Column]:
     """First line, last line and snippet of a hit."""
     if rule.reads == "decl":
@@ -81,7 +97,7 @@ def _hit(rule: Rule, options: RuleOptions) -> Column:
     if rule.detail is not None:
         where = F.concat(where, F.lit(", from "), rule.detail(fact, options))
     return F.when(
-        (F.col("kind") == rule.reads) & rule.fires(fact, options),
+        (F.col("kind") == rule.reads) & rule.gate(fact, options) & rule.fires(fact, options),
         F.struct(
             F.lit(rule.slug).alias("slug"),
             fact["ord"].alias("hit_no"),
@@ -113,8 +129,10 @@ def findings(
     active = [
         r for r in R.enabled_rules(language, options) if only is None or r.rule_id in only
     ]
-    kinds = tuple(dict.fromkeys(r.reads for r in active)) or ("call",)
-    rows = fact_rows(parsed, language, options, kinds)
+    if not active:
+        return parsed.sparkSession.createDataFrame([], FINDINGS)
+    gates = {r.reads: _any_gate([g for g in active if g.reads == r.reads], options) for r in active}
+    rows = fact_rows(parsed, language, options, gates)
     hits = F.array_compact(F.array(*[_hit(r, options) for r in active]))
     found = rows.select("project_id", "file_path", F.inline(hits))
     found = found.select(

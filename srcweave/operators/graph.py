@@ -189,11 +189,22 @@ def cross_cluster_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def directed_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Number of edges from one cluster to another."""
+    """Number of edges from one cluster to another.
+
+    Edges are counted by cluster and target before the targets are looked up, so
+    a node many depend on is one row per cluster, however many edges it has.
+    """
+    ends = nodes.groupBy("project_id", "id").agg(F.max("cluster").alias("cluster"))
+    to_node = (
+        edges.join(ends.toDF("project_id", "source", "source_cluster"), ["project_id", "source"])
+        .groupBy("project_id", "source_cluster", "target")
+        .agg(F.count("*").alias("c"))
+    )
     return (
-        cross_cluster_edges(nodes, edges)
+        to_node.join(ends.toDF("project_id", "target", "target_cluster"), ["project_id", "target"])
+        .where("source_cluster <> target_cluster")
         .groupBy("project_id", "source_cluster", "target_cluster")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("c").alias("n"))
     )
 
 

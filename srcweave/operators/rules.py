@@ -151,12 +151,14 @@ class RuleOptions:
 class Rule:
     """One form of a rule: which facts it reads, when it fires, what it reports.
 
-    ``fires`` and the texts get the fact struct and the options.
+    ``gate`` looks at the fact alone: facts that pass no gate are dropped while
+    still nested, before taint is put beside them.  ``fires`` decides on the rest.
     """
 
     rule_id: str
     slug: str
     reads: str
+    gate: Callable[[Column, RuleOptions], Column]
     fires: Callable[[Column, RuleOptions], Column]
     title: Callable[[Column], Column]
     severity: Callable[[Column, RuleOptions], Column] | None = None
@@ -196,14 +198,27 @@ def _untainted_ok(arg: Column, options: RuleOptions) -> Column:
     )
 
 
+def py_sql_gate(c: Column, options: RuleOptions) -> Column:
+    return c["is_member"] & c["callee_name"].isin(*PY_SQL_SINKS)
+
+
+def called(*names: str):
+    """Gate: the callee is written exactly like one of the names."""
+    return lambda c, options: c["callee"].isin(*names)
+
+
+def member_called(names: Sequence[str], custom: str | None = None, bare: bool = True):
+    """Gate: the callee is one of the names or a member of that name."""
+    return lambda c, options: ends_with_member(
+        c["callee"], (*names, *options.custom_sinks.get(custom, ())), bare
+    )
+
+
 def py_sql_injection(c: Column, options: RuleOptions) -> Column:
     arg = _arg(c)
     bound = F.coalesce(_arg(c, 1)["kind"].isin("tuple", "list"), F.lit(False))
     looks = any_of(arg["text"], PY_SQL_MARKS) | F.rlike(arg["text"], F.lit(PY_SQL_START))
-    return (
-        c["is_member"] & c["callee_name"].isin(*PY_SQL_SINKS) & arg.isNotNull() & ~bound & looks
-        & _untainted_ok(arg, options)
-    )
+    return arg.isNotNull() & ~bound & looks & _untainted_ok(arg, options)
 
 
 def _plain_string(arg: Column) -> Column:
@@ -217,26 +232,24 @@ def py_command_injection(c: Column, options: RuleOptions) -> Column:
         F.startswith(c["callee"], F.lit("subprocess.")) & ~shell
         & (c["callee"] != "subprocess.call")
     )
-    return (
-        c["callee"].isin(*PY_COMMAND_SINKS) & arg.isNotNull() & ~harmless & ~_plain_string(arg)
-        & _untainted_ok(arg, options)
-    )
+    return arg.isNotNull() & ~harmless & ~_plain_string(arg) & _untainted_ok(arg, options)
 
 
 def py_path_traversal(c: Column, options: RuleOptions) -> Column:
     arg = _arg(c)
     checked = F.coalesce(F.col("validated"), F.lit(False))
-    return (
-        c["callee"].isin(*PY_PATH_SINKS) & arg.isNotNull() & ~_plain_string(arg) & ~checked
-        & _untainted_ok(arg, options)
-    )
+    return arg.isNotNull() & ~_plain_string(arg) & ~checked & _untainted_ok(arg, options)
 
 
-def py_hardcoded_secret(a: Column, options: RuleOptions) -> Column:
-    fires = (
-        ~a["is_augmented"] & a["value_kind"].isin("string", "fstring")
-        & secret_name(a["target"]) & is_secret_value(a["value"])
+def secret_gate(*kinds: str):
+    """Gate: a literal of one of the kinds is assigned to a secret's name."""
+    return lambda a, options: (
+        ~a["is_augmented"] & a["value_kind"].isin(*kinds) & secret_name(a["target"])
     )
+
+
+def hardcoded_secret(a: Column, options: RuleOptions) -> Column:
+    fires = is_secret_value(a["value"])
     for pattern in options.false_positives:
         fires = fires & ~F.rlike(a["target"], F.lit(pattern))
     return fires
@@ -245,7 +258,7 @@ def py_hardcoded_secret(a: Column, options: RuleOptions) -> Column:
 def py_unsafe_deserialization(c: Column, options: RuleOptions) -> Column:
     loader = F.coalesce(F.try_element_at(c["kwargs"], F.lit("Loader")), F.lit(""))
     safe = (c["callee"] == "yaml.load") & F.contains(loader, F.lit("SafeLoader"))
-    return c["callee"].isin(*PY_DESERIALIZERS) & ~safe
+    return ~safe
 
 
 def route_path(decorators: Column) -> Column:
@@ -257,9 +270,14 @@ def route_path(decorators: Column) -> Column:
     return F.coalesce(F.get(given, F.size(given) - 1), F.lit(""))
 
 
+def py_route_gate(d: Column, options: RuleOptions) -> Column:
+    return (d["kind"] == "function") & F.exists(
+        d["decorators"], lambda t: any_of(t, PY_ROUTE_MARKS)
+    )
+
+
 def py_missing_auth(d: Column, options: RuleOptions) -> Column:
     names = (*PY_AUTH_DECORATORS, *options.trusted_middleware)
-    routed = F.exists(d["decorators"], lambda t: any_of(t, PY_ROUTE_MARKS))
 
     def authenticates(text: Column) -> Column:
         test = text.isin(*names)
@@ -267,9 +285,8 @@ def py_missing_auth(d: Column, options: RuleOptions) -> Column:
             test = test | F.startswith(text, F.lit(name + "("))
         return test
 
-    return (
-        (d["kind"] == "function") & routed & ~F.exists(d["decorators"], authenticates)
-        & ~any_of(route_path(d["decorators"]), PY_PUBLIC_ROUTES)
+    return ~F.exists(d["decorators"], authenticates) & ~any_of(
+        route_path(d["decorators"]), PY_PUBLIC_ROUTES
     )
 
 
@@ -296,14 +313,21 @@ def expr_source(e: Column, options: RuleOptions) -> Column:
     return TN.atoms_source(e["atoms"], scope_vars(), _pattern(options))
 
 
-def unsanitized_call(c: Column, options: RuleOptions) -> Column:
-    return ends_with_member(c["callee"], INPUT_SINKS, bare=False) & args_source(
-        c, options
-    ).isNotNull()
+def of_kind(kind: str):
+    """Gate: an expression of this kind."""
+    return lambda e, options: e["kind"] == kind
 
 
-def unsanitized_markup(e: Column, options: RuleOptions) -> Column:
-    return (e["kind"] == "markup") & expr_source(e, options).isNotNull()
+def tainted_args(c: Column, options: RuleOptions) -> Column:
+    return args_source(c, options).isNotNull()
+
+
+def tainted_value(e: Column, options: RuleOptions) -> Column:
+    return expr_source(e, options).isNotNull()
+
+
+def always(fact: Column, options: RuleOptions) -> Column:
+    return F.lit(True)
 
 
 def unsanitized_line(line: Column) -> Column:
@@ -320,19 +344,20 @@ def _sql_place(e: Column, options: RuleOptions) -> Column:
 
 def sql_template(e: Column, options: RuleOptions) -> Column:
     assigned = F.coalesce(F.rlike(e["assigned_to"], F.lit(SQL_VARIABLE)), F.lit(False))
-    return (
-        (e["kind"] == "template") & (_sql_place(e, options) | assigned)
-        & expr_source(e, options).isNotNull()
-    )
+    return (_sql_place(e, options) | assigned) & expr_source(e, options).isNotNull()
 
 
 def sql_concat(e: Column, options: RuleOptions) -> Column:
     return (
-        (e["kind"] == "binary") & F.contains(e["text"], F.lit("+")) & _sql_place(e, options)
+        F.contains(e["text"], F.lit("+")) & _sql_place(e, options)
         & expr_source(e, options).isNotNull()
     )
 
 
+def http_gate(c: Column, options: RuleOptions) -> Column:
+    return c["is_member"] & F.lower(c["callee_name"]).isin(*HTTP_METHODS)
+
+
 def missing_auth(c: Column, options: RuleOptions) -> Column:
     receiver = F.regexp_extract(c["callee"], r"([^.]*)\.[^.]*$", 1)
     routers = F.array(*[F.lit(n.lower()) for n in (*ROUTER_NAMES, *options.router_names)])
@@ -340,26 +365,15 @@ def missing_auth(c: Column, options: RuleOptions) -> Column:
     path = F.regexp_replace(first["text"], "['\"` ]", "")
     words = [w.lower() for w in (*AUTH_WORDS, *options.trusted_middleware)]
     return (
-        c["is_member"] & F.lower(c["callee_name"]).isin(*HTTP_METHODS)
-        & F.array_contains(routers, F.lower(receiver)) & (F.size(c["args"]) >= 2)
+        F.array_contains(routers, F.lower(receiver)) & (F.size(c["args"]) >= 2)
         & F.coalesce(first["kind"].isin("string", "plain_template"), F.lit(False))
         & F.startswith(path, F.lit("/")) & ~any_of(F.lower(c["text"]), words)
     )
 
 
-def script_secret(a: Column, options: RuleOptions) -> Column:
-    fires = (
-        a["value_kind"].isin("string", "plain_template") & secret_name(a["target"])
-        & is_secret_value(a["value"])
-    )
-    for pattern in options.false_positives:
-        fires = fires & ~F.rlike(a["target"], F.lit(pattern))
-    return fires
-
-
 def unsafe_run(c: Column, options: RuleOptions) -> Column:
     literal = F.coalesce(_arg(c)["kind"] == "string", F.lit(False))
-    return c["callee"].isin(*CODE_RUNNERS) & (~c["callee"].isin(*TIMERS) | literal)
+    return ~c["callee"].isin(*TIMERS) | literal
 
 
 def unsafe_run_severity(c: Column, options: RuleOptions) -> Column:
@@ -376,24 +390,19 @@ def unsafe_run_severity(c: Column, options: RuleOptions) -> Column:
     )
 
 
-def unsafe_write(c: Column, options: RuleOptions) -> Column:
+def markup_gate(c: Column, options: RuleOptions) -> Column:
     return any_of(c["callee"], MARKUP_WRITERS)
 
 
-def unsafe_markup(e: Column, options: RuleOptions) -> Column:
-    return e["kind"] == "markup"
-
-
 def unsafe_markup_severity(e: Column, options: RuleOptions) -> Column:
     return F.when(expr_source(e, options).isNotNull(), "high").otherwise("medium")
 
 
 def command_injection(c: Column, options: RuleOptions) -> Column:
-    names = (*EXEC_FUNCTIONS, *options.custom_sinks.get("command", ()))
     arg = _arg(c)
     return (
-        ends_with_member(c["callee"], names) & arg.isNotNull()
-        & ~arg["kind"].isin("string", "plain_template") & arg_source(arg, options).isNotNull()
+        arg.isNotNull() & ~arg["kind"].isin("string", "plain_template")
+        & arg_source(arg, options).isNotNull()
     )
 
 
@@ -402,10 +411,7 @@ def path_traversal(c: Column, options: RuleOptions) -> Column:
     checked = F.exists(
         F.col("marks"), lambda line: (line >= F.col("scope_line")) & (line < c["line"])
     )
-    return (
-        ends_with_member(c["callee"], FS_FUNCTIONS) & args_source(c, options).isNotNull()
-        & ~F.coalesce(checked, F.lit(False))
-    )
+    return args_source(c, options).isNotNull() & ~F.coalesce(checked, F.lit(False))
 
 
 # Registry -------------------------------------------------------------------
@@ -421,41 +427,42 @@ def _about(template: str, part):
 
 # Slugs that go into finding ids, and titles ---------------------
 REGISTRY: tuple[Rule, ...] = (
-    Rule("py-001", "py-sql-injection", "call", py_sql_injection,
+    Rule("py-001", "py-sql-injection", "call", py_sql_gate, py_sql_injection,
          _fixed("SQL injection via string interpolation")),
-    Rule("py-002", "py-cmd-injection", "call", py_command_injection,
+    Rule("py-002", "py-cmd-injection", "call", called(*PY_COMMAND_SINKS), py_command_injection,
          _about("Command injection via %s()", lambda c: c["callee"])),
-    Rule("py-003", "py-path-traversal", "call", py_path_traversal,
+    Rule("py-003", "py-path-traversal", "call", called(*PY_PATH_SINKS), py_path_traversal,
          _about("Path traversal via %s()", lambda c: c["callee"])),
-    Rule("py-004", "py-hardcoded-secret", "assign", py_hardcoded_secret,
-         _fixed("Hardcoded secret detected")),
-    Rule("py-005", "py-unsafe-deser", "call", py_unsafe_deserialization,
+    Rule("py-004", "py-hardcoded-secret", "assign", secret_gate("string", "fstring"),
+         hardcoded_secret, _fixed("Hardcoded secret detected")),
+    Rule("py-005", "py-unsafe-deser", "call", called(*PY_DESERIALIZERS),
+         py_unsafe_deserialization,
          _about("Unsafe deserialization via %s()", lambda c: c["callee"])),
-    Rule("py-006", "py-missing-auth", "decl", py_missing_auth,
+    Rule("py-006", "py-missing-auth", "decl", py_route_gate, py_missing_auth,
          _about('Route handler "%s" missing authentication', lambda d: d["name"])),
-    Rule("sec-001", "unsanitized", "call", unsanitized_call,
+    Rule("sec-001", "unsanitized", "call", member_called(INPUT_SINKS, bare=False), tainted_args,
          _fixed("Unsanitized user input in dangerous sink"), detail=args_source),
-    Rule("sec-001", "unsanitized-html", "expr", unsanitized_markup,
+    Rule("sec-001", "unsanitized-html", "expr", of_kind("markup"), tainted_value,
          _fixed("Unsanitized user input assigned to innerHTML"), detail=expr_source),
-    Rule("sec-002", "sql-injection", "expr", sql_template,
+    Rule("sec-002", "sql-injection", "expr", of_kind("template"), sql_template,
          _fixed("SQL injection via tainted template literal"), detail=expr_source),
-    Rule("sec-002", "sql-concat", "expr", sql_concat,
+    Rule("sec-002", "sql-concat", "expr", of_kind("binary"), sql_concat,
          _fixed("SQL injection via tainted string concatenation"), detail=expr_source),
-    Rule("sec-003", "missing-auth", "call", missing_auth,
+    Rule("sec-003", "missing-auth", "call", http_gate, missing_auth,
          _fixed("Route handler without authentication")),
-    Rule("sec-004", "hardcoded-secret", "assign", script_secret,
-         _fixed("Hardcoded secret detected")),
-    Rule("sec-005", "unsafe-eval", "call", unsafe_run,
+    Rule("sec-004", "hardcoded-secret", "assign", secret_gate("string", "plain_template"),
+         hardcoded_secret, _fixed("Hardcoded secret detected")),
+    Rule("sec-005", "unsafe-eval", "call", called(*CODE_RUNNERS), unsafe_run,
          _about("Unsafe use of %s()", lambda c: c["callee"]), severity=unsafe_run_severity),
-    Rule("sec-005", "unsafe-docwrite", "call", unsafe_write,
+    Rule("sec-005", "unsafe-docwrite", "call", markup_gate, always,
          _about("Unsafe use of %s", lambda c: c["callee"])),
-    Rule("sec-005", "unsafe-html", "expr", unsafe_markup,
+    Rule("sec-005", "unsafe-html", "expr", of_kind("markup"), always,
          _about("Unsafe assignment to %s", lambda e: e["prop"]),
          severity=unsafe_markup_severity, cwe="CWE-79"),
-    Rule("sec-006", "cmd-injection", "call", command_injection,
-         _fixed("Command injection via tainted input"),
+    Rule("sec-006", "cmd-injection", "call", member_called(EXEC_FUNCTIONS, "command"),
+         command_injection, _fixed("Command injection via tainted input"),
          detail=lambda c, o: arg_source(_arg(c), o)),
-    Rule("sec-007", "path-traversal", "call", path_traversal,
+    Rule("sec-007", "path-traversal", "call", member_called(FS_FUNCTIONS), path_traversal,
          _fixed("Path traversal via tainted input"), detail=args_source),
 )
 # ---------------------------------------------------------------------------

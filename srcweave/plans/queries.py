@@ -485,7 +485,7 @@ def taint_paths(t: Inputs) -> DataFrame:
 @query
 def tainted_sinks(t: Inputs) -> DataFrame:
     """Calls of any kind whose first argument is tainted in its function."""
-    rows = FN.fact_rows(t.parsed, "python", R.RuleOptions(), ("call",))
+    rows = FN.fact_rows(t.parsed, "python", R.RuleOptions(), {"call": lambda c: F.lit(True)})
     first = F.get("call.args", F.lit(0))
     hit = rows.where("vars is not null").where(first.isNotNull()).where(
         TN.python_arg_tainted(first, F.col("vars"), TN.python_source_pattern(), False)
