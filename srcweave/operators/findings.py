@@ -251,7 +251,7 @@ def category_share(found: DataFrame) -> DataFrame:
 def action_list(found: DataFrame, systemic_share: float = 0.5) -> DataFrame:
     """Findings in the order to fix them: critical, then systemic, then the rest."""
     share = category_share(found).select("project_id", "rule_id", "share")
-    joined = found.join(broadcast_if_small(share), ["project_id", "rule_id"])
+    joined = found.join(share, ["project_id", "rule_id"])
     priority = (
         F.when(F.col("severity") == "critical", 1)
         .when(F.col("share") >= systemic_share, 2)

@@ -72,6 +72,8 @@ def cluster_node_lists(comps: DataFrame, per_row: int = 1000) -> DataFrame:
     placed = members.join(sizes, ["project_id", "dir"]).withColumn(
         "bucket", bucket_of(F.col("id"), F.col("n_buckets"))
     )
+    # Without this the grouping would keep the join's partitions: one folder, one task.
+    placed = placed.repartition("project_id", "dir", "bucket")
     return placed.groupBy("project_id", "dir", "cluster_id", "label", "bucket").agg(
         F.sort_array(F.collect_list("id")).alias("node_ids")
     )

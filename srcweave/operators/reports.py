@@ -82,9 +82,11 @@ def section_parts(
     )
     items = F.struct(*rows.columns)
     placed = rows.select("project_id", key, items.alias("item")).join(sizes, "project_id")
-    part = bucket_of(F.col(key), F.col("n_parts"))
+    placed = placed.withColumn("part", bucket_of(F.col(key), F.col("n_parts")))
+    # Without this the grouping would keep the join's partitions: one project, one task.
     return (
-        placed.groupBy("project_id", part.alias("part"))
+        placed.repartition("project_id", "part")
+        .groupBy("project_id", "part")
         .agg(F.to_json(F.sort_array(F.collect_list("item")), {"ignoreNullFields": "false"}).alias("json"))
         .select("project_id", F.lit(section).alias("section"), "part", "json")
     )

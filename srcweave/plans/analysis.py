@@ -62,7 +62,7 @@ def analyze(
         else SS.script_relationships(parsed, comps)
     )
     found = FN.findings(parsed, language, options)
-    projects = files.select("project_id").distinct()
+    projects = parsed.select("project_id").distinct()
     return Analysis(
         parsed=parsed,
         components=comps,

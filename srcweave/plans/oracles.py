@@ -328,6 +328,7 @@ ORACLES: dict[str, str] = {
     + f" SELECT source, target, type, {rid('source', 'target', 'type')} AS id FROM edges",
     "components_by_type": COMPS + " SELECT project_id, id, name FROM components WHERE type = 'class'",
     "count_by_type": COMPS + " SELECT project_id, type, count(*) AS n FROM components GROUP BY 1, 2",
+    "count_edge_types": RELS + " SELECT project_id, type, count(*) AS n FROM rels GROUP BY 1, 2",
     "exported_functions": COMPS
     + " SELECT project_id, id, name FROM components WHERE type = 'function' AND is_exported",
     "large_classes": C + f""" SELECT project_id, {class_id('k')} AS id, 'C' || {st('k')} AS name,
@@ -802,3 +803,16 @@ ORACLES["stream_gate"] = C + """ SELECT project_id, count(*) AS n_blocking, 2 AS
   WHERE s % 7 = 0 GROUP BY 1"""
 ORACLES["growth_windows"] = """SELECT CAST(CAST(ts AS DATE) AS STRING) AS window_start,
   event_type AS type, count(*) AS n FROM events GROUP BY ALL"""
+
+# All dependencies between modules -------------------------------------------------
+
+ORACLES["module_cycles"] = C.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+last AS (SELECT project_id, arg_max(k, file_path) AS z FROM c GROUP BY 1),
+dep AS (SELECT k AS a, i AS z FROM c UNION SELECT k, b FROM c UNION SELECT k, c FROM c
+  UNION SELECT k, b2 FROM c WHERE s % 4 = 0 UNION SELECT c.k, last.z FROM c JOIN last USING (project_id)),
+closure AS (SELECT a, z FROM dep UNION SELECT closure.a, dep.z FROM closure
+  JOIN dep ON dep.a = closure.z),
+member AS (SELECT x.a AS k, min({path_of('y.a')}) AS scc
+  FROM closure x JOIN closure y ON y.a = x.z AND y.z = x.a GROUP BY 1)
+SELECT 'proj' || {st('k % 4')} AS project_id, {path_of('k')} AS id, scc,
+  count(*) OVER (PARTITION BY scc) AS size FROM member"""

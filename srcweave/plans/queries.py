@@ -143,6 +143,11 @@ def count_by_type(t: Inputs) -> DataFrame:
     return CO.count_by_type(t.components)
 
 
+@query
+def count_edge_types(t: Inputs) -> DataFrame:
+    return CO.count_by_type(t.relationships)
+
+
 @query
 def exported_functions(t: Inputs) -> DataFrame:
     return CO.exported_functions(t.components).select("project_id", "id", "name")
