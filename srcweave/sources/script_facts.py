@@ -38,9 +38,14 @@ _MARKUP = re.compile(
     r"\s*(=(?!>)|\+=|[!=]==?|\+|\|\||&&|\?\?)"
 )
 _HEAD = re.compile(
-    rf"(?m)^[ \t]*((?:export\s+|default\s+|abstract\s+|declare\s+|async\s+|const(?=\s+enum)\s+)*)"
-    rf"(class|function\s*\*?|interface|type|enum)\s+({_IDENT})"
+    rf"(?m)^[ \t]*((?:@{_IDENT}[\w$.]*(?:\([^()]*\))?\s*)*)"
+    r"((?:export\s+|default\s+|abstract\s+|declare\s+|async\s+|const(?=\s+enum)\s+)*)"
+    r"((?:@[\w$.]+(?:\([^()]*\))?\s*)*)(?:abstract\s+)?"
+    rf"(?:(class|function\s*\*?|interface|type|enum)\s+(?!extends\b|implements\b)({_IDENT})"
+    r"|(class|function\s*\*?)(?=\s*(?:\(|\{|extends\b|implements\b)))"
 )
+# Names of declarations that have none.
+_UNNAMED = {"class": "AnonymousClass", "function": "anonymous"}
 _TYPE_STOP = re.compile(r"=>|[{};=]")
 _IMPORT = re.compile(
     rf"(?m)^[ \t]*import\s+(?:type\s+)?(?:({_IDENT})\s*,?\s*)?(?:\*\s*as\s+{_IDENT}\s*)?"
@@ -310,8 +315,12 @@ def _members(src: _Script, begin: int, end: int) -> tuple[list[dict], list[dict]
 def _decls(src: _Script) -> list[dict]:
     found = []
     for m in _HEAD.finditer(src.top):
-        kind = {"type": "type-alias"}.get(m.group(2), m.group(2).strip(" *\t\n"))
+        word = (m.group(4) or m.group(6)).strip(" *\t\n")
+        if not m.group(5) and "default" not in m.group(2):
+            continue
+        kind = {"type": "type-alias"}.get(word, word)
         begin, after = src.skip(m.start()), m.end()
+        markers = re.findall(r"@([\w$.]+)", m.group(1) + m.group(3))
         opening = src.masked.find("{", after)
         params: list[dict] = []
         returns = None
@@ -335,14 +344,15 @@ def _decls(src: _Script) -> list[dict]:
         members = kind in ("class", "interface")
         methods, properties = _members(src, opening + 1, end) if members else ([], [])
         found.append({
-            "kind": kind, "name": m.group(3), "ord": len(found), "start_line": src.line(begin),
+            "kind": kind, "name": m.group(5) or _UNNAMED[kind], "ord": len(found), "start_line": src.line(begin),
             "end_line": src.line(end), "block_line": src.line(begin),
-            "snippet": src.text[begin : end + 1][:200], "decorators": [],
+            "snippet": src.text[begin : end + 1][:200],
+            "decorators": [d.split(".")[-1] for d in markers] if kind == "class" else [],
             "bases": [base.group(1)] if base and kind == "class" else [],
             "ifaces": [i.strip() for i in listed.group(1).split(",")]
             if listed and kind == "class" else [],
-            "params": params, "return_type": returns, "is_exported": "export" in m.group(1),
-            "is_default": "default" in m.group(1),
+            "params": params, "return_type": returns, "is_exported": "export" in m.group(2),
+            "is_default": "default" in m.group(2),
             "methods": methods if kind == "class" else [], "properties": properties,
         })
     return found

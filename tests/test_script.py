@@ -56,6 +56,20 @@ def test_declarations():
         ("id", ["readonly"]), ("size", [])]
 
 
+def test_unnamed_and_decorated_declarations():
+    facts = parse_script(
+        "@Injectable()\n@log.Trace({ a: 1 })\nexport class A {}\n"
+        "export default class extends A { run() { return 1; } }\n"
+    )
+    got = [(d["kind"], d["name"], d["start_line"], d["decorators"], d["bases"], d["is_default"])
+           for d in facts["decls"]]
+    assert got == [("class", "A", 1, ["Injectable", "Trace"], [], False),
+                   ("class", "AnonymousClass", 4, [], ["A"], True)]
+    facts = parse_script("export default function (a, b) {\n  return a;\n}\nconst x = class {};\n")
+    assert [(d["kind"], d["name"], d["end_line"], len(d["params"])) for d in facts["decls"]] == [
+        ("function", "anonymous", 3, 2)]
+
+
 def test_imports_and_calls_ignore_comments_and_strings():
     facts = parse_script(STORE)
     assert [(i["module"], i["names"], i["default_name"]) for i in facts["imports"]] == [
