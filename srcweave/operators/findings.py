@@ -13,7 +13,7 @@ from srcweave.operators import rules as R
 from srcweave.operators.rules import Rule, RuleOptions
 from srcweave.operators.taint import scope_taint
 from srcweave.schemas import ASSIGN, CALL, DECL, EXPR, FINDINGS
-from srcweave.session import broadcast_if_small
+from srcweave.session import as_lookup, broadcast_if_small
 
 _KINDS = {"call": CALL, "assign": ASSIGN, "decl": DECL, "expr": EXPR}
 _ARRAYS = {"call": "calls", "assign": "assigns", "decl": "decls", "expr": "exprs"}
@@ -251,7 +251,7 @@ def category_share(found: DataFrame) -> DataFrame:
 def action_list(found: DataFrame, systemic_share: float = 0.5) -> DataFrame:
     """Findings in the order to fix them: critical, then systemic, then the rest."""
     share = category_share(found).select("project_id", "rule_id", "share")
-    joined = found.join(share, ["project_id", "rule_id"])
+    joined = found.join(as_lookup(share), ["project_id", "rule_id"])
     priority = (
         F.when(F.col("severity") == "critical", 1)
         .when(F.col("share") >= systemic_share, 2)

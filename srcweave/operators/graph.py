@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from srcweave.functions import paths as P
 from srcweave.functions.ids import bucket_of
 from srcweave.functions.severity import edge_weight
+from srcweave.session import as_lookup
 
 _END = ["project_id", "id"]
 
@@ -69,7 +70,7 @@ def cluster_node_lists(comps: DataFrame, per_row: int = 1000) -> DataFrame:
         "n_buckets", F.ceil(F.col("n_nodes") / F.lit(per_row)).cast("bigint")
     )
     members = comps.select("project_id", P.dir_name(F.col("file_path")).alias("dir"), "id")
-    placed = members.join(sizes, ["project_id", "dir"]).withColumn(
+    placed = members.join(as_lookup(sizes), ["project_id", "dir"]).withColumn(
         "bucket", bucket_of(F.col("id"), F.col("n_buckets"))
     )
     # Without this the grouping would keep the join's partitions: one folder, one task.
@@ -178,9 +179,14 @@ def subgraph(
 # Clusters -------------------------------------------------------------------
 
 
+def _placed(nodes: DataFrame) -> DataFrame:
+    """The cluster of each node, one row per id."""
+    return as_lookup(nodes.groupBy("project_id", "id").agg(F.max("cluster").alias("cluster")))
+
+
 def with_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the cluster of both ends."""
-    ends = nodes.groupBy("project_id", "id").agg(F.max("cluster").alias("cluster"))
+    ends = _placed(nodes)
     return edges.join(
         ends.toDF("project_id", "source", "source_cluster"), ["project_id", "source"]
     ).join(ends.toDF("project_id", "target", "target_cluster"), ["project_id", "target"])
@@ -196,7 +202,7 @@ def directed_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Edges are counted by cluster and target before the targets are looked up, so
     a node many depend on is one row per cluster, however many edges it has.
     """
-    ends = nodes.groupBy("project_id", "id").agg(F.max("cluster").alias("cluster"))
+    ends = _placed(nodes)
     to_node = (
         edges.join(ends.toDF("project_id", "source", "source_cluster"), ["project_id", "source"])
         .groupBy("project_id", "source_cluster", "target")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcweave.functions import severity as S
 from srcweave.functions.ids import bucket_of
+from srcweave.session import as_lookup
 
 # Fixed value: version written into reports.
 REPORT_VERSION = "0.1.0"
@@ -81,7 +82,9 @@ def section_parts(
         F.ceil(F.count("*") / F.lit(per_part)).cast("bigint").alias("n_parts")
     )
     items = F.struct(*rows.columns)
-    placed = rows.select("project_id", key, items.alias("item")).join(sizes, "project_id")
+    placed = rows.select("project_id", key, items.alias("item")).join(
+        as_lookup(sizes), "project_id"
+    )
     placed = placed.withColumn("part", bucket_of(F.col(key), F.col("n_parts")))
     # Without this the grouping would keep the join's partitions: one project, one task.
     return (

@@ -1,8 +1,8 @@
 """Relationships: names and module paths resolved to components by equi-joins.
 
 The build sides hold one row per key (``max``/``max_by`` with map-side
-combine), so a join never multiplies rows; a hot name only makes the probe side
-uneven, which AQE splits.  Order is the file path, then the place in the file.
+combine) and are written once, so a join never multiplies rows; a hot name only makes
+the probe side uneven, which AQE splits.  Order is the file path, then the place in the file.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from srcweave.functions import ids
 from srcweave.functions import paths as P
 from srcweave.operators.components import kind_order
+from srcweave.session import as_lookup
 
 _EDGE = ("project_id", "source", "target", "type", "file_path", "ord", "import_specifiers")
 
@@ -51,7 +52,7 @@ def resolve_ids(refs: DataFrame, comps: DataFrame) -> DataFrame:
     index = component_index(comps).select(
         "project_id", "id", F.col("type").alias("found_type"), F.col("name").alias("found_name")
     )
-    return keyed.join(index, ["project_id", "id"])
+    return keyed.join(as_lookup(index), ["project_id", "id"])
 
 
 def name_map(comps: DataFrame) -> DataFrame:
@@ -113,9 +114,8 @@ def resolved_imports(parsed: DataFrame) -> DataFrame:
         "project_id", "file_path", "module", "level", "names", "line", "ord",
         F.posexplode("keys").alias("rank", "key"),
     )
-    hits = refs.join(
-        module_map(parsed).withColumnRenamed("module", "key"), ["project_id", "key"]
-    )
+    known = as_lookup(module_map(parsed).withColumnRenamed("module", "key"))
+    hits = refs.join(known, ["project_id", "key"])
     several = (F.col("level") > 0) & (F.col("module") == "")
     slot = F.when(several, F.col("rank")).otherwise(F.lit(0))
     hits = hits.withColumn("slot", slot)
@@ -143,8 +143,11 @@ def import_edges(parsed: DataFrame) -> DataFrame:
 # Inheritance and calls ------------------------------------------------------
 
 
-def inherit_edges(parsed: DataFrame, comps: DataFrame) -> DataFrame:
+def inherit_edges(
+    parsed: DataFrame, comps: DataFrame, names: DataFrame | None = None
+) -> DataFrame:
     """Bases by name; the first one that resolves is extended, the rest implemented."""
+    names = as_lookup(name_map(comps)) if names is None else names
     bases = (
         parsed.select("project_id", "file_path", F.inline("decls"))
         .where("kind = 'class'")
@@ -154,10 +157,10 @@ def inherit_edges(parsed: DataFrame, comps: DataFrame) -> DataFrame:
             F.posexplode("bases").alias("pos", "base"),
         )
     )
-    names = name_map(comps).select(
+    targets = names.select(
         "project_id", F.col("name").alias("base"), F.col("id").alias("target")
     )
-    hits = bases.join(names, ["project_id", "base"])
+    hits = bases.join(targets, ["project_id", "base"])
     one_class = Window.partitionBy("project_id", "source", "ord")
     kind = F.when(F.col("pos") == F.min("pos").over(one_class), "extends").otherwise("implements")
     return hits.select(
@@ -185,14 +188,17 @@ def call_refs(parsed: DataFrame) -> DataFrame:
     )
 
 
-def call_edges(parsed: DataFrame, comps: DataFrame) -> DataFrame:
+def call_edges(
+    parsed: DataFrame, comps: DataFrame, names: DataFrame | None = None
+) -> DataFrame:
     """Calls by bare name to the last component of that name; never to oneself."""
-    names = name_map(comps).select(
+    names = as_lookup(name_map(comps)) if names is None else names
+    targets = names.select(
         "project_id", F.col("name").alias("callee_name"), F.col("id").alias("target")
     )
     return (
         call_refs(parsed)
-        .join(names, ["project_id", "callee_name"])
+        .join(targets, ["project_id", "callee_name"])
         .where("source <> target")
         .select(
             "project_id", "source", "target", F.lit("calls").alias("type"), "file_path",
@@ -216,8 +222,9 @@ def relationships(*edge_sets: DataFrame) -> DataFrame:
 
 
 def python_relationships(parsed: DataFrame, comps: DataFrame) -> DataFrame:
+    names = as_lookup(name_map(comps))
     return relationships(
-        import_edges(parsed), inherit_edges(parsed, comps), call_edges(parsed, comps)
+        import_edges(parsed), inherit_edges(parsed, comps, names), call_edges(parsed, comps, names)
     )
 
 

@@ -13,7 +13,7 @@ from srcweave.operators import resolve as RS
 from srcweave.operators.rules import RuleOptions
 from srcweave.plans import corpus_text as CT
 from srcweave.sources import corpus as SR
-from srcweave.session import write_once
+from srcweave.session import as_lookup, write_once
 from srcweave.sources.python_facts import python_facts
 from srcweave.sources.script_facts import script_facts
 
@@ -160,9 +160,11 @@ class Inputs:
     @cached_property
     def module_edges(self) -> DataFrame:
         """Dependencies between modules: imports, bases and calls lifted to files."""
-        files = CO.components(self.facts).select(
-            "project_id", "id", F.col("file_path").alias("path")
-        ).groupBy("project_id", "id").agg(F.max("path").alias("path"))
+        files = as_lookup(
+            CO.components(self.facts)
+            .groupBy("project_id", "id")
+            .agg(F.max("file_path").alias("path"))
+        )
         return (
             self.relationships.join(files.toDF("project_id", "source", "s"), ["project_id", "source"])
             .join(files.toDF("project_id", "target", "t"), ["project_id", "target"])

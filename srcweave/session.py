@@ -79,6 +79,17 @@ def write_counted(df: DataFrame, metric: Column | None = None) -> tuple[DataFram
     return table, int(seen.get["n"] or 0)
 
 
+def as_lookup(df: DataFrame) -> DataFrame:
+    """A table to look keys up in, written once.
+
+    AQE splits a hot key of the probe side only when both sides of the join come
+    straight from a shuffle.  An aggregate that already sits on the join keys would
+    stand in the way; a written table does not, and its known size lets the
+    optimizer broadcast it when it is small.
+    """
+    return write_once(df)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of rows that will be expensive to work on.
 
