@@ -14,6 +14,8 @@ from srcweave.session import write_counted, write_once
 
 #: Indexed rows of one bucket that are compared in one task, about.
 ROWS_PER_SALT = 4_096
+#: Rows kept in one slot, about, and the fewest slots that buckets are dealt to.
+ROWS_PER_SLOT, MIN_SLOTS = 16_384, 24
 #: Query by candidate products held at once in a task.
 PRODUCTS = 4_000_000
 
@@ -97,24 +99,34 @@ def hashed(rows: DataFrame, tables: int, parts: int, probes: int, seed: int) ->
     return rows.mapInArrow(assign, f"bucket long, vec_id long, vec {rows.schema['vec'].dataType.simpleString()}")
 
 
+def _split(rows: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """The places of the rows of each bucket and salt, by rising id."""
+    bucket, salt, ids = (rows[c].to_numpy() for c in ("bucket", "salt", "vec_id"))
+    order = np.lexsort((ids, salt, bucket))
+    new = np.flatnonzero((np.diff(bucket[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
+    return {(int(bucket[at[0]]), int(salt[at[0]])): at for at in np.split(order, new) if len(at)}
+
+
 def _best(k: int):
-    """The k nearest of one group for each of its queries, by exact products."""
+    """The k nearest in each bucket of a slot for each query that looks there, by exact products."""
 
     def nearest(queries: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
-        if len(queries) and len(kept):
-            order = np.argsort(kept["vec_id"].to_numpy(), kind="stable")
-            ids = kept["vec_id"].to_numpy()[order]
-            matrix = np.stack(kept["vec"].to_numpy())[order].astype(np.float64)
-            asked, wanted = queries["vec_id"].to_numpy(), np.stack(queries["vec"].to_numpy()).astype(np.float64)
+        looks = _split(queries)
+        for where, places in _split(kept).items():
+            if where not in looks:
+                continue
+            ids = kept["vec_id"].to_numpy()[places]
+            matrix = np.stack(kept["vec"].to_numpy()[places]).astype(np.float64)
+            asked = queries["vec_id"].to_numpy()[looks[where]]
+            wanted = np.stack(queries["vec"].to_numpy()[looks[where]]).astype(np.float64)
             step = max(1, PRODUCTS // len(ids))
             for at in range(0, len(asked), step):
                 own = asked[at : at + step]
                 score = wanted[at : at + step] @ matrix.T
                 score[own[:, None] == ids[None, :]] = -np.inf
-                m = min(k, len(ids))
                 # ids rise, so a stable sort leaves ties to the smaller one
-                top = np.argsort(-score, axis=1, kind="stable")[:, :m]
+                top = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(ids))]
                 value = np.take_along_axis(score, top, 1)
                 real = value > -np.inf
                 out["query_id"].append(np.broadcast_to(own[:, None], top.shape)[real])
@@ -128,9 +140,10 @@ def _best(k: int):
     return nearest
 
 
-def _compare(queries: DataFrame, kept: DataFrame, k: int) -> DataFrame:
-    """Queries against kept rows of the same bucket and salt."""
-    return queries.groupBy("bucket", "salt").cogroup(kept.groupBy("bucket", "salt")).applyInPandas(
+def _compare(queries: DataFrame, kept: DataFrame, k: int, slots: int) -> DataFrame:
+    """Queries against kept rows of the same bucket and salt; a slot holds many small buckets."""
+    slot = F.pmod(F.xxhash64("bucket", "salt"), F.lit(slots)).alias("slot")
+    return queries.groupBy(slot).cogroup(kept.groupBy(slot)).applyInPandas(
         _best(k), "query_id long, vec_id long, score double"
     )
 
@@ -171,6 +184,7 @@ def nearest_neighbours(
     while axes**parts * bucket_rows < count and parts < 3:
         parts, tables, probes = parts + 1, tables * 2, probes * 8
     asked = rows.where(F.col("vec_id") % every == 0)
+    slots = max(MIN_SLOTS, -(-count * tables // ROWS_PER_SLOT))
     index = hashed(rows, tables, parts, 1, seed)
     salts = write_once(
         index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).select(
@@ -181,7 +195,7 @@ def nearest_neighbours(
     looks = hashed(asked, tables, parts, probes, seed).join(salts, "bucket").withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))
     ).drop("salts")
-    found = write_once(_merge(_compare(looks, index, k), k))
+    found = write_once(_merge(_compare(looks, index, k, slots), k))
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short, missing = write_counted(
         asked.join(full, asked["vec_id"] == full["query_id"], "left_anti").select("vec_id", "vec")
@@ -193,5 +207,5 @@ def nearest_neighbours(
     repeated = short.select(
         F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salted - 1).cast("long"))).alias("salt"), "vec_id", "vec"
     )
-    exact = _merge(_compare(repeated, everything, k), k)
+    exact = _merge(_compare(repeated, everything, k, salted), k)
     return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
