@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import decontamination, mixing, neighbours, sharding, token_files
+from srcweave.llm import decontamination, mixing, neighbours, secrets, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,6 +37,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_decontamination"] = decontamination.DECONTAMINATION_SQL
 
 
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked weak parts of all documents."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_secrets"] = secrets.SECRETS_SQL
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3."""
