@@ -137,3 +137,51 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+class HashNumbers:
+    """Numbers 0, 1, 2 … for distinct 64-bit hashes: an open-addressing table on arrays."""
+
+    def __init__(self, slots: int = 1 << 20):
+        self.slots = slots
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.numbers = np.full(self.slots, -1, np.int32)
+        self.count = 0
+
+    def room(self, more: int) -> bool:
+        return 2 * (self.count + more) <= self.slots
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it is new."""
+        last = self.slots - 1
+        slot = (hashes & np.uint64(last)).astype(np.int64)
+        found = np.full(len(hashes), -1, np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            at = slot[todo]
+            number = self.numbers[at]
+            hit = (self.keys[at] == hashes[todo]) & (number >= 0)
+            found[todo[hit]] = number[hit]
+            todo = todo[~hit & (number >= 0)]
+            slot[todo] = (slot[todo] + 1) & last
+        return found
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Number distinct new hashes in their order."""
+        last, number = self.slots - 1, np.arange(self.count, self.count + len(hashes))
+        slot, todo = (hashes & np.uint64(last)).astype(np.int64), np.arange(len(hashes))
+        while len(todo):
+            at = slot[todo]
+            free = np.flatnonzero(self.numbers[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.numbers[at[won]], self.keys[at[won]] = number[todo[won]], hashes[todo[won]]
+            lost = np.ones(len(todo), bool)
+            lost[won] = False
+            todo = todo[lost]
+            slot[todo] = (slot[todo] + 1) & last
+        self.count += len(hashes)
+        return number

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcweave.llm.text_arrays import IS_SPACE, Block, blocks, ragged, span_hashes
+from srcweave.llm.text_arrays import IS_SPACE, Block, HashNumbers, blocks, ragged, span_hashes
 from srcweave.session import shared_dir
 
 #: How many values of how many bits a word of the file holds, by selector.  Selector 0 marks
@@ -132,54 +132,29 @@ class PieceIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.where = np.full(self.slots, -1, np.int32)
+        self.numbers = HashNumbers(self.slots)
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.pieces = self.used = 0
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each piece, -1 if it is new."""
-        mask = np.uint64(self.slots - 1)
-        slot = (hashes & mask).astype(np.int64)
-        found = np.full(len(hashes), -1, np.int64)
-        todo = np.arange(len(hashes))
-        while len(todo):
-            at = slot[todo]
-            piece = self.where[at]
-            hit = (self.keys[at] == hashes[todo]) & (piece >= 0)
-            found[todo[hit]] = piece[hit]
-            todo = todo[~hit & (piece >= 0)]
-            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
-        return found
+        self.used = 0
 
     def add(self, hashes: np.ndarray, texts: list[str]) -> None:
         """Encode distinct new pieces."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
         flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-        n, m = self.pieces + len(texts), self.used + len(flat)
+        pieces = self.numbers.count
+        n, m = pieces + len(texts), self.used + len(flat)
         while len(self.starts) < n:
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+            self.starts = np.resize(self.starts, 2 * len(self.starts))
+            self.lengths = np.resize(self.lengths, 2 * len(self.lengths))
         while len(self.ids) < m:
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : m] = flat
-        self.lengths[self.pieces : n] = lengths
-        self.starts[self.pieces : n] = self.used + np.cumsum(lengths) - lengths
-        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        todo, number = np.arange(len(texts)), np.arange(self.pieces, n, dtype=np.int32)
-        while len(todo):
-            at = slot[todo]
-            free = np.flatnonzero(self.where[at] < 0)
-            _, first = np.unique(at[free], return_index=True)
-            won = free[first]
-            self.where[at[won]], self.keys[at[won]] = number[todo[won]], hashes[todo[won]]
-            lost = np.ones(len(todo), bool)
-            lost[won] = False
-            todo = todo[lost]
-            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
-        self.pieces, self.used = n, m
+        self.lengths[pieces:n] = lengths
+        self.starts[pieces:n] = self.used + np.cumsum(lengths) - lengths
+        self.numbers.add(hashes)
+        self.used = m
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, and how many each text has."""
@@ -196,21 +171,22 @@ class PieceIds:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)
         hashes = span_hashes(data, starts, ends)
-        piece = self.find(hashes)
+        piece = self.numbers.find(hashes)
         new = np.flatnonzero(piece < 0)
         if len(new):
             fresh, first = np.unique(hashes[new], return_index=True)
-            if self.pieces + len(fresh) > self.slots // 2:
+            if not self.numbers.room(len(fresh)):
                 self.clear()
                 fresh, first = np.unique(hashes, return_index=True)
                 new = np.arange(len(hashes))
             raw = data.tobytes()
             bounds = zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)
             texts = [raw[a:b].decode("utf-8", "replace") for a, b in bounds]
-            if 2 * len(fresh) > self.slots:
-                raise ValueError("a block has more distinct pieces than the table has room for")
+            while not self.numbers.room(len(fresh)):  # a very long text
+                self.slots *= 2
+                self.clear()
             self.add(fresh, texts)
-            piece[new] = self.find(hashes[new])
+            piece[new] = self.numbers.find(hashes[new])
         lengths = self.lengths[piece]
         ids = self.ids[ragged(self.starts[piece], lengths)]
         total = np.concatenate(([0], np.cumsum(lengths)))
