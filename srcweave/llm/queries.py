@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import decontamination, mixing, neighbours, quality, secrets, sharding, token_files
+from srcweave.llm import decontamination, language, mixing, neighbours, quality, secrets, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,6 +59,12 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents."""
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards."""
