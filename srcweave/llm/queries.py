@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import decontamination, language, mixing, neighbours, quality, secrets, sharding, token_files
+from srcweave.llm import decontamination, jaccard, language, mixing, neighbours, quality, secrets, sharding, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,6 +37,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_decontamination"] = decontamination.DECONTAMINATION_SQL
 
 
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents joined at a similarity of 0.75 of five-word shingles."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_jaccard"] = jaccard.JACCARD_SQL
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked weak parts of all documents."""
