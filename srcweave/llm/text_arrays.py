@@ -99,15 +99,37 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS, _INVERSES
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
-    powers, inverses = _powers(len(data) + 1)
+#: Another such table, for a second hash.
+OTHER_VALUES = np.random.default_rng(20240608).integers(0, 2**64, 256, dtype=np.uint64)
+
+
+def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """What :func:`span_hashes` takes its hashes from."""
+    powers, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers[: len(data)], out=sums[1:])
+    np.cumsum(values[data] * powers[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None
+) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
+    sums = prefix_sums(data) if sums is None else sums
+    _, inverses = _powers(len(data) + 1)
     h = (sums[ends] - sums[starts]) * inverses[starts]
     return mix(h + (ends - starts).astype(np.uint64) * _GOLDEN)
 
 
+def fixed_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` bytes from each position on, where there are so many."""
+    n = len(sums) - 1 - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    _, inverses = _powers(len(sums))
+    return mix((sums[width:] - sums[:n]) * inverses[:n] + np.uint64(width) * _GOLDEN)
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of marked bytes; none crosses a row."""
     n = len(inside)
