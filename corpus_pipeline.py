@@ -5,28 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import mixing, sharding
+from srcweave.llm import decontamination, jaccard, mixing, quality, sharding
 from srcweave.session import write_once
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose id is in ``ids``, which hold each id once; null ids are not kept."""
+    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id")).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    scores = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, scores.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 1"))
+
+
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by similar shingles the one with the smallest id."""
+    found = jaccard.similar_documents(docs)
+    return _only(docs, found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark doesn't contaminate."""
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    worst = found.groupBy("doc_id").agg(F.max(F.col("contaminated").cast("int")).alias("worst"))
+    return _only(docs, worst.where("worst = 0"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of its source takes it."""
-    copies = mixing.mix_sources(docs).where(F.col("copies") > 0).select(
-        F.col("doc_id").alias("mixed_id"), F.col("copies").alias("mixed_copies")
+    copies = mixing.mix_sources(docs).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("mixed_id")).agg(
+        F.max("copies").cast("int").alias("mixed_copies")
     )
-    return docs.join(copies, docs["doc_id"] == copies["mixed_id"]).select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("mixed_copies").cast("int"))).alias("mixed_copy")
+    return docs.join(copies, F.col("doc_id") == F.col("mixed_id")).select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("mixed_copies"))).alias("mixed_copy")
     ).drop("mixed_copy")
 
 
-def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each document kept."""
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each copy kept."""
     return sharding.assign_shards(docs, 40)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [
+    ("quality", good_quality), ("near_duplicates", unlike), ("decontamination", uncontaminated),
+    ("mixing", mixed), ("sharding", sharded),
+]
 
-#: Rounding by coins and trained models have no SQL form.
+#: A trained model and rounding by coins have no SQL form.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import decontamination, jaccard, language, mixing, neighbours, quality, secrets, sharding, token_files
+from srcweave.llm import decontamination, jaccard, language, mixing, neighbours, quality, secrets, sharding, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that occur earlier, out of all documents."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark phrases of 13 words in all documents."""

@@ -127,7 +127,7 @@ def fixed_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     _, inverses = _powers(len(sums))
-    return mix((sums[width:] - sums[:n]) * inverses[:n] + np.uint64(width) * _GOLDEN)
+    return mix((sums[width:] - sums[:n]) * inverses[:n] + np.uint64(width * int(_GOLDEN) % 2**64))
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
