@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcweave.llm.components import connected
@@ -23,6 +23,10 @@ SAMPLED = 0.35
 SMALL = 200_000
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+#: Columns of the bitmap of a set.
+BITS = tuple(f"bits{i}" for i in range(8))
+#: Rounds, and sets per round, in which the rest of a group is compared with few of it.
+ROUNDS, PIVOTS = 2, 4
 _BLOBS = "bucket int, nodes binary, counts binary, tokens binary"
 
 
@@ -144,6 +148,25 @@ def _shared_counts(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": known[shared > 0], "shared": shared[shared > 0]})
 
 
+def _bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each set 512 bits: whether an odd number of its tokens falls on each."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = row * 512 + (tokens & np.uint64(511)).astype(np.int64)
+    odd = (np.bincount(at, minlength=512 * (len(bounds) - 1)) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(-1, 64).view(np.int64)
+
+
+def _may_be_similar(a: str, b: str, percent: int) -> Column:
+    """False only if two sets (columns with suffixes ``a`` and ``b``) can't be similar.
+
+    Their sizes must fit, and each bit in which they differ is a token that one of them lacks,
+    of which similar sets have (1 - s) / (1 + s) of their sizes' sum at most.
+    """
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    apart = sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in BITS), F.lit(0))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``node``, ``n`` and ``tokens`` (sorted 64-bit hashes) of the wanted sets, from one document each."""
 
@@ -155,12 +178,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 raw = tokens.tobytes()
                 parts = [raw[8 * a : 8 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 asked = batch.column(0).slice(block.first, block.rows)
+                bits = _bitmaps(tokens, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [asked, pa.array(nodes), pa.array(np.diff(bounds)), pa.array(parts, pa.binary())], ["asked", "node", "n", "tokens"]
+                    [asked, pa.array(nodes), pa.array(np.diff(bounds)), pa.array(parts, pa.binary()), *[pa.array(b) for b in bits.T]],
+                    ["asked", "node", "n", "tokens", *BITS],
                 )
 
     few = docs.join(broadcast_if_small(wanted, SMALL), "doc_id")
-    built = few.select("asked", "text").mapInArrow(build, "asked long, node long, n long, tokens binary")
+    built = few.select("asked", "text").mapInArrow(build, "asked long, node long, n long, tokens binary, " + ", ".join(f"{b} long" for b in BITS))
     return built.where(F.col("asked") == F.col("node")).drop("asked")
 
 
@@ -245,10 +270,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
-    sizes = sets.select("node", "n")
-    fitting = pairs.join(sizes.toDF("a", "s_a"), "a").join(sizes.toDF("b", "s_b"), "b").where(
-        (F.col("s_a") * 100 >= F.col("s_b") * percent) & (F.col("s_b") * 100 >= F.col("s_a") * percent)
-    ).select("a", "b")
+    outline = sets.select("node", "n", *BITS)
+    fitting = pairs.join(outline.toDF("a", "n_a", *[f"{c}_a" for c in BITS]), "a").join(
+        outline.toDF("b", "n_b", *[f"{c}_b" for c in BITS]), "b"
+    ).where(_may_be_similar("_a", "_b", percent)).select("a", "b")
     joined = fitting.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(compare, "a long, b long")
 
@@ -256,30 +281,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Components of the sets by links between those of a group.
 
-    Every set of a group is compared with the group's first.  Only sets that did not end up in
-    the component of the first are compared with all of the group outside their own, so a
-    group of near copies costs one comparison for each of them, and no link between components is missed.
+    Every set of a group is compared with the group's first.  What did not end up in the component
+    of the first is compared with a few others of that component, and what is still
+    apart then with all of the group outside its own component.  So a group of near copies
+    costs a few comparisons for each of them, and no link between components is missed.
     """
-    first = groups.groupBy("gid").agg(F.min("node").alias("first"))
-    first = write_once(first)
+    first = write_once(groups.groupBy("gid").agg(F.min("node").alias("first")))
     star = groups.join(first, "gid").where(F.col("node") != F.col("first")).select(
         F.col("first").alias("a"), F.col("node").alias("b")
-    ).distinct()
-    links = write_once(_verified(write_once(star), sets, percent))
-    labels = connected(links)
-    named = groups.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
-    heads = first.join(labels, first["first"] == labels["node"], "left").select(
-        "gid", F.coalesce("label", "first").alias("head")
     )
-    named = write_once(named.join(heads, "gid"))
-    apart, left = write_counted(named.where(F.col("label") != F.col("head")).select(
-        "gid", F.col("node").alias("a"), F.col("label").alias("label_a")
-    ))
-    if not left:
-        return labels
-    rest = apart.join(named.select("gid", F.col("node").alias("b"), "label"), "gid").where(F.col("label_a") != F.col("label"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    tried = write_once(star.distinct())
+    links = write_once(_verified(tried, sets, percent))
+    for turn in range(ROUNDS + 1):
+        labels = connected(links)
+        named = groups.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
+        heads = first.join(labels, first["first"] == labels["node"], "left").select(
+            "gid", F.coalesce("label", "first").alias("head")
+        )
+        named = write_once(named.join(heads, "gid"))
+        apart, left = write_counted(named.where("label <> head"))
+        if not left:
+            return labels
+        if turn == ROUNDS:
+            break
+        order = [F.xxhash64("node", F.lit(turn * PIVOTS + i)) for i in range(PIVOTS)]
+        pivots = named.where("label = head").join(apart.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(
+            F.array_distinct(F.array(*[F.min_by("node", o) for o in order])).alias("pivots")
+        )
+        pairs = apart.join(pivots, "gid").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).distinct()
+        pairs = write_once(pairs.join(tried, ["a", "b"], "left_anti"))
+        links = write_once(links.unionByName(_verified(pairs, sets, percent)))
+        tried = tried.unionByName(pairs)
+    outline = sets.select("node", "n", *BITS)
+    left = apart.select("gid", "node", "label").join(outline, "node").toDF("a", "gid", "label_a", "n_a", *[f"{c}_a" for c in BITS])
+    right = named.select("gid", "node", "label").join(
+        apart.select("gid").distinct(), "gid", "left_semi"
+    ).join(outline, "node").select(F.col("node").alias("b"), F.col("gid").alias("gid_b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in BITS])
+    rest = left.join(
+        right, (F.col("gid") == F.col("gid_b")) & (F.col("label_a") != F.col("label_b")) & _may_be_similar("_a", "_b", percent)
+    ).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more, found = write_counted(_verified(write_once(rest), sets, percent))
     return connected(links.unionByName(more)) if found else labels
 
@@ -301,7 +341,7 @@ def similar_documents(
     2. by frequency among the rest, rarest first: candidates share a token of their prefixes;
     3. and 4. by rising and by falling hash: candidates share a token of these prefixes too.
 
-    What passes all is compared exactly.  Tokens travel in bulk, dealt to buckets whose
+    Sizes and bitmaps rule out more.  What passes all is compared exactly.  Tokens travel in bulk, dealt to buckets whose
     number follows the corpus.
 
     Null, empty and blank texts have no set and no links; a row without id has no links and
