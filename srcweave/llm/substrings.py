@@ -11,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcweave.llm.scratch import Scratch
 from srcweave.llm.suffix_array import suffix_places
 from srcweave.llm.text_arrays import OTHER_VALUES, Block, blocks, fixed_hashes, mix, prefix_sums, ragged, span_hashes
-from srcweave.session import write_counted, write_once
 
 #: Bytes of an anchor.  An anchor is the least of the strings of this length in some window.
 ANCHOR = 32
 #: Different surroundings of one anchor that go into one suffix array, at most; the windows
 #: of anchors with more are compared one by one instead.
-CONTEXTS = 32
+CONTEXTS = 256
 #: Bytes of suffix arrays that a task builds at once, and anchors in one bucket, about.
 ARRAY_BYTES, BUCKET_ANCHORS = 2 << 20, 2_000_000
 #: Ids that may be broadcast.
@@ -162,40 +162,52 @@ def _with_texts(docs: DataFrame, lists: DataFrame, few: bool) -> DataFrame:
     return docs.dropDuplicates(["did", "tkey"]).join(lists, ["did", "tkey"])
 
 
+def _picked(block: Block, lists: list, length: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """Row, hash, hash of the surroundings, place, and bounds of the surroundings of the listed anchors."""
+    at, h, row = anchors(block, length)
+    bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((at, bucket, row))
+    r, b = row[order], bucket[order]
+    start = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (b[1:] != b[:-1])))) if len(h) else np.zeros(0, int)
+    begin = {(x, y): s for x, y, s in zip(r[start].tolist(), b[start].tolist(), start.tolist(), strict=True)}
+    keep = np.zeros(len(h), bool)
+    for i in range(block.rows):
+        for part in lists[block.first + i]:
+            places = np.frombuffer(part["places"], np.uint32).astype(np.int64)
+            keep[order[begin[i, part["bucket"]] + places]] = True
+    at, h, row = at[keep], h[keep], row[keep]
+    left, right = block.offsets[:-1][row], block.offsets[1:][row]
+    low, high = np.maximum(left, at - (length - ANCHOR)), np.minimum(right, at + length)
+    c = mix(span_hashes(block.data, low, high) + (at - low).astype(np.uint64))
+    return block.first + row, h, c, at - left, low - left, high - left
+
+
 def _occurrences(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Shared anchors with the hash of their surroundings, and spans (``h`` null) that repeat in one block."""
+    """Shared anchors with the hash of their surroundings, and spans (``h`` null) that repeat in one batch."""
+    names = ["did", "tkey", "h", "c", "at", "low", "high"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3).to_pylist()
-            for block in blocks(batch.column(2)):
-                at, h, row = anchors(block, length)
-                bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((at, bucket, row))
-                start = np.flatnonzero(np.concatenate(([True], (row[order][1:] != row[order][:-1]) | (bucket[order][1:] != bucket[order][:-1])))) if len(h) else np.zeros(0, int)
-                begin = {(int(row[order[s]]), int(bucket[order[s]])): int(s) for s in start}
-                keep = np.zeros(len(h), bool)
-                for r in range(block.rows):
-                    for part in lists[block.first + r]:
-                        places = np.frombuffer(part["places"], np.uint32).astype(np.int64)
-                        keep[order[begin[r, part["bucket"]] + places]] = True
-                at, h, row = at[keep], h[keep], row[keep]
-                left, right = block.offsets[:-1][row], block.offsets[1:][row]
-                low, high = np.maximum(left, at - (length - ANCHOR)), np.minimum(right, at + length)
-                sums = prefix_sums(block.data)
-                c = mix(span_hashes(block.data, low, high, sums) + (at - low).astype(np.uint64))
-                owner = block.first + row
-                order = np.lexsort((at, texts[owner], ids[owner], c, h))
-                again = np.zeros(len(h), bool)
-                again[1:] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
-                again[order] = again.copy()
-                shift = block.offsets[:-1][row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[owner]), pa.array(texts[owner]), pa.array(h.view(np.int64), mask=again), pa.array(c.view(np.int64)),
-                     pa.array(at - shift), pa.array(low - shift), pa.array(high - shift)],
-                    ["did", "tkey", "h", "c", "at", "low", "high"],
-                )
+            parts = [_picked(block, lists, length, buckets) for block in blocks(batch.column(2))]
+            if not parts:
+                continue
+            owner, h, c, at, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((at, texts[owner], ids[owner], c, h))
+            again = np.zeros(len(h), bool)
+            again[1:] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+            again[order] = again.copy()
+            # of those that repeat one in this batch only the bytes they cover are sent
+            doc, start, end = _join_windows(owner[again], low[again], high[again])
+            nothing = pa.nulls(len(doc), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(texts[doc]), nothing, nothing, nothing, pa.array(start), pa.array(end)], names)
+            own = ~again
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[owner[own]]), pa.array(texts[owner[own]]), pa.array(h[own].view(np.int64)), pa.array(c[own].view(np.int64)),
+                 *[pa.array(x[own]) for x in (at, low, high)]],
+                names,
+            )
 
     return docs.select("did", "tkey", "text", "lists").mapInArrow(find, _FOUND)
 
@@ -264,7 +276,11 @@ def _repeats(length: int):
         sizes = group["bytes"].map(len).to_numpy()
         new = np.flatnonzero(np.concatenate(([True], np.diff(group["h"].to_numpy()) != 0)))
         by_anchor = np.add.reduceat(sizes, new)
-        portion = np.repeat(np.cumsum(by_anchor) // ARRAY_BYTES, np.diff(np.append(new, len(group))))
+        # texts of like sizes together: they end together
+        order = np.argsort(by_anchor, kind="stable")
+        portion = np.empty(len(new), np.int64)
+        portion[order] = np.cumsum(by_anchor[order]) // ARRAY_BYTES
+        portion = np.repeat(portion, np.diff(np.append(new, len(group))))
         for no in np.unique(portion):
             parts.append(_repeats_of(group[portion == no], length))
         return pd.concat(parts)
@@ -311,41 +327,49 @@ def _repeats_of(group: pd.DataFrame, length: int) -> pd.DataFrame:
 _SPAN = "did long, tkey long, low long, high long"
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``did``, ``tkey``, ``low``, ``high``: bytes in strings of ``length`` that begin earlier; may overlap."""
+def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``did``, ``tkey``, ``spans`` (overlapping ones) of bytes in strings that begin earlier; number of rows."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-2 * total // ((length - ANCHOR + 2) * BUCKET_ANCHORS)))
-    counted = write_once(_first_counts(docs, length, buckets))
+    counted = scratch.write(_first_counts(docs, length, buckets))
     elsewhere = counted.where("bucket >= 0").groupBy("bucket").applyInPandas(_shared, _PLACES)
     here = counted.where("bucket < 0").mapInPandas(_listed, _PLACES)
-    lists, n = write_counted(elsewhere.unionByName(here).groupBy("did", "tkey").agg(
+    lists, n = scratch.write_counted(elsewhere.unionByName(here).groupBy("did", "tkey").agg(
         F.collect_list(F.struct("bucket", "places")).alias("lists")
     ))
-    found = write_once(_occurrences(_with_texts(docs, lists, n <= SMALL), length, buckets))
+    scratch.drop(counted)
+    found = scratch.write(_occurrences(_with_texts(docs, lists, n <= SMALL), length, buckets))
+    scratch.drop(lists)
     known = found.where("h IS NOT NULL")
-    first = write_once(known.groupBy("h", "c").agg(
+    first = scratch.write(known.groupBy("h", "c").agg(
         F.min(F.struct("did", "tkey", "at", "low", "high")).alias("f"), F.count(F.lit(1)).alias("n")
     ))
     within = found.where("h IS NULL").select("did", "tkey", "low", "high")
     again = known.join(first.where("n > 1").select("h", "c", "f"), ["h", "c"]).where(
         F.struct("did", "tkey", "at") > F.struct("f.did", "f.tkey", "f.at")
     ).select("did", "tkey", "low", "high")
+    plain = scratch.write(within.unionByName(again).mapInPandas(_merge_portions, _SPAN))
+    scratch.drop(found)
     several = first.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    asked = first.join(several, "h").select(
+    asked, n = scratch.write_counted(first.join(several, "h").select(
         "h", "f.did", "f.tkey", "f.low", "f.high", (F.col("contexts") > CONTEXTS).alias("hot")
-    ).groupBy("did", "tkey").agg(F.collect_list(F.struct("h", "low", "high", "hot")).alias("lists"))
-    asked, n = write_counted(asked)
-    cut, size = write_counted(
+    ).groupBy("did", "tkey").agg(F.collect_list(F.struct("h", "low", "high", "hot")).alias("lists")))
+    scratch.drop(first)
+    cut, size = scratch.write_counted(
         _cut_out(_with_texts(docs, asked, n <= SMALL), length), F.sum(F.coalesce(F.octet_length("bytes"), F.lit(0)))
     )
-    slots = max(8, -(-size // ARRAY_BYTES))
+    scratch.drop(asked)
+    slots = max(8, -(-size // (2 * ARRAY_BYTES)))
     arrays = cut.where("bytes IS NOT NULL").groupBy(F.pmod(F.xxhash64("h"), F.lit(slots))).applyInPandas(_repeats(length), _SPAN)
-    windows = cut.where("w1 IS NOT NULL").select("w1", "w2", "did", "tkey", "low").distinct()
+    windows = cut.where("w1 IS NOT NULL").select("w1", "w2", "did", "tkey", "low")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "tkey", "low")).alias("f"), F.count(F.lit(1)).alias("n"))
     crowded = windows.join(least.where("n > 1").select("w1", "w2", "f"), ["w1", "w2"]).where(
         F.struct("did", "tkey", "low") > F.col("f")
     ).select("did", "tkey", "low", (F.col("low") + length).alias("high"))
-    return within.unionByName(again).unionByName(arrays).unionByName(crowded)
+    spans = plain.unionByName(arrays).unionByName(crowded).mapInPandas(_merge_portions, _SPAN)
+    spans, n = scratch.write_counted(spans.groupBy("did", "tkey").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    scratch.drop(cut, plain)
+    return spans, n
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -409,8 +433,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
     by 64-bit hashes of them and of their anchors.
     """
     rows = _named(docs, key, text)
-    spans = repeated_spans(rows, length).mapInPandas(_merge_portions, _SPAN)
-    spans, n = write_counted(spans.groupBy("did", "tkey").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    spans, n = repeated_spans(rows, length, Scratch(docs.sparkSession))
     if n > SMALL:
         return rows.join(spans, ["did", "tkey"], "left").select("doc_id", "text", "spans").mapInArrow(_keep, _RESULT)
     ids = F.broadcast(spans.select("did", "tkey"))
