@@ -97,6 +97,7 @@ def unpack(payload: bytes) -> np.ndarray:
     for at in np.flatnonzero(selector == 0).tolist():  # escapes are rare
         if not raw[at]:
             raw[at + 1] = True
+    selector[raw] = 0
     counts = np.array([c for c, _ in PACKING], np.int64)[selector]
     counts[(selector == 0) | raw] = raw[(selector == 0) | raw]
     ends = np.cumsum(counts)
