@@ -212,12 +212,17 @@ def call_edges(
 
 
 def relationships(*edge_sets: DataFrame) -> DataFrame:
-    """Bag union of edge sets, ids added, the first of each id kept."""
+    """Bag union of edge sets, ids added, the first of each edge kept.
+
+    An edge is its ends and type; the short id is a label, and two edges may share one.
+    """
     edges = reduce(DataFrame.unionByName, [e.select(*_EDGE) for e in edge_sets])
     keyed = edges.withColumn(
         "id", ids.relationship_id(F.col("source"), F.col("target"), F.col("type"))
     )
-    kept = first_wins(keyed, ["project_id", "id"], ["file_path", "ord"])
+    kept = first_wins(
+        keyed, ["project_id", "source", "target", "type"], ["file_path", "ord"]
+    )
     return kept.select("project_id", "id", "source", "target", "type", "import_specifiers")
 
 

@@ -18,9 +18,12 @@ from srcweave.sources.corpus import explode_lines
 
 
 def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A supplied table as a stream of arriving Parquet files."""
+    """A supplied table as a stream of arriving Parquet files.
+
+    The table is one file or a folder of part files; a pattern as path takes both.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")
 
 
 def append_results(stream: DataFrame, work: str) -> DataFrame:
