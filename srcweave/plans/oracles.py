@@ -539,7 +539,7 @@ ORACLES: dict[str, str] = {
     "rules_without_findings": FOUND + f""" SELECT project_id, rule_id, name FROM {_PROJECTS} p,
       (VALUES {', '.join(f"('{r}', '{v[0]}')" for r, v in RULE_TABLE.items() if r[:2] == 'py')})
       v(rule_id, name) WHERE (project_id, rule_id) NOT IN
-      (SELECT (project_id, rule_id) FROM found WHERE severity = 'critical')""",
+      (SELECT (project_id, rule_id) FROM found)""",
     "finding_share": FOUND + """ SELECT project_id, rule_id, count(*) AS n, round(count(*) /
       sum(count(*)) OVER (PARTITION BY project_id), 9) AS share FROM found GROUP BY 1, 2""",
     "findings_ranked": FOUND

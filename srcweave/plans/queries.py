@@ -599,8 +599,7 @@ def findings_config_table(t: Inputs) -> DataFrame:
 
 @query
 def rules_without_findings(t: Inputs) -> DataFrame:
-    found = t.findings().where("severity = 'critical'")
-    return FN.rules_without_findings(R.rules_table(t.spark, "python"), found, t.projects)
+    return FN.rules_without_findings(R.rules_table(t.spark, "python"), t.findings(), t.projects)
 
 
 @query

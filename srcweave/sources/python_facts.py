@@ -64,21 +64,28 @@ def _names(node: ast.AST) -> list[str]:
 
 
 def _uses(src: _Source, node: ast.AST, via: list[str]) -> list[dict]:
-    """Sub-expressions through which a value may become tainted, outermost first."""
-    text = src.text(node)
-    name = node.id if isinstance(node, ast.Name) else None
-    found = [{"text": text, "name": name, "via": via}]
-    if isinstance(node, (ast.Attribute, ast.Subscript)):
-        found.append({"text": text, "name": src.text(node.value), "via": [text, *via]})
-    elif isinstance(node, ast.JoinedStr):
-        for part in node.values:
-            if isinstance(part, ast.FormattedValue):
-                found += _uses(src, part.value, ["f-string", *via])
-    elif isinstance(node, ast.BinOp):
-        found += _uses(src, node.left, via) + _uses(src, node.right, via)
-    elif isinstance(node, ast.Call) and getattr(node.func, "attr", "") == "format":
-        for arg in node.args:
-            found += _uses(src, arg, [".format()", *via])
+    """Sub-expressions through which a value may become tainted, outermost first.
+
+    Of a chain of operators the whole and its operands are listed, not every prefix: what is
+    found in a prefix is found in the whole or in an operand.
+    """
+    found, waiting = [], [(node, via, True)]
+    while waiting:
+        node, via, whole = waiting.pop()
+        if isinstance(node, ast.BinOp):
+            if whole:
+                found.append({"text": src.text(node), "name": None, "via": via})
+            waiting += [(node.right, via, False), (node.left, via, False)]
+            continue
+        text = src.text(node)
+        found.append({"text": text, "name": node.id if isinstance(node, ast.Name) else None, "via": via})
+        if isinstance(node, (ast.Attribute, ast.Subscript)):
+            found.append({"text": text, "name": src.text(node.value), "via": [text, *via]})
+        elif isinstance(node, ast.JoinedStr):
+            parts = [p.value for p in node.values if isinstance(p, ast.FormattedValue)]
+            waiting += [(p, ["f-string", *via], True) for p in reversed(parts)]
+        elif isinstance(node, ast.Call) and getattr(node.func, "attr", "") == "format":
+            waiting += [(arg, [".format()", *via], True) for arg in reversed(node.args)]
     return found
 
 
@@ -138,8 +145,11 @@ def _class_members(src: _Source, cls: ast.ClassDef) -> tuple[list[dict], list[di
     return methods, properties
 
 
-class _Walker(ast.NodeVisitor):
-    """Collects calls, assignments and function scopes in document order."""
+class _Walker:
+    """Collects calls, assignments and function scopes in document order.
+
+    What is still to be read waits on a list, so no nesting is too deep.
+    """
 
     def __init__(self, src: _Source):
         self.src = src
@@ -148,34 +158,56 @@ class _Walker(ast.NodeVisitor):
         self.scopes: list[dict] = []
         self.open: list[dict] = []
         self.owner: tuple[str, str] | None = None
-
-    def visit_FunctionDef(self, node):
+        self.waiting: list = []
+
+    def visit(self, node: ast.AST) -> None:
+        """Read a node and everything in it."""
+        self.waiting.append(node)
+        while self.waiting:
+            item = self.waiting.pop()
+            if callable(item):
+                item()
+            elif isinstance(item, _FUNCS):
+                self._function(item)
+            else:
+                if isinstance(item, ast.Call):
+                    self._call(item)
+                elif isinstance(item, ast.Assign):
+                    for target in item.targets:
+                        self._assign(item, target, item.value)
+                elif isinstance(item, ast.AnnAssign) and item.value is not None:
+                    self._assign(item, item.target, item.value)
+                elif isinstance(item, ast.AugAssign):
+                    self._assign(item, item.target, item.value, augmented=True)
+                self._next(ast.iter_child_nodes(item))
+
+    def _next(self, parts) -> None:
+        self.waiting += reversed(list(parts))
+
+    def _function(self, node):
         owner = self.owner
-        if not self.open:
-            self.owner = None
-        for part in node.decorator_list:
-            self.visit(part)
-        self.owner = owner
         scope = {
             "scope_id": f"{node.name}:{node.lineno}:{node.col_offset}",
             "name": node.name, "line": node.lineno, "end_line": node.end_lineno,
             "callees": [], "steps": [],
         }
-        self.scopes.append(scope)
-        self.open.append(scope)
-        for part in (node.args, node.returns, *node.body):
-            if part is not None:
-                self.visit(part)
-        self.open.pop()
 
-    visit_AsyncFunctionDef = visit_FunctionDef
+        def enter():
+            self.owner = owner
+            self.scopes.append(scope)
+            self.open.append(scope)
 
-    def visit_Call(self, node):
+        if not self.open:
+            self.owner = None
+        body = [part for part in (node.args, node.returns, *node.body) if part is not None]
+        self._next([*node.decorator_list, enter, *body, self.open.pop])
+
+    def _call(self, node):
         callee = self.src.text(node.func)
         is_member = isinstance(node.func, ast.Attribute)
         name = node.func.attr if is_member else getattr(node.func, "id", None)
         args = []
-        for value in node.args[:2]:
+        for value in node.args:
             text = self.src.text(value)
             args.append({"text": text, "kind": _kind(value, text), "names": _names(value),
                          "atoms": [text]})
@@ -194,7 +226,6 @@ class _Walker(ast.NodeVisitor):
         })
         for scope in self.open:
             scope["callees"].append(callee)
-        self.generic_visit(node)
 
     def _assign(self, node, target, value, augmented=False):
         text = self.src.text(value)
@@ -215,20 +246,6 @@ class _Walker(ast.NodeVisitor):
         for scope in self.open:
             scope["steps"].append(step)
 
-    def visit_Assign(self, node):
-        for target in node.targets:
-            self._assign(node, target, node.value)
-        self.generic_visit(node)
-
-    def visit_AnnAssign(self, node):
-        if node.value is not None:
-            self._assign(node, node.target, node.value)
-        self.generic_visit(node)
-
-    def visit_AugAssign(self, node):
-        self._assign(node, node.target, node.value, augmented=True)
-        self.generic_visit(node)
-
 
 def _decl(src: _Source, node: ast.AST, position: int) -> dict:
     first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
@@ -262,9 +279,14 @@ def _imports(tree: ast.Module) -> list[dict]:
 
 
 def parse_python(content: str) -> dict:
-    """Facts of one file; an unreadable file yields its line count and the error."""
-    facts = {"n_lines": content.count("\n") + 1, "error": None, "decls": [], "imports": [],
+    """Facts of one file; one that cannot be parsed yields its line count and the error.
+
+    A file without content (null) has no lines; its error says so.
+    """
+    facts = {"n_lines": 0 if content is None else content.count("\n") + 1, "error": None, "decls": [], "imports": [],
              "calls": [], "assigns": [], "scopes": [], "exprs": []}
+    if content is None:
+        return facts | {"error": "no content"}
     try:
         tree = ast.parse(content)
         src = _Source(content)

@@ -56,11 +56,10 @@ def gate(found: DataFrame) -> DataFrame:
     )
 
 
-def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts by type and time window; rows later than ``late`` are left out."""
+def window_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
+    """Counts by type and time window of the events at hand."""
     return (
-        events.withWatermark("ts", late)
-        .groupBy(F.window("ts", width).alias("w"), "event_type")
+        events.groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("event_type").alias("type"), "n")
     )
@@ -69,7 +68,8 @@ def window_counts(events: DataFrame, width: str = "1 day", late: str = "2 days")
 def growth_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Daily counts by type from the stream of events.
 
-    Every update of a window is written with its batch number; the last one counts.
+    Each batch writes the counts of its own events under its number and the counts add up, so no
+    event is too late and no state is kept; a batch that runs again replaces what it wrote.
     """
     events = file_stream(spark, folder, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), "event_type"
@@ -77,15 +77,15 @@ def growth_windows(spark: SparkSession, folder: str) -> DataFrame:
     work = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/updates/batch={number}")
+        window_counts(batch).write.mode("overwrite").parquet(f"{work}/counts/batch={number}")
 
     run = (
-        window_counts(events).writeStream.outputMode("update").foreachBatch(store)
+        events.writeStream.foreachBatch(store)
         .option("checkpointLocation", f"{work}/progress").trigger(availableNow=True).start()
     )
     run.awaitTermination()
-    updates = spark.read.schema("window_start timestamp, type string, n bigint, batch int").parquet(
-        f"{work}/updates"
+    counts = spark.read.schema("window_start timestamp, type string, n bigint, batch int").parquet(
+        f"{work}/counts"
     )
-    latest = updates.groupBy("window_start", "type").agg(F.max_by("n", "batch").alias("n"))
-    return latest.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+    total = counts.groupBy("window_start", "type").agg(F.sum("n").alias("n"))
+    return total.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from srcweave.functions import ids
 from srcweave.operators.resolve import relationships
-from srcweave.streaming.incremental import append_results, file_stream
+from srcweave.sources.python_facts import parse_python
+from srcweave.streaming.incremental import append_results, file_stream, growth_windows
 
 
 def test_edges_that_share_a_short_id_are_kept(spark, monkeypatch):
@@ -23,3 +24,30 @@ def test_folder_tables_stream_whole(spark, tmp_path):
     rows.repartition(4).write.parquet(str(tmp_path / "in" / "part.parquet"))
     got = append_results(file_stream(spark, str(tmp_path / "in"), "part"), str(tmp_path / "work"))
     assert got.count() == 1_000
+
+
+def test_events_out_of_order_all_count(spark, tmp_path):
+    for at, days in enumerate(([40, 41], [1, 2, 40], [20])):
+        rows = [(f"2024-01-01 00:00:0{d % 10}", "a", d) for d in days]
+        frame = spark.createDataFrame(rows, "ts string, event_type string, d int").select(
+            F.expr("cast(ts as timestamp) + make_dt_interval(d)").alias("ts"), "event_type"
+        )
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = growth_windows(spark, str(tmp_path)).collect()
+    assert sorted((r.window_start, r.n) for r in got) == [
+        ("2024-01-02", 1), ("2024-01-03", 1), ("2024-01-21", 1), ("2024-02-10", 2), ("2024-02-11", 1)]
+
+
+def test_deep_expressions_lose_no_facts():
+    chain = " + ".join(f"a{i}" for i in range(5_000))
+    facts = parse_python(f'password = "hunter22"\ndef f():\n    x = {chain}\n    g(1, 2, 3, x)\n')
+    assert facts["error"] is None and [a["target"] for a in facts["assigns"]] == ["password", "x"]
+    assert [a["text"] for a in facts["calls"][0]["args"]] == ["1", "2", "3", "x"]
+    uses = facts["assigns"][1]["uses"]
+    assert len(uses) == 5_001 and sum(len(u["text"]) for u in uses) < 2 * len(chain)
+    assert facts["scopes"][0]["callees"] == ["g"] and facts["calls"][0]["caller"] == "f"
+
+
+def test_a_file_without_content_is_an_error():
+    facts = parse_python(None)
+    assert facts["error"] == "no content" and facts["n_lines"] == 0
