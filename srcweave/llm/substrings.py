@@ -38,16 +38,17 @@ def _spread(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of a block, and their rows.
+def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of a block, their rows, and the least hash of each window.
 
     Of the short strings within every ``length`` bytes of a row those with the least hash are
-    anchors, so equal long strings have equal anchors at equal places.
+    anchors, so equal long strings have equal anchors at equal places.  The least hashes are 0
+    where no window begins, and stand behind as many zeros as a window has places less one.
     """
     none = np.zeros(0, np.int64)
     n, span = len(block.data), length - ANCHOR + 1
     if n < length:
-        return none, none.astype(np.uint64), none
+        return none, none.astype(np.uint64), none, none.astype(np.uint64)
     h = fixed_hashes(prefix_sums(block.data), ANCHOR)
     least = _spread(h, span, np.minimum)
     size = np.diff(block.offsets)
@@ -55,9 +56,22 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     inside[ragged(block.offsets[:-1], np.maximum(size - length + 1, 0))] = True
     least[~inside] = 0
     edge = np.zeros(span - 1, np.uint64)
-    most = _spread(np.concatenate((edge, least, edge)), span, np.maximum)
-    at = np.flatnonzero((most == h) & (h > 0))
-    return at, h[at], np.searchsorted(block.offsets, at, "right") - 1
+    least = np.concatenate((edge, least, edge))
+    at = np.flatnonzero((_spread(least, span, np.maximum) == h) & (h > 0))
+    return at, h[at], np.searchsorted(block.offsets, at, "right") - 1, least
+
+
+def _own_windows(at: np.ndarray, h: np.ndarray, least: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the first window begins in which an anchor's hash is the least, and the number of those windows.
+
+    They are neighbours: only a smaller hash on either side ends them.
+    """
+    first, count = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(least, span) if len(at) else least
+    for a in range(0, len(at), 4096):
+        own = windows[at[a : a + 4096]] == h[a : a + 4096, None]
+        first[a : a + 4096], count[a : a + 4096] = own.argmax(1), own.sum(1)
+    return at - span + 1 + first, count
 
 
 def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -81,7 +95,7 @@ def _first_counts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for block in blocks(batch.column(2)):
-                at, h, row = anchors(block, length)
+                at, h, row, _ = anchors(block, length)
                 bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((at, bucket))
                 h, row, bucket = h[order], row[order], bucket[order]
@@ -163,8 +177,12 @@ def _with_texts(docs: DataFrame, lists: DataFrame, few: bool) -> DataFrame:
 
 
 def _picked(block: Block, lists: list, length: int, buckets: int) -> tuple[np.ndarray, ...]:
-    """Row, hash, hash of the surroundings, place, and bounds of the surroundings of the listed anchors."""
-    at, h, row = anchors(block, length)
+    """Row, hash, hash of the surroundings, place, and bounds of the surroundings of the listed anchors.
+
+    Surroundings are the windows in which the anchor has the least hash; other windows belong
+    to other anchors.
+    """
+    at, h, row, least = anchors(block, length)
     bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((at, bucket, row))
     r, b = row[order], bucket[order]
@@ -176,8 +194,9 @@ def _picked(block: Block, lists: list, length: int, buckets: int) -> tuple[np.nd
             places = np.frombuffer(part["places"], np.uint32).astype(np.int64)
             keep[order[begin[i, part["bucket"]] + places]] = True
     at, h, row = at[keep], h[keep], row[keep]
-    left, right = block.offsets[:-1][row], block.offsets[1:][row]
-    low, high = np.maximum(left, at - (length - ANCHOR)), np.minimum(right, at + length)
+    left = block.offsets[:-1][row]
+    low, count = _own_windows(at, h, least, length - ANCHOR + 1)
+    high = low + count + length - 1
     c = mix(span_hashes(block.data, low, high) + (at - low).astype(np.uint64))
     return block.first + row, h, c, at - left, low - left, high - left
 
