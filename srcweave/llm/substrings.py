@@ -21,7 +21,7 @@ ANCHOR = 32
 #: of anchors with more are compared one by one instead.
 CONTEXTS = 256
 #: Bytes of suffix arrays that a task builds at once, and anchors in one bucket, about.
-ARRAY_BYTES, BUCKET_ANCHORS = 2 << 20, 2_000_000
+ARRAY_BYTES, BUCKET_ANCHORS = 1 << 19, 2_000_000
 #: Ids that may be broadcast.
 SMALL = 200_000
 
@@ -320,7 +320,8 @@ def _repeats_of(group: pd.DataFrame, length: int) -> pd.DataFrame:
     ends = place[last] + sizes[last] + 1
     symbols[ends - 1] = 0
     offsets = np.concatenate(([0], ends))
-    order = np.argsort(suffix_places(symbols, offsets))
+    order = np.empty(len(symbols), np.int64)
+    order[suffix_places(symbols, offsets)] = np.arange(len(symbols))
     where = np.full(len(symbols), -1, np.int64)
     where[ragged(place, sizes)] = np.arange(len(data))
     long_ = np.zeros(len(data), bool)
@@ -378,7 +379,7 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
         _cut_out(_with_texts(docs, asked, n <= SMALL), length), F.sum(F.coalesce(F.octet_length("bytes"), F.lit(0)))
     )
     scratch.drop(asked)
-    slots = max(8, -(-size // (2 * ARRAY_BYTES)))
+    slots = max(8, -(-size // (8 * ARRAY_BYTES)))
     arrays = cut.where("bytes IS NOT NULL").groupBy(F.pmod(F.xxhash64("h"), F.lit(slots))).applyInPandas(_repeats(length), _SPAN)
     windows = cut.where("w1 IS NOT NULL").select("w1", "w2", "did", "tkey", "low")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "tkey", "low")).alias("f"), F.count(F.lit(1)).alias("n"))
