@@ -231,7 +231,7 @@ def _occurrences(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     return docs.select("did", "tkey", "text", "lists").mapInArrow(find, _FOUND)
 
 
-_CUT = "did long, tkey long, h long, low long, bytes binary, w1 long, w2 long"
+_CUT = "did long, tkey long, h long, at long, low long, bytes binary, w1 long, w2 long"
 
 
 def _cut_out(docs: DataFrame, length: int) -> DataFrame:
@@ -245,12 +245,12 @@ def _cut_out(docs: DataFrame, length: int) -> DataFrame:
                 for r in range(block.rows):
                     base = int(block.offsets[r])
                     for s in lists[block.first + r]:
-                        (single if s["hot"] else whole).append((block.first + r, s["h"], s["low"], base + s["low"], base + s["high"]))
+                        (single if s["hot"] else whole).append((block.first + r, s["h"], s["low"], base + s["low"], base + s["high"], s["at"]))
                 kept = [batch.column(i).take(pa.array([w[0] for w in whole], pa.int64())) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array([w[1] for w in whole], pa.int64()), pa.array([w[2] for w in whole], pa.int64()),
+                    [*kept, *[pa.array([w[i] for w in whole], pa.int64()) for i in (1, 5, 2)],
                      pa.array([raw[w[3] : w[4]] for w in whole], pa.binary()), *[pa.nulls(len(whole), pa.int64())] * 2],
-                    ["did", "tkey", "h", "low", "bytes", "w1", "w2"],
+                    ["did", "tkey", "h", "at", "low", "bytes", "w1", "w2"],
                 )
                 if not single:
                     continue
@@ -264,9 +264,9 @@ def _cut_out(docs: DataFrame, length: int) -> DataFrame:
                 second = span_hashes(block.data, begin, begin + length, prefix_sums(block.data, OTHER_VALUES))
                 kept = [batch.column(i).take(pa.array(owner)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.nulls(len(begin), pa.int64()), pa.array(begin - block.offsets[:-1][owner - block.first]),
+                    [*kept, *[pa.nulls(len(begin), pa.int64())] * 2, pa.array(begin - block.offsets[:-1][owner - block.first]),
                      pa.nulls(len(begin), pa.binary()), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))],
-                    ["did", "tkey", "h", "low", "bytes", "w1", "w2"],
+                    ["did", "tkey", "h", "at", "low", "bytes", "w1", "w2"],
                 )
 
     return docs.select("did", "tkey", "text", "lists").mapInArrow(cut, _CUT)
@@ -286,12 +286,50 @@ def _join_windows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return doc[first], start[first], reach[last] - doc[first] * big
 
 
+def _shared_length(h: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """The most bytes that the side of an anchor's surroundings has in common with one of the others'."""
+    keys = np.pad(sides, ((0, 0), (0, -sides.shape[1] % 8))).view(">u8")
+    order = np.lexsort((*keys.T[::-1], h))
+    differ = sides[order][1:] != sides[order][:-1]
+    common = np.where(differ.any(1), differ.argmax(1), sides.shape[1])
+    common[h[order][1:] != h[order][:-1]] = 0
+    edge = np.zeros(1, np.int64)
+    most = np.empty(len(h), np.int64)
+    most[order] = np.maximum(np.append(edge, common), np.append(common, edge))
+    return most
+
+
+def _trimmed(group: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Surroundings cut to what may stand in others of the same anchor; those too short for a window go.
+
+    A window has some bytes before its anchor and some behind.  It can only stand elsewhere if
+    others have as many in common with it on both sides.
+    """
+    sizes = group["bytes"].map(len).to_numpy().astype(np.int64)
+    data = np.frombuffer(b"".join(group["bytes"]), np.uint8)
+    h, low = group["h"].to_numpy(), group["low"].to_numpy()
+    before, side = group["at"].to_numpy() - low, length - ANCHOR
+    anchor = np.cumsum(sizes) - sizes + before
+    behind = sizes - before - ANCHOR
+    steps, padded = np.arange(side), np.append(data, np.zeros(1, np.uint8))
+    left = padded[np.where(steps < before[:, None], anchor[:, None] - 1 - steps, len(data))]
+    left = np.minimum(_shared_length(h, left), before)
+    right = padded[np.where(steps < behind[:, None], anchor[:, None] + ANCHOR + steps, len(data))]
+    right = np.minimum(_shared_length(h, right), behind)
+    keep = left + ANCHOR + right >= length
+    group = group[keep].assign(low=(low + before - left)[keep])
+    begin, end = (before - left)[keep].tolist(), (before + ANCHOR + right)[keep].tolist()
+    return group.assign(bytes=[x[a:b] for x, a, b in zip(group["bytes"], begin, end, strict=True)])
+
+
 def _repeats(length: int):
     """Windows of some surroundings that also begin earlier, by the suffix arrays of each anchor's."""
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        group = group.iloc[np.argsort(group["h"].to_numpy(), kind="stable")]
+        group = _trimmed(group.iloc[np.argsort(group["h"].to_numpy(), kind="stable")], length)
+        if not len(group):
+            return pd.DataFrame({name: np.zeros(0, np.int64) for name in ("did", "tkey", "low", "high")})
         sizes = group["bytes"].map(len).to_numpy()
         new = np.flatnonzero(np.concatenate(([True], np.diff(group["h"].to_numpy()) != 0)))
         by_anchor = np.add.reduceat(sizes, new)
@@ -372,8 +410,8 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
     scratch.drop(found)
     several = first.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
     asked, n = scratch.write_counted(first.join(several, "h").select(
-        "h", "f.did", "f.tkey", "f.low", "f.high", (F.col("contexts") > CONTEXTS).alias("hot")
-    ).groupBy("did", "tkey").agg(F.collect_list(F.struct("h", "low", "high", "hot")).alias("lists")))
+        "h", "f.did", "f.tkey", "f.at", "f.low", "f.high", (F.col("contexts") > CONTEXTS).alias("hot")
+    ).groupBy("did", "tkey").agg(F.collect_list(F.struct("h", "at", "low", "high", "hot")).alias("lists")))
     scratch.drop(first)
     cut, size = scratch.write_counted(
         _cut_out(_with_texts(docs, asked, n <= SMALL), length), F.sum(F.coalesce(F.octet_length("bytes"), F.lit(0)))
@@ -442,7 +480,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text
        counted in bulk, dealt to buckets whose number follows the corpus; a block sends each once.
     2. Of anchors with equal surroundings all but the first have all their strings removed:
        equal surroundings are collapsed before anything else is shuffled.
-    3. The different surroundings of an anchor form a suffix array (Lyndon grouping); strings that
+    3. The different surroundings of an anchor, cut to what others have in common with them on either
+       side, form a suffix array (Lyndon grouping); strings that
        are neighbours in its order and equal keep their earliest place.  An anchor with more than
        ``CONTEXTS`` of them has its strings grouped by two hashes instead, which is exact too
        and never holds them in one task.

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,30 @@ def test_crowded_anchors_agree(spark, monkeypatch):
     assert {r.doc_id: r.kept_sha256 for r in substrings.remove_repeats(frame).collect()} == whole
 
 
+def test_trimmed_surroundings_find_the_same():
+    rng = np.random.default_rng(4)
+    length, anchor = 100, substrings.ANCHOR
+    pieces = [bytes(rng.integers(0, 256, 70, dtype=np.uint8)) for _ in range(4)]
+    middle = bytes(rng.integers(0, 256, anchor, dtype=np.uint8))
+    items = []
+    for did in range(60):
+        before, behind = (bytearray(pieces[i]) for i in rng.integers(0, 4, 2))
+        before[rng.integers(0, 70)] ^= did % 3
+        behind[rng.integers(0, 70)] ^= did % 2
+        left, right = rng.integers(20, 69, 2)
+        if left + right + anchor >= length:
+            items.append((did, did, did % 2, 200, 200 - left, bytes(before[-left:]) + middle + bytes(behind[:right])))
+    group = pd.DataFrame(items, columns=["did", "tkey", "h", "at", "low", "bytes"]).sort_values("h", kind="stable")
+
+    def covered(part):
+        found = substrings._repeats_of(part, length)
+        return {(d, p) for d, a, b in zip(found["did"], found["low"], found["high"], strict=True) for p in range(a, b)}
+
+    trimmed = substrings._trimmed(group, length)
+    assert trimmed["bytes"].map(len).sum() < group["bytes"].map(len).sum()
+    assert covered(trimmed) == covered(group) != set()
+
+
 def test_decontamination(docs, nothing, spark):
     items = [(1, TEXT[:400]), (2, "one two"), (3, None), (None, "ß日本語"), (5, ""), (1, "テキスト é")]
     bench = spark.createDataFrame(items, "item_id long, text string")
