@@ -25,8 +25,15 @@ SMALL = 200_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 #: Columns of the bitmap of a set.
 BITS = tuple(f"bits{i}" for i in range(8))
-#: Rounds, and sets per round, in which the rest of a group is compared with few of it.
-ROUNDS, PIVOTS = 2, 4
+#: Sets, and tokens of sets, that one side of a tile holds, about; a larger group is dealt to several tiles.
+TILE_SETS, TILE_TOKENS = 512, 500_000
+#: Rows of tiles that are paired in one task, and pairs that are compared in one task, about.
+TILE_ROWS, TASK_PAIRS = 50_000, 1_000_000
+#: Groups of a set by which two sets that share several are paired in one of them only.
+SIGNS = 4
+#: Pairs that are filtered at once, and columns of tokens that are counted at once.
+CHUNK, COLUMNS = 200_000, 4_096
+_NONE = 2**63 - 1
 _BLOBS = "bucket int, nodes binary, counts binary, tokens binary"
 
 
@@ -156,17 +163,6 @@ def _bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd).reshape(-1, 64).view(np.int64)
 
 
-def _may_be_similar(a: str, b: str, percent: int) -> Column:
-    """False only if two sets (columns with suffixes ``a`` and ``b``) can't be similar.
-
-    Their sizes must fit, and each bit in which they differ is a token that one of them lacks,
-    of which similar sets have (1 - s) / (1 + s) of their sizes' sum at most.
-    """
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    apart = sum((F.bit_count(F.col(f"{c}{a}").bitwiseXOR(F.col(f"{c}{b}"))) for c in BITS), F.lit(0))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``node``, ``n`` and ``tokens`` (sorted 64-bit hashes) of the wanted sets, from one document each."""
 
@@ -249,110 +245,160 @@ def _groups(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gid": np.repeat(name[once], size[once]).view(np.int64), "node": owner[ragged(first[once], size[once])]})
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are similar.
+def _parts(groups: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``parts`` of each ``gid`` whose sets (``node``) don't fit in one part."""
+    parts = groups.join(sizes, "node").groupBy("gid").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("parts")
+    )
+    return broadcast_if_small(write_once(parts.where("parts > 1")), SMALL)
 
-    A pair must also share a token of the prefixes under two more orders, by rising and
-    by falling hash, before its sets are compared.
-    """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                p, q = (int(may_miss(np.int64(len(v)), percent)) + 1 for v in (x, y))
-                if not np.isin(x[:p], y[:q]).any() or not np.isin(x[-p:], y[-q:]).any():
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
-
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("y"))
-    outline = sets.select("node", "n", *BITS)
-    fitting = pairs.join(outline.toDF("a", "n_a", *[f"{c}_a" for c in BITS]), "a").join(
-        outline.toDF("b", "n_b", *[f"{c}_b" for c in BITS]), "b"
-    ).where(_may_be_similar("_a", "_b", percent)).select("a", "b")
-    joined = fitting.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(compare, "a long, b long")
+def _part_of(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.coalesce("parts", F.lit(1))).cast("int")
 
 
-def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components of the sets by links between those of a group.
+def _tiles(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of each group, dealt by a hash to parts of bounded size; a tile holds two parts, or one twice.
 
-    Every set of a group is compared with the group's first.  What did not end up in the component
-    of the first is compared with a few others of that component, and what is still
-    apart then with all of the group outside its own component.  So a group of near copies
-    costs a few comparisons for each of them, and no link between components is missed.
+    A row is a set (``node``, its size, bitmap and least groups) in a tile (``gid``, ``i``, ``j``); ``part`` is its own.
     """
-    first = write_once(groups.groupBy("gid").agg(F.min("node").alias("first")))
-    star = groups.join(first, "gid").where(F.col("node") != F.col("first")).select(
-        F.col("first").alias("a"), F.col("node").alias("b")
-    )
-    tried = write_once(star.distinct())
-    links = write_once(_verified(tried, sets, percent))
-    for turn in range(ROUNDS + 1):
-        labels = connected(links)
-        named = groups.join(labels, "node", "left").select("gid", "node", F.coalesce("label", "node").alias("label"))
-        heads = first.join(labels, first["first"] == labels["node"], "left").select(
-            "gid", F.coalesce("label", "first").alias("head")
-        )
-        named = write_once(named.join(heads, "gid"))
-        apart, left = write_counted(named.where("label <> head"))
-        if not left:
-            return labels
-        if turn == ROUNDS:
-            break
-        order = [F.xxhash64("node", F.lit(turn * PIVOTS + i)) for i in range(PIVOTS)]
-        pivots = named.where("label = head").join(apart.select("gid").distinct(), "gid", "left_semi").groupBy("gid").agg(
-            F.array_distinct(F.array(*[F.min_by("node", o) for o in order])).alias("pivots")
-        )
-        pairs = apart.join(pivots, "gid").select(F.explode("pivots").alias("a"), F.col("node").alias("b")).distinct()
-        pairs = write_once(pairs.join(tried, ["a", "b"], "left_anti"))
-        links = write_once(links.unionByName(_verified(pairs, sets, percent)))
-        tried = tried.unionByName(pairs)
-    outline = sets.select("node", "n", *BITS)
-    left = apart.select("gid", "node", "label").join(outline, "node").toDF("a", "gid", "label_a", "n_a", *[f"{c}_a" for c in BITS])
-    right = named.select("gid", "node", "label").join(
-        apart.select("gid").distinct(), "gid", "left_semi"
-    ).join(outline, "node").select(F.col("node").alias("b"), F.col("gid").alias("gid_b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in BITS])
-    rest = left.join(
-        right, (F.col("gid") == F.col("gid_b")) & (F.col("label_a") != F.col("label_b")) & _may_be_similar("_a", "_b", percent)
-    ).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more, found = write_counted(_verified(write_once(rest), sets, percent))
-    return connected(links.unionByName(more)) if found else labels
+    outline = write_once(sets.select("node", "n", *BITS))
+    signs = groups.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("gid")), 1, SIGNS).alias("signs"))
+    signs = write_once(outline.join(signs, "node").select(
+        "node", "n", *BITS, *[F.coalesce(F.get("signs", F.lit(k)), F.lit(_NONE)).alias(f"sign{k}") for k in range(SIGNS)]
+    ))
+    dealt = groups.join(_parts(groups, outline.select("node", "n")), "gid", "left").withColumn("part", _part_of("node"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    return dealt.select(
+        "gid", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node"
+    ).join(signs, "node")
 
 
-def similar_documents(
-    docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of each row.
+def _pairs(percent: int):
+    """Pairs of the sets of a tile that may be similar.
 
-    Words are what stands between white space, with A-Z in lower case.  The set of a text are
-    its distinct shingles of ``width`` words, or its whole sequence if it has fewer.  Texts
-    are linked when the common shingles are ``percent`` hundredths of all of both; the
-    component is the smallest id reachable by links.
+    Their sizes must fit, and each bit in which they differ is a token that one of them lacks,
+    of which similar sets have (1 - s) / (1 + s) of their sizes' sum at most.  A pair of which
+    both have a lesser group among their signs is left to that one.
+    """
 
-    Equal sets are one node.  Nodes are filtered under several global orders of the tokens:
+    def pair(tiles: pd.DataFrame) -> pd.DataFrame:
+        tiles = tiles.sort_values(["gid", "i", "j", "part"])
+        gid, i, j, part, node, n = (tiles[c].to_numpy() for c in ("gid", "i", "j", "part", "node", "n"))
+        bits = np.stack([tiles[c].to_numpy() for c in BITS], 1).view(np.uint64)
+        signs = np.stack([tiles[f"sign{k}"].to_numpy() for k in range(SIGNS)], 1)
+        at = np.arange(len(gid))
+        new = np.ones(len(gid), bool)
+        new[1:] = (gid[1:] != gid[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        first, tile = np.flatnonzero(new), np.cumsum(new) - 1
+        end = np.append(first[1:], len(gid))[tile]
+        right = (first + np.add.reduceat((part == i).astype(np.int64), first))[tile]
+        begin = np.where(i == j, at + 1, np.where(part == i, right, end))
+        many = end - begin
+        cuts = np.searchsorted(np.cumsum(many) // CHUNK, np.arange(1, int(many.sum()) // CHUNK + 1))
+        out = [(np.zeros(0, np.int64),) * 2]
+        for rows in np.split(at, cuts):
+            x, y = np.repeat(rows, many[rows]), ragged(begin[rows], many[rows])
+            fit = (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
+            x, y = x[fit], y[fit]
+            seen = np.zeros(len(x), bool)
+            for k in range(SIGNS):
+                sign = signs[x, k]
+                less = sign < gid[x]
+                for m in range(SIGNS):
+                    seen |= less & (sign == signs[y, m])
+            x, y = x[~seen], y[~seen]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64)
+            fit = apart * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            out.append((x[fit], y[fit]))
+        x, y = (np.concatenate(v) for v in zip(*out, strict=True))
+        return pd.DataFrame({
+            "gid": gid[x], "i": i[x], "j": j[x], "a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y])
+        })
+
+    return pair
+
+
+def common_tokens(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens the sets ``a[k]`` and ``b[k]`` have in common.
+
+    Of few pairs, those that share no token of the prefixes under two more orders, by rising and
+    by falling hash, get 0: they can't be similar.  Of many, all are counted by products of matrices.
+    """
+    if len(a) < 4 * len(sets):
+        common = np.zeros(len(a), np.int64)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            x, y = sets[x], sets[y]
+            p, q = (int(may_miss(np.int64(len(v)), percent)) + 1 for v in (x, y))
+            if np.isin(x[:p], y[:q]).any() and np.isin(x[-p:], y[-q:]).any():
+                common[k] = len(np.intersect1d(x, y, assume_unique=True))
+        return common
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number, owner = number[times[number] > 1], owner[times[number] > 1]
+    _, number = np.unique(number, return_inverse=True)
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    total = np.zeros((len(sets), len(sets)))
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        p, q = np.searchsorted(number, [low, low + COLUMNS])
+        held = np.zeros((len(sets), int(number[q - 1]) - low + 1), np.float32)
+        held[owner[p:q], number[p:q] - low] = 1
+        total += held @ held.T
+    return total[a, b].astype(np.int64)
+
+
+def _similar(percent: int):
+    """The pairs of tiles that are similar, with the number of common tokens."""
+
+    def compare(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        pairs, sets = pairs.sort_values("tile"), sets.sort_values(["tile", "node"])
+        a, b, nodes, n = pairs["a"].to_numpy(), pairs["b"].to_numpy(), sets["node"].to_numpy(), sets["n"].to_numpy()
+        names, first = np.unique(pairs["tile"].to_numpy(), return_index=True)
+        ends = np.append(first[1:], len(pairs))
+        low, high = (np.searchsorted(sets["tile"].to_numpy(), names, side) for side in ("left", "right"))
+        common, total = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        for p, q, u, v in zip(first.tolist(), ends.tolist(), low.tolist(), high.tolist(), strict=True):
+            x, y = np.searchsorted(nodes[u:v], a[p:q]), np.searchsorted(nodes[u:v], b[p:q])
+            own = [np.frombuffer(raw, np.uint64) for raw in sets["tokens"].iloc[u:v]]
+            common[p:q] = common_tokens(own, x, y, percent)
+            total[p:q] = n[u:v][x] + n[u:v][y]
+        fit = (common > 0) & (100 * common >= percent * (total - common))
+        return pd.DataFrame({"a": a[fit], "b": b[fit], "common": common[fit]})
+
+    return compare
 
-    1. by hash, over all sets: of the tokens with the smallest hashes, a set that has a
-       partner shares all but the few that the partner may lack, so others go at once;
-    2. by frequency among the rest, rarest first: candidates share a token of their prefixes;
-    3. and 4. by rising and by falling hash: candidates share a token of these prefixes too.
 
-    Sizes and bitmaps rule out more.  What passes all is compared exactly.  Tokens travel in bulk, dealt to buckets whose
-    number follows the corpus.
+def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of similar sets: ``a`` < ``b`` and ``common``, the number of tokens of both.
 
-    Null, empty and blank texts have no set and no links; a row without id has no links and
-    no component; repeated rows are linked as equal texts are; an empty table gives no rows;
-    other columns are not read.  Words and shingles are compared by 64-bit hashes.
+    Every two sets that share a group are paired, in tiles of bounded size, so a hot group is
+    spread over many tasks.  The pairs are then compared by component, in tiles too, so the tokens
+    of a set travel once unless its component is large.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    tiles, rows = write_counted(_tiles(groups, sets))
+    bucket = F.pmod(F.xxhash64("gid", "i", "j"), F.lit(max(8, -(-rows // TILE_ROWS)))).alias("bucket")
+    pairs = tiles.groupBy(bucket).applyInPandas(_pairs(percent), "gid long, i int, j int, a long, b long")
+    pairs, many = write_counted(pairs.select("a", "b").distinct())
+    near = write_once(connected(pairs).select(F.col("label").alias("gid"), "node"))
+    sizes = sets.select("node", "n")
+    placed = pairs.join(near.withColumnRenamed("node", "a"), "a").join(_parts(near, sizes), "gid", "left")
+    i, j = _part_of("a"), _part_of("b")
+    pairs = write_once(placed.select(F.xxhash64("gid", F.least(i, j), F.greatest(i, j)).alias("tile"), "a", "b"))
+    asked = pairs.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked, tokens = write_counted(asked.join(sizes, "node"), F.sum("n"))
+    bucket = F.pmod(F.xxhash64("tile"), F.lit(max(8, -(-tokens // BUCKET_TOKENS), -(-many // TASK_PAIRS)))).alias("bucket")
+    held = asked.select("tile", "node").join(sets.select("node", "n", "tokens"), "node")
+    similar = pairs.groupBy(bucket).cogroup(held.groupBy(bucket)).applyInPandas(_similar(percent), "a long, b long, common long")
+    return write_once(similar)
+
+
+def _joined(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The summaries of all rows, the distinct sets (``least`` id and number of ``rows``), and their links."""
     low = int(SAMPLED * 2**64)
     every = write_once(_documents(rows, width, low))
     sets = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node", "check", "n", "sampled").agg(
-        F.min("doc_id").alias("least")
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")
     )
     sets, total = write_counted(sets, F.sum("sampled"))
     with_id = rows.where(F.col("doc_id").isNotNull())
@@ -368,16 +414,75 @@ def similar_documents(
     parts = times.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "times"))).alias("parts"))
     prefixes = _rare_first_blobs(kept.join(parts, "node"), buckets, percent)
     groups = write_once(prefixes.groupBy("bucket").applyInPandas(_groups, "gid long, node long").distinct())
-    labels = write_once(_links(groups, kept, percent))
+    return every, sets, _links(groups, kept, percent)
+
+
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def similar_documents(
+    docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``n_links`` of each row.
+
+    Words are what stands between white space, with A-Z in lower case.  The set of a text are
+    its distinct shingles of ``width`` words, or its whole sequence if it has fewer.  Texts
+    are linked when the common shingles are ``percent`` hundredths of all of both; the
+    component is the smallest id reachable by links, ``n_links`` the number of other rows linked to the row itself.
+
+    Equal sets are one node.  Nodes are filtered under several global orders of the tokens:
+
+    1. by hash, over all sets: of the tokens with the smallest hashes, a set that has a
+       partner shares all but the few that the partner may lack, so others go at once;
+    2. by frequency among the rest, rarest first: candidates share a token of their prefixes;
+    3. and 4. by rising and by falling hash: candidates share a token of these prefixes too.
+
+    Sizes and bitmaps rule out more.  What passes all is compared exactly: every pair, also of sets that
+    other links connect already.  Tokens travel in bulk, dealt to buckets whose
+    number follows the corpus.
+
+    Null, empty and blank texts have no set and no links; a row without id has no links and
+    no component; repeated rows are linked as equal texts are; an empty table gives no rows;
+    other columns are not read.  Words and shingles are compared by 64-bit hashes.
+    """
+    every, sets, links = _joined(_rows(docs, key, text), width, percent)
+    labels = write_once(connected(links))
     members = labels.join(sets.select("node", "least"), "node")
     least = members.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = labels.join(least, "label").select("node", "component_id")
-    of_set = write_once(sets.join(linked, "node", "left").select(
-        "node", "check", F.coalesce("component_id", "least").alias("component_id")
+    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.join(sets.select(F.col("node").alias("b"), "rows"), "b").groupBy(F.col("a").alias("node")).agg(
+        F.sum("rows").alias("near")
+    )
+    of_set = write_once(sets.join(linked, "node", "left").join(near, "node", "left").select(
+        "node", "check", F.coalesce("component_id", "least").alias("component_id"),
+        (F.coalesce("near", F.lit(0)) + F.col("rows") - 1).alias("n_links"),
     ))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return every.join(of_set, ["node", "check"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"),
+        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n_links")).otherwise(0).alias("n_links"),
+    )
+
+
+def similar_sets(
+    docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The links of :func:`similar_documents` between different sets of shingles, each once.
+
+    ``doc_id`` and ``other_id`` are the smallest ids with these sets, ``n_rows`` and ``other_rows`` the
+    numbers of rows that have them, ``n_common`` and ``n_all`` the numbers of shingles of both and of either.
+    """
+    _, sets, links = _joined(_rows(docs, key, text), width, percent)
+    named = sets.select("node", "least", "n", "rows")
+    both = links.join(named.toDF("a", "least_a", "n_a", "rows_a"), "a").join(named.toDF("b", "least_b", "n_b", "rows_b"), "b")
+    first = F.col("least_a") <= F.col("least_b")
+    return both.select(
+        F.least("least_a", "least_b").alias("doc_id"), F.greatest("least_a", "least_b").alias("other_id"),
+        F.when(first, F.col("rows_a")).otherwise(F.col("rows_b")).alias("n_rows"),
+        F.when(first, F.col("rows_b")).otherwise(F.col("rows_a")).alias("other_rows"),
+        F.col("common").alias("n_common"), (F.col("n_a") + F.col("n_b") - F.col("common")).alias("n_all"),
     )
 
 

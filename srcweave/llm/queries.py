@@ -47,12 +47,25 @@ ORACLES["op2_decontamination"] = decontamination.DECONTAMINATION_SQL
 @query
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents joined at a similarity of 0.75 of five-word shingles."""
-    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+    found = jaccard.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 ORACLES["op3_jaccard"] = jaccard.JACCARD_SQL
 
 
+@query
+def op3_jaccard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of op3_jaccard, each with its number of links."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of op3_jaccard between different sets of shingles."""
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets and linked weak parts of all documents."""
