@@ -9,36 +9,53 @@ from srcweave.llm import decontamination, jaccard, mixing, quality, sharding
 from srcweave.session import write_once
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is in ``ids``, which hold each id once; null ids are not kept."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id") == F.col("kept_id")).select(*docs.columns)
+#: The key of a row while it passes the stages.  Ids may be null or repeated, this is neither.
+ROW = "pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with their key: as they come from a stage, or written once with a new one, so that it stays."""
+    if ROW in docs.columns:
+        return docs
+    return write_once(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose key is in the one column of ``kept``, which holds each key once."""
+    return docs.join(kept.toDF("kept_row"), F.col(ROW) == F.col("kept_row")).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
-    scores = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scores.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 1"))
+    """Rows that the quality classifier doesn't reject."""
+    docs = _keyed(docs)
+    scores = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=ROW)
+    return _only(docs, scores.where("predicted = 1").select("row"))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingles the one with the smallest id."""
-    found = jaccard.similar_documents(docs)
-    return _only(docs, found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
+    """Of rows linked by similar shingles the one with the smallest id, of several the first; null ids come last."""
+    docs = _keyed(docs)
+    found = jaccard.similar_documents(docs, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    ranked = found.join(docs.select(ROW, "doc_id"), ROW).select(
+        "component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("rank")
+    )
+    return _only(docs, ranked.groupBy("component_id").agg(F.min("rank").alias("least")).select(f"least.{ROW}"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    worst = found.groupBy("doc_id").agg(F.max(F.col("contaminated").cast("int")).alias("worst"))
-    return _only(docs, worst.where("worst = 0"))
+    """Rows that the benchmark doesn't contaminate."""
+    docs = _keyed(docs)
+    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=ROW)
+    return _only(docs, found.where(~F.col("contaminated").cast("boolean")).select("doc_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its source takes it."""
-    copies = mixing.mix_sources(docs).where(F.col("copies") > 0).groupBy(F.col("doc_id").alias("mixed_id")).agg(
-        F.max("copies").cast("int").alias("mixed_copies")
+    """Each row as often as the mix of its source takes it."""
+    docs = _keyed(docs)
+    copies = mixing.mix_sources(docs, key=ROW).where(F.col("copies") > 0).select(
+        F.col("doc_id").alias("mixed_row"), F.col("copies").cast("int").alias("mixed_copies")
     )
-    return docs.join(copies, F.col("doc_id") == F.col("mixed_id")).select(
+    return docs.join(copies, F.col(ROW) == F.col("mixed_row")).select(
         *docs.columns, F.explode(F.sequence(F.lit(1), F.col("mixed_copies"))).alias("mixed_copy")
     ).drop("mixed_copy")
 

@@ -199,10 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, lines:
 
 def score_quality(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-    sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES,
+    sample: int = SAMPLE_DOCS, lines: int = SAMPLE_LINES, row: str | None = None,
 ) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` (0 to 1, higher is better) and ``predicted`` of each row.
 
+    ``row`` names a column of longs that tells the rows apart; it comes last, as ``row``.
+
     The score is the mean of the lines' probabilities of good, weighted by their bytes.  It
     is a function of the text alone.  The model is fitted on at most ``sample`` labelled
     documents and ``lines`` neighbouring lines of each; every text is scored whole.
@@ -210,7 +212,10 @@ def score_quality(
     Null and empty texts are one empty line; repeated rows get a row each; without labels of
     both kinds all scores are 0.5; an empty table gives no rows; other columns are not read.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+        *([F.col(row).cast("long").alias("row")] if row else []),
+    )
     shared = docs.sparkSession.sparkContext.broadcast(train(rows, labels, sample, lines))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +231,13 @@ def score_quality(
                 total = np.concatenate(([0.0], np.cumsum(good * weight)))
                 mass = np.concatenate(([0.0], np.cumsum(weight)))
                 scores.append(np.clip(np.diff(total[bounds]) / np.diff(mass[bounds]), 0.0, 1.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.concatenate(scores)), *batch.columns[2:]],
+                ["doc_id", "score", *batch.schema.names[2:]],
+            )
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return rows.mapInArrow(score, "doc_id long, score double").select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return rows.mapInArrow(score, "doc_id long, score double" + (", row long" if row else "")).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        *(["row"] if row else []),
     )
