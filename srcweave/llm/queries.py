@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.llm import decontamination, jaccard, language, mixing, neighbours, quality, secrets, sharding, substrings, token_files
+from srcweave.llm import (
+    alignment, decontamination, jaccard, language, mixing, neighbours, packing, quality, secrets, sharding, spelling,
+    substrings, token_files,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -115,3 +118,36 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer)
     return token_files.read_token_files(spark, folder)
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in all documents, with how common each link is."""
+    import public_tokenizers
+
+    found = alignment.align_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent form they are one letter away from."""
+    words = spelling.corpus_words(table(spark, sf_dir, "documents"))
+    return spelling.variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of power-of-two lengths, written and read back."""
+    import public_tokenizers
+
+    folder = packing.fresh_folder(spark)
+    packing.write_sequences(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=2
+    )
+    return packing.read_sequences(spark, folder, with_ids=False).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
