@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: hex digits of the digest kept in an id.
 DIGEST_CHARS = 8
 
+#: Between the parts of a key; no path or name holds it.
+KEY_SEPARATOR = "\x1f"
+
 
 def _text(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
@@ -25,6 +28,25 @@ def component_id(kind: Column | str, path: Column, name: Column) -> Column:
     return F.concat_ws("-", kind, safe, short_digest(key))
 
 
+def component_key(kind: Column | str, path: Column, name: Column) -> Column:
+    """What a component is known by in joins: kind, path and name, whole.
+
+    Lower case, as ids are: names that differ in case only are one component.  The id is its label, of which
+    many components may share one.
+    """
+    return F.concat_ws(KEY_SEPARATOR, _text(kind), F.lower(path), F.lower(name))
+
+
+def component_end(end: str, kind: Column | str, path: Column, name: Column) -> list[Column]:
+    """One end of an edge: its id, and its key as ``<end>_key``."""
+    return [component_id(kind, path, name).alias(end), component_key(kind, path, name).alias(f"{end}_key")]
+
+
+def file_end(end: str, path: Column) -> list[Column]:
+    """The end of an edge that is the file of a path; needs no lookup."""
+    return component_end(end, "file", path, F.substring_index(path, "/", -1))
+
+
 def relationship_id(source: Column, target: Column, kind: Column | str) -> Column:
     """``rel-kind-digest`` over ``source:target:kind``, case kept."""
     kind = _text(kind)

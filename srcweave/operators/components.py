@@ -140,6 +140,7 @@ def components(parsed: DataFrame, language: str = "python") -> DataFrame:
     return rows.select(
         "project_id",
         ids.component_id(F.col("e.kind"), F.col("file_path"), F.col("e.name")).alias("id"),
+        ids.component_key(F.col("e.kind"), F.col("file_path"), F.col("e.name")).alias("key"),
         F.col("e.name").alias("name"),
         F.col("e.kind").alias("type"),
         "file_path",

@@ -1,7 +1,9 @@
 """The dependency graph: nodes, edges, folders as clusters, degrees and coupling.
 
 ``nodes`` carry ``project_id, id, cluster``; ``edges`` carry ``project_id,
-source, target, type``.  Every aggregate combines map-side.
+source, target, type``.  Nodes of components also carry ``key``, and their edges ``source_key`` and
+``target_key``: then these are what nodes are known by, and ids, which may coincide, are labels.
+Every aggregate combines map-side.
 """
 
 from __future__ import annotations
@@ -12,16 +14,17 @@ from pyspark.sql import functions as F
 from srcweave.functions import paths as P
 from srcweave.functions.ids import bucket_of
 from srcweave.functions.severity import edge_weight
+from srcweave.operators.keys import keyed_edges, keyed_nodes
 from srcweave.session import as_lookup
 
-_END = ["project_id", "id"]
+_END = ["project_id", "key"]
 
 
 def graph_nodes(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """Components as nodes, sized by length and number of connections."""
     sized = node_size(comps, edges)
     return sized.select(
-        "project_id", "id", F.col("name").alias("label"), "type",
+        "project_id", "id", "key", F.col("name").alias("label"), "type",
         P.group_name(F.col("file_path")).alias("group"),
         P.dir_name(F.col("file_path")).alias("cluster"),
         "size",
@@ -33,16 +36,16 @@ def graph_nodes(comps: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def graph_edges(relationships: DataFrame) -> DataFrame:
-    return relationships.select(
+    return keyed_edges(relationships).select(
         "project_id", "id", "source", "target", "type",
-        edge_weight(F.col("type")).alias("weight"), "import_specifiers",
+        edge_weight(F.col("type")).alias("weight"), "import_specifiers", "source_key", "target_key",
     )
 
 
 def clustered(comps: DataFrame) -> DataFrame:
     """The node columns cluster operators need."""
     return comps.select(
-        "project_id", "id", "type", P.dir_name(F.col("file_path")).alias("cluster")
+        "project_id", "id", "key", "type", P.dir_name(F.col("file_path")).alias("cluster")
     )
 
 
@@ -86,28 +89,38 @@ def cluster_node_lists(comps: DataFrame, per_row: int = 1000) -> DataFrame:
 def in_out_degree(edges: DataFrame) -> DataFrame:
     """Inbound and outbound connections of each connected node, one scan."""
     ends = F.array(
-        F.struct(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
-        F.struct(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")),
+        F.struct(F.col("source").alias("id"), F.col("source_key").alias("key"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col("target").alias("id"), F.col("target_key").alias("key"), F.lit(1).alias("i"), F.lit(0).alias("o")),
     )
     return (
-        edges.select("project_id", F.inline(ends))
+        keyed_edges(edges).select("project_id", F.inline(ends))
         .groupBy(*_END)
-        .agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+        .agg(F.min("id").alias("id"), F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+        .select("project_id", "id", "in_degree", "out_degree", "key")
     )
 
 
 def node_degree(edges: DataFrame) -> DataFrame:
     """Connections of each node; a self-loop counts twice."""
+    return _degree_of(edges).select("project_id", "id", "degree", "key")
+
+
+def _degree_of(edges: DataFrame) -> DataFrame:
+    ends = F.array(
+        F.struct(F.col("source").alias("id"), F.col("source_key").alias("key")),
+        F.struct(F.col("target").alias("id"), F.col("target_key").alias("key")),
+    )
     return (
-        edges.select("project_id", F.explode(F.array("source", "target")).alias("id"))
+        keyed_edges(edges).select("project_id", F.inline(ends))
         .groupBy(*_END)
-        .agg(F.count("*").alias("degree"))
+        .agg(F.min("id").alias("id"), F.count("*").alias("degree"))
     )
 
 
 def node_size(comps: DataFrame, edges: DataFrame) -> DataFrame:
     """``max(1, log2(loc + 1) + degree)`` for every component."""
-    joined = comps.join(node_degree(edges), _END, "left").fillna(0, ["degree"])
+    degree = _degree_of(edges).drop("id")
+    joined = keyed_nodes(comps).join(degree, _END, "left").fillna(0, ["degree"])
     loc = F.coalesce(F.col("metadata.loc"), F.lit(1))
     size = F.greatest(F.lit(1.0), F.log2(loc + 1) + F.col("degree"))
     return joined.withColumn("size", size)
@@ -119,8 +132,8 @@ def hubs(edges: DataFrame, k: int = 10, per_project: bool = False) -> DataFrame:
         "degree", F.col("in_degree") + F.col("out_degree")
     )
     if not per_project:
-        return degree.orderBy(F.desc("degree"), "project_id", "id").limit(k)
-    order = Window.partitionBy("project_id").orderBy(F.desc("degree"), "id")
+        return degree.orderBy(F.desc("degree"), "project_id", "id", "key").limit(k)
+    order = Window.partitionBy("project_id").orderBy(F.desc("degree"), "id", "key")
     return degree.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -141,7 +154,7 @@ def god_objects(
 
 def island_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without any connection."""
-    return nodes.join(node_degree(edges), _END, "left_anti")
+    return keyed_nodes(nodes).join(_degree_of(edges), _END, "left_anti")
 
 
 def facade_nodes(edges: DataFrame, min_in: int = 5, max_out: int = 1) -> DataFrame:
@@ -151,6 +164,17 @@ def facade_nodes(edges: DataFrame, min_in: int = 5, max_out: int = 1) -> DataFra
     )
 
 
+def edge_key_check(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges of each project, the nodes they touch, and how many of these are no node."""
+    known = keyed_nodes(nodes).select(*_END, F.lit(1).alias("known")).distinct()
+    touched = _degree_of(edges).select(*_END).join(known, _END, "left")
+    ends = touched.groupBy("project_id").agg(
+        F.count("*").alias("n_touched"), F.count_if(F.col("known").isNull()).alias("n_unknown")
+    )
+    counts = keyed_edges(edges).groupBy("project_id").agg(F.count("*").alias("n_edges"))
+    return counts.join(ends, "project_id").select("project_id", "n_edges", "n_touched", "n_unknown")
+
+
 # Subsets --------------------------------------------------------------------
 
 
@@ -165,14 +189,15 @@ def subgraph(
     clusters_: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes of some types and clusters, and the edges with both ends among them."""
-    kept = nodes
+    kept = keyed_nodes(nodes)
     if types is not None:
         kept = kept.where(F.col("type").isin(*types))
     if clusters_ is not None:
         kept = kept.where(F.col("cluster").isin(*clusters_))
     keys = kept.select(*_END)
-    inner = edges.join(keys.withColumnRenamed("id", "source"), ["project_id", "source"], "left_semi")
-    inner = inner.join(keys.withColumnRenamed("id", "target"), ["project_id", "target"], "left_semi")
+    edges = keyed_edges(edges)
+    inner = edges.join(keys.withColumnRenamed("key", "source_key"), ["project_id", "source_key"], "left_semi")
+    inner = inner.join(keys.withColumnRenamed("key", "target_key"), ["project_id", "target_key"], "left_semi")
     return kept, inner.select(*edges.columns)
 
 
@@ -180,16 +205,18 @@ def subgraph(
 
 
 def _placed(nodes: DataFrame) -> DataFrame:
-    """The cluster of each node, one row per id."""
-    return as_lookup(nodes.groupBy("project_id", "id").agg(F.max("cluster").alias("cluster")))
+    """The cluster of each node, one row per key."""
+    return as_lookup(keyed_nodes(nodes).groupBy(*_END).agg(F.max("cluster").alias("cluster")))
 
 
 def with_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with the cluster of both ends."""
     ends = _placed(nodes)
-    return edges.join(
-        ends.toDF("project_id", "source", "source_cluster"), ["project_id", "source"]
-    ).join(ends.toDF("project_id", "target", "target_cluster"), ["project_id", "target"])
+    own = edges.columns
+    joined = keyed_edges(edges).join(
+        ends.toDF("project_id", "source_key", "source_cluster"), ["project_id", "source_key"]
+    ).join(ends.toDF("project_id", "target_key", "target_cluster"), ["project_id", "target_key"])
+    return joined.select(*own, "source_cluster", "target_cluster")
 
 
 def cross_cluster_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -204,12 +231,12 @@ def directed_pairs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ends = _placed(nodes)
     to_node = (
-        edges.join(ends.toDF("project_id", "source", "source_cluster"), ["project_id", "source"])
-        .groupBy("project_id", "source_cluster", "target")
+        keyed_edges(edges).join(ends.toDF("project_id", "source_key", "source_cluster"), ["project_id", "source_key"])
+        .groupBy("project_id", "source_cluster", "target_key")
         .agg(F.count("*").alias("c"))
     )
     return (
-        to_node.join(ends.toDF("project_id", "target", "target_cluster"), ["project_id", "target"])
+        to_node.join(ends.toDF("project_id", "target_key", "target_cluster"), ["project_id", "target_key"])
         .where("source_cluster <> target_cluster")
         .groupBy("project_id", "source_cluster", "target_cluster")
         .agg(F.sum("c").alias("n"))

@@ -2,7 +2,8 @@
 
 The build sides hold one row per key (``max``/``max_by`` with map-side
 combine) and are written once, so a join never multiplies rows; a hot name only makes
-the probe side uneven, which AQE splits.  Order is the file path, then the place in the file.
+the probe side uneven, which AQE splits.  Order is the file path, then the place in the file.  Joins and groupings use
+the whole key of a component (kind, path, name); its short id goes along as a label.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 from srcweave.functions import ids
 from srcweave.functions import paths as P
 from srcweave.operators.components import kind_order
+from srcweave.operators.keys import keyed_edges
 from srcweave.session import as_lookup
 
-_EDGE = ("project_id", "source", "target", "type", "file_path", "ord", "import_specifiers")
+_EDGE = (
+    "project_id", "source", "source_key", "target", "target_key", "type", "file_path", "ord", "import_specifiers",
+)
 
 
 # Deduplication --------------------------------------------------------------
@@ -37,32 +41,32 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def component_index(comps: DataFrame) -> DataFrame:
-    """One component per id: names that differ only in case share one, the last stays."""
-    rows = comps.select("project_id", "id", "type", "name", "file_path", "ord").withColumn(
+    """One component per key: names that differ only in case share one, the last stays."""
+    rows = comps.select("project_id", "key", "id", "type", "name", "file_path", "ord").withColumn(
         "kind_no", kind_order(F.col("type"))
     )
-    return last_wins(rows, ["project_id", "id"], ["file_path", "kind_no", "ord"]).drop("kind_no")
+    return last_wins(rows, ["project_id", "key"], ["file_path", "kind_no", "ord"]).drop("kind_no")
 
 
 def resolve_ids(refs: DataFrame, comps: DataFrame) -> DataFrame:
     """Keep the references ``(file_path, ref_type, ref_name)`` that name a component."""
     keyed = refs.withColumn(
-        "id", ids.component_id(F.col("ref_type"), F.col("file_path"), F.col("ref_name"))
+        "key", ids.component_key(F.col("ref_type"), F.col("file_path"), F.col("ref_name"))
     )
     index = component_index(comps).select(
-        "project_id", "id", F.col("type").alias("found_type"), F.col("name").alias("found_name")
+        "project_id", "key", "id", F.col("type").alias("found_type"), F.col("name").alias("found_name")
     )
-    return keyed.join(as_lookup(index), ["project_id", "id"])
+    return keyed.join(as_lookup(index), ["project_id", "key"])
 
 
 def name_map(comps: DataFrame) -> DataFrame:
     """``(project, name)`` to the last non-file component of that name."""
     rows = comps.where("type <> 'file'").select(
-        "project_id", "name", "id", F.col("type").alias("found_type"), "file_path", "ord",
+        "project_id", "name", "id", "key", F.col("type").alias("found_type"), "file_path", "ord",
         kind_order(F.col("type")).alias("kind_no"),
     )
     return last_wins(rows, ["project_id", "name"], ["file_path", "kind_no", "ord"]).select(
-        "project_id", "name", "id", "found_type", "file_path"
+        "project_id", "name", "id", "key", "found_type", "file_path"
     )
 
 
@@ -131,8 +135,8 @@ def import_edges(parsed: DataFrame) -> DataFrame:
     hits = resolved_imports(parsed)
     return hits.select(
         "project_id",
-        ids.file_id(F.col("file_path")).alias("source"),
-        ids.file_id(F.col("target_path")).alias("target"),
+        *ids.file_end("source", F.col("file_path")),
+        *ids.file_end("target", F.col("target_path")),
         F.lit("imports").alias("type"),
         "file_path",
         (F.col("ord") * 1000 + F.col("slot")).cast("bigint").alias("ord"),
@@ -153,18 +157,18 @@ def inherit_edges(
         .where("kind = 'class'")
         .select(
             "project_id", "file_path", "ord",
-            ids.component_id("class", F.col("file_path"), F.col("name")).alias("source"),
+            *ids.component_end("source", "class", F.col("file_path"), F.col("name")),
             F.posexplode("bases").alias("pos", "base"),
         )
     )
     targets = names.select(
-        "project_id", F.col("name").alias("base"), F.col("id").alias("target")
+        "project_id", F.col("name").alias("base"), F.col("id").alias("target"), F.col("key").alias("target_key")
     )
     hits = bases.join(targets, ["project_id", "base"])
-    one_class = Window.partitionBy("project_id", "source", "ord")
+    one_class = Window.partitionBy("project_id", "source_key", "ord")
     kind = F.when(F.col("pos") == F.min("pos").over(one_class), "extends").otherwise("implements")
     return hits.select(
-        "project_id", "source", "target", kind.alias("type"), "file_path",
+        "project_id", "source", "source_key", "target", "target_key", kind.alias("type"), "file_path",
         (F.lit(2_000_000_000) + F.col("ord").cast("bigint") * 1000 + F.col("pos")).alias("ord"),
         F.lit(None).cast("array<string>").alias("import_specifiers"),
     )
@@ -184,7 +188,7 @@ def call_refs(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("project_id", "file_path", F.inline(pairs))
     return rows.select(
         "project_id", "file_path", "callee_name",
-        ids.component_id(F.col("caller_kind"), F.col("file_path"), F.col("caller")).alias("source"),
+        *ids.component_end("source", F.col("caller_kind"), F.col("file_path"), F.col("caller")),
     )
 
 
@@ -194,14 +198,14 @@ def call_edges(
     """Calls by bare name to the last component of that name; never to oneself."""
     names = as_lookup(name_map(comps)) if names is None else names
     targets = names.select(
-        "project_id", F.col("name").alias("callee_name"), F.col("id").alias("target")
+        "project_id", F.col("name").alias("callee_name"), F.col("id").alias("target"), F.col("key").alias("target_key")
     )
     return (
         call_refs(parsed)
         .join(targets, ["project_id", "callee_name"])
-        .where("source <> target")
+        .where("source_key <> target_key")
         .select(
-            "project_id", "source", "target", F.lit("calls").alias("type"), "file_path",
+            "project_id", "source", "source_key", "target", "target_key", F.lit("calls").alias("type"), "file_path",
             F.lit(4_000_000_000).alias("ord"),
             F.lit(None).cast("array<string>").alias("import_specifiers"),
         )
@@ -214,16 +218,18 @@ def call_edges(
 def relationships(*edge_sets: DataFrame) -> DataFrame:
     """Bag union of edge sets, ids added, the first of each edge kept.
 
-    An edge is its ends and type; the short id is a label, and two edges may share one.
+    An edge is the whole keys of its ends and its type; the short ids are labels, and edges may share one.
     """
-    edges = reduce(DataFrame.unionByName, [e.select(*_EDGE) for e in edge_sets])
+    edges = reduce(DataFrame.unionByName, [keyed_edges(e).select(*_EDGE) for e in edge_sets])
     keyed = edges.withColumn(
         "id", ids.relationship_id(F.col("source"), F.col("target"), F.col("type"))
     )
     kept = first_wins(
-        keyed, ["project_id", "source", "target", "type"], ["file_path", "ord"]
+        keyed, ["project_id", "source_key", "target_key", "type"], ["file_path", "ord"]
+    )
+    return kept.select(
+        "project_id", "id", "source", "target", "type", "import_specifiers", "source_key", "target_key"
     )
-    return kept.select("project_id", "id", "source", "target", "type", "import_specifiers")
 
 
 def python_relationships(parsed: DataFrame, comps: DataFrame) -> DataFrame:

@@ -1,117 +1,259 @@
 """Iterative graph operators: cycles, reachability and shortest chains.
 
-Each round is a few joins whose result is written once, so plans stay short and
-the work survives lost executors.  ``edges`` carry ``project_id, source, target``.
+Nodes are numbered once (:mod:`srcweave.operators.keys`) and all rounds run on longs.  Each round is a
+few joins whose result is written once, so plans stay short and the work survives lost executors; whether
+another is needed is observed while writing.  ``edges`` carry ``project_id, source, target``.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcweave.session import write_counted, write_once
+from srcweave.operators.keys import encoded, number_nodes, numbered
+from srcweave.session import shared_dir, write_counted, write_once
 
 _NODE = ["project_id", "id"]
 
 
-def _plain_edges(edges: DataFrame) -> DataFrame:
-    return edges.select("project_id", "source", "target").distinct()
-
-
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+class Grown:
+    """One table to which rounds append, so that no plan grows with their number."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema = spark, schema
+        self.folder = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.folder)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+    @property
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.folder)
+
+
 # Strongly connected components ----------------------------------------------
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
+def trimmed(pairs: DataFrame, n_pairs: int, least_share: float = 0.05) -> tuple[DataFrame, int]:
+    """Edges left after nodes that nothing enters or leaves have gone, again and again.
+
+    Such nodes lie on no cycle.  Goes on while a round takes at least that share of the edges: what is
+    left of long chains is quicker to settle by labels.
+    """
+    while n_pairs:
+        rest = pairs
+        for _ in range(2):  # two rounds a table
+            entered, left = rest.select(F.col("b").alias("a")), rest.select(F.col("a").alias("b"))
+            rest = rest.join(entered, "a", "left_semi").join(left, "b", "left_semi").select("a", "b")
+        pairs, n_left = write_counted(rest)
+        n_pairs, gone = n_left, n_pairs - n_left
+        if gone < least_share * (n_left + gone):
+            break
+    return pairs, n_pairs
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
     """Who speaks to whom: forward edges carry ``up`` labels, backward ones ``down``."""
     ways = F.array(
-        F.struct(F.col("source").alias("id"), F.col("target").alias("to"), F.lit(True).alias("up_way")),
-        F.struct(F.col("target").alias("id"), F.col("source").alias("to"), F.lit(False).alias("up_way")),
+        F.struct(F.col("a").alias("n"), F.col("b").alias("to"), F.lit(True).alias("up_way")),
+        F.struct(F.col("b").alias("n"), F.col("a").alias("to"), F.lit(False).alias("up_way")),
     )
-    return edges.select("project_id", F.inline(ways))
+    return pairs.select(F.inline(ways))
 
 
 def _spread_labels(ways: DataFrame, labels: DataFrame) -> DataFrame:
     """One round: each node takes the least label it hears of.
 
-    ``up`` is the least id known to reach the node, ``down`` the least id known to
+    ``up`` is the least number known to reach the node, ``down`` the least known to
     be reached from it.  A node hears its neighbours and, so that long chains
     settle in few rounds, the nodes its own labels name.
     """
     asked = F.array(
-        F.struct(F.col("up").alias("id"), F.col("id").alias("to"), F.lit(True).alias("up_way")),
-        F.struct(F.col("down").alias("id"), F.col("id").alias("to"), F.lit(False).alias("up_way")),
+        F.struct(F.col("up").alias("n"), F.col("n").alias("to"), F.lit(True).alias("up_way")),
+        F.struct(F.col("down").alias("n"), F.col("n").alias("to"), F.lit(False).alias("up_way")),
     )
-    calls = ways.unionByName(labels.select("project_id", F.inline(asked)))
-    heard = calls.join(labels, _NODE).select(
-        "project_id", F.col("to").alias("id"), F.when(F.col("up_way"), F.col("up")).alias("up"),
+    calls = ways.unionByName(labels.select(F.inline(asked)))
+    heard = calls.join(labels, "n").select(
+        F.col("to").alias("n"), F.when(F.col("up_way"), F.col("up")).alias("up"),
         F.when(~F.col("up_way"), F.col("down")).alias("down"),
-        F.lit(None).cast("string").alias("old_up"), F.lit(None).cast("string").alias("old_down"),
-    )
-    own = labels.select(*_NODE, "up", "down", F.col("up").alias("old_up"), F.col("down").alias("old_down"))
-    return (
-        own.unionByName(heard)
-        .groupBy(*_NODE)
-        .agg(*[F.min(c).alias(c) for c in ("up", "down", "old_up", "old_down")])
+        F.lit(None).cast("long").alias("old_up"), F.lit(None).cast("long").alias("old_down"),
     )
+    own = labels.select("n", "up", "down", F.col("up").alias("old_up"), F.col("down").alias("old_down"))
+    return own.unionByName(heard).groupBy("n").agg(*[F.min(c).alias(c) for c in ("up", "down", "old_up", "old_down")])
 
 
-def _settled_labels(edges: DataFrame) -> DataFrame:
-    ways = _both_ways(edges)
-    labels = edges.select(
-        "project_id", F.explode(F.array("source", "target")).alias("id")
-    ).distinct().select("*", F.col("id").alias("up"), F.col("id").alias("down"))
+def _settled_labels(pairs: DataFrame) -> DataFrame:
+    ways = _both_ways(pairs)
+    # written, so that a node with very many edges can be split in the joins
+    labels = write_once(
+        pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct().select("n", F.col("n").alias("up"), F.col("n").alias("down"))
+    )
     moved = F.count_if((F.col("up") != F.col("old_up")) | (F.col("down") != F.col("old_down")))
     while True:
-        step, n_moved = write_counted(_spread_labels(ways, labels), moved)
-        labels = step.select(*_NODE, "up", "down")
+        # two rounds a table: what the second leaves as it was has settled
+        step, n_moved = write_counted(_spread_labels(ways, _spread_labels(ways, labels)), moved)
+        labels = step.select("n", "up", "down")
         if n_moved == 0:
             return labels
 
 
-def cyclic_components(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle, with their strongly connected component.
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """``n`` and ``scc`` (the least number of its component) of the nodes in components of two and more.
 
-    ``scc`` is the least id of the component, ``size`` its number of nodes.  A
-    node alone counts only when it has an edge to itself.
+    ``pairs`` are distinct edges ``a, b``.
     """
-    plain = _plain_edges(edges)
-    loops = plain.where("source = target").select("project_id", F.col("source").alias("id"))
-    rest, n_edges = write_counted(plain.where("source <> target"))
+    rest, n_pairs = trimmed(*write_counted(pairs.where("a <> b")))
     found: list[DataFrame] = []
-    while n_edges:
+    while n_pairs:
         labels = _settled_labels(rest)
-        found.append(labels.where("up = down").select(*_NODE, F.col("up").alias("scc")))
         # Only edges between nodes with equal labels can lie in one component.
+        done = labels.where("up = down")
+        found.append(done.select("n", F.col("up").alias("scc")))
         open_nodes = labels.where("up <> down")
-        left = open_nodes.toDF("project_id", "source", "s_up", "s_down")
-        right = open_nodes.toDF("project_id", "target", "t_up", "t_down")
-        rest, n_edges = write_counted(
-            rest.join(left, ["project_id", "source"])
-            .join(right, ["project_id", "target"])
-            .where("s_up = t_up and s_down = t_down")
-            .select("project_id", "source", "target")
-        )
-    alone = loops.select(*_NODE, F.col("id").alias("scc"), F.lit(1).alias("is_loop"))
+        left, right = open_nodes.toDF("a", "a_up", "a_down"), open_nodes.toDF("b", "b_up", "b_down")
+        inner = rest.join(left, "a").join(right, "b").where("a_up = b_up AND a_down = b_down").select("a", "b")
+        rest, n_pairs = trimmed(*write_counted(inner))
     if not found:
-        return alone.select(*_NODE, "scc", F.lit(1).cast("bigint").alias("size"))
-    members = (
-        _union(found).withColumn("is_loop", F.lit(0)).unionByName(alone)
-        .groupBy(*_NODE)
-        .agg(
-            F.min_by("scc", "is_loop").alias("scc"),
-            F.max("is_loop").alias("is_loop"),
+        return pairs.sparkSession.createDataFrame([], "n long, scc long")
+    # a node that only joins others is settled with its own label
+    sizes = _union(found).groupBy("scc").agg(F.count("*").alias("size")).where("size > 1").select("scc")
+    return _union(found).join(sizes, "scc").select("n", "scc")
+
+
+def _cyclic(pairs: DataFrame) -> DataFrame:
+    """``n``, ``scc`` and ``size`` of all nodes on a cycle, written once; a loop is a component of its own."""
+    members = write_once(strong_components(pairs))
+    alone = pairs.where("a = b").select(F.col("a").alias("n")).join(members, "n", "left_anti")
+    sizes = members.groupBy("scc").agg(F.count("*").alias("size"))
+    return write_once(
+        members.join(sizes, "scc").select("n", "scc", "size")
+        .unionByName(alone.select("n", F.col("n").alias("scc"), F.lit(1).cast("long").alias("size")))
+    )
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle, with their strongly connected component.
+
+    ``scc`` is the least id of the component, ``size`` its number of nodes.  A
+    node alone counts only when it has an edge to itself.
+    """
+    nodes = number_nodes(edges)
+    return _named(_cyclic(encoded(edges, nodes)), nodes, "n", "scc").select(*_NODE, "scc", "size")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, node: str, *others: str) -> DataFrame:
+    """Rows with numbers replaced by ids; ``node`` becomes ``id``."""
+    rows = rows.join(nodes.withColumnRenamed("n", node), node).drop(node)
+    for column in others:
+        rows = rows.withColumnRenamed(column, "_n").join(
+            nodes.select(F.col("n").alias("_n"), F.col("id").alias(column)), "_n"
+        ).drop("_n")
+    return rows
+
+
+# One cycle of each component --------------------------------------------------
+
+
+def _rings(steps: DataFrame) -> DataFrame:
+    """``n`` and ``to`` of the nodes on the rings of a function, by squaring it until its image is stable."""
+    power = steps.select("n", "to")
+    _, size = write_counted(power.select("to").distinct())
+    while True:
+        for _ in range(2):
+            next_ = power.select(F.col("n").alias("to"), F.col("to").alias("far"))
+            power = power.join(next_, "to").select("n", F.col("far").alias("to"))
+        power = write_once(power)
+        image, smaller = write_counted(power.select(F.col("to").alias("n")).distinct())
+        if smaller == size:
+            return write_once(steps.join(image, "n", "left_semi").select("n", "to", "scc"))
+        size = smaller
+
+
+def _heads(rings: DataFrame) -> DataFrame:
+    """The rings with ``head``, the least node of the own ring, known by doubling."""
+    state = write_once(rings.select("n", "to", F.col("n").alias("head")))
+    while True:
+        ahead = state.select(F.col("n").alias("to"), F.col("to").alias("far"), F.col("head").alias("other"))
+        state, changed = write_counted(
+            state.join(ahead, "to").select(
+                "n", F.col("far").alias("to"), F.least("head", "other").alias("head"), (F.col("other") < F.col("head")).alias("changed")
+            ),
+            F.count_if("changed"),
+        )
+        state = state.drop("changed")
+        if not changed:
+            return rings.join(state.select("n", "head"), "n")
+
+
+def _ranked(rings: DataFrame) -> DataFrame:
+    """``n``, ``head`` and ``left``, the number of steps from a node to the last one before the head."""
+    last = F.col("to") == F.col("head")
+    state = write_once(rings.select(
+        "n", "head", F.when(~last, F.col("to")).alias("to"), F.when(last, 0).otherwise(1).cast("long").alias("left")
+    ))
+    while True:
+        ahead = state.select(F.col("n").alias("to"), F.col("to").alias("far"), F.col("left").alias("more"))
+        state, open_nodes = write_counted(
+            state.join(ahead, "to", "left").select(
+                "n", "head", F.col("far").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")
+            ),
+            F.count("to"),
         )
+        if not open_nodes:
+            return state
+
+
+def cycle_witness(edges: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One simple closed path through each cyclic component, of any length, a row for each step.
+
+    ``project_id, scc, size, length, severity, pos, id``: position 0 is the least node of the path, which comes again
+    at position ``length``.  From every node the edge to its least successor in the component is followed;
+    these edges hold at least one ring for each component, and the ring with the least node is told.
+    Rings, heads and positions are found by doubling, so a ring of a million nodes takes
+    twenty rounds.  ``names`` (``project_id, id, label``) adds ``label``.
+    """
+    nodes = number_nodes(edges)
+    pairs = encoded(edges, nodes)
+    members = _cyclic(pairs)
+    inside = members.where("size > 1").select("n", "scc")
+    inner = (
+        pairs.where("a <> b").join(inside.toDF("a", "scc"), "a").join(inside.toDF("b", "other"), "b").where("scc = other")
+    )
+    steps = write_once(inner.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("to"), F.min("scc").alias("scc")))
+    rings = write_once(_heads(_rings(steps)))
+    told = rings.groupBy("scc").agg(F.min("head").alias("head"))
+    kept = write_once(rings.join(told, ["scc", "head"]).select("n", "to", "scc", "head"))
+    lengths = kept.groupBy("scc").agg(F.count("*").cast("int").alias("length"))
+    ranked = _ranked(kept).join(kept.select("n", "scc"), "n").join(lengths, "scc")
+    at = (F.col("length") - 1 - F.col("left")).cast("int")
+    closing = F.when(at == 0, F.array(F.lit(0), F.col("length"))).otherwise(F.array(at))
+    walked = ranked.select("scc", "length", "n", F.explode(closing).alias("pos"))
+    loops = members.where("size = 1").select(
+        "scc", F.lit(1).alias("length"), "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")
+    )
+    sizes = members.select("scc", "size").distinct()
+    rows = _named(walked.unionByName(loops).join(sizes, "scc"), nodes, "n", "scc").select(
+        "project_id", "scc", "size", "length", cycle_severity(F.col("length")).alias("severity"), "pos", "id"
+    )
+    return rows if names is None else rows.join(names.select(*_NODE, "label"), _NODE, "left")
+
+
+def witness_paths(steps: DataFrame) -> DataFrame:
+    """The steps of :func:`cycle_witness` with names, one row for each path: ``path`` and ``labels``."""
+    rows = steps.groupBy("project_id", "scc", "length", "severity").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("label", "id").alias("label")))).alias("steps")
+    )
+    return rows.select(
+        "project_id", F.col("steps.id").alias("path"), "length", "severity", F.col("steps.label").alias("labels")
     )
-    sizes = members.groupBy("project_id", "scc").agg(
-        F.count("*").alias("size"), F.max("is_loop").alias("any_loop")
-    ).where("size > 1 or any_loop = 1")
-    return members.join(sizes, ["project_id", "scc"]).select(*_NODE, "scc", "size")
 
 
 # Bounded simple cycles --------------------------------------------------------
@@ -129,8 +271,8 @@ def short_cycles(
     The length bound is what is asked for; within it every cycle is reported.
     ``names`` (``project_id, id, label``) adds the path in words.
     """
-    plain = _plain_edges(edges)
-    on_cycle = cyclic_components(edges).select(*_NODE, "scc")
+    plain = edges.select("project_id", "source", "target").distinct()
+    on_cycle = write_once(cyclic_components(edges).select(*_NODE, "scc"))
     inner = write_once(
         plain.join(on_cycle.toDF("project_id", "source", "s"), ["project_id", "source"])
         .join(on_cycle.toDF("project_id", "target", "t"), ["project_id", "target"])
@@ -184,36 +326,76 @@ def cycle_text(path: Column) -> Column:
 
 # Reachability ----------------------------------------------------------------
 
+#: Seeds whose bits share one long.
+_SEEDS = 64
+_WAVE = "n long, word long, bits long, depth int"
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Every node each seed reaches, with its distance; the seed itself has 0."""
-    hop = write_once(
-        _plain_edges(edges).select(
-            "project_id", F.col("source").alias("id"), F.col("target").alias("next")
-        )
-    )
-    wave = write_once(
-        seeds.select("project_id", F.col("id").alias("seed"), "id").distinct().withColumn(
-            "depth", F.lit(0)
+
+def _bit(number: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(_SEEDS)).cast("int"))
+
+
+def _waves(pairs: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """Breadth-first search from all seeds at once: which seeds' bits reach a node first at which depth.
+
+    ``starts`` holds ``n`` and ``seed`` (dense numbers).  A node keeps 64 seeds in a long, and what has been seen is
+    one table of the bits of each node, made anew each round; so a round costs what it finds plus that table, however
+    many rounds there were.  The waves are appended to one table, which is read once at the end.
+    """
+    waves = Grown(pairs.sparkSession, _WAVE)
+    word = F.floor(F.col("seed") / _SEEDS)
+    seen, n_new = write_counted(
+        starts.groupBy("n", word.alias("word")).agg(F.bit_or(_bit(F.col("seed"))).alias("fresh")).select(
+            "n", "word", F.col("fresh").alias("bits"), "fresh"
         )
     )
-    waves = [wave]
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while n_new:
+        wave = seen.where("fresh <> 0").select("n", "word", F.col("fresh").alias("bits"), F.lit(depth).alias("depth"))
+        waves.add(wave)
         depth += 1
-        ahead = wave.join(hop, _NODE).select(
-            "project_id", "seed", F.col("next").alias("id")
-        ).distinct()
-        seen = _union(waves).select("project_id", "seed", "id")
-        wave, n_new = write_counted(
-            ahead.join(seen, ["project_id", "seed", "id"], "left_anti").withColumn(
-                "depth", F.lit(depth)
-            )
-        )
-        if n_new == 0:
+        if max_depth is not None and depth > max_depth:
             break
-        waves.append(wave)
-    return _union(waves)
+        reached = (
+            wave.join(pairs.toDF("n", "next"), "n").groupBy(F.col("next").alias("n"), "word")
+            .agg(F.bit_or("bits").alias("fresh"))
+        )
+        before = seen.select("n", "word", "bits", F.lit(0).cast("long").alias("fresh"))
+        merged = before.unionByName(reached.select("n", "word", F.lit(0).cast("long").alias("bits"), "fresh"))
+        merged = merged.groupBy("n", "word").agg(F.bit_or("bits").alias("old"), F.bit_or("fresh").alias("new"))
+        seen, n_new = write_counted(
+            merged.select(
+                "n", "word", F.col("old").bitwiseOR(F.col("new")).alias("bits"),
+                F.col("new").bitwiseAND(F.bitwise_not("old")).alias("fresh"),
+            ),
+            F.count_if(F.col("fresh") != 0),
+        )
+    return waves.table
+
+
+def _seeds(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``n`` and ``seed``: seeds numbered so that those of one project lie side by side."""
+    found = seeds.select(*_NODE).join(nodes, _NODE).select("n")
+    return numbered(found, ["n"], "seed")
+
+
+def _seed_rows(waves: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start``, ``n`` and ``depth`` of each bit of the waves; ``start`` is the node of the seed."""
+    each = F.filter(F.sequence(F.lit(0), F.lit(_SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)
+    rows = waves.select("n", "depth", "word", F.explode(each).alias("i")).select(
+        "n", "depth", (F.col("word") * _SEEDS + F.col("i")).alias("seed")
+    )
+    return rows.join(starts.toDF("start", "seed"), "seed").drop("seed")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Every node each seed reaches, with its distance; the seed itself has 0."""
+    nodes = number_nodes(edges, seeds)
+    starts = _seeds(seeds, nodes)
+    rows = _seed_rows(_waves(encoded(edges, nodes), starts, max_depth), starts)
+    return _named(rows, nodes, "n", "start").select(
+        "project_id", F.col("start").alias("seed"), "id", "depth"
+    )
 
 
 def impact_set(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -229,32 +411,42 @@ def dependency_chain(
 ) -> DataFrame:
     """A shortest path for each ``(project_id, source, target)`` pair that has one.
 
-    Among paths of one length the least in id order is taken.
+    Among paths of one length the least in id order is taken.  Distances come from one search
+    backwards from all targets; then every source steps to its least neighbour that is one nearer, so no
+    path is carried that doesn't lead to its target.
     """
-    hop = write_once(
-        _plain_edges(edges).select(
-            "project_id", F.col("source").alias("id"), F.col("target").alias("next")
-        )
-    )
     pair = ["project_id", "source", "target"]
-    wave = write_once(
-        pairs.select(*pair).distinct().select(
-            *pair, F.col("source").alias("id"), F.array("source").alias("path")
-        )
+    ends = pairs.select("project_id", F.explode(F.array("source", "target")).alias("id"))
+    nodes = number_nodes(edges, ends)
+    hops = encoded(edges, nodes)
+    asked = encoded(pairs, nodes)
+    starts = _seeds(pairs.select("project_id", F.col("target").alias("id")), nodes)
+    waves = _waves(hops.select(F.col("b").alias("a"), F.col("a").alias("b")), starts, max_depth)
+    goal = asked.join(starts.toDF("b", "seed"), "b").withColumn("word", F.floor(F.col("seed") / _SEEDS))
+    near = waves.select(F.col("n").alias("a"), "word", "bits", "depth")
+    walk, n_open = write_counted(
+        goal.join(near, ["a", "word"]).where(F.col("bits").bitwiseAND(_bit(F.col("seed"))) != 0).select(
+            "a", "b", "seed", "word", F.col("a").alias("at"), F.col("depth").alias("left"), F.col("depth").alias("length")
+        ),
+        F.count_if(F.col("left") > 0),
     )
-    waves, done, depth = [wave], [wave.where("id = target")], 0
-    while max_depth is None or depth < max_depth:
+    steps = Grown(edges.sparkSession, "a long, b long, length int, pos int, at long")
+    steps.add(walk.select("a", "b", "length", F.lit(0).alias("pos"), "at"))
+    depth = 0
+    while n_open:
         depth += 1
-        open_wave = wave.join(_union(done).select(*pair), pair, "left_anti")
-        ahead = (
-            open_wave.join(hop, _NODE)
-            .groupBy(*pair, F.col("next").alias("id"))
-            .agg(F.min(F.concat("path", F.array("next"))).alias("path"))
+        hop = hops.toDF("at", "next")
+        ahead = waves.select(F.col("n").alias("next"), "word", "bits", (F.col("depth") + 1).alias("left"))
+        walk, n_open = write_counted(
+            walk.where("left > 0").join(hop, "at").join(ahead, ["next", "word", "left"])
+            .where(F.col("bits").bitwiseAND(_bit(F.col("seed"))) != 0)
+            .groupBy("a", "b", "seed", "word", "length", "left").agg(F.min("next").alias("at"))
+            .select("a", "b", "seed", "word", "at", (F.col("left") - 1).alias("left"), "length"),
+            F.count_if(F.col("left") > 0),
         )
-        seen = _union(waves).select(*pair, "id")
-        wave, n_new = write_counted(ahead.join(seen, [*pair, "id"], "left_anti"))
-        if n_new == 0:
-            break
-        waves.append(wave)
-        done.append(wave.where("id = target"))
-    return _union(done).select(*pair, "path", (F.size("path") - 1).alias("length"))
+        steps.add(walk.select("a", "b", "length", F.lit(depth).alias("pos"), "at"))
+    named = _named(steps.table, nodes, "at", "a", "b").select(
+        "project_id", F.col("a").alias("source"), F.col("b").alias("target"), "length", "pos", "id"
+    )
+    paths = named.groupBy(*pair, "length").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("steps"))
+    return paths.select(*pair, F.col("steps.id").alias("path"), "length")

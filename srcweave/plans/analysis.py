@@ -15,6 +15,7 @@ from srcweave.operators import reports as RP
 from srcweave.operators import resolve as RS
 from srcweave.operators import script_resolve as SS
 from srcweave.operators import traversal as TV
+from srcweave.operators.keys import by_key
 from srcweave.operators.rules import RuleOptions
 from srcweave.session import write_once
 from srcweave.sources.python_facts import python_facts
@@ -35,13 +36,29 @@ class Analysis:
     posture: DataFrame
     summary: DataFrame
 
-    def cycles(self, max_length: int = 4) -> DataFrame:
-        """Import cycles; runs the iterative search when called."""
-        names = self.components.select("project_id", "id", F.col("name").alias("label"))
-        return TV.short_cycles(GR.import_subset(self.edges), max_length, names)
+    def cycle_steps(self) -> DataFrame:
+        """An import cycle of each cyclic component, of any length, step by step; searched when called.
+
+        ``id`` is the whole key of a file component, ``label`` its name.
+        """
+        return TV.cycle_witness(by_key(GR.import_subset(self.edges)), self._names())
+
+    def cycles(self, max_length: int | None = None) -> DataFrame:
+        """Import cycles with their whole path in a row: one of each cyclic component, of any length.
+
+        With ``max_length`` instead all simple cycles of up to so many files.  :meth:`cycle_steps` has no rows
+        that grow with a cycle.
+        """
+        if max_length is None:
+            return TV.witness_paths(self.cycle_steps())
+        return TV.short_cycles(by_key(GR.import_subset(self.edges)), max_length, self._names())
 
     def cyclic_components(self) -> DataFrame:
-        return TV.cyclic_components(GR.import_subset(self.edges))
+        return TV.cyclic_components(by_key(GR.import_subset(self.edges)))
+
+    def _names(self) -> DataFrame:
+        rows = self.components.where("type = 'file'")
+        return rows.groupBy("project_id", F.col("key").alias("id")).agg(F.max("name").alias("label"))
 
 
 def analyze(

@@ -162,12 +162,12 @@ class Inputs:
         """Dependencies between modules: imports, bases and calls lifted to files."""
         files = as_lookup(
             CO.components(self.facts)
-            .groupBy("project_id", "id")
+            .groupBy("project_id", "key")
             .agg(F.max("file_path").alias("path"))
         )
         return (
-            self.relationships.join(files.toDF("project_id", "source", "s"), ["project_id", "source"])
-            .join(files.toDF("project_id", "target", "t"), ["project_id", "target"])
+            self.relationships.join(files.toDF("project_id", "source_key", "s"), ["project_id", "source_key"])
+            .join(files.toDF("project_id", "target_key", "t"), ["project_id", "target_key"])
             .select("project_id", F.col("s").alias("source"), F.col("t").alias("target"), "type")
         )
 

@@ -816,3 +816,18 @@ member AS (SELECT x.a AS k, min({path_of('y.a')}) AS scc
   FROM closure x JOIN closure y ON y.a = x.z AND y.z = x.a GROUP BY 1)
 SELECT 'proj' || {st('k % 4')} AS project_id, {path_of('k')} AS id, scc,
   count(*) OVER (PARTITION BY scc) AS size FROM member"""
+
+ORACLES["cycle_witness"] = GRAPH_REACH + f""",
+member AS (SELECT x.a AS k, min({path_of('y.a')}) AS scc FROM closure x JOIN closure y
+  ON y.a = x.z AND y.z = x.a GROUP BY 1),
+walk AS (SELECT k AS head, k AS node, 0 AS pos FROM member WHERE scc = {path_of('k')}
+  UNION ALL SELECT w.head, c.i, w.pos + 1 FROM walk w JOIN c ON c.k = w.node WHERE w.pos = 0 OR w.node <> w.head),
+steps AS (SELECT *, max(pos) OVER (PARTITION BY head) AS length FROM walk)
+SELECT 'proj' || {st('head % 4')} AS project_id, {path_of('head')} AS scc, CAST(length AS BIGINT) AS size,
+  CAST(length AS INTEGER) AS length, CASE WHEN length <= 2 THEN 'high' ELSE 'medium' END AS severity,
+  CAST(pos AS INTEGER) AS pos, {path_of('node')} AS id FROM steps"""
+
+ORACLES["edge_key_check"] = f"""WITH rel AS ({ORACLES['all_relationships']}),
+ends AS (SELECT project_id, source AS id FROM rel UNION SELECT project_id, target FROM rel)
+SELECT project_id, count(*) AS n_edges, any_value(n_touched) AS n_touched, CAST(0 AS BIGINT) AS n_unknown
+FROM rel JOIN (SELECT project_id, count(*) AS n_touched FROM ends GROUP BY 1) e USING (project_id) GROUP BY 1"""

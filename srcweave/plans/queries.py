@@ -317,6 +317,12 @@ def graph_edges(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def edge_key_check(t: Inputs) -> DataFrame:
+    """Edges of each project by the whole keys of their ends, and ends that are no component."""
+    return GR.edge_key_check(CO.components(t.facts), t.relationships)
+
+
 @query
 def clusters(t: Inputs) -> DataFrame:
     return GR.clusters(t.components)
@@ -339,12 +345,12 @@ def import_subset(t: Inputs) -> DataFrame:
 
 @query
 def node_degree(t: Inputs) -> DataFrame:
-    return GR.node_degree(t.event_edges)
+    return GR.node_degree(t.event_edges).drop("key")
 
 
 @query
 def in_out_degree(t: Inputs) -> DataFrame:
-    return GR.in_out_degree(t.event_edges)
+    return GR.in_out_degree(t.event_edges).drop("key")
 
 
 @query
@@ -356,17 +362,17 @@ def node_size(t: Inputs) -> DataFrame:
 
 @query
 def hub_topk(t: Inputs) -> DataFrame:
-    return GR.hubs(t.event_edges, 10)
+    return GR.hubs(t.event_edges, 10).drop("key")
 
 
 @query
 def hub_topk_per_project(t: Inputs) -> DataFrame:
-    return GR.hubs(t.relationships, 5, per_project=True)
+    return GR.hubs(t.relationships, 5, per_project=True).drop("key")
 
 
 @query
 def god_objects(t: Inputs) -> DataFrame:
-    return GR.god_objects(t.event_edges, 10, 3.0, 20)
+    return GR.god_objects(t.event_edges, 10, 3.0, 20).drop("key")
 
 
 @query
@@ -376,7 +382,7 @@ def island_nodes(t: Inputs) -> DataFrame:
 
 @query
 def facade_nodes(t: Inputs) -> DataFrame:
-    return GR.facade_nodes(t.relationships, 5, 1)
+    return GR.facade_nodes(t.relationships, 5, 1).drop("key")
 
 
 @query
@@ -435,6 +441,12 @@ def module_cycles(t: Inputs) -> DataFrame:
     return TV.cyclic_components(t.module_edges)
 
 
+@query
+def cycle_witness(t: Inputs) -> DataFrame:
+    """A closed path through each cyclic component of the imports, step by step."""
+    return TV.cycle_witness(t.import_graph)
+
+
 @query
 def short_cycles(t: Inputs) -> DataFrame:
     cycles = TV.short_cycles(t.import_graph, 4)

@@ -77,12 +77,12 @@ METADATA = (
     "extends:string,implements:array<string>>"
 )
 COMPONENTS = (
-    "project_id string, id string, name string, type string, file_path string,"
+    "project_id string, id string, key string, name string, type string, file_path string,"
     f" start_line int, end_line int, ord int, metadata {METADATA}"
 )
 RELATIONSHIPS = (
     "project_id string, id string, source string, target string, type string,"
-    " import_specifiers array<string>"
+    " import_specifiers array<string>, source_key string, target_key string"
 )
 TAINT_ENTRY = "struct<var:string,source:string,path:array<string>>"
 FINDINGS = (

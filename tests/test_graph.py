@@ -164,3 +164,87 @@ def test_first_and_last_wins_ignore_row_order(spark):
         df = spark.createDataFrame(order, "key string, ord int, v string").repartition(5)
         assert sorted(r.v for r in RS.first_wins(df, ["key"], ["ord"]).collect()) == ["v0", "w"]
         assert sorted(r.v for r in RS.last_wins(df, ["key"], ["ord"]).collect()) == ["v19", "w"]
+
+
+def witness(rows):
+    """The steps of each component's path, in order."""
+    paths = {}
+    for r in sorted(rows.collect(), key=lambda r: r.pos):
+        paths.setdefault((r.project_id, r.scc), []).append(r)
+    return paths
+
+
+def test_a_witness_of_any_length(edges):
+    ring = [(f"r{(i * 7) % 50:02}", f"r{((i + 1) * 7) % 50:02}") for i in range(50)]
+    tail = [("r00", "t0"), ("t0", "t1"), ("s0", "r03")]
+    loop = [("z", "z"), ("z", "t1")]
+    paths = witness(TV.cycle_witness(edges(ring + tail + loop).unionByName(edges([("a", "b"), ("b", "a")], "q"))))
+    assert {k: [r.id for r in v][:3] for k, v in paths.items()} == {
+        ("p", "r00"): ["r00", "r07", "r14"], ("p", "z"): ["z", "z"], ("q", "a"): ["a", "b", "a"]}
+    long = paths["p", "r00"]
+    assert [r.pos for r in long] == list(range(51)) and {r.length for r in long} == {50}
+    assert long[0].id == long[50].id and len({r.id for r in long}) == 50 and long[0].severity == "medium"
+    assert paths["q", "a"][0].severity == "high"
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_witnesses_of_dense_components(edges, seed):
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(40):02}", f"n{rng.randrange(40):02}") for _ in range(70)}
+    seen = reach(pairs)
+    members = {n: min(m for m in seen[n] if n in seen[m]) for n in seen if n in seen[n]}
+    paths = witness(TV.cycle_witness(edges(sorted(pairs))))
+    assert {scc for _, scc in paths} == set(members.values())
+    for (_, scc), steps in paths.items():
+        ids = [r.id for r in steps]
+        assert all(members[n] == scc for n in ids) and ids[0] == ids[-1] and len(set(ids)) == len(ids) - 1
+        assert all(p in pairs for p in zip(ids, ids[1:])) and ids[0] == min(ids)
+        assert {(r.length, r.size) for r in steps} == {(len(ids) - 1, list(members.values()).count(scc))}
+
+
+def test_no_witness_without_a_cycle(edges):
+    assert TV.cycle_witness(edges([("a", "b"), ("b", "c")])).count() == 0
+
+
+def test_reachable_many_seeds_and_deep(edges, spark):
+    """More seeds than fit one long, and a chain as deep as the rounds are many."""
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(12)]
+    fan = [(f"s{i:03}", "c000") for i in range(150)] + [("c003", "c001")]
+    seeds = spark.createDataFrame([("p", f"s{i:03}") for i in range(150)] + [("p", "gone")], "project_id string, id string")
+    rows = TV.reachable(edges(chain + fan), seeds).collect()
+    got = {(r.seed, r.id): r.depth for r in rows}
+    assert len(rows) == len(got) == 150 * 14 + 1
+    assert all(got[f"s{i:03}", f"c{j:03}"] == j + 1 for i in range(150) for j in range(13))
+    assert got["gone", "gone"] == 0
+    assert TV.reachable(edges(chain), seeds.limit(0)).count() == 0
+
+
+def test_chains_against_brute_force(edges, spark):
+    rng = random.Random(8)
+    pairs = sorted({(f"n{rng.randrange(18):02}", f"n{rng.randrange(18):02}") for _ in range(40)})
+    nodes = sorted({n for p in pairs for n in p})
+    asked = [(a, b) for a in nodes for b in nodes if rng.random() < 0.4]
+
+    def shortest(a, b):
+        paths = [[a]]
+        for _ in nodes:
+            ends = [p for p in paths if p[-1] == b]
+            if ends:
+                return min(ends)
+            paths = [[*p, z] for p in paths for y, z in pairs if y == p[-1] and z not in p]
+        return None
+
+    wanted = spark.createDataFrame([("p", a, b) for a, b in asked], "project_id string, source string, target string")
+    rows = TV.dependency_chain(edges(pairs), wanted).collect()
+    got = {(r.source, r.target): r.path for r in rows}
+    assert got == {(a, b): shortest(a, b) for a, b in asked if shortest(a, b)}
+    assert all(r.length == len(r.path) - 1 for r in rows)
+
+
+def test_dense_numbers_follow_the_order(spark):
+    from srcweave.operators.keys import numbered
+
+    rows = spark.range(500).selectExpr("concat('p', id % 3) AS project_id", "concat('n', id % 100) AS id").repartition(7)
+    got = [(r.project_id, r.id) for r in numbered(rows, ["project_id", "id"]).orderBy("n").collect()]
+    assert got == sorted(set(got)) and len(got) == 300
+    assert [r.n for r in numbered(rows, ["project_id", "id"]).orderBy("n").collect()] == list(range(300))

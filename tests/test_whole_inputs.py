@@ -51,3 +51,36 @@ def test_deep_expressions_lose_no_facts():
 def test_a_file_without_content_is_an_error():
     facts = parse_python(None)
     assert facts["error"] == "no content" and facts["n_lines"] == 0
+
+
+def test_components_that_share_a_short_id_stay_apart(spark, files, monkeypatch):
+    """Sixteen possible ids of one name: all nodes, edges, degrees, clusters and cycles are kept."""
+    from srcweave.operators import components as CO
+    from srcweave.operators import graph as GR
+    from srcweave.plans.analysis import analyze
+
+    monkeypatch.setattr(ids, "DIGEST_CHARS", 1)
+    n = 40
+    texts = {f"/p/d{i:02}/mod.py": f"from d{(i + 1) % n:02}.mod import f{(i + 1) % n}\ndef f{i}():\n    return f{(i + 1) % n}()\n" for i in range(n)}
+    result = analyze(files(texts), "python")
+    assert result.components.count() == result.components.select("key").distinct().count() == 2 * n
+    assert result.components.where("type = 'file'").select("id").distinct().count() <= 16
+    kinds = {r.type: r["count"] for r in result.relationships.groupBy("type").count().collect()}
+    assert kinds == {"imports": n, "calls": n}
+    nodes = result.nodes.collect()
+    assert len(nodes) == 2 * n and len({r.key for r in nodes}) == 2 * n
+    degrees = GR.node_degree(result.relationships).collect()
+    assert len(degrees) == 2 * n and {r.degree for r in degrees} == {2}
+    assert GR.island_nodes(GR.clustered(result.components), result.relationships).count() == 0
+    coupling = GR.cluster_coupling(GR.clustered(result.components), result.relationships).collect()
+    assert len(coupling) == n and {r.n_edges for r in coupling} == {2}
+    check = GR.edge_key_check(result.components, result.relationships).collect()
+    assert [tuple(r) for r in check] == [("p", 2 * n, 2 * n, 0)]
+    refs = CO.of_type(result.components, "function").selectExpr(
+        "project_id", "file_path", "'function' AS ref_type", "upper(name) AS ref_name")
+    from srcweave.operators.resolve import resolve_ids
+
+    assert {(r.file_path, r.found_name) for r in resolve_ids(refs, result.components).collect()} == {
+        (f"/p/d{i:02}/mod.py", f"f{i}") for i in range(n)}
+    (cycle,) = result.cycles().collect()
+    assert cycle.length == n and len(set(cycle.path)) == n and set(cycle.labels) == {"mod.py"}
