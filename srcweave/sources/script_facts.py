@@ -1,602 +1,694 @@
-"""Facts of TypeScript and JavaScript files: one nested row per file.
+"""Facts of TypeScript and JavaScript files, one nested row per file, as Spark expressions and windows.
 
-There is no type checker here.  The per-file helper blanks out comments and
-literals, pairs brackets, and lists declarations, imports, calls, assignments and
-template or concatenation expressions; names are resolved later by joins.
+One regular expression cuts a text into tokens: comments, literals, words, brackets, marks.  Tokens become rows; running
+sums over a file give each its place, line and bracket depth.  Tokens of one depth, with everything deeper left out, are cut
+into units: statements, members, arguments.  A unit is a short array, and what it is - a declaration, an import, an
+assignment, a call's argument - is read off its flat text by column expressions.  Calls find their arguments, classes
+their members, and everything its function by equi-joins and windows on the places of brackets.
+
+There is no type checker here: names are resolved later by joins.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left, bisect_right
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcweave.functions.text import any_of
 from srcweave.operators.rules import MARKUP_PROPERTIES, PATH_CHECKS
-from srcweave.schemas import PARSED
-from srcweave.sources.python_facts import parse_batches
+from srcweave.schemas import ASSIGN, CALL, DECL, EXPR, IMPORT, METHOD_FACT, PARAM, PARSED, PROPERTY_FACT, SCOPE
+from srcweave.session import write_once
 
+_KEY = ["project_id", "file_path"]
 _IDENT = r"[A-Za-z_$][\w$]*"
-_TOKEN = re.compile(
-    r"//[^\n]*|/\*.*?\*/|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`|\$\{|[{}]", re.S
-)
-_NOT_CALLS = {
-    "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super",
-    "constructor", "import", "do", "else", "in", "of", "throw", "case", "void", "delete", "yield",
-}
-_CALL = re.compile(rf"({_IDENT}(?:\s*\??\.\s*{_IDENT})*)\s*(?:<[\w\s,.\[\]|]*>)?\s*\(")
-_FUNCTION = re.compile(rf"\bfunction\b\s*\*?\s*({_IDENT})?\s*(?:<[^()]*>)?\s*\(")
-_ARROW = re.compile(r"=>")
-_DECLARE = re.compile(r"\b(?:const|let|var)\s+")
-_SET = re.compile(
-    rf"(?<![\w$.])({_IDENT}(?:\.{_IDENT}|\[[^\[\]=;]*\])*)\s*=(?![=>])"
+_INSIDE = r"\$\{(?:[^{}`]|`[^`]*+`|\{[^{}]*+\})*+\}"
+#: Token by token; together they are the whole text.  Type arguments and decorators are one token each.
+_TOKEN = "|".join([
+    r"//[^\n]*+", r"/\*(?:[^*]|\*(?!/))*+\*/", r"'(?:\\.|[^'\\\n])*+'", r'"(?:\\.|[^"\\\n])*+"',
+    rf"`(?:\\[\s\S]|{_INSIDE}|[^`\\])*+`",
+    r"(?<=[=(,:\[!&|?;{}\n][ \t]{0,9}|return[ \t]{1,9})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\[\n])++/[a-z]*+",
+    r"@[\w$.]++(?:\([^()]*+\))?+",
+    r"(?<=[\w$])<(?:[^<>()=;+*/%!&|?\"'`{}]|\|(?!\|)|&(?!&)|\{[^{}]*+\}|<(?:[^<>()=;]|<[^<>()=;]*+>)*+>|\"[^\"\n]*+\"|'[^'\n]*+')*+>",
+    r"#?[A-Za-z_$][\w$]*+", r"\d[\w.]*+", r"=>|\.\.\.|\?\.(?!\d)|\+\+|--|[!=]==?|<=|>=|\|\||&&|\?\?|[-+*/%&|^]=",
+    r"\n", r"[^\S\n]++", r"[\s\S]",
+])
+#: What stands before a brace that holds an object, a pattern or a list of names, not statements.
+_BEFORE_OBJECT = (
+    "=", "(", ",", ":", "[", "?", "return", "&&", "||", "??", "...", "import", "export", "const", "let", "var", "type", "from", "default", "in", "of",
 )
-_MARKUP = re.compile(
-    rf"({_IDENT}(?:\??\.{_IDENT}|\[[^\[\]]*\]|\(\))*)\.({'|'.join(MARKUP_PROPERTIES)})\b"
-    r"\s*(=(?!>)|\+=|[!=]==?|\+|\|\||&&|\?\?)"
+#: Operators that make a value of several, and marks after or before which a line goes on.
+_OPERATORS = ("||", "&&", "??", "!=", "==", "!==", "===", "<=", ">=", "+", "-", "*", "/", "%", "<", ">")
+_GOES_ON_AFTER = (*_OPERATORS, "=", "=>", ",", "?", ":", ".", "?.", "&", "|", "+=", "extends", "implements", "new", "return", "typeof", "await")
+_GOES_ON_BEFORE = (
+    *_OPERATORS, "=", "=>", ",", "?", ":", ".", "?.", "&", "|", ")", "]", "}", "(", "[", ";", "extends", "implements", "else", "catch",
+    "finally", "from", "as", "in", "of", "instanceof", "{",
 )
-_HEAD = re.compile(
-    rf"(?m)^[ \t]*((?:@{_IDENT}[\w$.]*(?:\([^()]*\))?\s*)*)"
-    r"((?:export\s+|default\s+|abstract\s+|declare\s+|async\s+|const(?=\s+enum)\s+)*)"
-    r"((?:@[\w$.]+(?:\([^()]*\))?\s*)*)(?:abstract\s+)?"
-    rf"(?:(class|function\s*\*?|interface|type|enum)\s+(?!extends\b|implements\b)({_IDENT})"
-    r"|(class|function\s*\*?)(?=\s*(?:\(|\{|extends\b|implements\b)))"
+_NOT_CALLS = (
+    "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "super", "constructor", "import", "do", "else", "in",
+    "of", "throw", "case", "void", "delete", "yield", "with", "async", "new",
 )
+_MODIFIERS = "public|private|protected|static|readonly|abstract|async|override|declare|get|set"
+_LEADS = r"^(?:@\S+ ?)*((?:(?:export|default|abstract|declare|async) )*)(?:const (?=enum\b))?"
+_HEAD = _LEADS + rf"(?:(class|function|interface|type|enum)(?: ?\* ?| )(?!extends\b|implements\b)({_IDENT})|(class|function)\b)"
+_MEMBER = rf"^(?:@\S+ ?)*((?:(?:{_MODIFIERS})(?! ?[(:?=;!]) )*)\*? ?(#?{_IDENT}) ?([?!]?) ?(?:<.*?> ?)?(\(?)"
+_TARGET = rf"({_IDENT}(?:\??\.#?{_IDENT}|\[\])*)!? ?(?::.*)?$"
+_MARKUP = rf"({_IDENT}(?:\??\.{_IDENT}|\[\]|\(\))*)\.({'|'.join(MARKUP_PROPERTIES)}) ?(?:=(?![>=])|\+=|[!=]==?|\+|\|\||&&|\?\?)"
 # Names of declarations that have none.
 _UNNAMED = {"class": "AnonymousClass", "function": "anonymous"}
-_TYPE_STOP = re.compile(r"=>|[{};=]")
-_IMPORT = re.compile(
-    rf"(?m)^[ \t]*import\s+(?:type\s+)?(?:({_IDENT})\s*,?\s*)?(?:\*\s*as\s+{_IDENT}\s*)?"
-    r"(?:\{([^}]*)\}\s*)?(?:from\s*)?(?=['\"])"
-)
-_NO_CALL_BEFORE = re.compile(r"(?<![\w$.])(?:new|function|class)\s*\*?$")
-_CHAIN_HEAD = re.compile(rf"({_IDENT}(?:\s*\??\.\s*{_IDENT})*)\s*$")
-_OPERATOR = re.compile(r"\|\||&&|\?\?|[!=]==?|<=|>=|\+|-|\*|/|%|(?<=\s)[<>](?=\s)")
-_MODIFIERS = ("public", "private", "protected", "static", "readonly", "abstract", "async",
-              "override", "declare", "get", "set")
-
-
-class _Script:
-    """A file with literals blanked, brackets paired and lines indexed."""
-
-    def __init__(self, text: str):
-        self.text = text
-        self.starts = [0] + [m.end() for m in re.finditer("\n", text)]
-        self.templates: dict[int, tuple[int, list[tuple[int, int]]]] = {}
-        self.masked = self._mask()
-        self.close: dict[int, int] = {}
-        stack: list[int] = []
-        for m in re.finditer(r"[()\[\]{}]", self.masked):
-            if m.group() in "([{":
-                stack.append(m.start())
-            elif stack:
-                begin = stack.pop()
-                self.close[begin] = m.start()
-        self.opener = {end: begin for begin, end in self.close.items()}
-        self.open_at = sorted(self.close)
-        self.template_at = sorted(self.templates)
-        self.top = self.flat(0, len(text))
-
-    def _mask(self) -> str:
-        """Comments and literal contents become spaces, templates one quoted blank."""
-        out, position, text = [], 0, self.text
-        while m := _TOKEN.search(text, position):
-            out.append(text[position : m.start()])
-            token, end = m.group(), m.end()
-            if token == "`":
-                end = self._template(m.start())
-                out.append("`" + " " * max(end - m.start() - 2, 0) + "`")
-            elif token[0] == "/":
-                out.append(re.sub(r"[^\n]", " ", token))
-            elif token[0] in "'\"":
-                out.append(token[0] + " " * (len(token) - 2) + token[0])
-            else:
-                out.append(token)
-            position = end
-        out.append(text[position:])
-        return "".join(out)[: len(text)]
-
-    def _template(self, begin: int) -> int:
-        """End of the template that starts at ``begin``; notes its expressions."""
-        spans, position, text = [], begin + 1, self.text
-        while position < len(text) and text[position] != "`":
-            if text[position] == "\\":
-                position += 2
-            elif text.startswith("${", position):
-                start, depth, position = position + 2, 1, position + 2
-                while position < len(text) and depth:
-                    if text[position] == "`":
-                        position = self._template(position)
-                        continue
-                    depth += {"{": 1, "}": -1}.get(text[position], 0)
-                    position += 1
-                spans.append((start, position - 1))
-            else:
-                position += 1
-        self.templates[begin] = (position + 1, spans)
-        return position + 1
-
-    def line(self, position: int) -> int:
-        return bisect_right(self.starts, position)
-
-    def skip(self, position: int) -> int:
-        while position < len(self.masked) and self.masked[position].isspace():
-            position += 1
-        return position
-
-    def flat(self, begin: int, end: int) -> str:
-        """Masked slice with everything inside brackets blanked."""
-        out, position, i = [], begin, bisect_left(self.open_at, begin)
-        while i < len(self.open_at) and self.open_at[i] < end:
-            opening = self.open_at[i]
-            stop = self.close[opening]
-            i += 1
-            if stop < end:
-                out += (self.masked[position : opening + 1], " " * (stop - opening - 1))
-                position, i = stop, bisect_left(self.open_at, stop)
-        out.append(self.masked[position:end])
-        return "".join(out)
-
-    def before(self, position: int) -> int:
-        """Position of the last character before, blanks skipped; -1 for none."""
-        position -= 1
-        while position >= 0 and self.masked[position].isspace():
-            position -= 1
-        return position
-
-    def split(self, begin: int, end: int, mark: str = ",") -> list[tuple[int, int]]:
-        flat, parts, start = self.flat(begin, end), [], begin
-        for i, ch in enumerate(flat):
-            if ch == mark:
-                parts.append((start, begin + i))
-                start = begin + i + 1
-        parts.append((start, end))
-        return [p for p in parts if self.text[p[0] : p[1]].strip()]
-
-    def statement_end(self, begin: int) -> int:
-        """End of an expression: ``;``, ``,``, an outer bracket or a finished line."""
-        position, masked = begin, self.masked
-        while position < len(masked):
-            ch = masked[position]
-            if position in self.close:
-                position = self.close[position]
-            elif ch in ";,)]}":
-                break
-            elif ch == "\n":
-                before = masked[begin:position].rstrip()
-                after = masked[self.skip(position) : self.skip(position) + 2]
-                if before and before[-1] not in "=+-*/%&|?:<,(" and not re.match(
-                    r"[.+\-*/%&|?:]", after
-                ):
-                    break
-            position += 1
-        return position
-
-    # Expressions ----------------------------------------------------------
-
-    def kind(self, begin: int, end: int) -> str:
-        begin = self.skip(begin)
-        text = self.text[begin:end].strip()
-        masked = self.masked[begin : begin + len(text)]
-        if not text:
-            return "empty"
-        flat = self.flat(begin, begin + len(text))
-        if "=>" in flat or re.match(r"(async\s+)?function\b", masked):
-            return "function"
-        if re.match(r"^[\d][\w.]*$", text):
-            return "number"
-        if re.match(r"^(['\"]) *\1$", masked):
-            return "string"
-        if re.match(r"^`\s*`$", masked):
-            return "template" if self.templates[begin][1] else "plain_template"
-        if "?" in flat.replace("??", "").replace("?.", ""):
-            return "other"
-        if self._operators(flat):
-            return "binary"
-        return "name" if re.match(rf"^{_IDENT}$", text) else "other"
-
-    @staticmethod
-    def _operators(flat: str) -> list[re.Match]:
-        return [m for m in _OPERATOR.finditer(flat) if flat[: m.start()].strip()]
-
-    def atoms(self, begin: int, end: int) -> list[str]:
-        """Texts of the sub-expressions a value is made of, the whole one first."""
-        begin = self.skip(begin)
-        text = self.text[begin:end].strip()
-        end = begin + len(text)
-        kind = self.kind(begin, end)
-        if kind in ("string", "number", "plain_template", "empty"):
-            return []
-        found = [text]
-        if kind == "template":
-            for span in self.templates[begin][1]:
-                found += self.inner(*span)
-        elif kind == "binary":
-            start = begin
-            for m in self._operators(self.flat(begin, end)):
-                found += self.atoms(start, begin + m.start())
-                start = begin + m.end()
-            found += self.atoms(start, end)
-        return found
-
-    def inner(self, begin: int, end: int) -> list[str]:
-        """Atoms of code inside a template, which the mask leaves blank."""
-        return _Script(self.text[begin:end]).atoms(0, end - begin)
-
-    def names(self, begin: int, end: int) -> list[str]:
-        code = self.masked[begin:end]
-        words = re.findall(rf"(?<![\w$.])({_IDENT})", code)
-        first = bisect_left(self.template_at, begin)
-        for start in self.template_at[first : bisect_left(self.template_at, end)]:
-            for a, z in self.templates[start][1]:
-                words += _Script(self.text[a:z]).names(0, z - a)
-        return list(dict.fromkeys(words))
-
-    def arg(self, begin: int, end: int) -> dict:
-        return {"text": self.text[begin:end].strip(), "kind": self.kind(begin, end),
-                "names": self.names(begin, end), "atoms": self.atoms(begin, end)}
-
-
-def _block_after(src: _Script, position: int) -> tuple[int, int] | None:
-    """The ``{...}`` that follows a parameter list, past a return type."""
-    position = src.skip(position)
-    typed = src.masked[position : position + 1] == ":"
-    while typed and (m := _TYPE_STOP.search(src.masked, position + 1)):
-        position = m.start()
-        if m.group() == "=>":
-            position += 1
-        elif m.group() != "{":
-            return None
-        elif src.masked[src.before(position)] in ":<|&,([":  # an object type
-            position = src.close.get(position, position)
-        else:
-            break
-    if src.masked[position : position + 1] == "{" and position in src.close:
-        return position, src.close[position]
-    return None
-
-
-def _params(src: _Script, begin: int, end: int) -> list[dict]:
-    found = []
-    for a, z in src.split(begin, end):
-        text, flat = src.text[a:z].strip(), src.flat(a, z).strip()
-        head = flat.split("=")[0]
-        name = re.sub(r"^((public|private|protected|readonly|override)\s+)+", "", head)
-        name = name.split(":")[0].strip()
-        given = text[len(head.split(":")[0]) + 1 :].split("=")[0].strip() if ":" in head else "any"
-        found.append({
-            "name": name.rstrip("?").lstrip(".").strip(), "type": given or "any",
-            "is_optional": name.endswith("?") or "=" in flat.replace("=>", "")
-            or name.startswith("..."),
-        })
-    return found
+# ---------------------------------------------------------------------------
 
 
-def _members(src: _Script, begin: int, end: int) -> tuple[list[dict], list[dict]]:
-    """Methods and properties of a class or interface body."""
-    methods, properties, position = [], [], begin
-    while (position := src.skip(position)) < end:
-        flat_end = position
-        while flat_end < end and src.masked[flat_end] not in ";{=\n":
-            flat_end = src.close.get(flat_end, flat_end) + 1
-        head = src.masked[position:flat_end]
-        words, rest = [], head
-        while m := re.match(rf"\s*({'|'.join(_MODIFIERS)})\b(?!\s*[(:?=;])\s*", rest):
-            words.append(m.group(1))
-            rest = rest[m.end() :]
-        named = re.match(rf"\s*(#?{_IDENT})\s*([?!]?)\s*(<[^()]*>)?\s*(\(?)", rest)
-        stop = flat_end
-        if named and named.group(4):
-            opening = position + len(head) - len(rest) + named.end() - 1
-            closing = src.close.get(opening, opening)
-            block = _block_after(src, closing + 1)
-            tail = src.text[closing + 1 : block[0] if block else flat_end].strip()
-            stop = block[1] if block else max(flat_end, closing)
-            if named.group(1) != "constructor":
-                methods.append({
-                    "name": named.group(1), "params": _params(src, opening + 1, closing),
-                    "return_type": tail.lstrip(":").strip() or None, "decorators": [],
-                    "is_async": "async" in words, "modifiers": words,
-                })
-        elif named:
-            given = src.text[position:flat_end].split(":", 1)
-            properties.append({"name": named.group(1), "modifiers": words,
-                               "type": given[1].strip() if len(given) > 1 else "any"})
-            if src.masked[flat_end : flat_end + 1] == "=":
-                stop = src.statement_end(flat_end + 1)
-        while src.masked[stop : stop + 1] == "{" and stop in src.close:
-            stop = src.close[stop]
-        position = max(stop, position) + 1
-    return methods, properties
-
-
-def _decls(src: _Script) -> list[dict]:
-    found = []
-    for m in _HEAD.finditer(src.top):
-        word = (m.group(4) or m.group(6)).strip(" *\t\n")
-        if not m.group(5) and "default" not in m.group(2):
-            continue
-        kind = {"type": "type-alias"}.get(word, word)
-        begin, after = src.skip(m.start()), m.end()
-        markers = re.findall(r"@([\w$.]+)", m.group(1) + m.group(3))
-        opening = src.masked.find("{", after)
-        params: list[dict] = []
-        returns = None
-        if kind == "function":
-            left = src.masked.find("(", after)
-            right = src.close.get(left, after)
-            params = _params(src, left + 1, right)
-            block = _block_after(src, right + 1)
-            end = block[1] if block else src.statement_end(right + 1)
-            stated = src.text[right + 1 : block[0] if block else end].strip()
-            returns = stated.lstrip(":").strip() or None
-        elif kind == "type-alias":
-            end = min(src.statement_end(src.masked.find("=", after) + 1), len(src.text) - 1)
-        elif opening >= 0:
-            end = src.close.get(opening, opening)
-        else:
-            continue
-        head = src.text[after : opening if opening >= 0 else after]
-        base = re.search(rf"\bextends\s+({_IDENT}(?:\.{_IDENT})*(?:<[^{{}}]*?>)?)", head)
-        listed = re.search(r"\bimplements\s+(.*)$", head, re.S)
-        members = kind in ("class", "interface")
-        methods, properties = _members(src, opening + 1, end) if members else ([], [])
-        found.append({
-            "kind": kind, "name": m.group(5) or _UNNAMED[kind], "ord": len(found), "start_line": src.line(begin),
-            "end_line": src.line(end), "block_line": src.line(begin),
-            "snippet": src.text[begin : end + 1][:200],
-            "decorators": [d.split(".")[-1] for d in markers] if kind == "class" else [],
-            "bases": [base.group(1)] if base and kind == "class" else [],
-            "ifaces": [i.strip() for i in listed.group(1).split(",")]
-            if listed and kind == "class" else [],
-            "params": params, "return_type": returns, "is_exported": "export" in m.group(2),
-            "is_default": "default" in m.group(2),
-            "methods": methods if kind == "class" else [], "properties": properties,
-        })
-    return found
+# Tokens -----------------------------------------------------------------------------
 
 
-def _imports(src: _Script) -> list[dict]:
-    found = []
-    for m in _IMPORT.finditer(src.masked):
-        quote = m.end()
-        stop = src.text.find(src.text[quote], quote + 1)
-        if not src.top[m.start() : quote].strip():
-            continue
-        names = [n.split(" as ")[0].strip().removeprefix("type ").strip()
-                 for n in (m.group(2) or "").split(",")]
-        found.append({
-            "module": src.text[quote + 1 : stop], "level": 0, "names": [n for n in names if n],
-            "default_name": m.group(1), "line": src.line(src.skip(m.start())), "ord": len(found),
-        })
-    return found
+def _kind(t: Column) -> Column:
+    """c comment, b blank, s string, t template, r regular expression, d decorator, g type arguments, w word, n number, p mark."""
+    first, many = F.substring(t, 1, 1), F.length(t) > 1
+    return (
+        F.when(many & F.startswith(t, F.lit("//")) | F.startswith(t, F.lit("/*")), "c")
+        .when(F.rlike(t, F.lit(r"^\s")), "b").when(many & first.isin("'", '"'), "s").when(many & (first == "`"), "t")
+        .when(many & (first == "/") & (t != "/="), "r").when(many & (first == "@"), "d")
+        .when(many & (first == "<") & (t != "<="), "g").when(F.rlike(first, F.lit(r"[A-Za-z_$#]")), "w")
+        .when(F.rlike(first, F.lit(r"\d")), "n").otherwise("p")
+    )
+
+
+def _masked(t: Column, kind: Column) -> Column:
+    """The token as code: literals and comments blanked, byte for byte."""
+    blank = F.repeat(F.lit(" "), F.octet_length(t) - 2)
+    return (
+        F.when(kind == "c", F.repeat(F.lit(" "), F.octet_length(t)))
+        .when(kind.isin("s", "t"), F.concat(F.substring(t, 1, 1), blank, F.substring(t, 1, 1)))
+        .when(kind == "r", F.concat(F.lit("/"), blank, F.lit("/"))).otherwise(t)
+    )
+
+
+def _flat_piece(t: Column, kind: Column) -> Column:
+    """The token as it stands in a unit's flat text."""
+    quotes = F.concat(F.substring(t, 1, 1), F.substring(t, 1, 1))
+    return (
+        F.when(kind == "s", quotes).when(kind == "t", F.when(F.rlike(t, F.lit(r"\$\{")), "`$`").otherwise("``"))
+        .when(kind == "r", "//").when(kind == "d", F.regexp_extract(t, r"^@[\w$.]+", 0)).otherwise(t)
+    )
+
+
+def _token_rows(files: DataFrame) -> DataFrame:
+    """A row for each token: place in bytes, line, depth of the brackets around it."""
+    tokens = files.select(*_KEY, F.posexplode("tokens").alias("i", "t")).withColumn("kind", _kind(F.col("t")))
+    order = Window.partitionBy(*_KEY).orderBy("i")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    opens = F.col("t").isin("(", "[", "{")
+    lines = F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit("")))
+    depth = F.when(opens, 1).when(F.col("t").isin(")", "]", "}"), -1).otherwise(0)
+    placed = tokens.select(
+        *_KEY, "i", "t", "kind", F.octet_length("t").alias("size"), lines.alias("lines"),
+        F.coalesce(F.sum(F.octet_length("t")).over(before), F.lit(0)).alias("pos"),
+        (F.coalesce(F.sum(lines).over(before), F.lit(0)) + 1).cast("int").alias("line"),
+        (F.sum(depth).over(so_far) - F.when(opens, 1).otherwise(0)).cast("int").alias("depth"),
+    )
+    real = placed.where(~F.col("kind").isin("c", "b"))
+    end, end_line = F.col("pos") + F.col("size"), F.col("line") + F.col("lines")
+    return real.select(
+        *_KEY, "i", "t", "kind", "pos", end.alias("fin"), "line", end_line.alias("end_line"), "depth",
+        F.lag("t").over(order).alias("last"), F.lag("t", 2).over(order).alias("last_but_one"), F.lag("pos").over(order).alias("last_pos"),
+        (F.col("pos") > F.lag(end).over(order)).alias("gap"), (F.col("line") > F.lag(end_line).over(order)).alias("new_line"),
+    )
+
+
+def _units(tokens: DataFrame) -> DataFrame:
+    """A row for each unit, with its tokens in order: ``toks``.
+
+    ``inside`` is the place of the bracket around it (-1: none) and ``around`` its kind: ``(``, ``[``, ``o`` an object
+    or pattern, ``b`` a block, ``t`` the top.
+    """
+    order = Window.partitionBy(*_KEY, "depth").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    t, side, kind = F.col("t"), F.col("side"), F.col("kind")
+    enters = F.col("last").isNull() | F.col("last").isin("(", "[", "{") & ~t.isin(")", "]", "}")
+    brace = F.when(F.coalesce(F.col("last_but_one"), F.lit(";")).isin(*_BEFORE_OBJECT), "o").otherwise("b")
+    around = F.when(F.col("last").isNull(), "t").when(F.col("last") == "{", brace).otherwise(F.col("last"))
+    rows = tokens.withColumns({
+        "enters": enters, "side": F.lag("t").over(order), "side_kind": F.lag("kind").over(order),
+        "inside": F.coalesce(F.last(F.when(enters, F.coalesce("last_pos", F.lit(-1))), True).over(so_far), F.lit(-1)),
+        "around": F.last(F.when(enters, around), True).over(so_far),
+    })
+    block = F.col("around").isin("b", "t")
+    after_block = (side == "}") & kind.isin("w", "d", "s", "t", "n") & ~t.isin(*_GOES_ON_BEFORE) & (F.coalesce("side_kind", F.lit("p")) == "p")
+    line_ends = F.col("new_line") & ~t.isin(*_GOES_ON_BEFORE) & ~side.isin(*_GOES_ON_AFTER) & (F.col("side_kind") != "d")
+    starts = F.col("enters") | (side == ";") | (side == ",") & ~block | block & (after_block | line_ends)
+    member = (side.isin(".", "?.")) | t.isin(".", "?.")
+    goes_on = member | t.isin(")", "]", "}") | (kind == "g") | t.isin("(", "[") & (F.col("side_kind").isin("w", "g") | side.isin(")", "]"))
+    heads = F.col("enters") | ~F.coalesce(goes_on, F.lit(False))
+    rows = rows.withColumns({
+        "unit": F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(so_far),
+        "chain": F.last(F.when(heads, F.col("pos")), True).over(so_far),
+        "chain_line": F.last(F.when(heads, F.col("line")), True).over(so_far),
+        "before_chain": F.last(F.when(heads, F.when(F.col("enters"), "").otherwise(F.coalesce("side", F.lit("")))), True).over(so_far),
+    })
+    token = F.struct("i", "t", "kind", "pos", "fin", "line", "end_line", "gap", "chain", "chain_line", "before_chain")
+    units = rows.groupBy(*_KEY, "depth", "unit").agg(
+        F.sort_array(F.collect_list(token)).alias("toks"), F.min("inside").alias("inside"), F.min("around").alias("around")
+    )
+    body = F.filter("toks", lambda x: ~((x["t"].isin(";", ",")) & (x["kind"] == "p") & ((x["i"] == F.element_at("toks", -1)["i"]))))
+    return units.withColumn("toks", body).where(F.size("toks") > 0).withColumns({
+        "begin": F.get("toks", F.lit(0))["pos"], "fin": F.element_at("toks", -1)["fin"], "line": F.get("toks", F.lit(0))["line"],
+        "end_line": F.element_at("toks", -1)["end_line"], "flat": _flat(F.col("toks")),
+    })
+
+
+def _flat(toks: Column) -> Column:
+    """Text of some tokens of a unit: literals empty, brackets empty, blanks and lines as one space."""
+    return F.trim(F.array_join(F.transform(toks, lambda x: F.concat(F.when(x["gap"] & ~x["t"].isin(")", "]", "}"), " ").otherwise(""), _flat_piece(x["t"], x["kind"]))), ""))
+
+
+def _first(items: Column) -> Column:
+    return F.get(items, F.lit(0))
+
+
+def _mark(toks: Column, *marks: str) -> Column:
+    """The first of some marks among tokens, or null."""
+    return _first(F.filter(toks, lambda x: x["t"].isin(*marks) & (x["kind"] == "p")))
+
+
+def _after(toks: Column, i: Column) -> Column:
+    return F.filter(toks, lambda x: x["i"] > i)
+
+
+# Values: what a span of tokens says, as places -----------------------------------------
+
+VALUE = "struct<begin:bigint,fin:bigint,flat:string,cuts:array<struct<pos:bigint,fin:bigint>>,line:int,end_line:int>"
+
+
+def _value(toks: Column) -> Column:
+    """The span of some tokens of a unit, its flat text, and the operators that cut it."""
+    first = _first(toks)
+    cuts = F.filter(toks, lambda x: x["t"].isin(*_OPERATORS) & (x["kind"] == "p") & (x["i"] > first["i"]))
+    return F.struct(
+        first["pos"].alias("begin"), F.element_at(toks, -1)["fin"].alias("fin"), _flat(toks).alias("flat"),
+        F.transform(cuts, lambda x: F.struct(x["pos"].alias("pos"), x["fin"].alias("fin"))).alias("cuts"),
+        first["line"].alias("line"), F.element_at(toks, -1)["end_line"].alias("end_line"),
+    ).cast(VALUE)
+
+
+def value_kind(flat: Column, cuts: Column) -> Column:
+    def like(pattern: str) -> Column:
+        return F.rlike(flat, F.lit(pattern))
+
+    asks = F.contains(F.replace(F.replace(flat, F.lit("??"), F.lit("")), F.lit("?."), F.lit("")), F.lit("?"))
+    return (
+        F.when(flat == "", "empty").when(like(r"=>|^(async )?function\b"), "function").when(like(r"^\d[\w.]*$"), "number")
+        .when(like("^(''|\"\")$"), "string").when(flat == "``", "plain_template").when(flat == "`$`", "template")
+        .when(asks, "other").when(F.size(cuts) > 0, "binary").when(like(rf"^{_IDENT}$"), "name").otherwise("other")
+    )
+
+
+def _sub(data: str, begin: Column, fin: Column) -> Column:
+    """Bytes of the file's ``content`` or ``masked`` text."""
+    return F.decode(F.substring(F.col(data), (begin + 1).cast("int"), (fin - begin).cast("int")), "UTF-8")
+
+
+def _raw(v: Column) -> Column:
+    return F.trim(_sub("content", v["begin"], v["fin"]))
+
+
+def _embedded(text: Column) -> Column:
+    """Expressions inside templates."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_INSIDE), F.lit(0)), lambda e: F.trim(F.substring(e, F.lit(3), F.length(e) - 3)))
+
+
+def _inner_atoms(text: Column) -> Column:
+    """Each expression inside a template, and what operators make it of."""
+    parts = lambda e: F.filter(
+        F.transform(F.split(e, r"\|\||&&|\?\?|[!=]==?|<=|>=|[-+*/%]"), lambda p: F.trim(p)), lambda p: (p != "") & (p != e) & ~F.rlike(p, F.lit(r"^['\"\d]"))
+    )
+    return F.flatten(F.transform(_embedded(text), lambda e: F.concat(F.array(e), parts(e))))
+
+
+def names_in(v: Column) -> Column:
+    """Identifiers that are no members, also those inside templates."""
+    code = _sub("masked", v["begin"], v["fin"])
+    word = F.lit(rf"(?<![\w$.]){_IDENT}")
+    inside = F.when(F.contains(code, F.lit("`")), F.array_join(_embedded(_raw(v)), " ; ")).otherwise("")
+    return F.array_distinct(F.concat(F.regexp_extract_all(code, word, F.lit(0)), F.regexp_extract_all(inside, word, F.lit(0))))
+
+
+def atoms_of(v: Column) -> Column:
+    """Texts of the expressions a value is made of, the whole one first."""
+    text, kind = _raw(v), value_kind(v["flat"], v["cuts"])
+    starts = F.concat(F.array(v["begin"]), F.transform(v["cuts"], lambda c: c["fin"]))
+    ends = F.concat(F.transform(v["cuts"], lambda c: c["pos"]), F.array(v["fin"]))
+    operands = F.transform(F.arrays_zip(starts.alias("b"), ends.alias("e")), lambda s: F.trim(_sub("content", s["b"], s["e"])))
+    literal = lambda o: F.rlike(o, F.lit(r"""^(?:\d[\w.]*|'(?:\\.|[^'\\])*+'|"(?:\\.|[^"\\])*+"|`[^`$]*+`|)$"""))
+    quoted = lambda o: F.startswith(o, F.lit("`"))
+    none = F.array().cast("array<string>")
+    of_operand = lambda o: F.when(literal(o), none).when(quoted(o), F.concat(F.array(o), _inner_atoms(o))).otherwise(F.array(o))
+    return (
+        F.when(kind.isin("string", "number", "plain_template", "empty"), none)
+        .when(kind == "template", F.concat(F.array(text), _inner_atoms(text)))
+        .when(kind == "binary", F.concat(F.array(text), F.flatten(F.transform(operands, of_operand))))
+        .otherwise(F.array(text))
+    )
+
+
+# What units are ------------------------------------------------------------------------
+
+
+def _bodies(units: DataFrame) -> DataFrame:
+    """Braces that hold members or the statements of a function: place, end, kind, name, and where its head begins."""
+    flat, toks = F.col("flat"), F.col("toks")
+    braces = F.filter(toks, lambda x: x["t"] == "{")
+    last = F.element_at(toks, -2)  # the brace before the closing one, if the unit ends with it
+    ends_open = (F.size(toks) >= 2) & (last["t"] == "{")
+    head = F.regexp_extract(flat, rf"(?:^|[^\w$.])(class|interface) (?!extends\b)({_IDENT})", 2)
+    members = F.rlike(flat, F.lit(_LEADS + r"(?:class|interface)\b")) & (F.size(braces) > 0)
+    member_kind = F.when(F.rlike(flat, F.lit(_LEADS + "interface")), "interface").otherwise("class")
+    function = F.rlike(flat, F.lit(r"(?:^|[^\w$.])function\b")) & ~members & ends_open
+    statement = F.rlike(flat, F.lit(_LEADS + rf"function ?\*? ?{_IDENT}"))
+    word = _first(F.filter(toks, lambda x: (x["t"] == "function")))
+    method = F.col("around").isin("b") & F.rlike(flat, F.lit(_MEMBER)) & (F.regexp_extract(flat, _MEMBER, 4) == "(") & ends_open
+    method = method & ~function & ~members & ~F.regexp_extract(flat, _MEMBER, 2).isin(*_NOT_CALLS[:3], "switch", "catch", "function", "with")
+    method = method & (F.coalesce(F.get(toks, F.size(toks) - 3)["t"], F.lit("")) != ":") & _mark(toks, "=", "=>").isNull()
+    arrows = F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size(toks) - 1, F.lit(1))),
+        lambda k: (F.get(toks, k)["t"] == "{") & (F.get(toks, k - 1)["t"] == "=>"),
+    )
+
+    def body(kind, name, brace, first) -> Column:
+        return F.struct(
+            kind.alias("kind"), name.alias("name"), brace["pos"].alias("open"), _first(_after(toks, brace["i"]))["pos"].alias("close"),
+            first["pos"].alias("head"), first["line"].alias("head_line"), _first(_after(toks, brace["i"]))["end_line"].alias("close_line"),
+        )
+
+    start = _first(toks)
+    function_name = F.regexp_extract(flat, rf"function ?\*? ?({_IDENT})?", 1)
+    found = F.array_compact(F.array(
+        F.when(members, body(member_kind, head, _first(braces), start)),
+        F.when(function, body(F.when(statement, "function").otherwise("inner"), function_name, last, word)),
+        F.when(method, body(F.lit("method"), F.regexp_extract(flat, _MEMBER, 2), last, start)),
+    ))
+    of_arrows = F.transform(arrows, lambda k: body(F.lit("inner"), F.lit(""), F.get(toks, k), F.get(toks, k - 1)))
+    return units.select(*_KEY, "inside", F.inline(F.concat(found, of_arrows))).where("close IS NOT NULL")
+
 
+def _around(units: DataFrame, functions: DataFrame) -> DataFrame:
+    """For each bracket units stand in: the innermost function around, the innermost declared one, and the innermost method.
 
-def _scopes(src: _Script) -> list[dict]:
-    """Function bodies: where they are, and which declaration or class they belong to."""
-    found: dict[int, dict] = {}
-
-    def add(head: int, body: tuple[int, int], name: str, owner):
-        found.setdefault(body[0], {"head": head, "body": body, "name": name, "owner": owner})
-
-    for m in _FUNCTION.finditer(src.masked):
-        block = _block_after(src, src.close.get(m.end() - 1, m.end()) + 1)
-        if block:
-            statement = m.group(1) and src.masked[src.before(m.start())] not in "=(,:"
-            add(m.start(), block, m.group(1) or "", (m.group(1), "function") if statement else None)
-    classes = []
-    for m in re.finditer(rf"\b(class|interface)\s+({_IDENT})[^{{;]*\{{", src.masked):
-        body = (m.end() - 1, src.close.get(m.end() - 1, m.end()))
-        classes.append((body, m.group(2), m.group(1)))
-        if m.group(1) == "class":
-            for c in re.finditer(rf"({_IDENT})\s*(?:<[^()]*>)?\s*\(", src.flat(body[0] + 1, body[1])):
-                left = body[0] + 1 + c.end() - 1
-                block = _block_after(src, src.close.get(left, left) + 1)
-                if block:
-                    method = None if c.group(1) == "constructor" else (m.group(2), "class")
-                    add(body[0] + 1 + c.start(), block, c.group(1), method)
-    interfaces = [b for b, _, k in classes if k == "interface"]
-    for m in _ARROW.finditer(src.masked):
-        if any(a < m.start() < z for a, z in interfaces):
-            continue
-        begin = src.skip(m.end())
-        body = (begin, src.close[begin]) if begin in src.close and src.masked[begin] == "{" else (
-            begin, src.statement_end(begin))
-        add(m.start(), body, "", None)
-    ordered = sorted(found.values(), key=lambda s: s["body"][0])
-    holders: list[int] = []
-    for number, scope in enumerate(ordered):
-        while holders and ordered[holders[-1]]["body"][1] < scope["body"][0]:
-            holders.pop()
-        scope["parent"] = holders[-1] if holders else None
-        holders.append(number)
-        line = src.line(scope["head"])
-        column = scope["head"] - src.starts[line - 1]
-        scope |= {"scope_id": f"{scope['name']}:{line}:{column}", "line": line,
-                  "end_line": src.line(scope["body"][1]), "callees": [], "steps": []}
-    return ordered
-
-
-def _step(src: _Script, position: int, target: str, kind: str, names: list[str],
-          value: tuple[int, int], is_decl: bool, number: int) -> dict:
-    return {
-        "ord": number, "target": target, "targets": names, "target_kind": kind,
-        "value": src.text[value[0] : value[1]].strip(), "value_kind": src.kind(*value),
-        "call_name": None, "is_augmented": False, "is_decl": is_decl, "uses": [],
-        "names": src.names(*value), "line": src.line(position), "end_line": src.line(value[1] - 1),
+    Bodies enter and leave; how many are entered says which one holds a place: the last entered so deep.
+    """
+    named = F.col("kind") == "function"
+    method = (F.col("kind") == "method") & (F.col("name") != "constructor")
+    facts = {
+        "scope_id": (F.lit(True), _scope_id()),
+        "in_function": (named, F.struct(F.col("name").alias("name"), F.lit("function").alias("kind"))),
+        "in_class": (method, F.struct(F.col("owner").alias("name"), F.lit("class").alias("kind"))),
     }
+    enter = functions.select(*_KEY, F.col("open").alias("inside"), F.lit(1).alias("way"), *[
+        F.when(test, value).alias(name) for name, (test, value) in facts.items()
+    ], *[test.cast("int").alias(f"is_{name}") for name, (test, _) in facts.items()])
+    leave = functions.select(*_KEY, F.col("close").alias("inside"), F.lit(-1).alias("way"), *[(-test.cast("int")).alias(f"is_{name}") for name, (test, _) in facts.items()])
+    places = units.select(*_KEY, "inside").distinct().withColumn("way", F.lit(0))
+    events = enter.unionByName(leave, True).unionByName(places, True)
+    order = Window.partitionBy(*_KEY).orderBy("inside", F.desc("way")).rowsBetween(Window.unboundedPreceding, 0)
+    for name in facts:
+        events = events.withColumn(f"deep_{name}", F.sum(F.coalesce(f"is_{name}", F.lit(0))).over(order))
+    for name in facts:
+        level = Window.partitionBy(*_KEY, f"deep_{name}").orderBy("inside", F.desc("way")).rowsBetween(Window.unboundedPreceding, 0)
+        events = events.withColumn(f"held_{name}", F.when(F.col(f"deep_{name}") > 0, F.last(name, True).over(level)))
+    return events.where("way = 0").select(
+        *_KEY, "inside", F.col("held_scope_id").alias("scope_id"), F.coalesce("held_in_function", "held_in_class").alias("owner")
+    )
+
+
+def _scope_id() -> Column:
+    return F.concat_ws(":", "name", F.col("head_line").cast("string"), F.col("head").cast("string"))
+
+
+def _calls(units: DataFrame) -> DataFrame:
+    """Call expressions: places of the callee, of the bracket and of the end."""
+    toks = F.col("toks")
+    at = F.filter(F.sequence(F.lit(0), F.size(toks) - 1), lambda k: (F.get(toks, k)["t"] == "(") & (k > 0) & F.get(toks, k + 1).isNotNull())
+
+    def call(k) -> Column:
+        here, before = F.get(toks, k), F.get(toks, k - 1)
+        word = F.when(before["kind"] == "g", F.get(toks, k - 2)).otherwise(before)
+        return F.struct(
+            here["chain"].alias("begin"), here["pos"].alias("open"), F.get(toks, k + 1)["fin"].alias("fin"), word["t"].alias("word"),
+            word["kind"].alias("word_kind"), here["before_chain"].alias("before"), here["chain_line"].alias("line"),
+            F.get(toks, k + 1)["end_line"].alias("end_line"), (k == F.array_min(at)).alias("is_first"),
+            F.when(word["kind"] != before["kind"], before["pos"]).otherwise(here["pos"]).alias("callee_end"),
+        )
+
+    rows = units.select(*_KEY, "inside", "flat", F.inline(F.transform(at, call)))
+    named = (F.col("word_kind") == "w") & ~(F.col("word").isin(*_NOT_CALLS) & (F.col("begin") >= F.col("open") - F.length("word") - 1))
+    return rows.where(named & ~F.col("before").isin("new", "function", "class", "*") & ~F.col("word").isin("super", "constructor"))
+
+
+def _params_of(heads: DataFrame, units: DataFrame, name: str) -> DataFrame:
+    """Heads (with ``open``, the place of a parameter list) with the parameters, places still."""
+    toks = F.col("toks")
+    equal = _mark(toks, "=")
+    head = F.when(equal.isNull(), toks).otherwise(F.filter(toks, lambda x: x["i"] < equal["i"]))
+    colon = _mark(head, ":")
+    named = F.when(colon.isNull(), head).otherwise(F.filter(head, lambda x: x["i"] < colon["i"]))
+    text = F.regexp_replace(_flat(named), r"^(?:@\S+ ?)*(?:(?:public|private|protected|readonly|override) )+", "")
+    param = F.struct(
+        F.regexp_replace(text, r"^\.\.\.|\?$| ", "").alias("name"), colon["fin"].alias("begin"), F.element_at(head, -1)["fin"].alias("fin"),
+        (F.endswith(text, F.lit("?")) | equal.isNotNull() | F.startswith(text, F.lit("..."))).alias("is_optional"),
+    )
+    rows = units.where("around = '('").select(*_KEY, F.col("inside").alias("open"), F.struct("begin", param.alias("p")).alias("p"))
+    rows = rows.join(heads.select(*_KEY, "open").distinct(), [*_KEY, "open"], "left_semi")
+    listed = rows.groupBy(*_KEY, "open").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    listed = listed.select(*_KEY, "open", F.transform("ps", lambda p: p["p"]).alias(name))
+    return heads.join(listed, [*_KEY, "open"], "left")
+
+
+def _params_fact(params: Column) -> Column:
+    """The parameters as facts, with the texts of their types."""
+    return F.transform(F.coalesce(params, F.array().cast(params_type())), lambda p: F.struct(
+        p["name"].alias("name"), F.coalesce(F.nullif(F.trim(_sub("content", p["begin"], p["fin"])), F.lit("")), F.lit("any")).alias("type"),
+        p["is_optional"].alias("is_optional"),
+    )).cast(f"array<{PARAM}>")
 
 
-def _assignments(src: _Script) -> list[tuple[int, tuple[int, int], dict]]:
-    """Declarations and re-assignments with their position and value."""
-    found, heads = [], set()
-    for m in _DECLARE.finditer(src.masked):
-        position = m.end()
-        while True:
-            position = src.skip(position)
-            if src.masked[position : position + 1] in ("{", "["):
-                stop = src.close.get(position, position) + 1
-                inside = src.split(position + 1, stop - 1)
-                names = [re.match(rf"\s*(?:\.\.\.)?({_IDENT})?", src.text[a:z]).group(1) or ""
-                         for a, z in inside]
-                kind, target = "tuple", src.text[position:stop]
-            else:
-                named = re.match(_IDENT, src.masked[position:])
-                if not named:
-                    break
-                stop, target = position + named.end(), named.group()
-                kind, names = "name", [target]
-            equals = re.match(r"\s*!?\s*(?::[^=;]*?(?:=>[^=;]*?)?)?=(?![=>])", src.masked[stop:])
-            if not equals:
-                break
-            heads.add(position)
-            begin = stop + equals.end()
-            end = src.statement_end(begin)
-            found.append((position, (begin, end), _step(
-                src, position, target, kind, names, (begin, end), True, len(found))))
-            if src.masked[end : end + 1] != ",":
-                break
-            position = end + 1
-    for m in _SET.finditer(src.masked):
-        if m.start() in heads or src.masked[src.before(m.start())] == ":":
-            continue
-        value = (m.end(), src.statement_end(m.end()))
-        found.append((m.start(), value, _step(
-            src, m.start(), m.group(1), "other", [m.group(1)], value, False, len(found))))
+def params_type() -> str:
+    return "array<struct<name:string,begin:bigint,fin:bigint,is_optional:boolean>>"
+
+
+def _signature(toks: Column) -> tuple[Column, Column, Column]:
+    """Place of the parameter list, and the span between it and the body: the return type."""
+    left = _mark(toks, "(")
+    right = _first(_after(toks, left["i"]))
+    brace, colon = F.element_at(toks, -2), F.get(toks, F.size(toks) - 3)
+    has_body = (F.size(toks) >= 3) & (brace["t"] == "{") & (colon["t"] != ":")
+    end = F.when(has_body, brace["pos"]).otherwise(F.element_at(toks, -1)["fin"])
+    return left["pos"], right["fin"], end
+
+
+def _type_text(begin: Column, fin: Column) -> Column:
+    return F.nullif(F.trim(F.regexp_replace(_sub("content", begin, fin), r"^\s*:|\s*[;,]?\s*$", "")), F.lit(""))
+
+
+def _members(units: DataFrame, bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Methods and properties by the place of the brace around them."""
+    holders = bodies.where("kind IN ('class', 'interface')").select(*_KEY, F.col("open").alias("inside"))
+    inside = units.join(holders, [*_KEY, "inside"], "left_semi").where(F.rlike("flat", F.lit(_MEMBER)))
+    flat, toks = F.col("flat"), F.col("toks")
+    words = F.filter(F.split(F.trim(F.regexp_extract(flat, _MEMBER, 1)), " "), lambda w: w != "")
+    rows = inside.select(
+        *_KEY, "inside", "begin", "fin", "toks", words.alias("modifiers"), F.regexp_extract(flat, _MEMBER, 2).alias("name"),
+        (F.regexp_extract(flat, _MEMBER, 4) == "(").alias("is_method"),
+    )
+    left, right, end = _signature(toks)
+    heads = rows.where("is_method AND name <> 'constructor'").select(
+        *_KEY, "inside", "begin", "modifiers", "name", left.alias("open"), right.alias("type_begin"), end.alias("type_fin")
+    )
+    methods = _params_of(heads, units, "params")
+    method = F.struct("name", "params", "type_begin", "type_fin", "modifiers")
+    colon, equal = _mark(toks, ":"), _mark(toks, "=")
+    typed = colon.isNotNull() & (equal.isNull() | (colon["i"] < equal["i"]))
+    prop = F.struct(
+        "name", F.when(typed, colon["fin"]).alias("type_begin"),
+        F.when(typed, F.coalesce(equal["pos"], F.col("fin"))).alias("type_fin"), "modifiers",
+    )
+    properties = rows.where("NOT is_method")
+    by_place = lambda found, item, name: found.groupBy(*_KEY, F.col("inside").alias("open")).agg(
+        F.sort_array(F.collect_list(F.struct("begin", item.alias("m")))).alias("ms")
+    ).select(*_KEY, F.col("open").alias("brace"), F.transform("ms", lambda m: m["m"]).alias(name))
+    return by_place(methods, method, "methods"), by_place(properties, prop, "properties")
+
+
+def _decls(units: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Top-level declarations, places still."""
+    flat, toks = F.col("flat"), F.col("toks")
+    word = F.coalesce(F.nullif(F.regexp_extract(flat, _HEAD, 2), F.lit("")), F.regexp_extract(flat, _HEAD, 4))
+    name = F.nullif(F.regexp_extract(flat, _HEAD, 3), F.lit(""))
+    leads = F.regexp_extract(flat, _HEAD, 1)
+    unnamed = reduce(lambda c, kv: c.when(word == kv[0], kv[1]), _UNNAMED.items(), F.when(F.lit(False), ""))
+    whole = (word != "type") | F.rlike(flat, F.lit(rf"\btype {_IDENT} ?(?:<.*?> ?)?="))
+    rows = units.where((F.col("depth") == 0) & F.rlike(flat, F.lit(_HEAD))).where(
+        whole & (name.isNotNull() | F.contains(leads, F.lit("default"))) & (word.isin("function", "type") | F.exists(toks, lambda x: x["t"] == "{"))
+    )
+    left, right, end = _signature(toks)
+    is_class, is_function = word == "class", word == "function"
+    marks = F.transform(F.filter(toks, lambda x: x["kind"] == "d"), lambda x: F.regexp_extract(x["t"], r"([\w$]+)(?:\(|$)", 1))
+    base = F.regexp_extract(flat, rf"\bextends ({_IDENT}(?:\.{_IDENT})*(?:<[^{{}}]*?>+)?)", 1)
+    listed = F.regexp_extract(flat, r"\bimplements (.*?) ?\{\}", 1)
+    none = F.array().cast("array<string>")
+    heads = rows.select(
+        *_KEY, "begin", "fin", "line", "end_line", word.alias("word"), F.coalesce(name, unnamed).alias("name"),
+        F.when(is_class, marks).otherwise(none).alias("decorators"),
+        F.when(is_class & (base != ""), F.array(base)).otherwise(none).alias("bases"),
+        F.when(is_class & (listed != ""), F.transform(F.split(listed, ","), lambda n: F.trim(n))).otherwise(none).alias("ifaces"),
+        F.contains(leads, F.lit("export")).alias("is_exported"), F.contains(leads, F.lit("default")).alias("is_default"),
+        F.when(is_function, left).otherwise(-2 - F.col("begin")).alias("open"),
+        F.when(is_function, right).alias("type_begin"), F.when(is_function, end).alias("type_fin"),
+        _first(F.filter(toks, lambda x: x["t"] == "{"))["pos"].alias("brace"),
+    )
+    methods, properties = _members(units, bodies)
+    found = _params_of(heads, units, "params").join(methods, [*_KEY, "brace"], "left").join(properties, [*_KEY, "brace"], "left")
     return found
 
 
-def _calls(src: _Script, classes: list[tuple[int, int]]):
-    """Call expressions as ``(start, open, close, callee text)``."""
-    bodies = [(a, z, src.flat(a + 1, z)) for a, z in classes]
-    for m in _CALL.finditer(src.masked):
-        begin, opening = m.start(1), m.end() - 1
-        callee = re.sub(r"\s+", "", m.group(1))
-        last = src.before(begin)
-        if opening not in src.close or callee in _NOT_CALLS:
-            continue
-        if _NO_CALL_BEFORE.search(src.masked, max(0, last - 10), last + 1):
-            continue
-        closing = src.close[opening]
-        direct = any(a < begin < z and flat[begin - a - 1] != " " for a, z, flat in bodies)
-        if direct and "." not in callee and (
-            _block_after(src, closing + 1)
-            or src.masked[src.skip(closing + 1) : src.skip(closing + 1) + 1] in (":", ";")
-        ):
-            continue  # a method's own head
-        while last > 0 and src.masked[last] == ".":
-            tail = last - 1 - (src.masked[last - 1] == "?")
-            left = src.opener.get(src.before(tail + 1))
-            if left is None:
-                break
-            head = _CHAIN_HEAD.search(src.masked, max(0, left - 200), left)
-            begin = head.start(1) if head else left
-            last = src.before(begin)
-        yield begin, opening, closing, re.sub(r"\s*\n\s*", "", src.text[begin : m.end(1)])
-
-
-def parse_script(content: str) -> dict:
-    """Facts of one TypeScript or JavaScript file."""
-    src = _Script(content)
-    decls, scopes = _decls(src), _scopes(src)
-    class_bodies = [
-        (m.end() - 1, src.close.get(m.end() - 1, m.end()))
-        for m in re.finditer(rf"\b(?:class|interface)\s+{_IDENT}[^{{;]*\{{", src.masked)
-    ]
-
-    begins = [s["body"][0] for s in scopes]
-
-    def around(position: int) -> list[dict]:
-        """Functions that hold a position, outermost first."""
-        chain, number = [], bisect_right(begins, position) - 1
-        while number is not None and number >= 0:
-            scope = scopes[number]
-            if position <= scope["body"][1]:
-                chain.append(scope)
-            number = scope["parent"]
-        return chain[::-1]
-
-    def scope_of(position: int) -> str | None:
-        holding = around(position)
-        return holding[-1]["scope_id"] if holding else None
-
-    steps, calls, exprs, placed = [], [], [], {}
-    for position, value, step in _assignments(src):
-        steps.append(step)
-        for scope in around(position):
-            scope["steps"].append(step)
-        placed[src.skip(value[0])] = {
-            "assigned_to": step["target"], "span": value,
-            "decl_target": step["target"] if step["is_decl"] else None,
-        }
-    for begin, opening, closing, callee in _calls(src, class_bodies):
-        holding = around(begin)
-        owners = [s["owner"] for s in holding if s["owner"]]
-        owner = next((o for o in reversed(owners) if o[1] == "function"), owners[-1] if owners else None)
-        spans = src.split(opening + 1, closing)
-        name = re.split(r"\??\.", callee)[-1]
-        calls.append({
-            "ord": len(calls), "scope_id": holding[-1]["scope_id"] if holding else None,
-            "caller": owner[0] if owner else None, "caller_kind": owner[1] if owner else None,
-            "callee": callee, "callee_name": name, "is_member": "." in callee,
-            "args": [src.arg(*s) for s in spans], "kwargs": [], "line": src.line(begin),
-            "end_line": src.line(closing), "text": src.text[begin : closing + 1],
-        })
-        for scope in holding:
-            scope["callees"].append(callee)
-        for a, z in spans:
-            placed.setdefault(src.skip(a), {"parent_callee": callee, "span": (src.skip(a), z)})
-
-    def expr(kind: str, begin: int, end: int, atoms: list[str], context: dict, prop=None):
-        exprs.append({
-            "ord": len(exprs), "kind": kind, "text": src.text[begin:end].strip(),
-            "scope_id": scope_of(begin), "parent_callee": context.get("parent_callee"),
-            "assigned_to": context.get("assigned_to"), "decl_target": context.get("decl_target"),
-            "atoms": atoms, "prop": prop, "line": src.line(begin), "end_line": src.line(end - 1),
-        })
-
-    for begin, (end, spans) in src.templates.items():
-        if spans and src.masked[begin] == "`":
-            whole = placed.get(begin, {})
-            alone = whole and src.text[begin : whole["span"][1]].strip() == src.text[begin:end]
-            atoms = [a for s in spans for a in src.inner(*s)]
-            expr("template", begin, end, atoms, whole if alone else {})
-    for begin, context in placed.items():
-        if src.kind(begin, context["span"][1]) == "binary":
-            expr("binary", begin, context["span"][1], src.atoms(begin, context["span"][1]), context)
-    for m in _MARKUP.finditer(src.masked):
-        end = src.statement_end(m.end())
-        expr("markup", m.start(), end, src.atoms(m.end(), end), {}, m.group(2))
-    keep = ("scope_id", "name", "line", "end_line", "callees", "steps")
-    return {
-        "n_lines": content.count("\n") + 1, "error": None, "decls": decls, "imports": _imports(src),
-        "calls": calls, "assigns": steps,
-        "scopes": [{k: s[k] for k in keep} for s in scopes], "exprs": exprs,
+def _imports(units: DataFrame) -> DataFrame:
+    rows = units.where((F.col("depth") == 0) & F.rlike("flat", F.lit(r"^import\b(?! ?\()")) & F.rlike("flat", F.lit("''$|\"\"$")))
+    return rows.select(*_KEY, "begin", "fin", "line")
+
+
+def _declarators(toks: Column) -> Column:
+    """The tokens of each declared name of a ``const``, ``let`` or ``var`` unit; of another unit all."""
+    commas = F.filter(toks, lambda x: (x["t"] == ",") & (x["kind"] == "p"))
+    lead = _first(F.filter(toks, lambda x: x["t"].isin("const", "let", "var") & (x["kind"] == "w")))
+    bounds = F.concat(F.array(lead["i"]), F.transform(commas, lambda x: x["i"]))
+    ends = F.concat(F.transform(commas, lambda x: x["i"]), F.array(F.element_at(toks, -1)["i"] + 1))
+    parts = F.transform(F.arrays_zip(bounds.alias("a"), ends.alias("z")), lambda s: F.filter(toks, lambda x: (x["i"] > s["a"]) & (x["i"] < s["z"])))
+    return F.when(lead.isNotNull(), parts).otherwise(F.array(toks))
+
+
+def _steps(units: DataFrame) -> DataFrame:
+    """Declarations with a value and re-assignments, places still."""
+    is_decl = F.rlike("flat", F.lit(r"^(?:export )?(?:declare )?(?:const|let|var)\b"))
+    candidates = units.where(F.exists("toks", lambda x: (x["t"] == "=") & (x["kind"] == "p"))).select(
+        *_KEY, "depth", is_decl.alias("is_decl"), "flat", F.explode(_declarators(F.col("toks"))).alias("toks")
+    )
+    toks = F.col("toks")
+    equal = _mark(toks, "=")
+    rows = candidates.withColumns({"equal": equal["i"]}).where("equal IS NOT NULL").withColumns({
+        "left": F.filter(toks, lambda x: x["i"] < F.col("equal")), "right": F.filter(toks, lambda x: x["i"] > F.col("equal")),
+    }).where((F.size("right") > 0) & (F.size("left") > 0) & ~F.rlike("flat", F.lit(_LEADS + r"(?:type|enum|interface|class|function|import)\b")))
+    first = _first(F.col("left"))
+    pattern = first["t"].isin("{", "[") & F.col("is_decl")
+    target = F.regexp_extract(_flat(F.col("left")), _TARGET, 1)
+    rows = rows.select(
+        *_KEY, "is_decl", pattern.alias("is_pattern"), F.when(pattern, first["pos"]).alias("open"), first["pos"].alias("begin"),
+        F.when(pattern, F.element_at("left", -1)["fin"]).alias("target_fin"), target.alias("target"), first["line"].alias("line"),
+        _value(F.col("right")).alias("value"),
+    )
+    return rows.where("is_pattern OR target <> ''")
+
+
+def _with_patterns(steps: DataFrame, units: DataFrame) -> DataFrame:
+    """Steps with the names a pattern binds."""
+    binding = F.regexp_extract("flat", rf"^(?:\.\.\.)?({_IDENT})?", 1)
+    bound = units.where("around IN ('o', '[', 'b')").join(
+        steps.where("is_pattern").select(*_KEY, F.col("open").alias("inside")).distinct(), [*_KEY, "inside"], "left_semi"
+    )
+    names = bound.groupBy(*_KEY, F.col("inside").alias("open")).agg(F.sort_array(F.collect_list(F.struct("begin", binding.alias("n")))).alias("ns"))
+    names = names.select(*_KEY, "open", F.transform("ns", lambda n: n["n"]).alias("bound"))
+    return steps.join(names, [*_KEY, "open"], "left")
+
+
+# Facts ---------------------------------------------------------------------------------
+
+
+def _placed_facts(files: DataFrame) -> DataFrame:
+    """One row for each file with arrays of its facts, in order, with places instead of texts."""
+    units = write_once(_units(_token_rows(files)))  # read many times
+    bodies = _bodies(units)
+    holders = bodies.where("kind IN ('class', 'interface')").select(*_KEY, F.col("open").alias("inside"), F.col("kind").alias("holder"), F.col("name").alias("owner"))
+    bodies = bodies.join(holders, [*_KEY, "inside"], "left").where("kind <> 'method' OR holder = 'class'")
+    bodies = write_once(bodies)
+    functions = bodies.where("kind IN ('function', 'inner', 'method')")
+    around = write_once(_around(units, functions))
+
+    def scoped(rows: DataFrame) -> DataFrame:
+        return rows.join(around, [*_KEY, "inside"], "left")
+
+    calls = _calls(units).join(holders.select(*_KEY, "inside", F.lit(True).alias("in_body")), [*_KEY, "inside"], "left")
+    is_head = F.col("in_body") & F.col("is_first") & F.rlike("flat", F.lit(_MEMBER)) & (F.regexp_extract("flat", _MEMBER, 4) == "(")
+    calls = calls.where(~F.coalesce(is_head, F.lit(False))).drop("flat", "is_first", "in_body", "before", "word_kind")
+    args = units.where("around = '('").select(*_KEY, F.col("inside").alias("open"), "begin", _value(F.col("toks")).alias("value"))
+    of_call = args.groupBy(*_KEY, "open").agg(F.sort_array(F.collect_list(F.struct("begin", "value"))).alias("vs")).select(
+        *_KEY, "open", F.transform("vs", lambda v: v["value"]).alias("args")
+    )
+    calls = scoped(calls.join(of_call, [*_KEY, "open"], "left"))
+    steps = _with_patterns(_steps(units), units)
+    templates = units.select(*_KEY, "inside", F.explode(F.filter("toks", lambda x: (x["kind"] == "t") & F.rlike(x["t"], F.lit(r"\$\{")))).alias("x")).select(
+        *_KEY, "inside", F.col("x.pos").alias("begin"), F.col("x.fin").alias("fin"), F.col("x.line").alias("line"), F.col("x.end_line").alias("end_line")
+    )
+    written = _first(F.filter("toks", lambda x: x["t"].isin(*MARKUP_PROPERTIES)))
+    markup = units.where(F.rlike("flat", F.lit(_MARKUP))).select(
+        *_KEY, "inside", "begin", "fin", "line", "end_line", F.regexp_extract("flat", _MARKUP, 2).alias("prop"),
+        _value(_after(F.col("toks"), _first(_after(F.col("toks"), written["i"]))["i"])).alias("value"),
+    )
+    scopes = functions.select(*_KEY, "name", "open", "close", F.col("head_line").alias("line"), F.col("close_line").alias("end_line"), _scope_id().alias("scope_id"))
+
+    places = {
+        "p_calls": (calls, "begin"), "p_steps": (steps, "begin"), "p_templates": (scoped(templates), "begin"), "p_markup": (scoped(markup), "begin"),
+        "p_decls": (_decls(units, bodies), "begin"), "p_scopes": (scopes, "open"), "p_imports": (_imports(units), "begin"),
     }
 
+    def tagged(name: str) -> DataFrame:
+        rows, order = places[name]
+        own = [c for c in rows.columns if c not in _KEY]
+        return rows.select(*_KEY, F.struct(F.col(order).alias("at"), F.struct(*own).alias("item")).alias(name))
+
+    every = reduce(lambda a, b: a.unionByName(b, True), [tagged(name) for name in places])
+    gathered = every.groupBy(*_KEY).agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in places])
+    return gathered.select(*_KEY, *[F.transform(name, lambda x: x["item"]).alias(name) for name in places])
+
+
+def _import_fact(i: Column, ord_: Column) -> Column:
+    text = _sub("content", i["begin"], i["fin"])
+    default = F.regexp_extract(text, rf"^import\s+(?:type\s+(?!from\b))?({_IDENT})\s*(?:,|from\b)", 1)
+    listed = F.regexp_extract(text, r"\{([^}]*)\}", 1)
+    names = F.filter(F.transform(F.split(listed, ","), lambda n: F.regexp_replace(F.trim(F.regexp_extract(n, r"^([\s\S]*?)(?:\s+as\s[\s\S]*)?$", 1)), r"^type\s+", "")), lambda n: n != "")
+    return F.struct(
+        F.regexp_extract(text, r"['\"]([^'\"]*)['\"]\s*$", 1).alias("module"), F.lit(0).alias("level"), names.alias("names"),
+        F.nullif(default, F.lit("")).alias("default_name"), i["line"].alias("line"), ord_.alias("ord"),
+    )
+
 
-def _parse_safely(content: str) -> dict:
-    try:
-        return parse_script(content)
-    except (IndexError, KeyError, ValueError, RecursionError, AttributeError) as problem:
-        return {"n_lines": content.count("\n") + 1, "error": f"{type(problem).__name__}: {problem}",
-                **{k: [] for k in ("decls", "imports", "calls", "assigns", "scopes", "exprs")}}
+def _decl_fact(d: Column, ord_: Column) -> Column:
+    is_class, has_members = d["word"] == "class", d["word"].isin("class", "interface")
+    none = F.array().cast("array<string>")
+    methods = F.transform(F.when(is_class, d["methods"]), lambda m: F.struct(
+        m["name"].alias("name"), _params_fact(m["params"]).alias("params"), _type_text(m["type_begin"], m["type_fin"]).alias("return_type"),
+        none.alias("decorators"), F.array_contains(m["modifiers"], "async").alias("is_async"), m["modifiers"].alias("modifiers"),
+    ))
+    properties = F.transform(F.when(has_members, d["properties"]), lambda p: F.struct(
+        p["name"].alias("name"), F.coalesce(_type_text(p["type_begin"], p["type_fin"]), F.lit("any")).alias("type"), p["modifiers"].alias("modifiers"),
+    ))
+    return F.struct(
+        F.when(d["word"] == "type", "type-alias").otherwise(d["word"]).alias("kind"), d["name"].alias("name"), ord_.alias("ord"),
+        d["line"].alias("start_line"), d["end_line"].alias("end_line"), d["line"].alias("block_line"),
+        F.substring(_sub("content", d["begin"], d["fin"]), 1, 200).alias("snippet"), d["decorators"].alias("decorators"), d["bases"].alias("bases"),
+        d["ifaces"].alias("ifaces"), _params_fact(d["params"]).alias("params"), _type_text(d["type_begin"], d["type_fin"]).alias("return_type"),
+        d["is_exported"].alias("is_exported"), d["is_default"].alias("is_default"),
+        F.coalesce(methods, F.array().cast(f"array<{METHOD_FACT}>")).alias("methods"),
+        F.coalesce(properties, F.array().cast(f"array<{PROPERTY_FACT}>")).alias("properties"),
+    )
+
+
+def _call_fact(c: Column, ord_: Column) -> Column:
+    callee = F.regexp_replace(_sub("content", c["begin"], c["callee_end"]), r"\s*\n\s*|\s+$", "")
+    args = F.transform(F.coalesce(c["args"], F.array().cast(f"array<{VALUE}>")), lambda v: F.struct(
+        _raw(v).alias("text"), value_kind(v["flat"], v["cuts"]).alias("kind"), names_in(v).alias("names"), atoms_of(v).alias("atoms"),
+    ))
+    return F.struct(
+        ord_.alias("ord"), c["scope_id"].alias("scope_id"), c["owner"]["name"].alias("caller"), c["owner"]["kind"].alias("caller_kind"),
+        callee.alias("callee"), c["word"].alias("callee_name"), F.contains(callee, F.lit(".")).alias("is_member"), args.alias("args"),
+        F.create_map().cast("map<string,string>").alias("kwargs"), c["line"].alias("line"), c["end_line"].alias("end_line"),
+        _sub("content", c["begin"], c["fin"]).alias("text"),
+    )
+
+
+def _step_fact(s: Column, ord_: Column) -> Column:
+    v = s["value"]
+    pattern = s["is_pattern"]
+    target = F.when(pattern, _sub("content", s["begin"], s["target_fin"])).otherwise(s["target"])
+    return F.struct(
+        ord_.alias("ord"), target.alias("target"), F.when(pattern, F.coalesce(s["bound"], F.array().cast("array<string>"))).otherwise(F.array(s["target"])).alias("targets"),
+        F.when(pattern, "tuple").when(s["is_decl"], "name").otherwise("other").alias("target_kind"), _raw(v).alias("value"),
+        value_kind(v["flat"], v["cuts"]).alias("value_kind"), F.lit(None).cast("string").alias("call_name"), F.lit(False).alias("is_augmented"),
+        s["is_decl"].alias("is_decl"), F.array().cast("array<struct<text:string,name:string,via:array<string>>>").alias("uses"),
+        names_in(v).alias("names"), s["line"].alias("line"), v["end_line"].alias("end_line"),
+    )
+
+
+def _expr_fact(kind: str, text: Column, scope: Column, atoms: Column, line: Column, end_line: Column, place: Column,
+               callee: Column | None = None, assigned: Column | None = None, declared: Column | None = None, prop: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    some = lambda c: none if c is None else c.cast("string")
+    return F.struct(
+        place.cast("int").alias("ord"), F.lit(kind).alias("kind"), text.alias("text"), scope.alias("scope_id"), some(callee).alias("parent_callee"),
+        some(assigned).alias("assigned_to"), some(declared).alias("decl_target"), atoms.alias("atoms"), some(prop).alias("prop"),
+        line.alias("line"), end_line.alias("end_line"),
+    ).cast(EXPR)
+
+
+def _exprs(calls: Column, steps: Column) -> Column:
+    """Templates, values made by operators, and markup that is written, with where they go to.
+
+    ``calls`` and ``steps`` are places; a value stands alone as an argument or as what is assigned.
+    """
+    arguments = F.flatten(F.transform(calls, lambda c: F.transform(
+        F.coalesce(c["args"], F.array().cast(f"array<{VALUE}>")),
+        lambda v: F.struct(v.alias("v"), c["scope_id"].alias("scope"), F.regexp_replace(_sub("content", c["begin"], c["callee_end"]), r"\s*\n\s*|\s+$", "").alias("callee"),
+                           F.lit(None).cast("string").alias("assigned"), F.lit(None).cast("string").alias("declared")),
+    )))
+    values = F.transform(steps, lambda s: F.struct(
+        s["value"].alias("v"), F.lit(None).cast("string").alias("scope"), F.lit(None).cast("string").alias("callee"),
+        F.when(s["is_pattern"], _sub("content", s["begin"], s["target_fin"])).otherwise(s["target"]).alias("assigned"),
+        F.when(s["is_decl"], F.when(s["is_pattern"], _sub("content", s["begin"], s["target_fin"])).otherwise(s["target"])).alias("declared"),
+    ))
+    placed = F.concat(arguments, values)
+    binaries = F.transform(F.filter(placed, lambda p: value_kind(p["v"]["flat"], p["v"]["cuts"]) == "binary"), lambda p: _expr_fact(
+        "binary", _raw(p["v"]), p["scope"], atoms_of(p["v"]), p["v"]["line"], p["v"]["end_line"], p["v"]["begin"], p["callee"], p["assigned"], p["declared"]
+    ))
+    alone = F.filter(placed, lambda p: p["v"]["flat"] == "`$`")
+    templates = F.transform("p_templates", lambda t: _template_fact(t, _first(F.filter(alone, lambda p: p["v"]["begin"] == t["begin"]))))
+    markup = F.transform("p_markup", lambda m: _expr_fact(
+        "markup", _sub("content", m["begin"], m["fin"]), m["scope_id"], atoms_of(m["value"]), m["line"], m["end_line"], m["begin"], prop=m["prop"]
+    ))
+    return F.concat(*[F.coalesce(a, F.array().cast(f"array<{EXPR}>")) for a in (templates, binaries, markup)])
+
+
+def _template_fact(t: Column, place: Column) -> Column:
+    text = _sub("content", t["begin"], t["fin"])
+    return _expr_fact("template", text, t["scope_id"], _inner_atoms(text), t["line"], t["end_line"], t["begin"], place["callee"], place["assigned"], place["declared"])
 
 
 def script_facts(files: DataFrame) -> DataFrame:
-    """Facts of TypeScript and JavaScript files; narrow, one output row per file.
+    """Facts of TypeScript and JavaScript files; one output row per file.
 
-    ``marks`` (lines that check paths) is a column expression on the text.
+    ``marks`` are the lines that check paths.  A null text is one with an error.
     """
     marked = F.filter(
-        F.transform(
-            F.split("content", "\n"), lambda text, i: F.when(any_of(text, PATH_CHECKS), i + 1)
-        ),
-        lambda n: n.isNotNull(),
+        F.transform(F.split("content", "\n"), lambda text, i: F.when(any_of(text, PATH_CHECKS), i + 1)), lambda n: n.isNotNull()
     )
+    text = F.coalesce("content", F.lit(""))
     needed = files.where("language = 'typescript'").select(
-        "project_id", "file_path", "content", marked.alias("marks")
+        *_KEY, F.encode(text, "UTF-8").alias("content"), marked.alias("marks"), F.col("content").isNull().alias("missing"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
+        F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)).alias("tokens"),
     )
-    return needed.mapInArrow(parse_batches(_parse_safely, "typescript"), PARSED)
+    masked = F.encode(F.array_join(F.transform("tokens", lambda t: _masked(t, _kind(t))), ""), "UTF-8")
+    rows = needed.withColumn("masked", masked).drop("tokens")
+    rows = rows.join(_placed_facts(needed.select(*_KEY, "tokens")), _KEY, "left")
+
+    def facts(name: str, fact, kind: str) -> Column:
+        return F.coalesce(F.transform(name, lambda x, i: fact(x, i.cast("int"))), F.array().cast(f"array<{kind}>")).cast(f"array<{kind}>")
+
+    steps = facts("p_steps", _step_fact, ASSIGN)
+    rows = rows.withColumn("assigns", steps)
+    pairs = F.arrays_zip("assigns", F.coalesce(F.transform("p_steps", lambda s: s["begin"]), F.array().cast("array<bigint>")).alias("at"))
+    scopes = F.transform("p_scopes", lambda s: F.struct(
+        s["scope_id"].alias("scope_id"), s["name"].alias("name"), s["line"].alias("line"), s["end_line"].alias("end_line"),
+        F.array().cast("array<string>").alias("callees"),
+        F.transform(F.filter(pairs, lambda p: (p["at"] > s["open"]) & (p["at"] < s["close"])), lambda p: p["assigns"]).alias("steps"),
+    ))
+    return rows.select(
+        *_KEY, F.lit("typescript").alias("language"), F.col("n_lines").cast("int").alias("n_lines"), F.when(F.col("missing"), "no content").alias("error"),
+        facts("p_decls", _decl_fact, DECL).alias("decls"), facts("p_imports", _import_fact, IMPORT).alias("imports"),
+        facts("p_calls", _call_fact, CALL).alias("calls"), "assigns",
+        F.coalesce(scopes, F.array().cast(f"array<{SCOPE}>")).cast(f"array<{SCOPE}>").alias("scopes"),
+        _exprs(F.coalesce("p_calls", F.array()), F.coalesce("p_steps", F.array())).alias("exprs"), "marks",
+    ).to(_schema())
+
+
+def _schema():
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(PARSED)

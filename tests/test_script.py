@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from srcweave.operators import components as CO
@@ -5,8 +6,9 @@ from srcweave.operators import findings as FN
 from srcweave.operators import script_resolve as SS
 from srcweave.operators import taint as TN
 from srcweave.operators.rules import RuleOptions
-from srcweave.sources.corpus import explode_lines, without_vendored
-from srcweave.sources.script_facts import parse_script, script_facts
+from srcweave.session import write_once
+from srcweave.sources.corpus import as_source_files, explode_lines, without_vendored
+from srcweave.sources.script_facts import script_facts
 
 STORE = '''
 import type { Item, Named } from './model/item.js';
@@ -36,8 +38,61 @@ interface Shape { readonly id: string; size?: number; area(): number; }
 '''
 
 
-def test_declarations():
-    facts = parse_script(STORE)
+DECORATED = (
+    "@Injectable()\n@log.Trace({ a: 1 })\nexport class A {}\n"
+    "export default class extends A { run() { return 1; } }\n"
+)
+UNNAMED = "export default function (a, b) {\n  return a;\n}\nconst x = class {};\n"
+TAINT = (
+    "function f(req) {\n  const { a, b: c } = req.body;\n  const [d] = a;\n  let e;\n"
+    "  e = d;\n  const g = e;\n  const h = 'x' + a;\n  const valid = other;\n}\n"
+)
+#: Lines without semicolons, literals that look like code, bytes that are no characters, values over several lines.
+LOOSE = """// ünï {
+import thing from './thing'
+const re = /[/"'`{]+/g, other = req.body.x
+const text = 'é{(' + "}" + `ü${ other.map(x => `<${x}>`).join('') }{`
+export const run = async (a, b) => {
+  const q = `SELECT ${a}`
+    + b
+  await db.query(q)
+  return list
+    .filter(x => x < 1)
+    .map((y) => { return call(y) })
+}
+if (re.test(text)) { run(1) } else { stop() }
+label({ a: 1, b: [2, 3], c() { return inner() } })
+interface Api { get(id: string): { ok: boolean }; list: Array<Map<string, number>> }
+export async function* stream<T>(src: Iter<T, U>, ...rest: string[]): AsyncGenerator<T> { yield* src }
+"""
+NESTED = "function outer(req) {\n  function inner() {\n    const q = req.body;\n  }\n  inner();\n  const z = q;\n  [1].forEach(() => { deep(q); });\n}\n"
+SOURCES = {"store": STORE, "decorated": DECORATED, "unnamed": UNNAMED, "taint": TAINT, "loose": LOOSE, "nested": NESTED, "empty": "", "null": None,
+           "comment": "/* only { */", "open": "function f( { const a = 'x\n if (", "strings": "const s = '" + "a" * 20_000 + "';\n" + "call('x' + y);\n" * 300}
+
+
+@pytest.fixture(scope="module")
+def parsed(spark):
+    """Facts of all sources and cases, once."""
+    rows = [("w", f"/w/{name}.ts", text) for name, text in SOURCES.items()]
+    rows += [("w", f"/w/case{i:02}.ts", t) for i, (_, t, _) in enumerate(CASES)]
+    rows += [("w", f"/w/eval-{name}.ts", t) for name, t in EVALS.items()]
+    rows += [("w", "/w/options.ts", "v1.get('/x', (r) => { const d = ev.data; db.$raw(`x ${d}`); sh.go(d); });\n"),
+             ("w", "/w/module.ts", "db.query(req.body.q);\n")]
+    files = as_source_files(spark.createDataFrame(rows, "project_id string, file_path string, content string"))
+    return write_once(script_facts(files))
+
+
+@pytest.fixture(scope="module")
+def facts(parsed):
+    return {r.file_path[3:-3]: r.asDict(True) for r in parsed.collect()}
+
+
+def of(parsed, *names):
+    return parsed.where(F.col("file_path").isin([f"/w/{n}.ts" for n in names]))
+
+
+def test_declarations(facts):
+    facts = facts["store"]
     kinds = {d["name"]: d["kind"] for d in facts["decls"]}
     assert kinds == {"Store": "class", "save": "function", "helper": "function", "Level": "enum",
                      "Pair": "type-alias", "Shape": "interface"}
@@ -56,22 +111,17 @@ def test_declarations():
         ("id", ["readonly"]), ("size", [])]
 
 
-def test_unnamed_and_decorated_declarations():
-    facts = parse_script(
-        "@Injectable()\n@log.Trace({ a: 1 })\nexport class A {}\n"
-        "export default class extends A { run() { return 1; } }\n"
-    )
+def test_unnamed_and_decorated_declarations(facts):
     got = [(d["kind"], d["name"], d["start_line"], d["decorators"], d["bases"], d["is_default"])
-           for d in facts["decls"]]
+           for d in facts["decorated"]["decls"]]
     assert got == [("class", "A", 1, ["Injectable", "Trace"], [], False),
                    ("class", "AnonymousClass", 4, [], ["A"], True)]
-    facts = parse_script("export default function (a, b) {\n  return a;\n}\nconst x = class {};\n")
-    assert [(d["kind"], d["name"], d["end_line"], len(d["params"])) for d in facts["decls"]] == [
+    assert [(d["kind"], d["name"], d["end_line"], len(d["params"])) for d in facts["unnamed"]["decls"]] == [
         ("function", "anonymous", 3, 2)]
 
 
-def test_imports_and_calls_ignore_comments_and_strings():
-    facts = parse_script(STORE)
+def test_imports_and_calls_ignore_comments_and_strings(facts):
+    facts = facts["store"]
     assert [(i["module"], i["names"], i["default_name"]) for i in facts["imports"]] == [
         ("./model/item.js", ["Item", "Named"], None), ("./model", ["Kind"], "base"),
         ("path", [], None)]
@@ -79,6 +129,45 @@ def test_imports_and_calls_ignore_comments_and_strings():
         ("item.touch", "Store"), ("save", "Store"), ("this.items.get", "Store"), ("helper", "save")]
 
 
+def test_loose_code(facts):
+    loose = facts["loose"]
+    assert [(i["module"], i["default_name"], i["line"]) for i in loose["imports"]] == [("./thing", "thing", 2)]
+    steps = {a["target"]: (a["value"], a["value_kind"], a["line"]) for a in loose["assigns"]}
+    assert steps["re"] == ("""/[/"'`{]+/g""", "other", 3) and steps["other"] == ("req.body.x", "other", 3)
+    assert steps["text"][1:] == ("binary", 4) and steps["q"] == ("`SELECT ${a}`\n    + b", "binary", 6)
+    calls = {c["callee"]: c for c in loose["calls"]}
+    assert set(calls) >= {"db.query", "call", "re.test", "run", "stop", "label", "inner"} and "if" not in calls
+    assert calls["db.query"]["args"][0]["kind"] == "name" and calls["db.query"]["line"] == 8
+    assert calls["label"]["args"][0]["text"].startswith("{ a: 1") and len(calls["label"]["args"]) == 1
+    assert next(e for e in loose["exprs"] if e["text"].startswith("`SELECT"))["atoms"][-1] in ("a", "b")
+    decls = {d["name"]: d for d in loose["decls"]}
+    assert set(decls) == {"Api", "stream"} and decls["stream"]["is_exported"]
+    assert [(p["name"], p["type"], p["is_optional"]) for p in decls["stream"]["params"]] == [
+        ("src", "Iter<T, U>", False), ("rest", "string[]", True)]
+    assert decls["stream"]["return_type"] == "AsyncGenerator<T>"
+    assert [(p["name"], p["type"]) for p in decls["Api"]["properties"]] == [("list", "Array<Map<string, number>>")]
+    names = next(a["names"] for a in loose["assigns"] if a["target"] == "text")
+    assert "other" in names and "é" not in "".join(names)
+
+
+def test_functions_hold_what_their_inner_ones_assign(facts):
+    nested = facts["nested"]
+    assert [(s["name"], [t["target"] for t in s["steps"]]) for s in nested["scopes"]] == [
+        ("outer", ["q", "z"]), ("inner", ["q"]), ("", [])]
+    by_callee = {c["callee"]: (c["scope_id"].split(":")[0], c["caller"]) for c in nested["calls"]}
+    assert by_callee == {"inner": ("outer", "outer"), "[1].forEach": ("outer", "outer"), "deep": ("", "outer")}
+
+
+def test_odd_files(facts):
+    assert facts["null"]["error"] == "no content" and facts["null"]["n_lines"] == 1
+    for name in ("empty", "comment", "null"):
+        assert not any(facts[name][k] for k in ("decls", "imports", "calls", "assigns", "scopes", "exprs"))
+    assert facts["open"]["error"] is None
+    long = facts["strings"]
+    assert len(long["calls"]) == 300 and long["assigns"][0]["value_kind"] == "string" and len(long["assigns"][0]["value"]) == 20_002
+    assert [e["kind"] for e in long["exprs"]] == ["binary"] * 300
+
+
 def test_relationships(files):
     parsed = script_facts(files({
         "/w/src/store.ts": STORE,
@@ -148,8 +237,13 @@ CASES = [
 ]
 
 
-def test_rules_fire_and_stay_quiet(files):
-    parsed = script_facts(files({f"/w/case{i:02}.ts": t for i, (_, t, _) in enumerate(CASES)}))
+EVALS = {
+    "a": route("eval(req.body.x);"), "b": "function f(x) { eval(x); }\n", "c": "function f() { eval('1'); }\n",
+}
+
+
+def test_rules_fire_and_stay_quiet(parsed):
+    parsed = parsed.where("file_path LIKE '/w/case%'")
     assert [r.error for r in parsed.where("error is not null").collect()] == []
     found = FN.findings(parsed, "typescript").collect()
     got = [
@@ -159,18 +253,14 @@ def test_rules_fire_and_stay_quiet(files):
     assert got == [n for _, _, n in CASES]
 
 
-def test_eval_severity_depends_on_its_argument(files):
-    parsed = script_facts(files({
-        "/w/a.ts": route("eval(req.body.x);"), "/w/b.ts": "function f(x) { eval(x); }\n",
-        "/w/c.ts": "function f() { eval('1'); }\n",
-    }))
+def test_eval_severity_depends_on_its_argument(parsed):
+    parsed = of(parsed, "eval-a", "eval-b", "eval-c")
     rows = FN.findings(parsed, "typescript", only=("sec-005",)).collect()
     assert {r.file_path[-4]: r.severity for r in rows} == {"a": "critical", "b": "high", "c": "info"}
 
 
-def test_options(files):
-    parsed = script_facts(files({
-        "/w/a.ts": "v1.get('/x', (r) => { const d = ev.data; db.$raw(`x ${d}`); sh.go(d); });\n"}))
+def test_options(parsed):
+    parsed = of(parsed, "options")
     plain = FN.findings(parsed, "typescript").collect()
     assert plain == []
     options = RuleOptions(custom_sources=("ev.data",), router_names=("v1",),
@@ -181,10 +271,8 @@ def test_options(files):
     assert FN.findings(parsed, "typescript", trusted).collect() == []
 
 
-def test_taint(files):
-    text = ("function f(req) {\n  const { a, b: c } = req.body;\n  const [d] = a;\n  let e;\n"
-            "  e = d;\n  const g = e;\n  const h = 'x' + a;\n  const valid = other;\n}\n")
-    rows = TN.taint_closure(script_facts(files({"/w/a.ts": text})), "typescript").collect()
+def test_taint(parsed):
+    rows = TN.taint_closure(of(parsed, "taint"), "typescript").collect()
     got = {r.var: r.path for r in rows}
     assert got["a"] == ["req.body", "a"] and got["b"] == ["req.body", "b"]
     assert got["d"] == ["req.body", "a", "d"] and got["h"] == ["req.body", "a", "h"]
@@ -198,6 +286,6 @@ def test_line_form(files):
     assert [(r.line_no, r.snippet) for r in rows] == [(2, "db.query(req.body.q);")]
 
 
-def test_module_level_taint_is_not_looked_up_without_functions(files):
-    found = FN.findings(script_facts(files({"/w/a.ts": "db.query(req.body.q);\n"})), "typescript")
+def test_module_level_taint_is_not_looked_up_without_functions(parsed):
+    found = FN.findings(of(parsed, "module"), "typescript")
     assert found.where(F.col("rule_id") == "sec-001").count() == 0
