@@ -393,8 +393,190 @@ def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return write_once(similar)
 
 
-def _joined(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The summaries of all rows, the distinct sets (``least`` id and number of ``rows``), and their links."""
+# Components without a row for each pair ---------------------------------------------
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number in the component of each of n numbers, under the links ``a``, ``b``."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _fitting(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs whose sizes fit and whose bitmaps differ in no more bits than similar sets may; see :func:`_pairs`."""
+    fit = (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
+    at = np.flatnonzero(fit)
+    apart = np.bitwise_count(bits[x[at]] ^ bits[y[at]]).sum(1, dtype=np.int64)
+    fit[at] = apart * (100 + percent) <= (n[x[at]] + n[y[at]]) * (100 - percent)
+    return fit
+
+
+_STARS = "node long, root long, links long"
+
+
+def _stars(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Sets with links: the first of their component, and how many links each has; a row for a set, none for a link."""
+    root, links = _roots(len(nodes), a, b), np.bincount(np.concatenate((a, b)), minlength=len(nodes))
+    held = np.flatnonzero(links)
+    return pd.DataFrame({"node": nodes[held], "root": nodes[root[held]], "links": links[held]})
+
+
+def _candidate_stars(percent: int):
+    """:func:`_pairs`, but of each tile only which sets hang together."""
+    pair = _pairs(percent)
+
+    def star(tiles: pd.DataFrame) -> pd.DataFrame:
+        found = pair(tiles)
+        nodes, number = np.unique(np.concatenate((found["a"].to_numpy(), found["b"].to_numpy())), return_inverse=True)
+        return _stars(nodes, number[: len(found)], number[len(found) :])
+
+    return star
+
+
+def _linked(percent: int):
+    """The similar sets of tiles, compared exactly; of each tile only which sets hang together.
+
+    In a tile all sets of ``side`` 0 are compared, or, where there are any, those of ``side`` 1 with those of side 0; sets
+    of equal ``label`` hang together already.
+    """
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["tile", "side", "node"])
+        tile, side, node, n, label = (rows[c].to_numpy() for c in ("tile", "side", "node", "n", "label"))
+        bits = np.stack([rows[c].to_numpy() for c in BITS], 1).view(np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1])))
+        out = []
+        for u, v in zip(first.tolist(), [*first[1:].tolist(), len(tile)], strict=True):
+            size = v - u
+            split = int((side[u:v] == 0).sum())
+            # the pairs of a row: with all after it, or from side 0 with all of side 1
+            at = np.arange(size)
+            begin = at + 1 if split == size else np.where(at < split, split, size)
+            many = size - begin
+            x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            cuts = np.searchsorted(np.cumsum(many) // CHUNK, np.arange(1, int(many.sum()) // CHUNK + 1))
+            for part in np.split(np.arange(size), cuts):
+                i, j = np.repeat(part, many[part]), ragged(begin[part], many[part])
+                i, j = (z[label[u:v][i] != label[u:v][j]] for z in (i, j))
+                fit = _fitting(i, j, n[u:v], bits[u:v], percent)
+                x.append(i[fit])
+                y.append(j[fit])
+            x, y = np.concatenate(x), np.concatenate(y)
+            if not len(x):
+                continue
+            own = [np.frombuffer(raw, np.uint64) for raw in rows["tokens"].iloc[u:v]]
+            common = common_tokens(own, x, y, percent)
+            fit = (common > 0) & (100 * common >= percent * (n[u:v][x] + n[u:v][y] - common))
+            out.append(_stars(node[u:v], x[fit], y[fit]))
+        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("node", "root", "links")})
+        return pd.concat([empty, *out], ignore_index=True)
+
+    return link
+
+
+def _compared(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stars of tiles, given as rows ``tile, side, node, label``; written once."""
+    asked, tokens = write_counted(asked.join(sets.select("node", "n"), "node"), F.sum("n"))
+    bucket = F.pmod(F.xxhash64("tile"), F.lit(max(8, -(-tokens // BUCKET_TOKENS)))).alias("bucket")
+    held = asked.drop("n").join(sets, "node")
+    return write_once(held.groupBy(bucket).applyInPandas(_linked(percent), _STARS))
+
+
+def _merged(labels: DataFrame, stars: DataFrame) -> DataFrame:
+    """``node, cluster, label`` after what a round found: labels that hang together become the least of them."""
+    own = labels.select("node", "label")
+    ends = stars.where("node <> root").join(own.toDF("node", "a"), "node").join(own.toDF("root", "b"), "root")
+    merged = connected(ends.where("a <> b").select("a", "b"))
+    return write_once(
+        labels.join(merged.toDF("label", "least"), "label", "left").select(
+            "node", "cluster", F.coalesce("least", "label").alias("label")
+        )
+    )
+
+
+def _components(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``label``, the least node reachable by similar sets, of the sets that have any.
+
+    The sets that share a group are first only clustered, by what their bitmaps allow; then
+
+    1. a cluster is dealt to parts of bounded size, and the sets of each part are compared: most clusters are one part;
+    2. of the others the set with most links stands for each label, and these are compared in parts, until
+       nothing more hangs together: near copies then have one label;
+    3. sets of other labels than the most common one of their cluster are compared with all of it.
+
+    So every two sets of a cluster are compared or hang together already, and rows grow with the sets.
+    """
+    tiles, rows = write_counted(_tiles(groups, sets))
+    bucket = F.pmod(F.xxhash64("gid", "i", "j"), F.lit(max(8, -(-rows // TILE_ROWS)))).alias("bucket")
+    candidates = tiles.groupBy(bucket).applyInPandas(_candidate_stars(percent), _STARS)
+    near = connected(write_once(candidates.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()))
+    labels = write_once(near.select("node", F.col("label").alias("cluster"), F.col("node").alias("label")))
+    sizes = sets.select("node", "n")
+    parts = _parts(labels.select(F.col("cluster").alias("gid"), "node"), sizes).withColumnRenamed("gid", "cluster")
+    dealt = labels.join(parts, "cluster", "left").withColumn("part", _part_of("node"))
+    tile = F.xxhash64("cluster", "part").alias("tile")
+    stars = _compared(dealt.select(tile, F.lit(0).alias("side"), "node", "label"), sets, percent)
+    labels = _merged(labels, stars)
+    large = labels.join(parts.select("cluster"), "cluster", "left_semi")
+    links = stars.groupBy("node").agg(F.sum("links").alias("links"))
+    before = None
+    while True:
+        of_label = large.join(links, "node", "left").groupBy("cluster", "label").agg(
+            F.max_by("node", F.struct(F.coalesce("links", F.lit(0)), "node")).alias("node"), F.count(F.lit(1)).alias("sets")
+        )
+        of_label, many = write_counted(of_label)
+        open_clusters = of_label.groupBy("cluster").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("sets", "label")).alias("major")).where("labels > 1")
+        open_clusters, n_open = write_counted(open_clusters)
+        if not n_open or many == before:
+            break
+        before = many
+        asked = of_label.join(open_clusters, "cluster").withColumn("parts", F.ceil(F.col("labels") / TILE_SETS).cast("int"))
+        stars = _compared(asked.select(F.xxhash64("cluster", _part_of("node")).alias("tile"), F.lit(0).alias("side"), "node", "label"), sets, percent)
+        labels = _merged(labels, stars)
+        large = labels.join(parts.select("cluster"), "cluster", "left_semi")
+    if n_open:
+        labels = _merged(labels, _compared(_rest(large.join(open_clusters.drop("labels"), "cluster"), sizes), sets, percent))
+    return labels.select("node", "label")
+
+
+def _rest(open_sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tiles of the sets with another label than the most common one, each with a part of its cluster."""
+    minor = F.col("label") != F.col("major")
+    counted = open_sets.join(sizes, "node").groupBy("cluster", minor.alias("minor")).agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / TILE_SETS, F.sum("n") / TILE_TOKENS)).cast("int").alias("parts")
+    )
+    counted = counted.groupBy("cluster").agg(
+        F.max(F.when(F.col("minor"), F.col("parts"))).alias("minors"), F.max(F.when(~F.col("minor"), F.col("parts"))).alias("majors")
+    )
+    rows = open_sets.join(write_once(counted), "cluster").withColumns({
+        "minor": minor, "part": F.pmod(F.xxhash64("node"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int")
+    })
+    # a tile is a part of the minor sets (side 1) with a part of the others (side 0), or two parts of the minor ones
+    side_1 = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(F.lit("x").alias("kind"), F.col("part").alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    with_later = F.transform(
+        F.sequence(F.lit(0), F.col("minors") - 1),
+        lambda j: F.struct(
+            F.lit("m").alias("kind"), F.least("part", j).alias("i"), F.greatest("part", j).alias("j"),
+            F.when(j < F.col("part"), 1).otherwise(0).alias("side"),
+        ),
+    )
+    side_0 = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(F.lit("x").alias("kind"), i.alias("i"), F.col("part").alias("j"), F.lit(0).alias("side")))
+    places = F.when(F.col("minor"), F.concat(side_1, with_later)).otherwise(side_0)
+    placed = rows.select("cluster", "node", "label", F.inline(places))
+    return placed.select(F.xxhash64("cluster", "kind", "i", "j").alias("tile"), "side", "node", "label")
+
+
+# Candidates ------------------------------------------------------------------------
+
+
+def _grouped(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The summaries of all rows, the distinct sets (``least`` id and number of ``rows``), those that may have partners, and their groups."""
     low = int(SAMPLED * 2**64)
     every = write_once(_documents(rows, width, low))
     sets = every.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("node", "check", "n", "sampled").agg(
@@ -414,7 +596,7 @@ def _joined(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     parts = times.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("bucket", "times"))).alias("parts"))
     prefixes = _rare_first_blobs(kept.join(parts, "node"), buckets, percent)
     groups = write_once(prefixes.groupBy("bucket").applyInPandas(_groups, "gid long, node long").distinct())
-    return every, sets, _links(groups, kept, percent)
+    return every, sets, kept, groups
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -446,7 +628,8 @@ def similar_documents(
     no component; repeated rows are linked as equal texts are; an empty table gives no rows;
     other columns are not read.  Words and shingles are compared by 64-bit hashes.
     """
-    every, sets, links = _joined(_rows(docs, key, text), width, percent)
+    every, sets, kept, groups = _grouped(_rows(docs, key, text), width, percent)
+    links = _links(groups, kept, percent)
     labels = write_once(connected(links))
     members = labels.join(sets.select("node", "least"), "node")
     least = members.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -466,6 +649,27 @@ def similar_documents(
     )
 
 
+def similar_components(
+    docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of each row: :func:`similar_documents` without the numbers of links.
+
+    Who has how many links isn't asked, so sets that hang together already are not compared again, and no
+    row is made for a pair; a group of near copies costs in proportion to its size.  Edge cases are those of :func:`similar_documents`.
+    """
+    every, sets, kept, groups = _grouped(_rows(docs, key, text), width, percent)
+    members = _components(groups, kept, percent)
+    least = members.join(sets.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
+    linked = members.join(write_once(least), "label").select("node", "component_id")
+    of_set = write_once(sets.join(linked, "node", "left").select(
+        "node", "check", F.coalesce("component_id", "least").alias("component_id")
+    ))
+    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return every.join(of_set, ["node", "check"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id")
+    )
+
+
 def similar_sets(
     docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -474,7 +678,8 @@ def similar_sets(
     ``doc_id`` and ``other_id`` are the smallest ids with these sets, ``n_rows`` and ``other_rows`` the
     numbers of rows that have them, ``n_common`` and ``n_all`` the numbers of shingles of both and of either.
     """
-    _, sets, links = _joined(_rows(docs, key, text), width, percent)
+    _, sets, kept, groups = _grouped(_rows(docs, key, text), width, percent)
+    links = _links(groups, kept, percent)
     named = sets.select("node", "least", "n", "rows")
     both = links.join(named.toDF("a", "least_a", "n_a", "rows_a"), "a").join(named.toDF("b", "least_b", "n_b", "rows_b"), "b")
     first = F.col("least_a") <= F.col("least_b")

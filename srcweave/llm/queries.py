@@ -50,8 +50,7 @@ ORACLES["op2_decontamination"] = decontamination.DECONTAMINATION_SQL
 @query
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents joined at a similarity of 0.75 of five-word shingles."""
-    found = jaccard.similar_documents(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
 ORACLES["op3_jaccard"] = jaccard.JACCARD_SQL
