@@ -35,7 +35,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by similar shingles the one with the smallest id, of several the first; null ids come last."""
     docs = _keyed(docs)
-    found = jaccard.similar_documents(docs, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    found = jaccard.similar_components(docs, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
     ranked = found.join(docs.select(ROW, "doc_id"), ROW).select(
         "component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW).alias("rank")
     )
