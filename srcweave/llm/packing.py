@@ -12,8 +12,10 @@ counts alone: the ids of tokens are never moved for it.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from srcweave.llm.text_arrays import BLOCK_BYTES, IS_SPACE, Block, blocks
+from srcweave.llm.text_arrays import BLOCK_BYTES, IS_SPACE, LOWER, Block, blocks, ragged, span_hashes
 from srcweave.llm.token_files import PieceIds
 from srcweave.session import shared_dir
 
@@ -32,16 +34,100 @@ SEQUENCES = (
     "doc_id long, start long, length long, doc_tokens long, part int, slot long, ids binary, bucket int"
 )
 
-_ENCODERS: dict[str, PieceIds] = {}
+#: Words encoded in one call, with a special token between them.
+JOINED = 50
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?")] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
+_ENCODERS: dict[str, "WordIds"] = {}
 
-def _encoder(path: str) -> PieceIds:
-    """One table of encoded pieces for each Python worker, kept from task to task."""
+
+def _encoder(path: str) -> WordIds:
+    """One table of encoded words for each Python worker, kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceIds(path, 1 << 20)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        _ENCODERS[path] = WordIds(path, 1 << 20)
     return _ENCODERS[path]
 
 
+class Ids(NamedTuple):
+    ids: list[int]
+
+
+class Joined:
+    """A tokenizer that encodes many short texts in one call, with a special token between them."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        special = [(i, t.content) for i, t in tokenizer.get_added_tokens_decoder().items() if t.special]
+        self.mark = min(special) if special else None
+
+    def encode_batch_fast(self, texts: list[str], add_special_tokens: bool = False) -> Iterator[Ids]:
+        if self.mark is None or any("<" in t for t in texts):
+            yield from self.tokenizer.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+            return
+        number, mark = self.mark
+        joined = [mark.join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        for encoding in self.tokenizer.encode_batch_fast(joined, add_special_tokens=add_special_tokens):
+            ids, start = encoding.ids, 0
+            for end in [i for i, x in enumerate(ids) if x == number] + [len(ids)]:
+                yield Ids(ids[start:end])
+                start = end + 1
+
+
+class WordIds(PieceIds):
+    """Ids of texts under a tokenizer that drops white space and case, with those of words seen before in a table.
+
+    Texts are cut as :class:`PieceIds` does, and between an ASCII letter and a mark of punctuation, where a run of
+    letters always ends.  A piece is known by its lower-case bytes without the space before it.
+    """
+
+    def __init__(self, path: str, slots: int):
+        super().__init__(path, slots)
+        self.tokenizer = Joined(self.tokenizer)
+
+    def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a block, and how many each text has."""
+        data, offsets = block.data, block.offsets
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)
+        if not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():  # the text of a special token has its case
+            data = LOWER[data]
+        space = IS_SPACE[data]
+        before = np.zeros(len(data), bool)
+        before[1:] = (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+        before[2:] |= data[:-2] == 0xC3  # the second byte of a letter (or × or ÷)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-1] = space & before
+        cut[1:-1] |= _PUNCTUATION[data[1:]] & _ASCII_LETTER[data[:-1]]
+        cut[offsets] = True
+        starts = np.flatnonzero(cut)
+        starts, ends = starts[:-1], starts[1:]
+        bounds = np.searchsorted(starts, offsets)
+        starts = starts + space[starts]
+        hashes = span_hashes(data, starts, ends)
+        piece = self.numbers.find(hashes)
+        new = np.flatnonzero(piece < 0)
+        if len(new):
+            fresh, first = np.unique(hashes[new], return_index=True)
+            if not self.numbers.room(len(fresh)):
+                self.clear()
+                fresh, first = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+            while not self.numbers.room(len(fresh)):  # a very long text
+                self.slots *= 2
+                self.clear()
+            raw = data.tobytes()
+            spans = zip(starts[new[first]].tolist(), ends[new[first]].tolist(), strict=True)
+            self.add(fresh, [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            piece[new] = self.numbers.find(hashes[new])
+        lengths = self.lengths[piece]
+        total = np.concatenate(([0], np.cumsum(lengths)))
+        return self.ids[ragged(self.starts[piece], lengths)], np.diff(total[bounds])
+
+
 def piece_lengths(tokens: np.ndarray, max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """The lengths of the pieces of documents with so many tokens, and how many pieces each has."""
     powers = max_tokens >> np.arange(1, max_tokens.bit_length())
@@ -79,7 +165,7 @@ def parts_of(block: Block, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         start = end
 
 
-def _encoded(encoder: PieceIds, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _encoded(encoder: WordIds, column: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, ids with the end ids, and numbers of ids of the texts, block by block."""
     for block in blocks(column):
         found = [encoder.encode(part) for part in parts_of(block)]

@@ -11,7 +11,6 @@ from tokenizers import Tokenizer
 
 from srcweave.llm import packing
 from srcweave.llm.text_arrays import Block, blocks
-from srcweave.llm.token_files import PieceIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
@@ -75,7 +74,7 @@ def test_parts_of_a_long_text_have_its_ids(tokenizer):
     parts = list(packing.parts_of(block, 3000))
     assert len(parts) > 10 and max(len(p.data) for p in parts) < 7000
     assert b"".join(p.data.tobytes() for p in parts) == text.encode()
-    encoder = PieceIds(PATH)
+    encoder = packing.WordIds(PATH, 1 << 16)
     ids = np.concatenate([encoder.encode(p)[0] for p in parts])
     assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     solid = Block(0, np.full(10_000, 0x61, np.uint8), np.array([0, 10_000]))
@@ -89,3 +88,21 @@ def test_random_lengths():
     lengths, counts = packing.piece_lengths(tokens, 4096)
     assert (np.add.reduceat(lengths, np.cumsum(counts) - counts) == tokens).all()
     assert (lengths & (lengths - 1) == 0).all() and lengths.max() <= 4096
+
+
+def test_words_cut_at_punctuation_and_without_case(tokenizer):
+    """Random texts of letters, marks, spaces and special tokens; words met again come from the table."""
+    rng = np.random.default_rng(5)
+    parts = ["The", "the", "THE", "it's", "don't", ",", ".", "...", "?!", " ", "  ", "\n", "é", "É", "x\u0301", "7", "42", "<", "|", "<|endoftext|>",
+             "<|ENDOFTEXT|>", "日本", "·", "\u00a0", "'s", "a:b", "www.x.y/z"]
+    encoder = packing.WordIds(PATH, 1 << 12)
+    import pyarrow as pa
+
+    for _ in range(60):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(20)]
+        if rng.random() < 0.5:
+            texts = [t.replace("<|", "") for t in texts]
+        (block,) = blocks(pa.array(texts))
+        ids, counts = encoder.encode(block)
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
