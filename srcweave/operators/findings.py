@@ -12,11 +12,12 @@ from srcweave.functions.text import is_secret_value, secret_name
 from srcweave.operators import rules as R
 from srcweave.operators.rules import Rule, RuleOptions
 from srcweave.operators.taint import scope_taint
-from srcweave.schemas import ASSIGN, CALL, DECL, EXPR, FINDINGS
+from srcweave.schemas import ASSIGN, CALL, DECL, EXPR, FINDINGS, TAINT_ENTRY
 from srcweave.session import as_lookup, broadcast_if_small
 
 _KINDS = {"call": CALL, "assign": ASSIGN, "decl": DECL, "expr": EXPR}
 _ARRAYS = {"call": "calls", "assign": "assigns", "decl": "decls", "expr": "exprs"}
+_SCOPE_TAINT = f"struct<scope_id:string,name:string,line:int,validated:boolean,vars:array<{TAINT_ENTRY}>>"
 _SNIPPET_CHARS = 200
 _SECRET_CHARS = 20
 
@@ -27,37 +28,35 @@ def fact_rows(
     """One row per fact with the taint of its function beside it; no shuffle.
 
     ``gates`` holds, for each kind of fact, a predicate on the fact alone.  Facts
-    that fail it are dropped while nested, so taint is copied to few rows.
+    that fail it are dropped while nested.  The function of a fact is looked up while nested too, so
+    a row carries the taint of that function alone; in TypeScript any function of the file counts.
     """
+    in_scope = {"call", "expr"}
+    whole = language != "python"
 
     def tagged(kind: str) -> Column:
-        return F.transform(
-            F.filter(_ARRAYS[kind], gates[kind]),
-            lambda f: F.struct(
+        def row(f: Column) -> Column:
+            scope = F.lit(None)
+            if kind in in_scope:
+                scope = F.get(F.filter("taint", lambda t: t["scope_id"] == f["scope_id"]), F.lit(0))
+            return F.struct(
                 F.lit(kind).alias("kind"),
-                *[
-                    (f if k == kind else F.lit(None).cast(t)).alias(k)
-                    for k, t in _KINDS.items()
-                ],
-            ),
-        )
+                *[(f if k == kind else F.lit(None).cast(t)).alias(k) for k, t in _KINDS.items()],
+                scope.cast(_SCOPE_TAINT).alias("scope"),
+            )
+
+        return F.transform(F.filter(_ARRAYS[kind], gates[kind]), row)
 
     facts = F.concat(*[tagged(k) for k in gates])
-    rows = scope_taint(parsed, language, options.custom_sources, options.substring).select(
-        "project_id", "file_path", "taint", "marks", F.explode(facts).alias("f")
+    tainted = scope_taint(parsed, language, options.custom_sources, options.substring)
+    every = F.when(F.size("taint") > 0, F.flatten(F.transform("taint", lambda t: t["vars"])))
+    rows = tainted.select(
+        "project_id", "file_path", "marks", *([every.alias("every")] if whole else []), F.explode(facts).alias("f")
     )
-    rows = rows.select("project_id", "file_path", "taint", "marks", "f.*")
-    scope_id = F.coalesce(F.col("call.scope_id"), F.col("expr.scope_id"))
-    scope = F.get(F.filter("taint", lambda t: t["scope_id"] == scope_id), F.lit(0))
-    if language == "python":
-        state = scope["vars"]
-    else:  # any function of the file counts
-        every = F.flatten(F.transform("taint", lambda t: t["vars"]))
-        state = F.when(F.size("taint") > 0, every)
     return rows.select(
-        "project_id", "file_path", "kind", *_KINDS, "marks",
-        state.alias("vars"), scope["validated"].alias("validated"),
-        scope["line"].alias("scope_line"),
+        "project_id", "file_path", "f.kind", *[f"f.{k}" for k in _KINDS], "marks",
+        F.col("every" if whole else "f.scope.vars").alias("vars"), F.col("f.scope.validated").alias("validated"),
+        F.col("f.scope.line").alias("scope_line"),
     )
 
 

@@ -8,7 +8,7 @@ Every aggregate combines map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcweave.functions import paths as P
@@ -293,6 +293,36 @@ def star_clusters(nodes: DataFrame, edges: DataFrame, min_satellites: int = 3) -
     )
 
 
+def _folders(path: Column) -> Column:
+    """The folders around a path, outermost first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def folder_rollup(comps: DataFrame, imports: DataFrame) -> DataFrame:
+    """For the folders of every level: nodes below, edges inside, and edges that leave or enter.
+
+    ``imports`` hold ``file_path`` and ``target_path``.  An edge lies inside the lowest folder that holds both its ends
+    and inside all folders around that, and crosses the folders below it on both sides.  Nodes and edges are counted
+    by folder and by pair of folders first, so a row goes to all levels once for each of these, not for each node.
+    """
+    nodes = comps.groupBy("project_id", P.dir_name(F.col("file_path")).alias("dir")).agg(F.count("*").alias("n"))
+    per_node = nodes.select("project_id", F.explode(_folders(F.col("dir"))).alias("folder"), "n", F.lit(0).alias("i"), F.lit(0).alias("c"))
+    pairs = imports.select("project_id", "file_path", "target_path").distinct().groupBy(
+        "project_id", P.dir_name(F.col("file_path")).alias("a"), P.dir_name(F.col("target_path")).alias("b")
+    ).agg(F.count("*").alias("m"))
+    a, b = _folders(F.col("a")), _folders(F.col("b"))
+    inside = F.array_intersect(a, b)
+    crossed = F.concat(F.array_except(a, b), F.array_except(b, a))
+    tag = lambda folders, i, c: F.transform(folders, lambda f: F.struct(f.alias("folder"), F.lit(i).alias("i"), F.lit(c).alias("c")))
+    per_edge = pairs.select("project_id", "m", F.inline(F.concat(tag(inside, 1, 0), tag(crossed, 0, 1)))).select(
+        "project_id", "folder", F.lit(0).cast("long").alias("n"), (F.col("m") * F.col("i")).alias("i"), (F.col("m") * F.col("c")).alias("c")
+    )
+    return per_node.unionByName(per_edge).groupBy("project_id", "folder").agg(
+        F.sum("n").alias("n_nodes"), F.sum("i").alias("n_inner"), F.sum("c").alias("n_cross")
+    )
+
+
 def cluster_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes, inner edges and crossing edges of each cluster, with project totals.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from srcweave.functions import severity as S
 from srcweave.functions.ids import bucket_of
+from srcweave.operators.rules import DESCRIPTIONS, PYTHON_RULES, RULE_TABLE, SCRIPT_RULES
 from srcweave.session import as_lookup
 
 # Fixed value: version written into reports.
@@ -26,11 +27,14 @@ def sarif_results(found: DataFrame) -> DataFrame:
     )
 
 
-def sarif_rules(rules: DataFrame) -> DataFrame:
-    return rules.select(
-        F.col("rule_id").alias("id"), F.col("name").alias("shortDescription"),
-        F.col("description").alias("fullDescription"),
-    )
+def sarif_rules(projects: DataFrame, language: str) -> DataFrame:
+    """The rules of a language, for the run of each project."""
+    chosen = PYTHON_RULES if language == "python" else SCRIPT_RULES
+    rules = F.array(*[
+        F.struct(F.lit(r).alias("id"), F.lit(RULE_TABLE[r][0]).alias("shortDescription"), F.lit(DESCRIPTIONS[r]).alias("fullDescription"))
+        for r in chosen
+    ])
+    return projects.select("project_id", F.inline(rules))
 
 
 def report_findings(found: DataFrame) -> DataFrame:

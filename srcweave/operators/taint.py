@@ -178,12 +178,18 @@ def scope_taint(
     else:
         pattern = script_source_pattern(custom_sources)
         fold = lambda steps: script_taint(steps, pattern, substring=substring)
+    def steps(s: Column) -> Column:
+        return F.slice("assigns", s["first_step"] + 1, s["n_steps"])
+
+    def callees(s: Column) -> Column:
+        return F.transform(F.slice("calls", s["first_call"] + 1, s["n_calls"]), lambda c: c["callee"])
+
     per_scope = F.transform(
         "scopes",
         lambda s: F.struct(
             s["scope_id"].alias("scope_id"), s["name"].alias("name"), s["line"].alias("line"),
-            has_path_validator(s["callees"]).alias("validated"),
-            fold(s["steps"]).alias("vars"),
+            has_path_validator(callees(s)).alias("validated"),
+            fold(steps(s)).alias("vars"),
         ),
     )
     return parsed.withColumn("taint", per_scope)

@@ -12,6 +12,16 @@ from srcweave.operators.rules import RULE_TABLE
 from srcweave.plans import corpus_text as CT
 from srcweave.plans.corpus_text import PY_LINES, content_sql, count_sql, line_sql, st
 
+# Expected values, stated here on their own: rule, name and description.
+PY_RULE_TEXTS = (
+    ("py-001", "SQL Injection", "A SQL text with interpolated, possibly tainted parts is executed"),
+    ("py-002", "Command Injection", "Possibly tainted text is run as a command or as code"),
+    ("py-003", "Path Traversal", "A possibly tainted path is opened without validation"),
+    ("py-004", "Hardcoded Secrets", "A password, key or token is a literal in the code"),
+    ("py-005", "Unsafe Deserialization", "Bytes are turned into objects by a loader that can run code"),
+    ("py-006", "Missing Authentication", "A route handler has no authentication decorator"),
+)
+
 # Pieces -----------------------------------------------------------------------
 
 
@@ -502,7 +512,8 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT project_id, file_path, 'pickle.loads', {ln('sink3')} FROM c
         WHERE s % 5 = 3 AND k % 2 = 0 AND {_TAINTED}
       UNION ALL SELECT project_id, file_path, 'yaml.load', {ln('sink3_safe')} FROM c
-        WHERE s % 5 = 3 AND k % 2 = 1 AND {_TAINTED}) SELECT * FROM calls""",
+        WHERE s % 5 = 3 AND k % 2 = 1 AND {_TAINTED}
+      UNION ALL SELECT project_id, file_path, 'db.execute', {ln('sink4')} FROM c WHERE s % 5 = 4 AND {_TAINTED}) SELECT * FROM calls""",
     # Rules
     **{
         name: FOUND + f" SELECT {_HIT} FROM found WHERE rule_id = '{rule}'"
@@ -606,7 +617,12 @@ ORACLES: dict[str, str] = {
       AS json FROM e GROUP BY 1, 2, 3""",
     "sarif_results": FOUND + " SELECT project_id, rule_id AS \"ruleId\", CASE severity " + " ".join(
         f"WHEN '{s}' THEN '{v}'" for s, v in SARIF_LEVEL.items())
-    + """ END AS level, file_path AS uri, start_line AS "startLine", end_line AS "endLine" FROM found""",
+    + " END AS level, CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{text}'" for r, _, text in PY_RULE_TEXTS)
+    + """ END || ' (line ' || CAST(start_line AS STRING) || ')' AS message,
+      file_path AS uri, start_line AS "startLine", end_line AS "endLine" FROM found""",
+    "sarif_rules": "WITH p AS (SELECT DISTINCT 'proj' || CAST(p_partkey % 4 AS STRING) AS project_id FROM part) "
+    "SELECT project_id, v.* FROM p, (VALUES " + ", ".join(f"('{r}', '{name}', '{text}')" for r, name, text in PY_RULE_TEXTS)
+    + """) v(id, "shortDescription", "fullDescription")""",
     "contract_check": COMPS + """, t AS (SELECT count(*) AS n,
         count(*) FILTER (WHERE name LIKE '%7') AS bad FROM components)
       SELECT 'components' AS "table", n AS n_rows, "check",
@@ -831,3 +847,13 @@ ORACLES["edge_key_check"] = f"""WITH rel AS ({ORACLES['all_relationships']}),
 ends AS (SELECT project_id, source AS id FROM rel UNION SELECT project_id, target FROM rel)
 SELECT project_id, count(*) AS n_edges, any_value(n_touched) AS n_touched, CAST(0 AS BIGINT) AS n_unknown
 FROM rel JOIN (SELECT project_id, count(*) AS n_touched FROM ends GROUP BY 1) e USING (project_id) GROUP BY 1"""
+
+ORACLES["snapshot_log"] = ORACLES["growth_delta"]
+
+ORACLES["folder_rollup"] = COMPS + f""", levels AS (
+  SELECT project_id, unnest(['/corpus', '/corpus/' || project_id, dir]) AS folder, 1 AS n, 0 AS i, 0 AS c FROM components
+  UNION ALL SELECT project_id, unnest(['/corpus', '/corpus/' || project_id]), 0, 1, 0 FROM c
+  UNION ALL SELECT project_id, dir, 0, 1, 0 FROM c WHERE k % 20 = i % 20
+  UNION ALL SELECT project_id, unnest([dir, '/corpus/' || project_id || '/pkg' || {st('i % 20')}]), 0, 0, 1 FROM c WHERE k % 20 <> i % 20)
+SELECT project_id, folder, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(sum(i) AS BIGINT) AS n_inner, CAST(sum(c) AS BIGINT) AS n_cross
+FROM levels GROUP BY 1, 2"""

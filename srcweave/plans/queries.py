@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from srcweave.operators import script_resolve as SS
 from srcweave.operators import taint as TN
 from srcweave.operators import traversal as TV
 from srcweave.plans.inputs import Inputs
+from srcweave.session import shared_dir
 from srcweave.sources import corpus as SR
+from srcweave.sources import sinks as SK
 from srcweave.streaming import incremental as ST
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -422,6 +425,12 @@ def cluster_stats(t: Inputs) -> DataFrame:
     return GR.cluster_stats(t.trade_nodes, t.trade_edges)
 
 
+@query
+def folder_rollup(t: Inputs) -> DataFrame:
+    """Nodes, inner and crossing imports of the folders of each level."""
+    return GR.folder_rollup(CO.components(t.facts), RS.resolved_imports(t.facts))
+
+
 @query
 def document_clusters(t: Inputs) -> DataFrame:
     """Sources of the documents as clusters, with totals."""
@@ -501,12 +510,11 @@ def taint_paths(t: Inputs) -> DataFrame:
 
 @query
 def tainted_sinks(t: Inputs) -> DataFrame:
-    """Calls of any kind whose first argument is tainted in its function."""
+    """Calls of any kind of which some argument is tainted in its function."""
     rows = FN.fact_rows(t.parsed, "python", R.RuleOptions(), {"call": lambda c: F.lit(True)})
-    first = F.get("call.args", F.lit(0))
-    hit = rows.where("vars is not null").where(first.isNotNull()).where(
-        TN.python_arg_tainted(first, F.col("vars"), TN.python_source_pattern(), False)
-    )
+    hit = rows.where("vars is not null").where(F.exists(
+        "call.args", lambda arg: TN.python_arg_tainted(arg, F.col("vars"), TN.python_source_pattern(), False)
+    ))
     return hit.select(
         "project_id", "file_path", F.col("call.callee").alias("callee"), F.col("call.line").alias("line")
     )
@@ -730,6 +738,17 @@ def growth_delta(t: Inputs) -> DataFrame:
     return GW.growth_delta(_snapshots(t)).withColumn("snapshot", F.col("snapshot").cast("string"))
 
 
+@query
+def snapshot_log(t: Inputs) -> DataFrame:
+    """Deltas over a log to which two snapshots were appended, one of them twice."""
+    log = SK.SnapshotLog(t.spark, f"{shared_dir(t.spark)}/snapshots/{uuid.uuid4().hex}")
+    counts = _snapshots(t)
+    early = F.dayofmonth("snapshot") <= 15
+    for batch, rows in (("early", counts.where(early)), ("late", counts.where(~early)), ("early", counts.where(early))):
+        log.append(rows, batch)
+    return GW.growth_delta(log.read()).withColumn("snapshot", F.col("snapshot").cast("string"))
+
+
 # Reports ------------------------------------------------------------------------------
 
 
@@ -759,7 +778,13 @@ def report_sections(t: Inputs) -> DataFrame:
 
 @query
 def sarif_results(t: Inputs) -> DataFrame:
-    return RP.sarif_results(t.findings()).drop("message")
+    return RP.sarif_results(t.findings())
+
+
+@query
+def sarif_rules(t: Inputs) -> DataFrame:
+    """The rule list of each project's SARIF run."""
+    return RP.sarif_rules(t.projects, "python")
 
 
 @query

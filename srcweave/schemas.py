@@ -49,10 +49,11 @@ ASSIGN = (
     f"value_kind:string,call_name:string,is_augmented:boolean,is_decl:boolean,"
     f"uses:array<{USE}>,names:array<string>,line:int,end_line:int>"
 )
-#: A function body: its assignments in document order and what it calls.
+#: A function body: which of the file's assignments and calls lie in it, also in functions inside it.  They follow
+#: each other in document order, so two intervals say it and nothing is stored twice.
 SCOPE = (
     "struct<scope_id:string,name:string,line:int,end_line:int,"
-    f"callees:array<string>,steps:array<{ASSIGN}>>"
+    "first_step:int,n_steps:int,first_call:int,n_calls:int>"
 )
 #: Non-call expressions a rule looks at (templates, concatenations, markup writes).
 EXPR = (

@@ -189,18 +189,23 @@ class _Walker:
         scope = {
             "scope_id": f"{node.name}:{node.lineno}:{node.col_offset}",
             "name": node.name, "line": node.lineno, "end_line": node.end_lineno,
-            "callees": [], "steps": [],
         }
 
         def enter():
             self.owner = owner
             self.scopes.append(scope)
             self.open.append(scope)
+            scope["first_step"], scope["first_call"] = len(self.assigns), len(self.calls)
+
+        def leave():
+            self.open.pop()
+            scope["n_steps"] = len(self.assigns) - scope["first_step"]
+            scope["n_calls"] = len(self.calls) - scope["first_call"]
 
         if not self.open:
             self.owner = None
         body = [part for part in (node.args, node.returns, *node.body) if part is not None]
-        self._next([*node.decorator_list, enter, *body, self.open.pop])
+        self._next([*node.decorator_list, enter, *body, leave])
 
     def _call(self, node):
         callee = self.src.text(node.func)
@@ -224,8 +229,6 @@ class _Walker:
             "is_member": is_member, "args": args, "kwargs": kwargs, "line": node.lineno,
             "end_line": node.end_lineno, "text": self.src.text(node)[:_SNIPPET],
         })
-        for scope in self.open:
-            scope["callees"].append(callee)
 
     def _assign(self, node, target, value, augmented=False):
         text = self.src.text(value)
@@ -243,8 +246,6 @@ class _Walker:
             "names": _names(value), "line": node.lineno, "end_line": node.end_lineno,
         }
         self.assigns.append(step)
-        for scope in self.open:
-            scope["steps"].append(step)
 
 
 def _decl(src: _Source, node: ast.AST, position: int) -> dict:

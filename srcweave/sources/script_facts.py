@@ -671,13 +671,17 @@ def script_facts(files: DataFrame) -> DataFrame:
     def facts(name: str, fact, kind: str) -> Column:
         return F.coalesce(F.transform(name, lambda x, i: fact(x, i.cast("int"))), F.array().cast(f"array<{kind}>")).cast(f"array<{kind}>")
 
-    steps = facts("p_steps", _step_fact, ASSIGN)
-    rows = rows.withColumn("assigns", steps)
-    pairs = F.arrays_zip("assigns", F.coalesce(F.transform("p_steps", lambda s: s["begin"]), F.array().cast("array<bigint>")).alias("at"))
+    rows = rows.withColumn("assigns", facts("p_steps", _step_fact, ASSIGN))
+
+    def interval(places: str, s: Column) -> list[Column]:
+        """How many of some places in order lie before a body, and how many in it."""
+        at = F.coalesce(F.transform(places, lambda p: p["begin"]), F.array().cast("array<bigint>"))
+        before, until = F.size(F.filter(at, lambda a: a <= s["open"])), F.size(F.filter(at, lambda a: a < s["close"]))
+        return [before, until - before]
+
     scopes = F.transform("p_scopes", lambda s: F.struct(
         s["scope_id"].alias("scope_id"), s["name"].alias("name"), s["line"].alias("line"), s["end_line"].alias("end_line"),
-        F.array().cast("array<string>").alias("callees"),
-        F.transform(F.filter(pairs, lambda p: (p["at"] > s["open"]) & (p["at"] < s["close"])), lambda p: p["assigns"]).alias("steps"),
+        *[c.alias(n) for c, n in zip(interval("p_steps", s) + interval("p_calls", s), ("first_step", "n_steps", "first_call", "n_calls"))],
     ))
     return rows.select(
         *_KEY, F.lit("typescript").alias("language"), F.col("n_lines").cast("int").alias("n_lines"), F.when(F.col("missing"), "no content").alias("error"),

@@ -152,8 +152,9 @@ def test_loose_code(facts):
 
 def test_functions_hold_what_their_inner_ones_assign(facts):
     nested = facts["nested"]
-    assert [(s["name"], [t["target"] for t in s["steps"]]) for s in nested["scopes"]] == [
-        ("outer", ["q", "z"]), ("inner", ["q"]), ("", [])]
+    held = [(s["name"], [a["target"] for a in nested["assigns"][s["first_step"] :][: s["n_steps"]]]) for s in nested["scopes"]]
+    assert held == [("outer", ["q", "z"]), ("inner", ["q"]), ("", [])]
+    assert [s["n_calls"] for s in nested["scopes"]] == [3, 0, 1]
     by_callee = {c["callee"]: (c["scope_id"].split(":")[0], c["caller"]) for c in nested["calls"]}
     assert by_callee == {"inner": ("outer", "outer"), "[1].forEach": ("outer", "outer"), "deep": ("", "outer")}
 

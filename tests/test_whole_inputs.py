@@ -45,7 +45,19 @@ def test_deep_expressions_lose_no_facts():
     assert [a["text"] for a in facts["calls"][0]["args"]] == ["1", "2", "3", "x"]
     uses = facts["assigns"][1]["uses"]
     assert len(uses) == 5_001 and sum(len(u["text"]) for u in uses) < 2 * len(chain)
-    assert facts["scopes"][0]["callees"] == ["g"] and facts["calls"][0]["caller"] == "f"
+    scope = facts["scopes"][0]
+    assert (scope["first_call"], scope["n_calls"], facts["calls"][0]["callee"], facts["calls"][0]["caller"]) == (0, 1, "g", "f")
+    assert (scope["first_step"], scope["n_steps"]) == (1, 1)
+
+
+def test_nested_functions_store_a_fact_once():
+    """Each function's interval holds what the functions in it assign; the facts grow with the source."""
+    depth = 80
+    lines = [f"{' ' * d}def f{d}():\n{' ' * (d + 1)}x{d} = g{d}(x)\n" for d in range(depth)]
+    facts = parse_python("".join(lines))
+    assert facts["error"] is None and len(facts["assigns"]) == len(facts["calls"]) == depth
+    assert [(s["first_step"], s["n_steps"], s["n_calls"]) for s in facts["scopes"]] == [(d, depth - d, depth - d) for d in range(depth)]
+    assert len(str(facts)) < 1_500 * depth
 
 
 def test_a_file_without_content_is_an_error():
