@@ -219,6 +219,18 @@ def apply_rule_config(found: DataFrame, config: DataFrame) -> DataFrame:
     )
 
 
+def apply_project_config(found: DataFrame, config: DataFrame) -> DataFrame:
+    """Findings under the configuration of their project (see :func:`srcweave.sources.config.project_config`)."""
+    small = broadcast_if_small(config.select("project_id", "rules", "min_severity"))
+    joined = found.join(small, "project_id", "left")
+    setting = F.try_element_at("rules", F.col("rule_id"))
+    kept = joined.where(F.coalesce(setting["enabled"], F.lit(True))).withColumn(
+        "severity", F.coalesce(setting["severity"], "severity")
+    )
+    least = S.severity_rank(F.col("min_severity"))
+    return kept.where(F.col("min_severity").isNull() | (S.severity_rank(F.col("severity")) >= least)).select(*found.columns)
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """Findings, worst first."""
     return found.withColumn("rank", S.severity_rank(F.col("severity"))).orderBy(

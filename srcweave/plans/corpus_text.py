@@ -180,36 +180,32 @@ def keys_sql(table: str) -> str:
     )
 
 
-def _raw_files(
-    spark: SparkSession, part: DataFrame, project: str, folder: str, main: str,
-    lines: list[Line], extras: list,
-) -> DataFrame:
+def _keyed(spark: SparkSession, part: DataFrame) -> DataFrame:
+    return spread(spark.sql(keys_sql("{part}"), part=part))
+
+
+def _raw_files(project: str, folder: str, main: str, lines: list[Line], extras: list) -> tuple[str, str]:
+    """Expressions over the keys that give the project and, one row each, the files of a part."""
     entries = [f"struct({main} AS file_path, {content_sql(lines)} AS content)"]
     entries += [
         f"CASE WHEN {when} THEN struct({folder} || {path} AS file_path, {text} AS content) END"
         for _, when, path, text in extras
     ]
-    keyed = spread(spark.sql(keys_sql("{part}"), part=part))
-    return keyed.selectExpr(
-        f"{project} AS project_id", f"inline(array_compact(array({', '.join(entries)})))"
-    )
+    return f"{project} AS project_id", f"inline(array_compact(array({', '.join(entries)})))"
 
 
-def arriving_modules(parts: DataFrame, n_parts: int) -> DataFrame:
-    """Python modules of a stream of parts; the number of parts is known beforehand."""
+def arriving_files(parts: DataFrame, n_parts: int) -> DataFrame:
+    """All files of the Python corpus from a stream of parts; the number of parts is known beforehand."""
     keyed = parts.selectExpr("p_partkey AS k", "p_size AS s", f"CAST({n_parts} AS BIGINT) AS n")
     keyed = keyed.selectExpr("k", "s", "n", *[f"{expr} AS {name}" for name, expr in KEYS.items()])
-    return keyed.selectExpr(
-        f"{PY_PROJECT} AS project_id", f"{PY_MAIN} AS file_path",
-        f"{content_sql(PY_LINES)} AS content",
-    )
+    return keyed.selectExpr(*_raw_files(PY_PROJECT, PY_DIR, PY_MAIN, PY_LINES, PY_EXTRAS))
 
 
 def python_files(spark: SparkSession, part: DataFrame) -> DataFrame:
     """``(project_id, file_path, content)`` of the Python corpus."""
-    return _raw_files(spark, part, PY_PROJECT, PY_DIR, PY_MAIN, PY_LINES, PY_EXTRAS)
+    return _keyed(spark, part).selectExpr(*_raw_files(PY_PROJECT, PY_DIR, PY_MAIN, PY_LINES, PY_EXTRAS))
 
 
 def script_files(spark: SparkSession, part: DataFrame) -> DataFrame:
     """``(project_id, file_path, content)`` of the TypeScript corpus."""
-    return _raw_files(spark, part, TS_PROJECT, TS_DIR, TS_MAIN, TS_LINES, TS_EXTRAS)
+    return _keyed(spark, part).selectExpr(*_raw_files(TS_PROJECT, TS_DIR, TS_MAIN, TS_LINES, TS_EXTRAS))

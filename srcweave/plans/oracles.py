@@ -857,3 +857,8 @@ ORACLES["folder_rollup"] = COMPS + f""", levels AS (
   UNION ALL SELECT project_id, unnest([dir, '/corpus/' || project_id || '/pkg' || {st('i % 20')}]), 0, 0, 1 FROM c WHERE k % 20 <> i % 20)
 SELECT project_id, folder, CAST(sum(n) AS BIGINT) AS n_nodes, CAST(sum(i) AS BIGINT) AS n_inner, CAST(sum(c) AS BIGINT) AS n_cross
 FROM levels GROUP BY 1, 2"""
+
+ORACLES["findings_project_config"] = FOUND + f""", conf AS (SELECT * REPLACE (CASE WHEN project_id = 'proj2' AND rule_id = 'py-004'
+    THEN 'critical' ELSE severity END AS severity) FROM found WHERE rule_id <> 'py-003')
+  SELECT {_HIT} FROM conf WHERE CASE project_id WHEN 'proj0' THEN severity IN ('critical', 'high')
+    WHEN 'proj1' THEN rule_id <> 'py-006' WHEN 'proj2' THEN severity = 'critical' ELSE true END"""

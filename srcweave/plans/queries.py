@@ -24,6 +24,7 @@ from srcweave.operators import taint as TN
 from srcweave.operators import traversal as TV
 from srcweave.plans.inputs import Inputs
 from srcweave.session import shared_dir
+from srcweave.sources import config as CF
 from srcweave.sources import corpus as SR
 from srcweave.sources import sinks as SK
 from srcweave.streaming import incremental as ST
@@ -617,6 +618,19 @@ def findings_config_table(t: Inputs) -> DataFrame:
     return _hits(FN.min_severity(FN.apply_rule_config(t.findings(), config), "medium"))
 
 
+@query
+def findings_project_config(t: Inputs) -> DataFrame:
+    """Findings under a configuration document of each project, flat, nested, broken or absent."""
+    docs = t.table("region").select(
+        F.concat(F.lit("proj"), F.col("r_regionkey").cast("string")).alias("project_id"),
+        F.when(F.col("r_regionkey") == 0, '{"minSeverity": "high"}')
+        .when(F.col("r_regionkey") == 1, '{"security": {"rules": {"py-006": {"enabled": false}}}}')
+        .when(F.col("r_regionkey") == 2, '{"rules": {"py-004": {"severity": "critical"}}, "minSeverity": "critical"}')
+        .otherwise("{broken").alias("json"),
+    )
+    return _hits(FN.apply_project_config(t.findings(), CF.with_flags(CF.project_config(docs), disable=("py-003",))))
+
+
 @query
 def rules_without_findings(t: Inputs) -> DataFrame:
     return FN.rules_without_findings(R.rules_table(t.spark, "python"), t.findings(), t.projects)

@@ -39,6 +39,38 @@ def rule_config(config: DataFrame) -> DataFrame:
     )
 
 
+def project_config(docs: DataFrame) -> DataFrame:
+    """Configuration of each project from the text of its document (``project_id, json``), with or without the outer object.
+
+    ``min_severity``, ``rules`` (a map to ``enabled`` and ``severity``) and ``error``, for a text that is no JSON; of
+    several documents of a project the first in order of their texts holds.
+    """
+    one = docs.groupBy("project_id").agg(F.min("json").alias("json"))
+    parsed = one.select("project_id", "json", F.try_parse_json("json").alias("doc"))
+    nested = F.try_variant_get("doc", "$.security", "variant")
+    doc = parsed.select("project_id", "json", F.coalesce(nested, F.col("doc")).alias("doc"))
+    rules = "map<string,struct<enabled:boolean,severity:string>>"
+    return doc.select(
+        "project_id", F.try_variant_get("doc", "$.minSeverity", "string").alias("min_severity"),
+        F.coalesce(F.try_variant_get("doc", "$.rules", rules), F.create_map().cast(rules)).alias("rules"),
+        F.when(F.col("doc").isNull(), F.concat(F.lit("no JSON: "), F.substring("json", 1, 80))).alias("error"),
+    )
+
+
+def with_flags(config: DataFrame, min_severity: str | None = None, disable: tuple[str, ...] = ()) -> DataFrame:
+    """The configuration of each project with what the caller sets, which wins."""
+    off = F.map_from_arrays(
+        F.array(*[F.lit(r) for r in disable]).cast("array<string>"),
+        F.array(*[F.struct(F.lit(False).alias("enabled"), F.lit(None).cast("string").alias("severity")) for _ in disable]).cast(
+            "array<struct<enabled:boolean,severity:string>>"
+        ),
+    )
+    kept = F.map_filter("rules", lambda rule, _: ~rule.isin(*disable)) if disable else F.col("rules")
+    return config.withColumns({
+        "rules": F.map_concat(kept, off), "min_severity": F.coalesce(F.lit(min_severity), "min_severity"),
+    })
+
+
 def rule_options(
     config: DataFrame | None = None,
     min_severity: str | None = None,

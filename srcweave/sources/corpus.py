@@ -21,6 +21,8 @@ PYTHON_SKIP_DIRS = (
 DETECT_SKIP_DIRS = (
     "node_modules", ".git", "__pycache__", ".venv", "venv", "dist", ".tox", ".mypy_cache",
 )
+#: Never entered: what is in them is no source of the project in any language.
+SCRIPT_SKIP_DIRS = ("node_modules", ".git")
 PYTHON_MAX_DEPTH = 15
 DETECT_MAX_DEPTH = 10
 # ---------------------------------------------------------------------------
@@ -47,6 +49,7 @@ def as_source_files(raw: DataFrame) -> DataFrame:
         language_of(ext).alias("language"),
         "content",
         F.size(F.split("content", "\n")).alias("n_lines"),
+        *[c for c in ("error",) if c in raw.columns],
     )
 
 
@@ -75,6 +78,7 @@ def from_table(
         rows.select(
             F.col(project).alias("project_id"), F.col(path).alias("file_path"),
             F.make_valid_utf8(F.col(content).cast("string")).alias("content"),
+            *[c for c in ("error",) if c in rows.columns],
         )
     )
 
@@ -84,13 +88,26 @@ def read_files(
     root: str,
     extensions: Sequence[str] = PYTHON_EXTENSIONS + SCRIPT_EXTENSIONS,
     skip_dirs: Sequence[str] = PYTHON_SKIP_DIRS,
-    max_depth: int = PYTHON_MAX_DEPTH,
+    max_depth: int | None = PYTHON_MAX_DEPTH,
 ) -> DataFrame:
-    """Scan a folder of projects: each first-level folder is one project."""
+    """Scan a folder of projects: each first-level folder is one project.
+
+    ``skip_dirs`` and ``max_depth`` hold for Python files; other files lie anywhere but in
+    :data:`SCRIPT_SKIP_DIRS`.  What can't be read is a row with ``error`` and without content.  A folder
+    without any source file is an error.
+    """
     root = root.rstrip("/")
-    listed, n_bytes = list_tree(spark, root, extensions, skip_dirs, max_depth + 1)
+    others = [e for e in extensions if e not in PYTHON_EXTENSIONS]
+    entered, deepest = (SCRIPT_SKIP_DIRS, None) if others else (skip_dirs, max_depth)
+    listed, n_bytes = list_tree(spark, root, extensions, entered, None if deepest is None else deepest + 1)
+    if listed.isEmpty():
+        raise FileNotFoundError(f"no source files below {root}")
     inside = F.substring("path", F.lit(len(root) + 2), F.length("path"))
-    named = listed.select(F.substring_index(inside, "/", 1).alias("project_id"), "path")
+    python = P.extension(F.col("path")).isin(*PYTHON_EXTENSIONS)
+    reached = ~P.in_skipped_dir(inside, skip_dirs)
+    if max_depth is not None:
+        reached = reached & (P.depth_below(inside, 1) <= max_depth)
+    named = listed.where(~python | reached).select(F.substring_index(inside, "/", 1).alias("project_id"), "path", "error")
     return from_table(read_contents(named, n_bytes), path="path")
 
 

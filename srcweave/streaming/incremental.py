@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from srcweave.operators.findings import secret_lines
 from srcweave.plans import corpus_text as CT
 from srcweave.session import shared_dir
-from srcweave.sources.corpus import explode_lines
+from srcweave.sources.corpus import explode_lines, keep_scanned
 
 
 def file_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -43,10 +43,10 @@ def scan_stream(files: DataFrame) -> DataFrame:
 
 
 def scan_arriving(spark: SparkSession, folder: str) -> DataFrame:
-    """Scan modules as their parts arrive."""
+    """Scan all files that a walk would reach, as their parts arrive."""
     parts = file_stream(spark, folder, "part")
-    arriving = CT.arriving_modules(parts, spark.read.parquet(f"{folder}/part.parquet").count())
-    return append_results(scan_stream(arriving), f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
+    arriving = CT.arriving_files(parts, spark.read.parquet(f"{folder}/part.parquet").count())
+    return append_results(scan_stream(keep_scanned(arriving)), f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}")
 
 
 def gate(found: DataFrame) -> DataFrame:

@@ -248,3 +248,26 @@ def test_dense_numbers_follow_the_order(spark):
     got = [(r.project_id, r.id) for r in numbered(rows, ["project_id", "id"]).orderBy("n").collect()]
     assert got == sorted(set(got)) and len(got) == 300
     assert [r.n for r in numbered(rows, ["project_id", "id"]).orderBy("n").collect()] == list(range(300))
+
+
+def test_folder_rollup_against_brute_force(spark):
+    rng = random.Random(10)
+    paths = ["/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) + f"/f{i}.py" for i in range(60)]
+    paths = [p.replace("//", "/") for p in paths]
+    pairs = {(rng.choice(paths), rng.choice(paths)) for _ in range(150)}
+    comps = spark.createDataFrame([("p", p) for p in paths for _ in range(2)], "project_id string, file_path string")
+    edges = spark.createDataFrame([("p", a, b) for a, b in pairs] * 2, "project_id string, file_path string, target_path string")
+
+    def folders(path):
+        parts = path.split("/")[1:-1]
+        return {"/" + "/".join(parts[:n]) for n in range(1, len(parts) + 1)} or {"/"}
+
+    want = {}
+    for p in paths:
+        for f in folders(p):
+            want.setdefault(f, [0, 0, 0])[0] += 2
+    for a, b in pairs:
+        for f in folders(a) | folders(b):
+            want[f][1 if f in folders(a) & folders(b) else 2] += 1
+    rows = GR.folder_rollup(comps, edges).collect()
+    assert {r.folder: [r.n_nodes, r.n_inner, r.n_cross] for r in rows} == want

@@ -45,6 +45,54 @@ def test_tree_scan(spark, tree):
     assert got["one/pkg/a.py"].n_lines == 2 and got["one/pkg/__init__.py"].n_lines == 1
 
 
+def test_trees_of_other_languages_and_errors(spark, tree):
+    """TypeScript lies in any folder and at any depth; what can't be read is a row; nothing to read is an error."""
+    deep = "two/" + "/".join(f"d{i}" for i in range(18)) + "/far.tsx"
+    for name in (deep, "two/dist/out.js", "two/env/x.ts", "two/node_modules/no.ts", "two/venv/no.py"):
+        (tree / name).parent.mkdir(parents=True, exist_ok=True)
+        (tree / name).write_text("let a;")
+    (tree / "two/gone.ts").write_text("let b;")
+    files = SR.read_files(spark, str(tree))  # listed now, read later
+    (tree / "two/gone.ts").unlink()
+    rows = {r.file_path.removeprefix(str(tree) + "/"): r for r in files.collect()}
+    assert {deep, "two/dist/out.js", "two/env/x.ts", "two/gone.ts", "two/g.ts"} <= set(rows)
+    assert not {"two/node_modules/no.ts", "two/venv/no.py"} & set(rows)
+    assert {p for p, r in rows.items() if r.error is not None} == {"two/gone.ts"} and rows["two/gone.ts"].content is None
+    (missing,) = SR.read_files(spark, str(tree / "missing")).collect()
+    assert missing.file_path == str(tree / "missing") and "FileNotFoundError" in missing.error
+    (tree / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        SR.read_files(spark, str(tree / "none"))
+
+
+def test_configuration_of_each_project(spark):
+    docs = [("a", json.dumps(CONFIG)), ("b", json.dumps({"security": CONFIG})), ("c", "{no"), ("d", "{}"), ("e", None)]
+    config = CF.project_config(spark.createDataFrame(docs, "project_id string, json string"))
+    rows = {r.project_id: r for r in config.collect()}
+    for project in "ab":
+        got = {k: (v.enabled, v.severity) for k, v in rows[project].rules.items()}
+        assert got == {"sec-003": (False, None), "py-004": (None, "high")} and rows[project].min_severity == "medium"
+    assert rows["c"].error == "no JSON: {no" and rows["c"].rules == {} and rows["d"].error is None and rows["d"].min_severity is None
+    flags = {r.project_id: r for r in CF.with_flags(config, "low", ("py-004", "py-001")).collect()}
+    assert {k: v.enabled for k, v in flags["a"].rules.items()} == {"sec-003": False, "py-004": False, "py-001": False}
+    assert {r.min_severity for r in flags.values()} == {"low"}
+    found = spark.createDataFrame(
+        [(p, r, s) for p in "acx" for r, s in (("sec-003", "high"), ("py-004", "low"), ("py-002", "low"))], "project_id string, rule_id string, severity string")
+    kept = {tuple(r) for r in FN.apply_project_config(found, config).collect()}
+    rest = {(p, r, s) for p in "cx" for r, s in (("sec-003", "high"), ("py-004", "low"), ("py-002", "low"))}
+    assert kept == {("a", "py-004", "high")} | rest
+
+
+def test_snapshot_log(spark, tmp_path):
+    """A batch appended again takes the place of itself; one that is not in the manifest doesn't count."""
+    log = sinks.SnapshotLog(spark, str(tmp_path / "log"))
+    log.append(spark.range(5), "a")
+    log.append(spark.range(3), "b")
+    log.append(spark.range(7), "a")
+    spark.range(100).write.parquet(str(tmp_path / "log/data/attempt=lost"))
+    assert {r.batch: r["count"] for r in log.read().groupBy("batch").count().collect()} == {"a": 7, "b": 3}
+
+
 def test_language_majority(spark):
     rows = [("p", "/p/a.py"), ("p", "/p/b.pyw"), ("p", "/p/c.ts"), ("t", "/t/a.py"), ("t", "/t/b.JS"),
             ("n", "/n/readme.md")]
