@@ -12,6 +12,7 @@ what is shuffled is each distinct pair of a block, not each link; the numbers of
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,9 @@ from srcweave.llm.text_arrays import HashNumbers, blocks, ragged, span_hashes
 from srcweave.session import as_lookup, write_once
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Segments a Python worker remembers (a power of two), and the bytes of text they may have.
-SEGMENTS, SEGMENT_BYTES = 1 << 19, 16 << 20
+SEGMENTS, SEGMENT_BYTES = 1 << 18, 8 << 20
 SPACE = "▁"
 
 
@@ -225,6 +226,7 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 def _aligner(byte_path: str, piece_path: str) -> Aligner:
     """One for each Python worker, kept from task to task."""
     if (byte_path, piece_path) not in _ALIGNERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _ALIGNERS[byte_path, piece_path] = Aligner(byte_path, piece_path)
     return _ALIGNERS[byte_path, piece_path]
 
