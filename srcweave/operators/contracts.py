@@ -25,6 +25,12 @@ CONTRACTS = {
     "findings": lambda: not_null("project_id", "id", "rule_id", "severity", "file_path")
     | within("severity", SC.SEVERITIES)
     | {"lines out of order": F.col("end_line") < F.col("start_line")},
+    "nodes": lambda: not_null("project_id", "id", "label", "type", "group")
+    | within("type", SC.COMPONENT_TYPES)
+    | {"size below 1": F.col("size") < 1},
+    "edges": lambda: not_null("project_id", "id", "source", "target", "type", "weight")
+    | within("type", SC.RELATIONSHIP_TYPES)
+    | {"weight below 1": F.col("weight") < 1},
     "posture": lambda: not_null("project_id", "score", "grade")
     | within("grade", SC.GRADES)
     | {"score out of range": ~F.col("score").between(0, 100)},

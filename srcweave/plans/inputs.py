@@ -67,11 +67,14 @@ class Inputs:
         return FN.findings(self.parsed, "python", options, only)
 
     @cached_property
-    def changed_parsed(self) -> DataFrame:
+    def changed_files(self) -> DataFrame:
         """The corpus after an edit: every module takes the size of its part plus one."""
         part = self.table("part").withColumn("p_size", F.col("p_size") + 1)
-        files = SR.keep_scanned(SR.as_source_files(CT.python_files(self.spark, part)))
-        return python_facts(files)
+        return SR.keep_scanned(SR.as_source_files(CT.python_files(self.spark, part)))
+
+    @cached_property
+    def changed_parsed(self) -> DataFrame:
+        return python_facts(self.changed_files)
 
     @cached_property
     def changed_facts(self) -> DataFrame:

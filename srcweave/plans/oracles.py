@@ -862,3 +862,27 @@ ORACLES["findings_project_config"] = FOUND + f""", conf AS (SELECT * REPLACE (CA
     THEN 'critical' ELSE severity END AS severity) FROM found WHERE rule_id <> 'py-003')
   SELECT {_HIT} FROM conf WHERE CASE project_id WHEN 'proj0' THEN severity IN ('critical', 'high')
     WHEN 'proj1' THEN rule_id <> 'py-006' WHEN 'proj2' THEN severity = 'critical' ELSE true END"""
+
+ORACLES["findings_rescan"] = ORACLES["findings_diff"]
+
+
+def _no_violations(counts: str, *tables: tuple[str, tuple[str, ...]]) -> str:
+    rows = ", ".join(f"('{table}', '{check}')" for table, checks in tables for check in checks)
+    return f"""{counts} SELECT v."table", n AS n_rows, v."check", CAST(0 AS BIGINT) AS n_violations
+  FROM (VALUES {rows}) v("table", "check") JOIN counts USING ("table")"""
+
+
+_EDGE_NULLS = tuple(f"{c} is null" for c in ("project_id", "id", "source", "target", "type"))
+ORACLES["contract_check_relationships"] = _no_violations(
+    RELS + ", counts AS (SELECT 'relationships' AS \"table\", count(*) AS n FROM rels)",
+    ("relationships", (*_EDGE_NULLS, "type not in list")),
+)
+ORACLES["contract_check_graph"] = _no_violations(
+    RELS + ", counts AS (SELECT 'nodes' AS \"table\", count(*) AS n FROM components UNION ALL SELECT 'edges', count(*) FROM rels)",
+    ("nodes", (*(f"{c} is null" for c in ("project_id", "id", "label", "type", "group")), "type not in list", "size below 1")),
+    ("edges", (*_EDGE_NULLS, "weight is null", "type not in list", "weight below 1")),
+)
+ORACLES["contract_check_posture"] = _no_violations(
+    posture_sql(FOUND, _PROJECTS) + ", counts AS (SELECT 'posture' AS \"table\", count(*) AS n FROM posture)",
+    ("posture", ("project_id is null", "score is null", "grade is null", "grade not in list", "score out of range")),
+)

@@ -27,6 +27,7 @@ from srcweave.session import shared_dir
 from srcweave.sources import config as CF
 from srcweave.sources import corpus as SR
 from srcweave.sources import sinks as SK
+from srcweave.sources.fact_store import FactStore
 from srcweave.streaming import incremental as ST
 
 _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -725,6 +726,14 @@ def findings_diff(t: Inputs) -> DataFrame:
     return FN.findings_diff(t.findings(), FN.findings(t.changed_parsed))
 
 
+@query
+def findings_rescan(t: Inputs) -> DataFrame:
+    """The comparison of two scans through a store of facts: a text met in the first is not parsed again."""
+    store = FactStore(t.spark, f"{shared_dir(t.spark)}/facts/{uuid.uuid4().hex}")
+    before = FN.findings(store.facts(t.files))
+    return FN.findings_diff(before, FN.findings(store.facts(t.changed_files)))
+
+
 @query
 def new_findings(t: Inputs) -> DataFrame:
     return FN.new_findings(t.findings(), FN.findings(t.changed_parsed))
@@ -809,6 +818,23 @@ def contract_check(t: Inputs) -> DataFrame:
     return CK.contract_check(broken, "components")
 
 
+@query
+def contract_check_relationships(t: Inputs) -> DataFrame:
+    return CK.contract_check(t.relationships, "relationships")
+
+
+@query
+def contract_check_graph(t: Inputs) -> DataFrame:
+    """Nodes and edges of the graph against their contracts."""
+    nodes = GR.graph_nodes(CO.components(t.facts), t.relationships)
+    return CK.contract_check(nodes, "nodes").unionByName(CK.contract_check(GR.graph_edges(t.relationships), "edges"))
+
+
+@query
+def contract_check_posture(t: Inputs) -> DataFrame:
+    return CK.contract_check(PO.posture(t.findings(), t.projects), "posture")
+
+
 @query
 def contract_check_findings(t: Inputs) -> DataFrame:
     return CK.contract_check(t.findings(), "findings")

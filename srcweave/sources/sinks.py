@@ -49,7 +49,14 @@ class SnapshotLog:
         line.write.mode("append").parquet(f"{self.path}/manifest")
 
     def read(self) -> DataFrame:
-        """The rows of all batches, with ``batch``."""
+        """The rows of all batches, with ``batch``, as they are now.
+
+        The manifest has a line for each append, so it is read here, and its folders are named one by one: frames read at
+        different times then differ for Spark too, which takes scans of one root for the same.
+        """
         lines = self.spark.read.parquet(f"{self.path}/manifest")
-        named = lines.groupBy("batch").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
-        return self.spark.read.parquet(f"{self.path}/data").join(F.broadcast(named), "attempt").drop("attempt")
+        named = lines.groupBy("batch").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt")).collect()
+        places = [f"{self.path}/data/attempt={r.attempt}" for r in named]
+        rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*places)
+        batches = self.spark.createDataFrame(named, "batch string, attempt string")
+        return rows.join(F.broadcast(batches), "attempt").drop("attempt")

@@ -227,3 +227,17 @@ def test_file_with_one_hot_name_resolves_like_the_others(files):
     from srcweave.operators import resolve as RS
     edges = RS.python_relationships(parsed, comps)
     assert edges.count() == 60 and edges.select("target").distinct().count() == 1
+
+
+def test_fact_store_parses_a_text_once(spark, files, tmp_path):
+    from srcweave.sources.fact_store import FactStore
+
+    store = FactStore(spark, str(tmp_path / "facts"))
+    first = files({"/p/a.py": "x = 1\n", "/q/b/a.py": "x = 1\n", "/q/c.py": "def f(): pass\n", "/q/d.ts": "let a;"})
+    got = {r.file_path: (r.project_id, len(r.assigns), len(r.decls)) for r in store.facts(first).collect()}
+    assert got == {"/p/a.py": ("p", 1, 0), "/q/b/a.py": ("q", 1, 0), "/q/c.py": ("q", 0, 1)}
+    assert store.size() == 2
+    again = files({"/r/new.py": "x = 1\n", "/q/c.py": "def f(): pass\ndef g(): pass\n"})
+    assert {r.file_path: len(r.decls) for r in store.facts(again).collect()} == {"/r/new.py": 0, "/q/c.py": 2}
+    assert store.size() == 3
+    assert {r.file_path for r in store.facts(first).collect()} == set(got) and store.size() == 3
