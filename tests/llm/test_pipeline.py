@@ -50,7 +50,7 @@ def test_rows_decide(spark, tmp_path, monkeypatch):
     sizes, targets = Counter(), {}
     for (_, t, s), n in want.items():
         sizes[s] += n * len(t.split())
-    for r in mixing.mix_sources(seen[2], key=corpus_pipeline.ROW).collect():
+    for r in mixing.mix_sources(seen[2], key=corpus_pipeline._keyed(seen[2])[1]).collect():
         targets[r.source] = r.target
     for s in sizes:
         taken = sum(n * len(t.split()) for (_, t, of), n in kept[3].items() if of == s)
@@ -63,3 +63,20 @@ def test_quality_keeps_row_keys(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = corpus_pipeline.quality.score_quality(docs, labels, row="r").collect()
     assert sorted((r.row, r.doc_id or 0, r.predicted) for r in got) == [(7, 1, 1), (8, 0, 1), (9, 1, 1)]
+
+
+def test_columns_that_clash_with_the_key(spark, tmp_path):
+    """Columns named like those the stages add are columns like others; an empty table goes through."""
+    rng = np.random.default_rng(4)
+    rows = [(i, prose(rng), "en", "ab"[i % 2], 1, 7, 8, 9, 2) for i in range(40)]
+    schema = COLUMNS + ", pipeline_row long, kept_row long, mixed_row long, mixed_copies int"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([("x", "none of these words")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.uncontaminated(spark, docs, str(tmp_path))
+    assert kept.columns[: len(docs.columns)] == docs.columns and kept.count() == 40
+    unique = corpus_pipeline.unlike(spark, kept, str(tmp_path))
+    mixed = corpus_pipeline.mixed(spark, unique, str(tmp_path)).collect()
+    assert unique.count() == 40 and 30 <= len(mixed) <= 60 and {(r.pipeline_row, r.kept_row, r.mixed_copies) for r in mixed} == {(7, 8, 2)}
+    assert len({c for c in kept.columns}) == len(kept.columns) == len(docs.columns) + 1
+    none = corpus_pipeline.unlike(spark, docs.limit(0), str(tmp_path))
+    assert corpus_pipeline.mixed(spark, none, str(tmp_path)).count() == 0
