@@ -17,6 +17,8 @@ from srcweave.llm.text_arrays import OTHER_VALUES, Block, blocks, fixed_hashes,
 
 #: Bytes of an anchor.  An anchor is the least of the strings of this length in some window.
 ANCHOR = 32
+#: Bytes of text worked on at once: about 60 bytes of arrays for each.
+BLOCK_BYTES = 1 << 20
 #: Different surroundings of one anchor that go into one suffix array, at most; the windows
 #: of anchors with more are compared one by one instead.
 CONTEXTS = 256
@@ -94,7 +96,7 @@ def _first_counts(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), BLOCK_BYTES):
                 at, h, row, _ = anchors(block, length)
                 bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((at, bucket))
@@ -209,7 +211,7 @@ def _occurrences(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3).to_pylist()
-            parts = [_picked(block, lists, length, buckets) for block in blocks(batch.column(2))]
+            parts = [_picked(block, lists, length, buckets) for block in blocks(batch.column(2), BLOCK_BYTES)]
             if not parts:
                 continue
             owner, h, c, at, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -240,7 +242,7 @@ def _cut_out(docs: DataFrame, length: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3).to_pylist()
-            for block in blocks(batch.column(2)):
+            for block in blocks(batch.column(2), BLOCK_BYTES):
                 raw, whole, single = block.data.tobytes(), [], []
                 for r in range(block.rows):
                     base = int(block.offsets[r])
@@ -437,7 +439,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is left of each text."""
     for batch in batches:
         spans = batch.column(2).to_pylist() if batch.num_columns > 2 else None
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(1), BLOCK_BYTES):
             raw, columns = block.data.tobytes(), [[], [], [], [], [], []]
             for r in range(block.rows):
                 base, stop = int(block.offsets[r]), int(block.offsets[r + 1])
