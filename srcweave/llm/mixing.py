@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from srcweave.llm.text_arrays import IS_SPACE, blocks, mix, per_row, runs
 from srcweave.session import write_once
 
-#: Documents of one source that are paired in one task, about.
+#: Documents of one size class of a source that are paired in one task, about.
 ROWS_PER_GROUP = 4_096
-#: Residuals that one node of the reduction tree combines.
+#: Nodes whose residuals one node of the reduction tree combines.
 FAN_IN = 64
+#: Documents of a size class that each node leaves open for the root, beside its residual.
+SPARE = 32
 #: A probability this near to 0 or 1 is taken as integral.
 EPSILON = 1e-9
-_OPEN = "doc_id long, source string, size long, target double, source_size long, copies long, p double, bucket long"
+_OPEN = "doc_id long, source string, size long, target double, source_size long, class int, copies long, p double, bucket long"
 
 
 def word_counts(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -101,16 +103,19 @@ def pivot(p: np.ndarray, size: np.ndarray, coins: np.ndarray) -> np.ndarray:
     return p
 
 
-def _round_group(seed: int, level: int, last: bool):
+def _ordered(group: pd.DataFrame, seed: int, salt: int) -> pd.DataFrame:
+    ids = group["doc_id"].fillna(-1).to_numpy().astype(np.int64)
+    return group.iloc[np.lexsort((group["size"], ids, _unit(seed, ids, salt)))]
+
+
+def _round_group(seed: int, level: int):
+    """One node of the tree: all but ``SPARE`` documents of a size class are paired."""
+
     def rounded(group: pd.DataFrame) -> pd.DataFrame:
+        group = _ordered(group, seed, 2 * level)
         ids = group["doc_id"].fillna(-1).to_numpy().astype(np.int64)
-        group = group.iloc[np.lexsort((group["size"], ids, _unit(seed, ids, 2 * level)))]
-        ids = group["doc_id"].fillna(-1).to_numpy().astype(np.int64)
-        coins = _unit(seed, ids, 2 * level + 1)
-        p = pivot(group["p"].to_numpy(), group["size"].to_numpy(np.float64), coins)
-        if last:
-            left = (p > 0) & (p < 1)
-            p[left] = (_unit(seed, ids[left], -1) < p[left]).astype(float)
+        p = group["p"].to_numpy(copy=True)
+        p[SPARE:] = pivot(p[SPARE:], group["size"].to_numpy(np.float64)[SPARE:], _unit(seed, ids, 2 * level + 1)[SPARE:])
         whole = (p == 0) | (p == 1)
         return group.assign(
             copies=group["copies"] + np.where(whole, p, 0).astype(np.int64),
@@ -120,6 +125,40 @@ def _round_group(seed: int, level: int, last: bool):
     return rounded
 
 
+def settle(wanted: np.ndarray, size: np.ndarray, coins: np.ndarray, most: int) -> np.ndarray:
+    """Whole copies, 0 to ``most``, of documents from long to short, so that the words come near what is wanted.
+
+    The words that one document takes too many or too few are spread over the shorter
+    ones by size; a number that these could not make good any more is not drawn.
+    """
+    left, after = float((wanted * size).sum()), np.append(np.cumsum(size[::-1])[::-1], 0.0)
+    planned = np.append(np.cumsum((wanted * size)[::-1])[::-1], 0.0)
+    copies = np.zeros(len(size), np.int64)
+    for i in range(len(size)):
+        x = min(max(wanted[i] + (left - planned[i]) / after[i], 0.0), float(most))
+        n = int(x) + int(coins[i] < x - int(x))
+        low = int(np.ceil((left - most * after[i + 1]) / size[i] - EPSILON))
+        high = int(np.floor(left / size[i] + EPSILON))
+        n = min(max(n, low), high) if low <= high else int(np.rint(left / size[i]))
+        copies[i] = min(max(n, 0), most)
+        left -= copies[i] * size[i]
+    return copies
+
+
+def _settle_source(seed: int, most: int):
+    """The root of a source's tree: a few documents of each of its size classes."""
+
+    def settled(group: pd.DataFrame) -> pd.DataFrame:
+        group = _ordered(group, seed, -2).sort_values("size", ascending=False, kind="stable")
+        ids = group["doc_id"].fillna(-1).to_numpy().astype(np.int64)
+        wanted = group["copies"].to_numpy(np.float64) + group["p"].to_numpy()
+        return group.assign(
+            copies=settle(wanted, group["size"].to_numpy(np.float64), _unit(seed, ids, -1), most), p=0.0,
+        )
+
+    return settled
+
+
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0,
     seed: int = 17, key: str = "doc_id", text: str = "text", source: str = "source",
@@ -127,39 +166,49 @@ def mix_sources(
     """``doc_id``, ``size``, ``source``, ``source_size``, ``target``, ``copies`` and ``taken`` of each row.
 
     A document of a source with target t and size s is wanted t / s times.  The whole part is
-    given to all; the fractional parts are rounded by pairing: groups of a bounded number
-    of documents leave one fractional document each, a tree of groups of such residuals leaves
-    one for the source, and that one is rounded at random.  So the words taken from a source
-    differ from its target by less than its last residual document, and no document is
-    taken more than ``most`` times.  Coins depend on seed and key only: reruns agree.
+    given to all; the fractional parts are rounded by pairing documents of one source and
+    size class (powers of two): groups of a bounded number of documents leave one fractional document
+    each and ``SPARE`` untouched ones, a tree of such groups leaves as many of the class.  The root
+    rounds these few from long to short at random and carries the words over or short
+    to the shorter ones, so a source differs from its target by less than one short document where
+    it has enough of them.  No document is taken more than ``most`` times.  Coins depend on
+    seed and key only: reruns agree.
 
     A null text has size 0, and documents without words are never taken; the null source is
-    a source; repeated rows are rows of their own; an empty table gives no rows; other
-    columns are not read.
+    a source; repeated rows are rows of their own, and those with a null id are dealt to groups by their
+    place in the table; an empty table gives no rows; other columns are not read.
     """
-    sizes = write_once(word_counts(docs, key, text, source))
-    targets = source_targets(
-        sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
+    sizes = write_once(word_counts(docs, key, text, source).withColumn("class", F.length(F.bin("size"))))
+    totals = write_once(sizes.groupBy("source", "class").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")))
+    targets = source_targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    classes = totals.join(
+        targets.select(F.col("source").alias("of"), "source_size", "target"), F.col("source").eqNullSafe(F.col("of"))
     )
-    targets = write_once(targets).select(F.col("source").alias("of"), "source_size", "target")
-    groups = max(1, -(-sizes.count() // ROWS_PER_GROUP))
+    classes = write_once(classes.select(
+        "of", F.col("class").alias("in_class"), "source_size", "target", F.ceil(F.col("n") / ROWS_PER_GROUP).alias("groups")
+    ))
+    groups = classes.agg(F.max("groups")).first()[0] or 1
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sizes.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("r", wanted).select(
-        "doc_id", "source", "size", "target", "source_size",
+    place = F.when(F.col("doc_id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("doc_id"))
+    rows = sizes.withColumn("row", F.monotonically_increasing_id()).join(
+        classes, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in_class"))
+    ).withColumn("r", wanted).select(
+        "doc_id", "source", "size", "target", "source_size", "class",
         F.when(F.col("size") > 0, F.floor(F.col("r") + F.lit(EPSILON))).otherwise(0).alias("copies"),
         F.when(F.col("size") > 0, F.greatest(F.col("r") - F.floor(F.col("r") + F.lit(EPSILON)), F.lit(0.0))).otherwise(0.0).alias("p"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("bucket"),
+        F.pmod(place, "groups").alias("bucket"),
     )
     fractional = (F.col("p") > EPSILON) & (F.col("p") < 1 - EPSILON)
     done, level = [rows.where(~fractional)], 0
     pending = rows.where(fractional)
     while True:
-        last = groups == 1
-        out = write_once(pending.groupBy("source", "bucket").applyInPandas(_round_group(seed, level, last), _OPEN))
+        out = write_once(pending.groupBy("source", "class", "bucket").applyInPandas(_round_group(seed, level), _OPEN))
         done.append(out.where(~fractional))
-        if last:
+        pending = out.where(fractional)
+        if groups == 1:
             break
-        pending, groups, level = out.where(fractional), -(-groups // FAN_IN), level + 1
+        groups, level = -(-groups // FAN_IN), level + 1
+    done.append(write_once(pending.groupBy("source").applyInPandas(_settle_source(seed, int(most + EPSILON)), _OPEN)))
     mixed = done[0]
     for part in done[1:]:
         mixed = mixed.unionByName(part)
