@@ -16,8 +16,11 @@ from srcweave.session import write_counted, write_once
 ROWS_PER_SALT = 4_096
 #: Rows kept in one slot, about, and the fewest slots that buckets are dealt to.
 ROWS_PER_SLOT, MIN_SLOTS = 16_384, 24
-#: Query by candidate products held at once in a task.
-PRODUCTS = 4_000_000
+#: Query by candidate products held at once in a task, and pairs whose product is summed anew.
+PRODUCTS, PAIRS = 4_000_000, 100_000
+#: Tables, and probes in each, for a number of rotations: enough for a recall of 0.9 with random vectors, the
+#: hardest, of 64 dimensions.  More dimensions take more probes, by their ratio for each rotation.
+TABLES, PROBES = {1: 12, 2: 16}, {1: 10, 2: 400}
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -107,6 +110,41 @@ def _split(rows: pd.DataFrame) -> dict[tuple[int, int], np.ndarray]:
     return {(int(bucket[at[0]]), int(salt[at[0]])): at for at in np.split(order, new) if len(at)}
 
 
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last.
+
+    A matrix product adds in an order that depends on the shapes it meets; this one gives a pair the same
+    value wherever it is met.
+    """
+    total = np.zeros(len(left))
+    for j in range(left.shape[1]):
+        total += left[:, j] * right[:, j]
+    return total
+
+
+def nearest_of(wanted: np.ndarray, matrix: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):
+    """Query places, candidate places and scores of the k nearest; ``ids`` rise.
+
+    Matrix products choose all candidates that may be among the k nearest whatever the rounding; their scores are
+    then summed in a fixed order and ranked again, ties by id.
+    """
+    rough = wanted @ matrix.T
+    rough[own[:, None] == ids[None, :]] = -np.inf
+    take = min(k, len(ids))
+    kth = np.partition(rough, len(ids) - take, axis=1)[:, len(ids) - take]
+    # both sums err by at most d * eps * |q| * |c|
+    slack = 4 * matrix.shape[1] * np.finfo(np.float64).eps
+    slack = slack * np.linalg.norm(wanted, axis=1) * np.linalg.norm(matrix, axis=1).max()
+    q, c = np.nonzero((rough >= (kth - slack)[:, None]) & (rough > -np.inf))
+    score = np.concatenate([np.zeros(0), *(
+        products(wanted[q[at : at + PAIRS]], matrix[c[at : at + PAIRS]]) for at in range(0, len(q), PAIRS)
+    )])
+    order = np.lexsort((c, -score, q))
+    first = np.searchsorted(q[order], q[order])
+    order = order[np.arange(len(order)) - first < k]
+    return q[order], c[order], score[order]
+
+
 def _best(k: int):
     """The k nearest in each bucket of a slot for each query that looks there, by exact products."""
 
@@ -123,15 +161,10 @@ def _best(k: int):
             step = max(1, PRODUCTS // len(ids))
             for at in range(0, len(asked), step):
                 own = asked[at : at + step]
-                score = wanted[at : at + step] @ matrix.T
-                score[own[:, None] == ids[None, :]] = -np.inf
-                # ids rise, so a stable sort leaves ties to the smaller one
-                top = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(ids))]
-                value = np.take_along_axis(score, top, 1)
-                real = value > -np.inf
-                out["query_id"].append(np.broadcast_to(own[:, None], top.shape)[real])
-                out["vec_id"].append(ids[top][real])
-                out["score"].append(value[real])
+                q, c, score = nearest_of(wanted[at : at + step], matrix, own, ids, k)
+                out["query_id"].append(own[q])
+                out["vec_id"].append(ids[c])
+                out["score"].append(score)
         return pd.DataFrame({
             c: np.concatenate(v) if v else np.zeros(0, t)
             for (c, v), t in zip(out.items(), (np.int64, np.int64, np.float64), strict=True)
@@ -156,18 +189,18 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_neighbours(
-    vectors: DataFrame, k: int = 20, every: int = 20, tables: int = 12, probes: int = 10,
-    bucket_rows: int = 4_096, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
+    vectors: DataFrame, k: int = 20, every: int = 20, rotations: int = 1,
+    tables: int | None = None, probes: int | None = None, seed: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
 ) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the k nearest found.
 
     Queries are the rows whose id is a multiple of ``every``, candidates all rows but the query's
     own; the score is the inner product of the original vectors in double precision, ties go to the smaller
-    id.  Each vector is kept in one bucket of each table; a query looks into ``probes``
-    buckets of each.  The number of rotations per bucket follows the number of rows, so that
-    buckets hold ``bucket_rows`` rows at most on average; each rotation more doubles the tables and
-    takes eight times the probes, which keeps the recall.  Hot buckets are split by salt, with the queries
-    repeated for each salt.  A query that has found fewer than k is compared with all rows.
+    id, and a pair has the same score wherever it is met.  Each vector is kept in one bucket of each table; a query
+    looks into ``probes`` buckets of each.  A bucket is a signed axis for each of ``rotations``; two give many small
+    buckets, of which a query must probe more.  Neither follows the number of rows, so recall doesn't either;
+    tables and probes that are not given follow the dimension and the rotations.  Hot buckets are split
+    by salt, with the queries repeated for each salt.  A query that has found fewer than k is compared with all rows.
 
     Rows with a null id, or vectors that are null, zero, of another length than most (the
     longer of two lengths as frequent), or hold null or non-finite components take no part.
@@ -180,9 +213,10 @@ def nearest_neighbours(
     lengths = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     dim = lengths.orderBy(F.col("n").desc(), F.col("d").desc()).first()["d"]
     rows = rows.where(F.size("vec") == dim)
-    axes, parts = 2 << max(1, (dim - 1).bit_length()), 1
-    while axes**parts * bucket_rows < count and parts < 3:
-        parts, tables, probes = parts + 1, tables * 2, probes * 8
+    if rotations not in TABLES:
+        raise ValueError("one or two rotations")
+    parts, tables = rotations, tables or TABLES[rotations]
+    probes = probes or -(-PROBES[rotations] * max(dim, 64) ** rotations // 64**rotations)
     asked = rows.where(F.col("vec_id") % every == 0)
     slots = max(MIN_SLOTS, -(-count * tables // ROWS_PER_SLOT))
     index = hashed(rows, tables, parts, 1, seed)
