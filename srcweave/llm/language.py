@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcweave.llm.text_arrays import IS_SPACE, Block, HashNumbers, blocks, per_row, runs, span_hashes
+from srcweave.session import broadcast_if_small, write_once
 
 #: Documents of a language that are learned from, at most, and words drawn from each.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 200
@@ -214,8 +215,12 @@ class Reader:
 
 
 def _sample(rows: DataFrame, docs: int, words: int) -> dict[tuple[str, bytes], int]:
-    """Counted words of a bounded number of documents of each language, spread over their texts."""
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Counted words of a bounded number of documents of each language, spread over their texts.
+
+    The counts of few languages are broadcast, so texts are sampled where they are scanned and the rest
+    of them is not shuffled.
+    """
+    counts = broadcast_if_small(write_once(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))))
     share = F.least(F.lit(1.0), F.lit(3.0 * docs) / F.col("n"))
     near = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= share * 1_000_000
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
