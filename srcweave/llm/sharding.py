@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from srcweave.session import write_once
+
 #: Rows of one shard that are numbered in one task, about.
 ROWS_PER_BUCKET = 50_000
 
@@ -41,8 +43,8 @@ def assign_shards(
     Repeated rows share a shard and get a slot each; an empty table gives no rows; other
     columns, whatever their names, are not read.
 
-    Rows of a shard are numbered in buckets of neighbouring keys, whose number grows with
-    the table; the offsets of the buckets come from their counts.
+    Rows of a shard are numbered in buckets, ranges of (key, checksum, size) whose number grows with
+    the table, so a key of many rows is split too; the offsets of the buckets come from their counts.
     """
     if shards < 1:
         raise ValueError("at least one shard is needed")
@@ -52,12 +54,12 @@ def assign_shards(
         (F.octet_length(content) + 16).cast("long").alias("size"),
         F.crc32(content).cast("long").alias("text_crc32"),
     )
-    keys = docs.select(F.col(key).cast("long").alias("k"))
-    buckets = -(-keys.count() // (ROWS_PER_BUCKET * shards))
-    cuts = []
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
+    buckets = -(-docs.count() // (ROWS_PER_BUCKET * shards))
     if buckets > 1:
-        ranks = [i / buckets for i in range(1, buckets)]
-        cuts = keys.approxQuantile("k", ranks, 0.1 / buckets)
+        rows = write_once(rows.repartitionByRange(buckets, *order).withColumn("bucket", F.spark_partition_id()))
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
 
     def by_jump(n: int):
         @F.pandas_udf("int")
@@ -66,21 +68,10 @@ def assign_shards(
 
         return shard_of(F.coalesce("doc_id", F.lit(-1)))
 
-    @F.pandas_udf("int")
-    def bucket_of(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.asarray(cuts), k.to_numpy(), "left"))
-
-    low = F.lit(-(2**63))
-    placed = rows.withColumns({
-        "shard": by_jump(shards),
-        "grown_shard": by_jump(shards + 1),
-        "bucket": bucket_of(F.coalesce("doc_id", low)) if cuts else F.lit(0),
-    })
-    in_bucket = Window.partitionBy("shard", "bucket").orderBy(
-        F.col("doc_id").asc_nulls_first(), "text_crc32", "size"
-    )
+    placed = rows.withColumns({"shard": by_jump(shards), "grown_shard": by_jump(shards + 1)})
+    in_bucket = Window.partitionBy("shard", "bucket").orderBy(*order)
     numbered = placed.withColumn("at", F.row_number().over(in_bucket) - 1)
-    if cuts:
+    if buckets > 1:
         before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(
             Window.unboundedPreceding, -1
         )
