@@ -119,7 +119,8 @@ def resolved_imports(parsed: DataFrame) -> DataFrame:
         F.posexplode("keys").alias("rank", "key"),
     )
     known = as_lookup(module_map(parsed).withColumnRenamed("module", "key"))
-    hits = refs.join(known, ["project_id", "key"])
+    # The size of parsed rows is guessed from what they were derived from: unasked, they would go through the driver.
+    hits = refs.join(known.hint("merge"), ["project_id", "key"])
     several = (F.col("level") > 0) & (F.col("module") == "")
     slot = F.when(several, F.col("rank")).otherwise(F.lit(0))
     hits = hits.withColumn("slot", slot)

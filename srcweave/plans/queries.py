@@ -23,7 +23,7 @@ from srcweave.operators import script_resolve as SS
 from srcweave.operators import taint as TN
 from srcweave.operators import traversal as TV
 from srcweave.plans.inputs import Inputs
-from srcweave.session import shared_dir
+from srcweave.session import shared_dir, write_once
 from srcweave.sources import config as CF
 from srcweave.sources import corpus as SR
 from srcweave.sources import sinks as SK
@@ -244,7 +244,8 @@ def import_edges(t: Inputs) -> DataFrame:
 
 @query
 def relative_imports(t: Inputs) -> DataFrame:
-    return RS.resolved_imports(t.parsed).where("level > 0").select(
+    written = write_once(t.parsed.select("project_id", "file_path", "imports"))  # read twice
+    return RS.resolved_imports(written).where("level > 0").select(
         "project_id", "file_path", "module", "level", "target_path"
     )
 
