@@ -22,7 +22,8 @@ SUMMARY = (
 def posture(found: DataFrame, projects: DataFrame, language: str = "python") -> DataFrame:
     """One row per project; a project without findings scores 100."""
     names = ["total", *S.SEVERITY_RANK]
-    counted = projects.select("project_id").join(severity_counts(found), "project_id", "left")
+    # A project may be a file: counts, whose size is only guessed, do not go through the driver.
+    counted = projects.select("project_id").join(severity_counts(found).hint("merge"), "project_id", "left")
     counted = counted.fillna(0, names)
     weighted = None
     for name, weight in S.SEVERITY_WEIGHT.items():

@@ -715,11 +715,11 @@ def security_gate(t: Inputs) -> DataFrame:
 
 @query
 def posture_diff(t: Inputs) -> DataFrame:
-    def scored(parsed: DataFrame) -> DataFrame:
+    def scored(parsed: DataFrame, files: DataFrame) -> DataFrame:
         found = FN.findings(parsed).withColumn("project_id", F.col("file_path"))
-        return PO.posture(found, parsed.select(F.col("file_path").alias("project_id")))
+        return PO.posture(found, files.where("language = 'python'").select(F.col("file_path").alias("project_id")))
 
-    return PO.posture_diff(scored(t.facts), scored(t.changed_facts))
+    return PO.posture_diff(scored(t.parsed, t.files), scored(t.changed_parsed, t.changed_files))
 
 
 @query
