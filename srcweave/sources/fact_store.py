@@ -44,7 +44,7 @@ class FactStore:
         self.log.append(fresh, uuid.uuid4().hex)
         once = self._known().dropDuplicates(["digest"])
         columns = [f.split()[0] for f in _top_level(PARSED)]
-        return keyed.select("project_id", "file_path", "digest").join(once, "digest").select(*columns)
+        return keyed.select("project_id", "file_path", "digest").join(once.hint("merge"), "digest").select(*columns)
 
     def size(self) -> int:
         known = self._known()
