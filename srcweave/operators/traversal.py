@@ -335,12 +335,15 @@ def _bit(number: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number, F.lit(_SEEDS)).cast("int"))
 
 
-def _waves(pairs: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+def _waves(
+    pairs: DataFrame, starts: DataFrame, max_depth: int | None, wanted: DataFrame | None = None
+) -> DataFrame:
     """Breadth-first search from all seeds at once: which seeds' bits reach a node first at which depth.
 
     ``starts`` holds ``n`` and ``seed`` (dense numbers).  A node keeps 64 seeds in a long, and what has been seen is
     one table of the bits of each node, made anew each round; so a round costs what it finds plus that table, however
     many rounds there were.  The waves are appended to one table, which is read once at the end.
+    With ``wanted`` (``n``, ``word``, ``bits``) the search ends as soon as every wanted bit has reached its node.
     """
     waves = Grown(pairs.sparkSession, _WAVE)
     word = F.floor(F.col("seed") / _SEEDS)
@@ -353,6 +356,13 @@ def _waves(pairs: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFr
     while n_new:
         wave = seen.where("fresh <> 0").select("n", "word", F.col("fresh").alias("bits"), F.lit(depth).alias("depth"))
         waves.add(wave)
+        if wanted is not None:
+            got = wave.select("n", "word", F.col("bits").alias("got"))
+            still = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("got", F.lit(0).cast("long"))))
+            missing = wanted.join(got, ["n", "word"], "left").select("n", "word", still.alias("bits"))
+            wanted, n_wanted = write_counted(missing.where(F.col("bits") != 0))
+            if not n_wanted:
+                break
         depth += 1
         if max_depth is not None and depth > max_depth:
             break
@@ -412,7 +422,7 @@ def dependency_chain(
     """A shortest path for each ``(project_id, source, target)`` pair that has one.
 
     Among paths of one length the least in id order is taken.  Distances come from one search
-    backwards from all targets; then every source steps to its least neighbour that is one nearer, so no
+    backwards from all targets, which ends when every pair that was asked for is settled; then every source steps to its least neighbour that is one nearer, so no
     path is carried that doesn't lead to its target.
     """
     pair = ["project_id", "source", "target"]
@@ -421,8 +431,9 @@ def dependency_chain(
     hops = encoded(edges, nodes)
     asked = encoded(pairs, nodes)
     starts = _seeds(pairs.select("project_id", F.col("target").alias("id")), nodes)
-    waves = _waves(hops.select(F.col("b").alias("a"), F.col("a").alias("b")), starts, max_depth)
     goal = asked.join(starts.toDF("b", "seed"), "b").withColumn("word", F.floor(F.col("seed") / _SEEDS))
+    wanted = goal.groupBy(F.col("a").alias("n"), "word").agg(F.bit_or(_bit(F.col("seed"))).alias("bits"))
+    waves = _waves(hops.select(F.col("b").alias("a"), F.col("a").alias("b")), starts, max_depth, wanted)
     near = waves.select(F.col("n").alias("a"), "word", "bits", "depth")
     walk, n_open = write_counted(
         goal.join(near, ["a", "word"]).where(F.col("bits").bitwiseAND(_bit(F.col("seed"))) != 0).select(
