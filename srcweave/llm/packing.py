@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcweave.llm.text_arrays import BLOCK_BYTES, IS_SPACE, LOWER, Block, blocks, ragged, span_hashes
-from srcweave.llm.token_files import PieceIds
+from srcweave.llm.token_files import PieceIds, piece_cuts
 from srcweave.session import shared_dir
 
 #: Pieces handed to Spark at once, by the tokens they hold.
@@ -36,10 +36,6 @@ SEQUENCES = (
 
 #: Words encoded in one call, with a special token between them.
 JOINED = 50
-_PUNCTUATION = np.zeros(256, bool)
-_PUNCTUATION[list(b".,;:!?")] = True
-_ASCII_LETTER = np.zeros(256, bool)
-_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 _ENCODERS: dict[str, "WordIds"] = {}
 
@@ -80,8 +76,7 @@ class Joined:
 class WordIds(PieceIds):
     """Ids of texts under a tokenizer that drops white space and case, with those of words seen before in a table.
 
-    Texts are cut as :class:`PieceIds` does, and between an ASCII letter and a mark of punctuation, where a run of
-    letters always ends.  A piece is known by its lower-case bytes without the space before it.
+    Texts are cut as :class:`PieceIds` does.  A piece is known by its lower-case bytes without the space before it.
     """
 
     def __init__(self, path: str, slots: int):
@@ -95,18 +90,10 @@ class WordIds(PieceIds):
             return np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)
         if not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():  # the text of a special token has its case
             data = LOWER[data]
-        space = IS_SPACE[data]
-        before = np.zeros(len(data), bool)
-        before[1:] = (data[:-1] > 0x20) & (data[:-1] < 0x7F)
-        before[2:] |= data[:-2] == 0xC3  # the second byte of a letter (or × or ÷)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[:-1] = space & before
-        cut[1:-1] |= _PUNCTUATION[data[1:]] & _ASCII_LETTER[data[:-1]]
-        cut[offsets] = True
-        starts = np.flatnonzero(cut)
+        starts = np.flatnonzero(piece_cuts(data, offsets))
         starts, ends = starts[:-1], starts[1:]
         bounds = np.searchsorted(starts, offsets)
-        starts = starts + space[starts]
+        starts = starts + IS_SPACE[data[starts]]
         hashes = span_hashes(data, starts, ends)
         piece = self.numbers.find(hashes)
         new = np.flatnonzero(piece < 0)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,11 +119,30 @@ def unpack(payload: bytes) -> np.ndarray:
     return out
 
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b".,;:!?")] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def piece_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a piece of text begins at each byte, or ends there; see :class:`PieceIds`."""
+    before = np.zeros(len(data), bool)
+    before[1:] = (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+    before[2:] |= data[:-2] == 0xC3  # the second byte of a letter (or × or ÷)
+    cut = np.zeros(len(data) + 1, bool)
+    cut[:-1] = IS_SPACE[data] & before
+    cut[1:-1] |= _PUNCTUATION[data[1:]] & _ASCII_LETTER[data[:-1]]
+    cut[offsets] = True
+    return cut
+
+
 class PieceIds:
     """Ids of pieces of text, with those of pieces seen before in a table.
 
     A text may be cut before white space that follows a printable ASCII or Latin-1
-    character: pre-tokenization always starts a new token there, and what stands before
+    character, and between an ASCII letter and a mark of punctuation, where a run of letters
+    always ends: pre-tokenization always starts a new token there, and what stands before
     doesn't change what comes after.  So the ids of a text are those of its pieces.
     """
 
@@ -143,7 +164,7 @@ class PieceIds:
         """Encode distinct new pieces."""
         encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum()))
         pieces = self.numbers.count
         n, m = pieces + len(texts), self.used + len(flat)
         while len(self.starts) < n:
@@ -160,14 +181,7 @@ class PieceIds:
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, and how many each text has."""
         data, offsets = block.data, block.offsets
-        space = IS_SPACE[data]
-        before = np.zeros(len(data), bool)
-        before[1:] = (data[:-1] > 0x20) & (data[:-1] < 0x7F)
-        before[2:] |= data[:-2] == 0xC3  # the second byte of a letter (or × or ÷)
-        cut = np.zeros(len(data) + 1, bool)
-        cut[:-1] = space & before
-        cut[offsets] = True
-        starts = np.flatnonzero(cut)
+        starts = np.flatnonzero(piece_cuts(data, offsets))
         starts, ends = starts[:-1], starts[1:]
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(block.rows, np.int64)
@@ -200,6 +214,7 @@ _PIECES: dict[str, PieceIds] = {}
 def _pieces(path: str) -> PieceIds:
     """One table of pieces for each Python worker, kept from task to task."""
     if path not in _PIECES:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         _PIECES[path] = PieceIds(path)
     return _PIECES[path]
 
