@@ -342,7 +342,8 @@ def _repeats(length: int):
         portion = np.repeat(portion, np.diff(np.append(new, len(group))))
         for no in np.unique(portion):
             parts.append(_repeats_of(group[portion == no], length))
-        return pd.concat(parts)
+        found = pd.concat(parts)
+        return _merged(found) if len(found) else found
 
     return find
 
@@ -426,7 +427,8 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
     crowded = windows.join(least.where("n > 1").select("w1", "w2", "f"), ["w1", "w2"]).where(
         F.struct("did", "tkey", "low") > F.col("f")
     ).select("did", "tkey", "low", (F.col("low") + length).alias("high"))
-    spans = plain.unionByName(arrays).unionByName(crowded).mapInPandas(_merge_portions, _SPAN)
+    # the others are merged already: a second step in Python behind the arrays would give each task a second worker
+    spans = plain.unionByName(arrays).unionByName(crowded.mapInPandas(_merge_portions, _SPAN))
     spans, n = scratch.write_counted(spans.groupBy("did", "tkey").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
     scratch.drop(cut, plain)
     return spans, n
@@ -462,13 +464,18 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _merged(part: pd.DataFrame) -> pd.DataFrame:
+    """Overlapping spans of one document as one."""
+    ids, number = np.unique(part[["did", "tkey"]].to_numpy(), axis=0, return_inverse=True)
+    doc, low, high = _join_windows(number.ravel(), part["low"].to_numpy(), part["high"].to_numpy())
+    return pd.DataFrame({"did": ids[doc, 0], "tkey": ids[doc, 1], "low": low, "high": high})
+
+
 def _merge_portions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Overlapping spans that a task holds of one document become one before they are shuffled."""
     for part in batches:
         if len(part):
-            ids, number = np.unique(part[["did", "tkey"]].to_numpy(), axis=0, return_inverse=True)
-            doc, low, high = _join_windows(number.ravel(), part["low"].to_numpy(), part["high"].to_numpy())
-            yield pd.DataFrame({"did": ids[doc, 0], "tkey": ids[doc, 1], "low": low, "high": high})
+            yield _merged(part)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -72,7 +72,10 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 def mix(values: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (the finalizer of splitmix64)."""
-    v = values.astype(np.uint64, copy=True)
+    return _mix_in_place(values.astype(np.uint64, copy=True))
+
+
+def _mix_in_place(v: np.ndarray) -> np.ndarray:
     v += _GOLDEN
     v ^= v >> np.uint64(30)
     v *= np.uint64(0xBF58476D1CE4E5B9)
@@ -107,7 +110,9 @@ def prefix_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarra
     """What :func:`span_hashes` takes its hashes from."""
     powers, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * powers[: len(data)], out=sums[1:])
+    terms = values[data]
+    terms *= powers[: len(data)]
+    np.cumsum(terms, out=sums[1:])
     return sums
 
 
@@ -117,8 +122,10 @@ def span_hashes(
     """A 64-bit hash of each span of bytes, the same wherever the span stands."""
     sums = prefix_sums(data) if sums is None else sums
     _, inverses = _powers(len(data) + 1)
-    h = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _GOLDEN)
+    h = sums[ends] - sums[starts]
+    h *= inverses[starts]
+    h += (ends - starts).astype(np.uint64) * _GOLDEN
+    return _mix_in_place(h)
 
 
 def fixed_hashes(sums: np.ndarray, width: int) -> np.ndarray:
@@ -127,7 +134,10 @@ def fixed_hashes(sums: np.ndarray, width: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     _, inverses = _powers(len(sums))
-    return mix((sums[width:] - sums[:n]) * inverses[:n] + np.uint64(width * int(_GOLDEN) % 2**64))
+    h = sums[width:] - sums[:n]
+    h *= inverses[:n]
+    h += np.uint64(width * int(_GOLDEN) % 2**64)
+    return _mix_in_place(h)
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
