@@ -22,8 +22,8 @@ BLOCK_BYTES = 1 << 20
 #: Different surroundings of one anchor that go into one suffix array, at most; the windows
 #: of anchors with more are compared one by one instead.
 CONTEXTS = 256
-#: Bytes of suffix arrays that a task builds at once, and anchors in one bucket, about.
-ARRAY_BYTES, BUCKET_ANCHORS = 1 << 19, 2_000_000
+#: Bytes of suffix arrays that a task builds at once (their numbers should stay in a core's cache), and anchors in one bucket, about.
+ARRAY_BYTES, BUCKET_ANCHORS = 1 << 18, 2_000_000
 #: Ids that may be broadcast.
 SMALL = 200_000
 
@@ -40,7 +40,9 @@ def _spread(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
-def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(
+    block: Block, length: int, sums: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of a block, their rows, and the least hash of each window.
 
     Of the short strings within every ``length`` bytes of a row those with the least hash are
@@ -51,7 +53,7 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     n, span = len(block.data), length - ANCHOR + 1
     if n < length:
         return none, none.astype(np.uint64), none, none.astype(np.uint64)
-    h = fixed_hashes(prefix_sums(block.data), ANCHOR)
+    h = fixed_hashes(prefix_sums(block.data) if sums is None else sums, ANCHOR)
     least = _spread(h, span, np.minimum)
     size = np.diff(block.offsets)
     inside = np.zeros(len(least), bool)
@@ -184,7 +186,8 @@ def _picked(block: Block, lists: list, length: int, buckets: int) -> tuple[np.nd
     Surroundings are the windows in which the anchor has the least hash; other windows belong
     to other anchors.
     """
-    at, h, row, least = anchors(block, length)
+    sums = prefix_sums(block.data)
+    at, h, row, least = anchors(block, length, sums)
     bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((at, bucket, row))
     r, b = row[order], bucket[order]
@@ -199,7 +202,7 @@ def _picked(block: Block, lists: list, length: int, buckets: int) -> tuple[np.nd
     left = block.offsets[:-1][row]
     low, count = _own_windows(at, h, least, length - ANCHOR + 1)
     high = low + count + length - 1
-    c = mix(span_hashes(block.data, low, high) + (at - low).astype(np.uint64))
+    c = mix(span_hashes(block.data, low, high, sums) + (at - low).astype(np.uint64))
     return block.first + row, h, c, at - left, low - left, high - left
 
 
@@ -420,7 +423,7 @@ def repeated_spans(docs: DataFrame, length: int, scratch: Scratch) -> tuple[Data
         _cut_out(_with_texts(docs, asked, n <= SMALL), length), F.sum(F.coalesce(F.octet_length("bytes"), F.lit(0)))
     )
     scratch.drop(asked)
-    slots = max(8, -(-size // (8 * ARRAY_BYTES)))
+    slots = max(8, -(-size // (16 * ARRAY_BYTES)))
     arrays = cut.where("bytes IS NOT NULL").groupBy(F.pmod(F.xxhash64("h"), F.lit(slots))).applyInPandas(_repeats(length), _SPAN)
     windows = cut.where("w1 IS NOT NULL").select("w1", "w2", "did", "tkey", "low")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "tkey", "low")).alias("f"), F.count(F.lit(1)).alias("n"))

@@ -95,27 +95,31 @@ def suffix_places(symbols: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     after = np.minimum(np.arange(n) + length, n - 1)
     same = (group[after] == group) & (np.arange(n) + length < n)
     jump, repeats = np.where(same, after, np.arange(n)), same.astype(np.int64)
-    while same.any():
-        repeats = repeats + repeats[jump]
-        further = jump[jump]
-        same = further != jump
-        jump = further
+    active = np.flatnonzero(same)
+    while len(active):  # those that don't point to the last repeat yet
+        own = jump[active]
+        further = jump[own]
+        more = further != own
+        active, own, further = active[more], own[more], further[more]
+        repeats[active], jump[active] = repeats[active] + repeats[own], further
     end = after[jump]
     members = np.bincount(group, minlength=n)
     place = np.where(members[group] == 1, group, -1)
     waiting = np.flatnonzero(place < 0)
-    waiting = waiting[np.argsort(group[waiting], kind="stable")]
+    waiting = waiting[np.argsort(group[waiting] * n + repeats[waiting])]
+    own, follows = group[waiting], end[waiting]
     while len(waiting):
-        own = group[waiting]
         first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         count = np.diff(np.append(first, len(own)))
-        ready = np.repeat(np.add.reduceat((place[end[waiting]] < 0).astype(np.int64), first) == 0, count)
-        now = waiting[ready]
-        order = np.lexsort((place[end[now]], repeats[now], group[now]))
-        now = now[order]
-        own = group[now]
-        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        count = np.diff(np.append(first, len(own)))
-        place[now] = own + np.arange(len(now)) - np.repeat(first, count)
-        waiting = waiting[~ready]
+        behind = place[follows]
+        ready = np.repeat(np.minimum.reduceat(behind, first) >= 0, count)
+        now, home, behind = waiting[ready], own[ready], behind[ready]
+        often = repeats[now]
+        # by group, repeats and what follows; the first two are in order
+        run = np.concatenate(([False], (home[1:] != home[:-1]) | (often[1:] != often[:-1])))[: len(now)]
+        now = now[np.argsort(np.cumsum(run) * n + behind)]
+        first = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1])))[: len(now)]
+        count = np.diff(np.append(first, len(home)))
+        place[now] = home + np.arange(len(now)) - np.repeat(first, count)
+        waiting, own, follows = waiting[~ready], own[~ready], follows[~ready]
     return place
