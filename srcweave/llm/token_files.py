@@ -41,9 +41,9 @@ def pack(values: np.ndarray) -> bytes:
     padded[:n] = values
     bits = np.full(len(padded), 64, np.uint8)
     bits[:n] = np.where(values > 0, np.frexp(values.astype(np.float64))[1], 1)
-    for b in range(20, 64):  # rounding to doubles may cross a power of two
-        if n and values.max() >= 1 << b:
-            bits[:n] = np.where(values >= np.uint64(1 << b), np.maximum(bits[:n], b + 1), bits[:n])
+    for b in range(20, int(values.max()).bit_length() if n else 0):  # rounding to doubles may cross a power of two
+        bits[:n] = np.where(values >= np.uint64(1 << b), np.maximum(bits[:n], b + 1), bits[:n])
+    room = np.tile(np.arange(STRETCH, 0, -1, np.int16), lanes + 1)
     selector = np.zeros(len(padded), np.uint8)
     for s in range(len(PACKING) - 1, 0, -1):
         count, width = PACKING[s]
@@ -56,8 +56,7 @@ def pack(values: np.ndarray) -> bytes:
             length += step
         if length < count:
             continue
-        at = np.arange(len(padded)) % STRETCH + count <= STRETCH if count > 1 else True
-        selector[fits & at] = s
+        selector[fits & (room >= count)] = s
     counts = np.array([c for c, _ in PACKING], np.int64)
     lane, here = np.arange(lanes), np.zeros(lanes, np.int64)
     picked = []
