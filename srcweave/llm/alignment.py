@@ -21,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcweave.llm.text_arrays import HashNumbers, blocks, ragged, span_hashes
+from srcweave.llm.text_arrays import Block, HashNumbers, blocks, ragged, span_hashes
 from srcweave.session import as_lookup, write_once
 
-#: Bytes of text of a block.
-BLOCK_BYTES = 2 << 20
+#: Bytes of text of a block, and of the part of it that is aligned at once: what is held beside the tables of a
+#: worker follows the part, what is shuffled follows the block.
+BLOCK_BYTES, PART_BYTES = 2 << 20, 256 << 10
 #: Segments a Python worker remembers (a power of two), and the bytes of text they may have.
 SEGMENTS, SEGMENT_BYTES = 1 << 18, 8 << 20
 SPACE = "▁"
@@ -74,6 +75,43 @@ def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
 
 
+def _placed(rows: np.ndarray, pairs: np.ndarray, links: np.ndarray):
+    """The distinct pairs, and row, place of the pair and sum of links of the distinct pairs of each row, in this order."""
+    known, place = np.unique(pairs, return_inverse=True)
+    key, links = _summed(rows * max(len(known), 1) + place, links)
+    return known, key // max(len(known), 1), key % max(len(known), 1), links
+
+
+def _distinct(rows: np.ndarray, pairs: np.ndarray, links: np.ndarray):
+    """Row, pair and links, each pair of a row once."""
+    known, rows, place, links = _placed(rows, pairs, links)
+    return rows, known[place], links
+
+
+class Rows:
+    """An array that grows at its end; it is copied when its length doubles, not each time."""
+
+    def __init__(self, kind: type, width: int = 1):
+        self.held = np.empty((1024, width) if width > 1 else 1024, kind)
+        self.clear()
+
+    def clear(self) -> None:
+        self.count = 0
+
+    def add(self, values: np.ndarray) -> None:
+        count = self.count + len(values)
+        if count > len(self.held):
+            longer = np.empty((max(count, 2 * len(self.held)), *self.held.shape[1:]), self.held.dtype)
+            longer[: self.count] = self.held[: self.count]
+            self.held = longer
+        self.held[self.count : count] = values
+        self.count = count
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.count]
+
+
 class Aligner:
     """Two tokenizers, and the aligned segments seen so far."""
 
@@ -104,18 +142,22 @@ class Aligner:
             [b"%d%c" % (i, mark) for i in range(len(table))]
             for table, marks in ((self.a_bytes, b",|"), (self.b_bytes, b",;")) for mark in marks
         ]
+        self.groups: list[bytes] = []
+        self.good = Rows(bool)
+        #: ids of both sides, groups and links of each segment
+        self.sums = Rows(np.int64, 4)
+        self.first = Rows(np.int64)
+        self.pairs = Rows(np.int64)
+        self.links = Rows(np.int64)
         self.clear()
 
     def clear(self) -> None:
         self.numbers = HashNumbers(2 * SEGMENTS)
         self.text_bytes = 0
-        self.groups: list[bytes] = []
-        self.good = np.zeros(0, bool)
-        #: ids of both sides, groups and links of each segment
-        self.sums = np.zeros((0, 4), np.int64)
-        self.first = np.zeros(1, np.int64)
-        self.pairs = np.zeros(0, np.int64)
-        self.links = np.zeros(0, np.int64)
+        self.groups.clear()
+        for rows in (self.good, self.sums, self.first, self.pairs, self.links):
+            rows.clear()
+        self.first.add(np.zeros(1, np.int64))
 
     def add(self, hashes: np.ndarray, segments: list[bytes]) -> None:
         """Align distinct new segments."""
@@ -143,12 +185,11 @@ class Aligner:
         owner = key // max(len(known), 1)
         total = np.bincount(owner, links, n).astype(np.int64)
         self.groups += self._written(a, group_a, b, group_b, np.bincount(segment, minlength=n))
-        self.good = np.concatenate((self.good, good))
-        sums = np.stack((n_a, n_b, np.bincount(segment, minlength=n), total), axis=1)
-        self.sums = np.concatenate((self.sums, sums))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.bincount(owner, minlength=n))))
-        self.pairs = np.concatenate((self.pairs, known[key % max(len(known), 1)]))
-        self.links = np.concatenate((self.links, links))
+        self.good.add(good)
+        self.sums.add(np.stack((n_a, n_b, np.bincount(segment, minlength=n), total), axis=1))
+        self.first.add(self.first.values[-1] + np.cumsum(np.bincount(owner, minlength=n)))
+        self.pairs.add(known[key % max(len(known), 1)])
+        self.links.add(links)
         self.numbers.add(hashes)
         self.text_bytes += sum(map(len, segments))
 
@@ -205,9 +246,9 @@ class Aligner:
         number = self._numbers(data, starts, ends)
         bounds = np.searchsorted(starts, offsets)
         row = np.repeat(np.arange(n), np.diff(bounds))
-        bad = np.bincount(row, ~self.good[number], n) > 0
+        bad = np.bincount(row, ~self.good.values[number], n) > 0
         fine = (np.diff(bounds) > 0) & ~bad
-        sums = np.stack([np.bincount(row, self.sums[number, i], n) for i in range(4)], axis=1).astype(np.int64)
+        sums = np.stack([np.bincount(row, self.sums.values[number, i], n) for i in range(4)], axis=1).astype(np.int64)
         sums[~fine] = 0
         every = list(map(self.groups.__getitem__, number.tolist()))
         limits = zip(bounds[:-1].tolist(), bounds[1:].tolist(), fine.tolist(), strict=True)
@@ -215,9 +256,11 @@ class Aligner:
         held = fine[row]
         held, times = _summed((row << 32 | number)[held], np.ones(int(held.sum()), np.int64))
         row, number = held >> 32, held & 0xFFFFFFFF
-        sizes = self.first[number + 1] - self.first[number]
-        at = ragged(self.first[number], sizes)
-        return sums, fine, written, np.repeat(row, sizes), self.pairs[at], np.repeat(times, sizes) * self.links[at]
+        first = self.first.values
+        sizes = first[number + 1] - first[number]
+        at = ragged(first[number], sizes)
+        links = np.repeat(times, sizes) * self.links.values[at]
+        return sums, fine, written, *_distinct(np.repeat(row, sizes), self.pairs.values[at], links)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -253,25 +296,47 @@ def _stretches(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
         start = end
 
 
+def _long(aligner: Aligner, data: np.ndarray, limit: int):
+    """What :meth:`Aligner.read` gives of one long text."""
+    sums, written, nothing = np.zeros((1, 4), np.int64), [], np.zeros(0, np.int64)
+    pairs, links, waiting = [nothing], [nothing], 0
+    for stretch in _stretches(data, limit):
+        more, ok, text, _, pair, link = aligner.read(stretch, np.array([0, len(stretch)]))
+        if not ok[0]:
+            return np.zeros((1, 4), np.int64), np.array([False]), [b""], nothing, nothing, nothing
+        sums += more
+        written += text
+        pairs.append(pair)
+        links.append(link)
+        waiting += len(pair)
+        if waiting > len(pairs[0]) + limit:  # merged as often as their number doubles
+            pair, link = _summed(np.concatenate(pairs), np.concatenate(links))
+            pairs, links, waiting = [pair], [link], 0
+    pair, link = _summed(np.concatenate(pairs), np.concatenate(links))
+    return sums, np.array([True]), [b"".join(written)], np.zeros(len(pair), np.int64), pair, link
+
+
+def _parts(aligner: Aligner, block: Block, limit: int):
+    """First row, and what :meth:`Aligner.read` gives, of a few texts of a block at a time."""
+    row = 0
+    while row < block.rows:
+        begin = int(block.offsets[row])
+        end = max(int(np.searchsorted(block.offsets, begin + limit, "right")) - 1, row + 1)
+        data, offsets = _spaced(block.data[begin : block.offsets[end]], block.offsets[row : end + 1] - begin)
+        if end - row > 1 or len(data) <= 2 * limit:
+            yield row, *aligner.read(data, offsets)
+        else:
+            yield row, *_long(aligner, data, limit)
+        row = end
+
+
 def _aligned(aligner: Aligner, column: pa.Array, limit: int):
     """First row, and what :meth:`Aligner.read` gives, of the texts of a column, block by block."""
     for block in blocks(column, limit):
-        data, offsets = _spaced(block.data, block.offsets)
-        if block.rows > 1 or len(data) <= 2 * limit:
-            yield block.first, *aligner.read(data, offsets)
-            continue
-        sums, fine, written = np.zeros((1, 4), np.int64), True, []
-        pairs, links = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for stretch in _stretches(data, limit):
-            more, ok, text, _, pair, link = aligner.read(stretch, np.array([0, len(stretch)]))
-            fine &= bool(ok[0])
-            sums += more
-            written += text
-            pairs, links = _summed(np.concatenate((pairs, pair)), np.concatenate((links, link)))
-        if fine:
-            yield block.first, sums, np.array([True]), [b"".join(written)], np.zeros(len(pairs), np.int64), pairs, links
-        else:
-            yield block.first, np.zeros((1, 4), np.int64), np.array([False]), [b""], *[np.zeros(0, np.int64)] * 3
+        first, sums, fine, written, rows, pairs, links = zip(*_parts(aligner, block, min(limit, PART_BYTES)), strict=True)
+        rows = [row + at for at, row in zip(first, rows, strict=True)]
+        texts = [text for part in written for text in part]
+        yield block.first, *map(np.concatenate, (sums, fine)), texts, *map(np.concatenate, (rows, pairs, links))
 
 
 def token_groups(
@@ -327,9 +392,7 @@ def aligned_blocks(rows: DataFrame, byte_path: str, piece_path: str, block_bytes
         for batch in batches:
             for first, sums, fine, written, row, pair, links in _aligned(aligner, batch.column(1), block_bytes):
                 n = len(sums)
-                known, place = np.unique(pair, return_inverse=True)
-                key, links = _summed(row * max(len(known), 1) + place, links)
-                row, place = key // max(len(known), 1), key % max(len(known), 1)
+                known, row, place, links = _placed(row, pair, links)
                 steps = np.diff(place, prepend=0)
                 begins = np.searchsorted(row, np.arange(n))
                 begins = begins[np.append(begins[1:], len(row)) > begins]
