@@ -1,46 +1,5 @@
 """Intermediate tables that go as soon as they are used up."""
 
-from __future__ import annotations
+from srcweave.session import Scratch
 
-import gc
-import uuid
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
-
-from srcweave.session import shared_dir
-
-
-class Scratch:
-    """Writes tables to the shared folder and removes them again.
-
-    What was shuffled to make a table is not needed once it is written.  Spark deletes
-    shuffle files when their owner is collected as garbage in the driver, so that is asked for after
-    each write; otherwise all shuffles of a long operator stay on the disks until its end.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: dict[int, str] = {}
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/tables/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(table)] = path
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return table
-
-    def write_counted(self, df: DataFrame, metric: Column | None = None) -> tuple[DataFrame, int]:
-        """The table, and an aggregate of its rows (their number by default), observed while writing."""
-        seen = Observation()
-        metric = F.count(F.lit(1)) if metric is None else metric
-        table = self.write(df.observe(seen, metric.alias("n")))
-        return table, int(seen.get["n"] or 0)
-
-    def drop(self, *tables: DataFrame) -> None:
-        for table in tables:
-            jvm, path = self.spark.sparkContext._jvm, self.paths.pop(id(table))
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["Scratch"]

@@ -7,14 +7,13 @@ another is needed is observed while writing.  ``edges`` carry ``project_id, sour
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcweave.operators.keys import encoded, number_nodes, numbered
-from srcweave.session import shared_dir, write_counted, write_once
+from srcweave.session import Grown, write_counted, write_once
 
 _NODE = ["project_id", "id"]
 
@@ -23,22 +22,6 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-class Grown:
-    """One table to which rounds append, so that no plan grows with their number."""
-
-    def __init__(self, spark: SparkSession, schema: str):
-        self.spark, self.schema = spark, schema
-        self.folder = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-        spark.createDataFrame([], schema).write.parquet(self.folder)
-
-    def add(self, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.folder)
-
-    @property
-    def table(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.folder)
-
-
 # Strongly connected components ----------------------------------------------
 
 
