@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcweave.operators.keys import encoded, number_nodes, numbered
@@ -366,6 +366,51 @@ def _waves(
     return waves.table
 
 
+def _squared(jumps: DataFrame, most: int) -> DataFrame | None:
+    """Pairs of nodes that two jumps join, or none if there are more than so many ways to make them."""
+    entering, leaving = (jumps.groupBy(F.col(c).alias("n")).agg(F.count("*").alias(c)) for c in ("b", "a"))
+    n_ways = entering.join(leaving, "n").agg(F.sum(F.col("a") * F.col("b"))).head()[0] or 0
+    if n_ways > most:
+        return None
+    return write_once(jumps.toDF("a", "_by").join(jumps.toDF("_by", "b"), "_by").select("a", "b").distinct())
+
+
+def _spans(pairs: DataFrame, starts: DataFrame, max_depth: int | None) -> DataFrame:
+    """The table of :func:`_waves` without ``wanted``, made a span of depths at a time.
+
+    A jump joins the nodes that a walk of ``stride`` edges joins.  A shortest path to a node at depth ``d + stride`` passes one at
+    depth ``d``, so the next depths are found a jump away from the last ``stride`` ones; of all ways to a node the first counts.
+    The stride doubles for as long as jumps stay few, so a long chain or ring takes as many rounds as its length has binary digits.
+    """
+    waves = Grown(pairs.sparkSession, _WAVE)
+    word = F.floor(F.col("seed") / _SEEDS)
+    first = starts.groupBy("n", word.alias("word")).agg(F.bit_or(_bit(F.col("seed"))).alias("bits"))
+    if not waves.add_counted(first.select("*", F.lit(0).alias("depth")), F.count("*")):
+        return waves.table
+    jumps, stride, n_depths, most = pairs, 1, 1, 2 * pairs.count()
+    earlier = Window.partitionBy("n", "word").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    while max_depth is None or n_depths <= max_depth:
+        seen = waves.table
+        last = seen.where(F.col("depth") >= n_depths - stride)
+        depth = (F.col("depth") + stride).alias("depth")
+        reached = last.join(jumps.toDF("n", "next"), "n").select(F.col("next").alias("n"), "word", "bits", depth)
+        if max_depth is not None:
+            reached = reached.where(F.col("depth") <= max_depth)
+        reached = reached.groupBy("n", "word", "depth").agg(F.bit_or("bits").alias("bits")).select(*seen.columns)
+        known = F.coalesce(F.bit_or("bits").over(earlier), F.lit(0).cast("long"))
+        fresh = seen.unionByName(reached).withColumn("known", known).where(F.col("depth") >= n_depths).select(
+            "n", "word", F.col("bits").bitwiseAND(F.bitwise_not("known")).alias("bits"), "depth"
+        )
+        deepest = waves.add_counted(fresh.where("bits <> 0"), F.max("depth"))
+        n_depths += stride
+        if deepest < n_depths - 1:  # a depth without nodes has none behind it
+            break
+        longer = _squared(jumps, most) if n_depths == 2 * stride else None
+        if longer is not None:
+            jumps, stride = longer, 2 * stride
+    return waves.table
+
+
 def _seeds(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     """``n`` and ``seed``: seeds numbered so that those of one project lie side by side."""
     found = seeds.select(*_NODE).join(nodes, _NODE).select("n")
@@ -374,7 +419,8 @@ def _seeds(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _seed_rows(waves: DataFrame, starts: DataFrame) -> DataFrame:
     """``start``, ``n`` and ``depth`` of each bit of the waves; ``start`` is the node of the seed."""
-    each = F.filter(F.sequence(F.lit(0), F.lit(_SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)
+    several = F.filter(F.sequence(F.lit(0), F.lit(_SEEDS - 1)), lambda i: F.getbit("bits", i) == 1)
+    each = F.when(F.bit_count("bits") == 1, F.array(F.length(F.bin("bits")) - 1)).otherwise(several)
     rows = waves.select("n", "depth", "word", F.explode(each).alias("i")).select(
         "n", "depth", (F.col("word") * _SEEDS + F.col("i")).alias("seed")
     )
@@ -385,7 +431,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None)
     """Every node each seed reaches, with its distance; the seed itself has 0."""
     nodes = number_nodes(edges, seeds)
     starts = _seeds(seeds, nodes)
-    rows = _seed_rows(_waves(encoded(edges, nodes), starts, max_depth), starts)
+    rows = _seed_rows(_spans(encoded(edges, nodes), starts, max_depth), starts)
     return _named(rows, nodes, "n", "start").select(
         "project_id", F.col("start").alias("seed"), "id", "depth"
     )

@@ -91,6 +91,12 @@ class Grown:
     def add(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.folder)
 
+    def add_counted(self, rows: DataFrame, metric: Column) -> int:
+        """:meth:`add`, and an aggregate of the rows that is observed while they are written."""
+        seen = Observation()
+        self.add(rows.observe(seen, metric.alias("n")))
+        return int(seen.get["n"] or 0)
+
     @property
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.folder)
